@@ -7,9 +7,13 @@ no word or window crosses two of them unless the caller asks for it.
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -233,5 +237,21 @@ def utf8(text) -> bytes:
     return (text or "").encode()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors unless their Python path has it already."""
+    root = Path(__file__).resolve().parents[2]
+    known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in known or getattr(spark.sparkContext, "_corpusforge_sent", False):
+        return
+    folder = tempfile.mkdtemp(prefix="corpusforge-")
+    target = Path(folder) / "corpusforge_code.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in [*(root / "corpusforge").rglob("*.py"), *root.glob("corpus_pipeline.py")]:
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(str(target))
+    spark.sparkContext._corpusforge_sent = True
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate
+from . import bpe, decontaminate, minhash, quality, toxicity
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op7_quality": quality.op7_quality,
+    "op8_minhash": minhash.op8_minhash,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLES = {
     "op5_decontamination": decontaminate.ORACLE,
+    "op8_minhash": minhash.ORACLE,
 }
