@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, toxicity
+from . import bpe, decontaminate, minhash, quality, substring, toxicity
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
+    "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op7_quality": quality.op7_quality,
     "op8_minhash": minhash.op8_minhash,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_substring_dedup": substring.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
     "op8_minhash": minhash.ORACLE,
 }

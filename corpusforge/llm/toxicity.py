@@ -2,9 +2,9 @@
 
 Method.  Many voters look at a document: every entry of a lexicon of insults, every stem mined
 from the labelled training rows, and a few patterns; each votes toxic, clean or abstains.  A
-generative label model (expectation maximisation over the votes alone, started from the training
-rows' share of toxic labels) estimates each voter's rates under both classes; voters whose votes
-stay correlated given the class share one voice.  Its posterior labels train a logistic
+generative label model (expectation maximisation over the votes; a training row's label is one
+more voter) estimates each voter's rates under both classes; voters whose votes stay correlated
+given the class share one voice.  Its posterior labels train a logistic
 regression on counts of words and word stems, which scores every whole text.
 
 Cases: null and empty texts have no features and score the bias; very long texts are scored
@@ -29,6 +29,8 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 MINED = 1024  # stems kept, by weight of evidence
 KEPT = 4096  # features of the classifier
+GOLD = 5.0  # log odds of a label as a voter
+SPARSE = 250  # an entry votes if it is at least one word in so many
 #: Insults that start the lexicon (English, German, French, Spanish).
 LEXICON = (
     "idiot moron stupid loser trash scum clown pathetic worthless disgusting dumb imbecile bastard asshole bitch "
@@ -36,8 +38,8 @@ LEXICON = (
 ).split()
 
 
-def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(feature hash, text number): every word, and its stems of PREFIXES bytes."""
+def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature hash, text number) of every word and of its stems of PREFIXES bytes; the number of words of each text."""
     start, end, n = words_of(c, NOT_ALNUM)
     doc = np.repeat(np.arange(c.n, dtype=np.int64), n)
     pre = prefix(BYTE_A[LOWER][c.data], BASE)
@@ -46,7 +48,12 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         long = end - start > k
         out.append(mix(spans_hash(pre, start[long], start[long] + k, BASE_INV) + U64(1 + k)))
         who.append(doc[long])
-    return np.concatenate(out), np.concatenate(who)
+    return np.concatenate(out), np.concatenate(who), n
+
+
+def strength(n: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Value of a feature that a text of so many words holds n times: grows with its density, less than in proportion."""
+    return np.sqrt(np.minimum(n, 30) / (1 + words / 100))
 
 
 def word_feature(word: str) -> np.uint64:
@@ -70,12 +77,12 @@ class Counts:
 def count(texts: list[str]) -> Counts:
     parts, base, words, bangs = [], 0, [], []
     for c in chunks_of(pa.array(texts, pa.string()), 1 << 20):
-        f, d = features(c)
+        f, d, n_words = features(c)
         order = np.lexsort((f, d))
         f, d = f[order], d[order]
         new = np.flatnonzero(np.concatenate([[True], (f[1:] != f[:-1]) | (d[1:] != d[:-1])])) if len(f) else np.zeros(0, np.int64)
         parts.append((d[new] + base, f[new], np.diff(np.concatenate([new, [len(f)]]))))
-        words.append(np.diff(np.concatenate([np.searchsorted(words_of(c, NOT_ALNUM)[0], c.starts), [words_of(c, NOT_ALNUM)[2].sum()]])))
+        words.append(n_words)
         bang = np.concatenate([[0], np.cumsum(c.data == 0x21)])
         bangs.append(bang[c.starts + c.lens] - bang[c.starts])
         base += c.n
@@ -87,16 +94,16 @@ def count(texts: list[str]) -> Counts:
 
 
 def mine(x: Counts, y: np.ndarray) -> np.ndarray:
-    """Features that stand for the toxic class in the labelled rows: seen in two toxic documents and hardly in clean ones."""
+    """Features that stand for the toxic class in the labelled rows: dense in several toxic documents and in few clean ones."""
     if not len(y) or y.min() == y.max():
         return np.zeros(0, U64)
-    feats, at = np.unique(x.feature, return_inverse=True)
-    toxic = np.bincount(at, y[x.doc] == 1, len(feats))
-    clean = np.bincount(at, y[x.doc] == 0, len(feats))
+    thick = x.n * SPARSE >= x.words[x.doc]
+    feats, at = np.unique(x.feature[thick], return_inverse=True)
+    toxic = np.bincount(at, y[x.doc[thick]] == 1, len(feats))
+    clean = np.bincount(at, y[x.doc[thick]] == 0, len(feats))
     weight = np.log((toxic + 0.2) / (y.sum() + 1)) - np.log((clean + 0.2) / ((1 - y).sum() + 1))
     enough = 2 if y.sum() < 200 else 4
-    ok = (toxic >= enough) & (weight > 2.2) & (clean <= 0.02 * toxic)
-    pick = np.flatnonzero(ok)
+    pick = np.flatnonzero((toxic >= enough) & (weight > 2.5) & (clean <= 0.35 * toxic))
     pick = pick[np.argsort(-(toxic[pick] * weight[pick]), kind="stable")][:MINED]
     return feats[pick]
 
@@ -107,7 +114,7 @@ def votes(x: Counts, entries: np.ndarray) -> np.ndarray:
     if len(entries):
         order = np.argsort(entries)
         at = np.minimum(np.searchsorted(entries[order], x.feature), len(entries) - 1)
-        hit = entries[order][at] == x.feature
+        hit = (entries[order][at] == x.feature) & (x.n * SPARSE >= x.words[x.doc])
         table[x.doc[hit], order[at[hit]]] = 1
     kinds = table[:, : len(entries)].sum(1)
     table[:, -3] = np.where(kinds >= 3, 1, np.where(kinds == 0, -1, 0))  # several entries, or none at all
@@ -116,8 +123,11 @@ def votes(x: Counts, entries: np.ndarray) -> np.ndarray:
     return table
 
 
-def label_model(table: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray:
-    """Posterior of the toxic class from votes alone: per-voter rates by EM, one voice for each group of correlated voters."""
+def label_model(table: np.ndarray, prior: float, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
+    """Posterior of the toxic class: per-voter rates by EM, one voice for each group of correlated voters.
+
+    gold: 1, 0, or -1 where a row has no label; a label is one more voter, of the fixed log odds GOLD.
+    """
     n, m = table.shape
     pos, neg = (table == 1).astype(np.float32), (table == -1).astype(np.float32)
     prior = min(max(prior, 0.01), 0.5)
@@ -126,7 +136,8 @@ def label_model(table: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray
         return np.full(n, prior)
     pos, neg = pos[:, used], neg[:, used]
     vote = pos.sum(1) > 0
-    q = np.where(vote, 0.9, prior / 4).astype(np.float64)
+    told = np.where(gold == 1, GOLD, np.where(gold == 0, -GOLD, 0.0))
+    q = np.where(gold == 1, 0.95, np.where(gold == 0, 0.02, np.where(vote, 0.8, prior / 4)))
     share = np.ones(len(used))
     for step in range(rounds):
         w1, w0 = q.sum() + 2, (1 - q).sum() + 2
@@ -140,7 +151,7 @@ def label_model(table: np.ndarray, prior: float, rounds: int = 25) -> np.ndarray
         z = np.log(prior / (1 - prior)) + pos @ (share * np.log(rates[0][0] / rates[1][0])) + neg @ (share * np.log(rates[0][1] / rates[1][1]))
         none = 1 - pos - neg
         z = z + none @ (share * np.log((1 - rates[0][0] - rates[0][1]).clip(1e-3) / (1 - rates[1][0] - rates[1][1]).clip(1e-3)))
-        q = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        q = 1 / (1 + np.exp(-np.clip(np.clip(z, -6, 6) + told, -30, 30)))
     return q
 
 
@@ -151,17 +162,19 @@ def train(own: Sample, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float
     entries = np.unique(np.concatenate([np.array([word_feature(w) for w in LEXICON], U64), mined]))
     if not x.docs:
         return entries, np.full(len(entries), 4.0), -3.0
-    q = label_model(votes(x, entries), own.share if len(y) else 0.1)
-    feats, at = np.unique(x.feature, return_inverse=True)
+    q = label_model(votes(x, entries), own.share if len(y) else 0.1, y)
+    thick = x.n * SPARSE >= x.words[x.doc]
+    feats, at = np.unique(x.feature[thick], return_inverse=True)
     seen = np.bincount(at, minlength=len(feats))
-    mass = np.bincount(at, q[x.doc], len(feats))
+    mass = np.bincount(at, q[x.doc[thick]], len(feats))
     lift = np.abs(np.log((mass + 0.2) / (q.sum() + 1)) - np.log((seen - mass + 0.2) / ((1 - q).sum() + 1)))
     strong = np.flatnonzero((seen >= 2) & (lift > 1.5))
     strong = strong[np.argsort(-(lift[strong] * np.sqrt(seen[strong])), kind="stable")][:KEPT]
     keep = np.unique(np.concatenate([feats[strong], entries]))
     j = np.minimum(np.searchsorted(keep, x.feature), len(keep) - 1)
     ok = keep[j] == x.feature
-    d, j, v = x.doc[ok], j[ok], np.minimum(x.n[ok], 3).astype(np.float64) ** 0.5
+    d, j = x.doc[ok], j[ok]
+    v = strength(x.n[ok], x.words[d])
     w, b = np.zeros(len(keep)), float(np.log(max(own.share, 0.02) / max(1 - own.share, 0.02)))
     w[np.isin(keep, entries)] = 1.0
     g2, gb2 = np.full(len(keep), 1e-4), 1e-4
@@ -176,9 +189,21 @@ def train(own: Sample, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float
         gb2 += r.sum() ** 2
         b -= 0.2 * r.sum() / np.sqrt(gb2)
     live = np.abs(w) > 0.02
+    if len(y) and 0 < y.sum() < len(y):
+        b += calibration(np.bincount(d, w[j] * v, x.docs) + b, y)
     return keep[live], w[live], float(b)
 
 
+def calibration(z: np.ndarray, y: np.ndarray) -> float:
+    """Shift of the bias that puts THRESHOLD between the classes of the training rows: at the best of recall less false alarms, low in a gap."""
+    cuts = np.unique(z)
+    pos, neg = np.sort(z[y == 1]), np.sort(z[y == 0])
+    gain = (1 - np.searchsorted(pos, cuts) / len(pos)) - 6 * (1 - np.searchsorted(neg, cuts) / len(neg))
+    best = int(np.argmax(gain))
+    low = cuts[best - 1] if best else cuts[best] - 1
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + 0.4 * (cuts[best] - low)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns and score, predicted, for every row.  The model holds at most KEPT + MINED features."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -187,11 +212,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshol
         keep, w, bias = sent.value
         for b in batches:
             for c in chunks_of(column(b, "text"), 1 << 20):
-                f, d = features(c)
+                f, d, n_words = features(c)
                 j = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
                 hit = keep[j] == f
                 pair, n = np.unique(d[hit] * len(keep) + j[hit], return_counts=True)
-                z = np.bincount(pair // len(keep), w[pair % len(keep)] * np.minimum(n, 3) ** 0.5, c.n) + bias
+                z = np.bincount(pair // len(keep), w[pair % len(keep)] * strength(n, n_words[pair // len(keep)]), c.n) + bias
                 s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
                 part = b.slice(c.rows.start, c.n)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
