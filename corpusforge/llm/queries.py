@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, substring, toxicity
+from . import bpe, decontaminate, minhash, quality, substring, suffix, toxicity
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_quality": quality.op7_quality,
     "op8_minhash": minhash.op8_minhash,
     "op10_toxicity": toxicity.op10_toxicity,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op4_substring_dedup": substring.ORACLE,
     "op5_decontamination": decontaminate.ORACLE,
+    "op6_suffix_dedup": suffix.ORACLE,
     "op8_minhash": minhash.ORACLE,
 }
