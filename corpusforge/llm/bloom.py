@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, ints
+from .common import U64, ints, mix
 
 MAX_BITS = 28  # 32 MB
 
@@ -22,8 +22,8 @@ def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> U64(64 - bits)).astype(np.int64), ((h * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits)).astype(np.int64)
 
 
-def build(hashes: DataFrame, name: str = "h") -> np.ndarray:
-    """The bitmap of a stored table's column of 64-bit hashes."""
+def build(hashes: DataFrame, name: str = "h", mixed: bool = False) -> np.ndarray:
+    """The bitmap of a stored table's column of 64-bit hashes (mixed: of ids, which are hashed here)."""
     n = hashes.count()
     bits = int(min(MAX_BITS, max(16, np.ceil(np.log2(16 * max(n, 1))))))
 
@@ -31,7 +31,7 @@ def build(hashes: DataFrame, name: str = "h") -> np.ndarray:
         own, any_ = np.zeros(1 << bits >> 3, np.uint8), False
         for b in batches:
             any_ |= b.num_rows > 0
-            for at in _bits(ints(b, name).view(np.uint64), bits):
+            for at in _bits(mix(ints(b, name).view(np.uint64)) if mixed else ints(b, name).view(np.uint64), bits):
                 np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if any_:
             yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bitmap"])

@@ -3,11 +3,10 @@
 Method.  One-permutation hashing: a document's distinct word shingles are hashed once and dealt
 to BINS bins by their high bits; a bin keeps its least hash; empty bins copy from bins chosen
 by a second hash until a full one is met (optimal densification).  BANDS bands of ROWS bins are
-bucket keys.  Within a bucket candidate edges form a star: the smallest document against every
-other.  Edges are confirmed on the full sets.  Members that the star's centre does not confirm,
-and that no other bucket has brought into its component, are then held against the members of
-other components of their bucket, so no link is lost to the star; a comparison of signatures
-comes first, and full sets confirm again.  Documents with equal sets (128-bit digest) are one
+bucket keys.  Within a bucket candidate edges form a star: its most central document (the one with the
+most company over all its buckets) against every other.  Edges are confirmed on the full sets.
+Members of a centre's buckets that stay outside its component are then held against the other
+members, block by block, so no link is lost to the star.  Documents with equal sets (128-bit digest) are one
 representative from the start, so copies never meet in pairs.
 
 Misses: two sets with a Jaccard similarity of 0.85 share no band with probability 2e-8.
@@ -28,15 +27,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, U64, Chunk, chunks_of, column, mix, read, shared_dir, ship, signed, stored, window_hash, word_hashes, words_of
+from . import bloom
+from .common import LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, word_hashes, words_of
 from .components import components
 
 ROWS = 5
 BANDS = 30
 BINS = ROWS * BANDS
+BLOCK = 256
 PROBES = np.random.default_rng(23).integers(0, BINS, (4096, BINS))
-#: Signatures that agree on fewer of BINS bins than this share (0.85 less five standard errors) are not held against each other again.
-ESTIMATE_MARGIN = 0.15
 
 
 def shingle_sets(c: Chunk, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,7 +102,7 @@ def bands(sig: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n, h1, h2 (digest of the set), bands, sig (a byte of each bin)."""
+    """doc_id, n, h1, h2 (digest of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,18 +117,27 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 has = n > 0
                 off = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [keys[c.rows], pa.array(n.astype(np.int64)), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(off), pa.array(keyed[np.repeat(has, BANDS)])), pa.array([x.tobytes() for x in (sig & U64(255)).astype(np.uint8)], pa.binary())],
-                    ["doc_id", "n", "h1", "h2", "bands", "sig"],
+                    [keys[c.rows], pa.array(n.astype(np.int64)), pa.array(signed(h1)), pa.array(signed(h2)), pa.ListArray.from_arrays(pa.array(off), pa.array(keyed[np.repeat(has, BANDS)]))],
+                    ["doc_id", "n", "h1", "h2", "bands"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>, sig binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union."""
-    text = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    needed = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    own = text.join(needed, "doc_id", "left_semi")
+def texts_of(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
+    """doc_id, text of the documents in ids, stored.  A bitmap of bounded size keeps most others out of the shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(ids.select("doc_id"), "doc_id", mixed=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bloom.contains(sent.value, mix(ints(b, "doc_id").astype(np.int64).view(np.uint64)))))
+
+    near = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text string")
+    return stored(near.join(ids, "doc_id", "left_semi"), folder, "texts")
+
+
+def confirm(pairs: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union; own: doc_id, text."""
     rows = pairs.join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,19 +164,43 @@ def confirm(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     return rows.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
 
 
-def alike(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v, su, sv) whose signatures don't rule out the similarity."""
-    least = (percent / 100 - ESTIMATE_MARGIN) * BINS
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            a, z = (np.frombuffer(b"".join(column(b, x).to_pylist()), np.uint8).reshape(-1, BINS) for x in ("su", "sv"))
-            keep = pa.array((a == z).sum(1) >= least)
-            yield pa.RecordBatch.from_arrays([column(b, "u").filter(keep), column(b, "v").filter(keep)], ["u", "v"])
-
-    return pairs.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+def rest_of(groups: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (u, v) between members of a hub's group in different components, one of them outside the hub's.
+
+    groups: hub, doc_id, n, component, centre (the hub's component).  A group is dealt to blocks
+    of about BLOCK members; a block with outsiders meets every block of its group, each meeting
+    a task of bounded size that counts common shingles as a matrix product.  Only links leave it.
+    """
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("size"), F.max(F.col("component") != F.col("centre")).alias("open")).where("open and size > 1").drop("open")
+    dealt = groups.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("int"))
+    outside = dealt.where("component <> centre")
+    away = outside.select("hub", F.col("block").alias("a")).distinct()
+    rows = dealt.select("hub", "doc_id", "component", "size", "block", (F.col("component") != F.col("centre")).alias("out"))
+    left = rows.where("out").select("hub", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK) - 1).cast("int"))).alias("b"), "doc_id", "component", F.lit(0).alias("side"))
+    right = rows.join(away, "hub").select("hub", "a", F.col("block").alias("b"), "doc_id", "component", F.lit(1).alias("side"))
+    met = left.unionByName(right).join(own, "doc_id")
+
+    def run(t: pa.Table) -> pa.Table:
+        side, doc, comp = (t.column(x).to_numpy() for x in ("side", "doc_id", "component"))
+        parts: list = []
+        for c in chunks_of(t.column("text")):
+            sets, n = shingle_sets(c, words)
+            parts += np.split(sets, np.cumsum(n)[:-1])
+        i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        size = np.array([len(x) for x in parts])
+        both = np.zeros((len(i), len(j)), np.float32)
+        if len(i) and len(j):
+            common = np.intersect1d(np.concatenate([parts[k] for k in i]), np.concatenate([parts[k] for k in j]))
+            for lo in range(0, len(common), 4096):
+                own = common[lo : lo + 4096]
+                grid = [np.stack([np.isin(own, parts[k], assume_unique=True) for k in x]).astype(np.float32) for x in (i, j)]
+                both += grid[0] @ grid[1].T
+        either = size[i][:, None] + size[j][None, :] - both
+        good = (100 * both >= percent * either) & (either > 0) & (comp[i][:, None] != comp[j][None, :])
+        u, v = np.nonzero(good)
+        return pa.table({"u": pa.array(np.minimum(doc[i[u]], doc[j[v]])), "v": pa.array(np.maximum(doc[i[u]], doc[j[v]]))})
+
+    return met.groupBy("hub", "a", "b").applyInArrow(run, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -181,24 +213,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = sets.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
     member = stored(sets.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), folder, "members")
     reps = member.where("doc_id = rep").select("doc_id")
-    keyed = stored(sets.select("doc_id", "n", "sig", F.posexplode("bands").alias("band", "key")).join(reps, "doc_id", "left_semi").select("doc_id", "n", "key"), folder, "keys")
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    placed = stored(keyed.join(buckets, "key"), folder, "placed")
+    keyed = stored(sets.select("doc_id", "n", F.explode("bands").alias("key")).join(reps, "doc_id", "left_semi").select("doc_id", "n", "key"), folder, "keys")
+    shared = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), folder, "shared")
+    central = shared.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    hubs = shared.join(central, "doc_id").groupBy("key").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("hub"))
+    placed = stored(shared.join(hubs, "key"), folder, "placed")
     size = sets.select("doc_id", "n").groupBy("doc_id").agg(F.min("n").alias("n"))
     star = placed.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), "n").distinct()
-    star = star.join(size.select(F.col("doc_id").alias("u"), F.col("n").alias("nu")), "u").where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v")
-    links = stored(confirm(stored(star, folder, "star"), docs, words, percent), folder, "links")
+    star = star.join(size.select(F.col("doc_id").alias("u"), F.col("n").alias("nu")), "u")
+    star = stored(star, folder, "star")
+    own = texts_of(docs, stored(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct(), folder, "candidates"), folder)
+    links = stored(confirm(star.where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v"), own, words, percent), folder, "links")
     found = components(links, folder, "star-cc")
-    # Members of a bucket in other components than its hub: what the star has not settled.
-    left = placed.where("size > 2").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    left = stored(left, folder, "left")
-    hubs = left.where("doc_id = hub").select("key", F.col("component").alias("centre"))
-    outside = left.join(hubs, "key").where("component <> centre and doc_id <> hub")
-    rest = outside.select("key", F.col("doc_id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na")).join(left.where("doc_id <> hub").select("key", F.col("doc_id").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb")), "key")
-    rest = rest.where(f"ca <> cb and 100 * least(na, nb) >= {percent} * greatest(na, nb)").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    sigs = sets.select("doc_id", "sig").dropDuplicates(["doc_id"])
-    rest = rest.join(sigs.select(F.col("doc_id").alias("u"), F.col("sig").alias("su")), "u").join(sigs.select(F.col("doc_id").alias("v"), F.col("sig").alias("sv")), "v")
-    more = stored(confirm(stored(alike(rest, percent), folder, "rest"), docs, words, percent), folder, "more-links")
+    # Members of a hub's group outside the hub's component: what the star has not settled.
+    of = found.withColumnRenamed("id", "doc_id")
+    groups = star.select(F.col("u").alias("hub"), F.col("v").alias("doc_id"), "n").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    groups = groups.join(of.select(F.col("doc_id").alias("hub"), F.col("component").alias("centre")), "hub", "left").withColumn("centre", F.coalesce("centre", "hub"))
+    more = stored(rest_of(groups, own, words, percent), folder, "more-links")
     if more.isEmpty():
         final = found
     else:
