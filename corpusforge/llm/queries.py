@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, minhash, quality, substring, suffix, toxicity
+from . import bpe, decontaminate, hnsw, minhash, quality, substring, suffix, toxicity
 
 QUERIES = {
     "op3_byte_bpe": bpe.op3_byte_bpe,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_quality": quality.op7_quality,
     "op8_minhash": minhash.op8_minhash,
+    "op9_embedding_dedup": hnsw.op9_embedding_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
 }
 
