@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, chunks_of, column, ints, ranges, read
+from .common import Chunk, chunks_of, column, ints, ranges, read, ship
 
 # Automaton states: what the last code point was.
 START, LETTER, NUMBER, OTHER, WHITE, BLANK, QUOTE, SHORT, PEND_E, PEND_L = range(10)
@@ -281,6 +281,7 @@ SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _vocabulary(spark: SparkSession, path: str) -> str:
     """Ship the vocabulary file (a fixed size, under 2 MB) to every executor."""
+    ship(spark)
     spark.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 
@@ -337,6 +338,23 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
+def encoded(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, round_trip (the ids decode to the text's bytes) of every row."""
+    name = _vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(SparkFiles.get(name))
+        for b in batches:
+            keys = column(b, "doc_id")
+            for c in chunks_of(column(b, "text"), 1 << 20):
+                ids, n = own.encode(c)
+                at = np.concatenate([[0], np.cumsum(n)])
+                same = [own.decode(ids[at[i] : at[i + 1]]) == c.raw[s : s + k].tobytes() for i, (s, k) in enumerate(zip(c.starts.tolist(), c.lens.tolist(), strict=True))]
+                yield pa.RecordBatch.from_arrays([keys.slice(c.rows.start, c.n), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids, pa.int32())), pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

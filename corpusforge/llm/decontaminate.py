@@ -204,6 +204,24 @@ def proximity(docs: DataFrame, items: DataFrame, rarest: int = 3, within: int =
     return out
 
 
+def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs, with all their columns, that hold no window of any item; one narrow pass for each block of items."""
+    for ids, texts in blocks(items, block_bytes):
+        q = docs.sparkSession.sparkContext.broadcast(Queries(ids, texts, window))
+
+        def run(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for c in chunks_of(column(b, "text")):
+                    index = PositionalIndex(c, q.value.vocabulary)
+                    _, at = index.phrases(q.value.windows, q.value.length)
+                    keep[c.rows.start + index.doc[at]] = False
+                yield b.filter(pa.array(keep))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """Digest of matches(): merges the spans of a document's blocks and counts."""
 

@@ -240,6 +240,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.col("component") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in ids.  Only rows that a bitmap of ids lets through are shuffled; the others stay where they are read."""
+    ids = stored(ids.distinct(), shared_dir(docs.sparkSession), "removed")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(ids, "doc_id", mixed=True))
+
+    def part(inside: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                key = pc.fill_null(column(b, "doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield b.filter(pa.array(bloom.contains(sent.value, mix(key.view(np.uint64))) == inside))
+
+        return run
+
+    return docs.mapInArrow(part(False), docs.schema).unionByName(docs.mapInArrow(part(True), docs.schema).join(ids, "doc_id", "left_anti").select(*docs.columns))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hnsw, minhash, quality, substring, suffix, toxicity
+from . import bpe, decontaminate, hnsw, html_extract, minhash, quality, secret_scan, substring, suffix, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_byte_bpe": bpe.op3_byte_bpe,
     "op4_substring_dedup": substring.op4_substring_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,

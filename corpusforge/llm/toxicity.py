@@ -204,25 +204,39 @@ def calibration(z: np.ndarray, y: np.ndarray) -> float:
     return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + 0.4 * (cuts[best] - low)))
 
 
+def scores_of(c: Chunk, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    keep, w, bias = model
+    f, d, n_words = features(c)
+    j = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
+    hit = keep[j] == f
+    pair, n = np.unique(d[hit] * len(keep) + j[hit], return_counts=True)
+    z = np.bincount(pair // len(keep), w[pair % len(keep)] * strength(n, n_words[pair // len(keep)]), c.n) + bias
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
-    """docs' columns and score, predicted, for every row.  The model holds at most KEPT + MINED features."""
+    """doc_id, score, predicted of every row.  The model holds at most KEPT + MINED features."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keep, w, bias = sent.value
         for b in batches:
             for c in chunks_of(column(b, "text"), 1 << 20):
-                f, d, n_words = features(c)
-                j = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
-                hit = keep[j] == f
-                pair, n = np.unique(d[hit] * len(keep) + j[hit], return_counts=True)
-                z = np.bincount(pair // len(keep), w[pair % len(keep)] * strength(n, n_words[pair // len(keep)]), c.n) + bias
-                s = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
-                part = b.slice(c.rows.start, c.n)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*b.schema.names, "score", "predicted"])
+                s = scores_of(c, sent.value)
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(c.rows.start, c.n), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the threshold."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = [scores_of(c, sent.value) for c in chunks_of(column(b, "text"), 1 << 20)]
+            yield b.filter(pa.array(np.concatenate(s) < threshold)) if s else b
 
-    schema = docs.schema
-    return docs.mapInArrow(run, ", ".join(f"`{x.name}` {x.dataType.simpleString()}" for x in schema) + ", score double, predicted int")
+    return docs.mapInArrow(run, docs.schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
@@ -231,4 +245,4 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
-    return score(docs.select("doc_id", "text"), fit(docs, labels)).select("doc_id", held_out().alias("held_out"), F.col("score"), "predicted")
+    return score(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), F.col("score"), "predicted")
