@@ -9,3 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 FLAGSHIP = "hybrid_rrf_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of (spark, sf_dir) under a name, with its DuckDB SQL."""
+
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def load_all() -> None:
+    from .plans import catalog, citations, evaluation, geometry, retrieval, streams, tables, texts  # noqa: F401
+
+
+load_all()
