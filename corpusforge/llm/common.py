@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Odd multiplier of the byte polynomial and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -48,14 +48,13 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64, kept between calls up to a few chunks' length."""
+    """base**0 .. base**(n-1) modulo 2**64, kept between calls up to a chunk's length."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = max(n, CHUNK_BYTES + (CHUNK_BYTES >> 2))
-        have = np.full(size, U64(base))
+        have = np.full(max(n + (n >> 3), 1 << 16), U64(base))
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        if size <= 4 * CHUNK_BYTES:
+        if len(have) <= 2 * CHUNK_BYTES:
             _powers[base] = have
     return have[:n]
 
@@ -237,8 +236,13 @@ def utf8(text) -> bytes:
     return (text or "").encode()
 
 
+#: Bytes of an Arrow batch between the JVM and Python; a batch of whole texts can be large otherwise.
+BATCH_BYTES = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors unless their Python path has it already."""
+    """Bound the session's Arrow batches, and send this package to the executors unless their Python path has it already."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     root = Path(__file__).resolve().parents[2]
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root in known or getattr(spark.sparkContext, "_corpusforge_sent", False):

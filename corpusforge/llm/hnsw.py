@@ -4,7 +4,8 @@ Method.  Equal vectors of one label are one node with a multiplicity.  A label's
 to shards of about SHARD nodes; each shard builds a layered small-world graph.  Every node of
 the label queries every shard with a beam search, then follows links above the threshold.  Each
 task audits a sample of its queries against brute force and doubles the beam until the recall
-reaches TARGET (a beam as wide as the shard is brute force).  Hits are verified by cosine in
+reaches TARGET (a beam as wide as the shard is brute force).  A link that one end finds within a shard
+holds for both.  Hits are verified by cosine in
 double precision.  A task sends one edge a node (to the root of its own union) and the node's
 number of links, never all pairs; components are united over all tasks.
 
@@ -239,6 +240,14 @@ def search(least: float, target: float):
             if np.isin(who, pick).sum() >= target * true:
                 break
             beam *= 2
+        if len(rep) == len(ids):  # a shard's own nodes ask it: a link found from one end holds for both
+            order = np.argsort(rep)
+            back = order[np.minimum(np.searchsorted(rep, ids[what], sorter=order), len(rep) - 1)]
+            if (rep[back] == ids[what]).all():
+                own = np.argsort(ids)
+                place = own[np.minimum(np.searchsorted(ids, rep, sorter=own), len(ids) - 1)]
+                pairs = np.unique(np.concatenate([who * len(ids) + what, back * len(ids) + place[who]]))
+                who, what = pairs // len(ids), pairs % len(ids)
         other = rep[who] != ids[what]
         who, what = who[other], what[other]
         links = np.bincount(who, own_times[what], len(rep)).astype(np.int64)

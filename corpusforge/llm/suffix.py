@@ -306,10 +306,27 @@ def repeats(docs: DataFrame, folder: str, hot: int = HOT) -> DataFrame:
     return spans.unionByName(sorted_)
 
 
-def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row."""
-    own = spans.groupBy("doc_id").agg(F.collect_list(F.struct("at", "left")).alias("spans"))
-    joined = docs.select("doc_id", "text").join(own, "doc_id", "left").select("doc_id", "text", F.col("spans.at").alias("s"), F.col("spans.left").alias("n"))
+def remove(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row.
+
+    Only texts with spans are shuffled to meet them: a bitmap of bounded size of their ids splits
+    the scan, and the others are answered where they are read.
+    """
+    own = stored(spans.groupBy("doc_id").agg(F.collect_list("at").alias("s"), F.collect_list("left").alias("n")), folder, "spans")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(own.select("doc_id"), "doc_id", mixed=True))
+
+    def marked(b: pa.RecordBatch) -> np.ndarray:
+        return bloom.contains(sent.value, mix(pc.fill_null(column(b, "doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(marked(b)))
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~marked(b)))
+            none = pa.nulls(b.num_rows, pa.list_(pa.int32()))
+            yield from run(iter([pa.RecordBatch.from_arrays([column(b, "doc_id"), column(b, "text"), none, none], ["doc_id", "text", "s", "n"])]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -330,13 +347,16 @@ def remove(docs: DataFrame, spans: DataFrame) -> DataFrame:
                     runs.append(int((mark & ~np.concatenate([[False], mark[:-1]])).sum()))
                 yield pa.RecordBatch.from_arrays([keys.slice(c.rows.start, c.n), pa.array(size), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    out, plain = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", docs.select("doc_id", "text")
+    with_spans = plain.mapInArrow(some, "doc_id long, text string").join(own, "doc_id", "left").select("doc_id", "text", "s", "n").mapInArrow(run, out)
+    return plain.mapInArrow(rest, out).unionByName(with_spans)
 
 
 def deduplicate(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """remove() of every window of WINDOW bytes that also starts elsewhere."""
     ship(docs.sparkSession)
-    return remove(docs, repeats(docs, shared_dir(docs.sparkSession), hot))
+    folder = shared_dir(docs.sparkSession)
+    return remove(docs, repeats(docs, folder, hot), folder)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
