@@ -1,0 +1,301 @@
+"""Text queries: sentences, chunks, pages, questions, labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import chunks as C
+from ..registry import query
+from ..sources import readers as R
+from ..sources.readers import table
+
+_SHORT = "|".join(T.ABBREVIATIONS)
+_PROTECT = rf"regexp_replace(replace(text, chr(13) || chr(10), chr(10)), '(^|[^A-Za-z0-9_])([A-Z]|{_SHORT})\.', '\1\2' || chr(2), 'g')"
+SENTENCES = rf"""sp AS (SELECT doc_id, list_filter(string_split(regexp_replace(regexp_replace({_PROTECT}, '([.!?])\s+([^a-z\s])', '\1' || chr(1) || '\2', 'g'), '\n(#{{1,6}}[ \t])', chr(1) || '\1', 'g'), chr(1)), lambda s: trim(s, ' ' || chr(10) || chr(9)) <> '') AS s FROM documents)"""
+
+
+@query("sentence_split", f"WITH {SENTENCES} SELECT doc_id, CAST(len(s) AS INTEGER) AS n_sentences, CAST(max_len AS INTEGER) AS longest FROM (SELECT doc_id, s, list_max(list_transform(s, lambda x: length(x))) AS max_len FROM sp)")
+def sentence_split(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.split_sentences(F.col("text")).alias("s"))
+    return s.select("doc_id", F.size("s").alias("n_sentences"), F.array_max(F.transform("s", F.length)).alias("longest"))
+
+
+@query("sentence_rows", rf"WITH {SENTENCES} SELECT doc_id, pos - 1 AS pos, replace(x, chr(2), '.') AS sentence FROM (SELECT doc_id, unnest(s) AS x, CAST(generate_subscripts(s, 1) AS INTEGER) AS pos FROM sp)")
+def sentence_rows(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query("chunk_documents")
+def chunk_documents(spark, d):
+    """Fold over sentences with overlap; held against the column-expression form in the tests."""
+    return C.chunks(table(spark, d, "documents"))
+
+
+@query("chunk_fold")
+def chunk_fold(spark, d):
+    """The same chunks by a JVM-side fold."""
+    docs = table(spark, d, "documents").where("length(text) > 800 and length(text) < 4000")
+    return docs.select("doc_id", F.posexplode(C.pack(F.col("text"))).alias("ordinal", "c")).select("doc_id", "ordinal", "c.text", "c.start", "c.stop")
+
+
+@query("chunk_ordinals", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM documents")
+def chunk_ordinals(spark, d):
+    return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"))
+
+
+_RUNS = "r AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role <> 'system' AND coalesce(lag_role <> 'system', false) THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS lag_role FROM conversations))"
+
+
+@query("run_detection", f"WITH {_RUNS} SELECT conv_id, turn, CAST(run AS BIGINT) AS run FROM r")
+def run_detection(spark, d):
+    return C.runs(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") != "system").select("conv_id", "turn", "run")
+
+
+@query(
+    "merge_runs",
+    f"""WITH RECURSIVE {_RUNS}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, run ORDER BY turn) AS n FROM r),
+w AS (SELECT conv_id, run, n, turn, 0 AS part, turn AS first, text AS t FROM o WHERE n = 1
+UNION ALL SELECT o.conv_id, o.run, o.n, o.turn, CASE WHEN length(w.t) + length(o.text) + 1 <= 800 THEN w.part ELSE w.part + 1 END, CASE WHEN length(w.t) + length(o.text) + 1 <= 800 THEN w.first ELSE o.turn END, CASE WHEN length(w.t) + length(o.text) + 1 <= 800 THEN w.t || ' ' || o.text ELSE o.text END FROM w JOIN o ON o.conv_id = w.conv_id AND o.run = w.run AND o.n = w.n + 1)
+SELECT conv_id, CAST(run AS BIGINT) AS run, CAST(part AS INTEGER) AS part, first, max(turn) AS last, arg_max(t, n) AS text FROM w GROUP BY conv_id, run, part, first""",
+)
+def merge_runs(spark, d):
+    r = C.runs(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") != "system")
+    return C.merge_runs(r, "conv_id", "turn", "text")
+
+
+@query("section_carry", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS carried FROM events")
+def section_carry(spark, d):
+    """The last heading so far, carried forward (purchases stand in for headings)."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("event_id")), True).over(w).alias("carried"))
+
+
+@query(
+    "section_of_span",
+    "WITH h AS (SELECT doc_id, list(x ORDER BY x) AS h FROM (SELECT doc_id, unnest([50, 400, 1200]) AS x FROM documents) GROUP BY doc_id) SELECT doc_id, CASE WHEN doc_id % 1500 >= 1200 THEN 's1200' WHEN doc_id % 1500 >= 400 THEN 's400' WHEN doc_id % 1500 >= 50 THEN 's50' WHEN doc_id % 1500 + 100 > 50 THEN 's50' ELSE source END AS section FROM documents",
+)
+def section_of_span(spark, d):
+    heads = F.array(*[F.struct(F.lit(a).alias("at"), F.lit(f"s{a}").alias("title")) for a in (50, 400, 1200)])
+    start = (F.col("doc_id") % 1500).cast("int")
+    return table(spark, d, "documents").select("doc_id", C.section_at(heads, start, start + 100, F.col("source")).alias("section"))
+
+
+_HTML = r"""regexp_replace(html, '<head\b[^>]*>.*?</head>', ' ', 'gis')"""
+for _k in range(1, 7):
+    _HTML = rf"regexp_replace({_HTML}, '<h{_k}\b[^>]*>', chr(10) || chr(10) || '{'#' * _k} ', 'gi')"
+for _p, _r, _o in (
+    (r"</(th|td)>", "' | '", "gi"), (r"\[\s*edit\s*\]", "' '", "gi"),
+    *((rf"<{t}\b[^>]*>.*?</{t}>", "' '", "gis") for t in ("script", "style", "nav", "footer", "header", "aside")),
+    (r"<br\s*/?>", "chr(10)", "gi"), (r"</(p|div|h[1-6]|li|tr)>", "chr(10)", "gi"), (r"<[^>]+>", "' '", "g"),
+    ("&nbsp;", "' '", "gi"), ("&amp;", "'&'", "gi"), ("&lt;", "'<'", "gi"), ("&gt;", "'>'", "gi"), ("&quot;", "'\"'", "gi"), ("&#39;", "''''", "gi"),
+    (r"[ \t]+", "' '", "g"), (r"(?m)^ +| +$", "''", "g"), (r"\n{3,}", "chr(10) || chr(10)", "g"), (r"^\s+|\s+$", "''", "g"),
+):
+    _HTML = f"regexp_replace({_HTML}, '{_p}', {_r}, '{_o}')"
+
+
+@query("html_to_text", f"SELECT page_id, md5({_HTML}) AS text_md5, CAST(length({_HTML}) AS INTEGER) AS n FROM pages")
+def html_to_text(spark, d):
+    t = table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html"), with_title=False).alias("t"))
+    return t.select("page_id", F.md5("t").alias("text_md5"), F.length("t").alias("n"))
+
+
+@query("html_title", r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')) AS title FROM pages")
+def html_title(spark, d):
+    return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
+
+
+@query("html_document")
+def html_document(spark, d):
+    """Title line and body as one text, as an ingested page."""
+    return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(
+    "url_filename",
+    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages), l AS (SELECT page_id, host, regexp_extract(path, '([^/]+)$', 1) AS last FROM p)
+SELECT page_id, CASE WHEN last <> '' AND regexp_matches(last, '\.[A-Za-z0-9]{1,5}$') THEN last WHEN last <> '' THEN last || '.html' ELSE host || '.html' END AS filename FROM l""",
+)
+def url_filename(spark, d):
+    return table(spark, d, "pages").select("page_id", T.url_filename(F.col("url")).alias("filename"))
+
+
+@query("safe_filename", r"SELECT page_id, CASE WHEN trim(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^\p{L}\p{M}\p{N}_.\- ]', '_', 'g')) = '' THEN 'upload' ELSE substr(trim(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^\p{L}\p{M}\p{N}_.\- ]', '_', 'g')), 1, 200) END AS filename FROM pages")
+def safe_filename(spark, d):
+    return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
+
+
+_KW = ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)
+
+
+@query("keyword_query", rf"SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda t: regexp_replace(t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda t: t <> '' AND (regexp_matches(t, '[0-9\-./]') OR regexp_matches(t, '^.+\p{{Lu}}') OR NOT list_contains([{_KW}], lower(t)))), ' ') AS q FROM benchmark")
+def keyword_query(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.keyword_query(F.col("text")).alias("q"))
+
+
+@query("named_locations", r"SELECT conv_id, turn, [turn + 1, 7] AS pages FROM conversations WHERE turn + 1 <> 7 UNION ALL SELECT conv_id, turn, [7] FROM conversations WHERE turn + 1 = 7")
+def named_locations(spark, d):
+    c = table(spark, d, "conversations")
+    ask = F.concat(F.lit("What does Page "), (F.col("turn") + 1).cast("string"), F.lit(" say, and p. 7? pages of history, slide 0"))
+    return c.select("conv_id", "turn", F.transform(T.named_locations(ask), lambda x: x.cast("long")).alias("pages"))
+
+
+@query("evidence_class", r"""WITH c AS (SELECT conv_id, turn, lower(text || ' ' || ['', 'which year was the peak', 'list all the marks', 'the flow chart', 'a photo', 'compare the bar chart and the table'][turn % 6 + 1]) AS q FROM conversations), k AS (SELECT *, 
+regexp_matches(q, '\b(figure|fig\.|image|photo|photograph|picture|illustration|drawing|logo|icon|screenshot|pictured|depict[a-z0-9_]*|looks? like|shown in the|visual)\b') AS v, regexp_matches(q, '\b(diagram|flow ?chart|architecture|pipeline diagram|schematic|arrow|flow)\b') AS g,
+regexp_matches(q, '\b(chart|graph|plot|bar|axis|trend|growth|grow|grew|increase|decrease|decline|market sizes?|forecast|projection|peak)\b|\b(in|by|from|between|since|until|to) (19|20)[0-9][0-9]\b|\b(highest|lowest|largest|smallest|maximum|minimum)\b.*\b(year|value|month|quarter)\b|\bwhich (year|month|quarter)\b') AS c,
+regexp_matches(q, '\b(table|row|column|score|scored|marks?|grade|rank(ed|ing)?|which (student|person|item|product|country|team))\b|\blist (all|every|each)\b') AS t, regexp_matches(q, '\b(compare|comparison|versus|vs\.?|both|consistent with|agree with)\b') AS m FROM c)
+SELECT conv_id, turn, CASE WHEN m AND (v OR g OR c OR t) OR (CAST(v AS INT) + CAST(g AS INT) + CAST(c AS INT) + CAST(t AS INT)) > 1 THEN 'mixed' WHEN c THEN 'chart' WHEN t THEN 'table' WHEN g THEN 'diagram' WHEN v THEN 'visual' ELSE 'text' END AS evidence FROM k""")
+def evidence_class(spark, d):
+    asks = F.array(*[F.lit(x) for x in ("", "which year was the peak", "list all the marks", "the flow chart", "a photo", "compare the bar chart and the table")])
+    q = F.concat_ws(" ", F.col("text"), F.element_at(asks, (F.col("turn") % 6 + 1).cast("int")))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.evidence_class(q).alias("evidence"))
+
+
+@query("region_types", "SELECT kind, CASE kind WHEN 'chart' THEN ['chart', 'table'] WHEN 'table' THEN ['table', 'chart'] WHEN 'diagram' THEN ['diagram', 'photo', 'screenshot'] ELSE CAST([] AS VARCHAR[]) END AS regions FROM (VALUES ('text'), ('chart'), ('table'), ('diagram')) v(kind)")
+def region_types(spark, d):
+    return spark.createDataFrame([(k,) for k in ("text", "chart", "table", "diagram")], "kind string").select("kind", T.region_types(F.col("kind")).alias("regions"))
+
+
+_PICKS = ["Hi there!", "how are you", "Thanks!!", "bye", "who are you?", "help", "ok", "what is on page 3", "asdfgh", "fnj3f3", "", "RRF"]
+
+
+@query("smalltalk_class", "SELECT n, CASE n WHEN 0 THEN 'greeting' WHEN 1 THEN 'how_are_you' WHEN 2 THEN 'thanks' WHEN 3 THEN 'farewell' WHEN 4 THEN 'identity' WHEN 5 THEN 'capability' WHEN 6 THEN 'acknowledgement' WHEN 8 THEN 'unintelligible' WHEN 9 THEN 'unintelligible' END AS kind FROM range(12) r(n)")
+def smalltalk_class(spark, d):
+    return spark.createDataFrame(list(enumerate(_PICKS)), "n long, text string").select("n", T.smalltalk_class(F.col("text")).alias("kind"))
+
+
+@query("smalltalk_routing")
+def smalltalk_routing(spark, d):
+    """Turns that go on to retrieval: those that are no small talk."""
+    return table(spark, d, "conversations").where("role = 'user'").withColumn("kind", T.smalltalk_class(F.col("text"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("title_truncate", "SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 60)) || '…' ELSE text END AS title FROM conversations")
+def title_truncate(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", T.truncated(F.col("text"), 60).alias("title"))
+
+
+@query("clock_labels", "SELECT event_id, CASE WHEN s >= 3600 THEN CAST(s // 3600 AS VARCHAR) || ':' || lpad(CAST(s % 3600 // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') ELSE CAST(s // 60 AS VARCHAR) || ':' || lpad(CAST(s % 60 AS VARCHAR), 2, '0') END AS clock FROM (SELECT event_id, event_id % 9000 AS s FROM events)")
+def clock_labels(spark, d):
+    return table(spark, d, "events").select("event_id", T.clock(F.col("event_id") % 9000).alias("clock"))
+
+
+@query("locator_labels", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'page ' || (doc_id % 9 + 1) WHEN doc_id % 4 = 1 THEN (doc_id % 60) // 60 || ':' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') || '–0:' || lpad(CAST(doc_id % 60 AS VARCHAR), 2, '0') WHEN doc_id % 4 = 2 THEN '§ ' || source ELSE lang END AS label FROM documents")
+def locator_labels(spark, d):
+    """Where a citation points: page, span of time, section, or the host."""
+    k, t = F.col("doc_id") % 4, T.clock(F.col("doc_id") % 60)
+    label = F.when(k == 0, F.concat(F.lit("page "), (F.col("doc_id") % 9 + 1).cast("string"))).when(k == 1, F.concat(t, F.lit("–"), t)).when(k == 2, F.concat(F.lit("§ "), F.col("source"))).otherwise(F.col("lang"))
+    return table(spark, d, "documents").select("doc_id", label.alias("label"))
+
+
+@query("nul_clean", "SELECT doc_id, md5(text) AS h, substr(split_part('failed: ' || source || chr(10) || 'params: 1', chr(10) || 'params:', 1), 1, 500) AS error FROM documents")
+def nul_clean(spark, d):
+    raw = F.concat(F.lit("failed: "), F.col("source"), F.lit("\nparams: 1"))
+    return table(spark, d, "documents").select("doc_id", F.md5(T.clean_nul(F.col("text"))).alias("h"), T.error_text(raw).alias("error"))
+
+
+@query("number_parse", "SELECT n, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 1234.5), (1, 12.0), (2, NULL), (3, NULL), (4, 0.5), (5, -3.0), (6, NULL)) t(n, v)")
+def number_parse(spark, d):
+    cells = ["1,234.5", "12%", "nan", "abc", ".5", " -3 ", ""]
+    return spark.createDataFrame(list(enumerate(cells)), "n int, cell string").select("n", T.number_of(F.col("cell")).alias("v"))
+
+
+@query("embedding_text", "SELECT doc_id, coalesce(nullif(array_to_string(list_filter([trim(substr(text, 1, doc_id % 3 * 20)), CASE WHEN doc_id % 2 = 0 THEN source END], lambda x: x IS NOT NULL AND x <> ''), ' '), ''), source || ' image ' || doc_id) AS t FROM documents")
+def embedding_text(spark, d):
+    text, caption = F.trim(F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 3 * 20).cast("int"))), F.when(F.col("doc_id") % 2 == 0, F.col("source"))
+    joined = F.concat_ws(" ", F.nullif(text, F.lit("")), caption)
+    return table(spark, d, "documents").select("doc_id", F.coalesce(F.nullif(joined, F.lit("")), F.concat(F.col("source"), F.lit(" image "), F.col("doc_id").cast("string"))).alias("t"))
+
+
+@query("mail_text", "SELECT o_orderkey, 'From: c' || o_custkey || chr(10) || 'To: desk' || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'Cc: boss' ELSE '' END || chr(10) || 'Subject: ' || o_orderstatus || chr(10) || chr(10) || 'body ' || o_orderkey AS text FROM orders")
+def mail_text(spark, d):
+    o = table(spark, d, "orders")
+    cc = F.when(F.col("o_orderkey") % 3 == 0, "boss")
+    body = F.concat(F.lit(" body "), F.col("o_orderkey").cast("string"))
+    return o.select("o_orderkey", R.mail_text(F.concat(F.lit("c"), F.col("o_custkey").cast("string")), F.lit("desk"), cc, F.lit(None).cast("string"), F.col("o_orderstatus"), body, F.lit(None).cast("string")).alias("text"))
+
+
+@query("mail_identity", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN '<' || o_orderkey || '@mail>' ELSE 'uid:' || o_orderkey END AS identity, (CASE WHEN o_orderkey % 4 = 0 THEN '<' || o_orderkey || '@mail>' ELSE 'uid:' || o_orderkey END) || '#1' AS attachment FROM orders")
+def mail_identity(spark, d):
+    k = F.col("o_orderkey").cast("string")
+    own = F.coalesce(F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("<"), k, F.lit("@mail>"))), F.concat(F.lit("uid:"), k))
+    return table(spark, d, "orders").select("o_orderkey", own.alias("identity"), F.concat(own, F.lit("#1")).alias("attachment"))
+
+
+@query("mail_errors", "SELECT n, kind FROM (VALUES (0, 'credentials'), (1, 'host'), (2, 'refused'), (3, 'timeout'), (4, 'certificate'), (5, 'other')) t(n, kind)")
+def mail_errors(spark, d):
+    """Ordered rules over error messages; the first that fits names the kind."""
+    said = ["AUTHENTICATIONFAILED Invalid credentials", "getaddrinfo ENOTFOUND imap.x", "connect ECONNREFUSED 1.2.3.4", "Socket timeout ETIMEDOUT", "self signed certificate", "boom"]
+    m = F.lower("msg")
+    kind = F.when(m.rlike("auth|credential|login"), "credentials").when(m.rlike("enotfound|getaddrinfo"), "host").when(m.rlike("econnrefused"), "refused").when(m.rlike("timeout|etimedout"), "timeout").when(m.rlike("certificate|tls|ssl"), "certificate").otherwise("other")
+    return spark.createDataFrame(list(enumerate(said)), "n int, msg string").select("n", kind.alias("kind"))
+
+
+@query("retry_delay", "SELECT n, ms FROM (VALUES (0, 7000), (1, 62500), (2, 450), (3, NULL)) t(n, ms)")
+def retry_delay(spark, d):
+    said = ['{"retryDelay":"7s"}', "Please try again in 1m2.5s.", "try again in 0.45s", "no delay"]
+    return spark.createDataFrame(list(enumerate(said)), "n int, msg string").select("n", T.retry_delay_ms(F.col("msg")).cast("int").alias("ms"))
+
+
+@query("sse_frames", "SELECT conv_id, CAST(count(*) AS INTEGER) AS frames, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
+def sse_frames(spark, d):
+    """A stream of data frames parted by blank lines, scanned back into payloads."""
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(F.concat(F.lit("data: "), F.to_json(F.struct("turn", "text")))), "\n\n").alias("raw"))
+    frames = c.select("conv_id", F.explode(F.split("raw", "\n\n")).alias("f")).where("f <> ''").select("conv_id", F.from_json(F.regexp_replace("f", "^data: ", ""), "turn long, text string").alias("p"))
+    return frames.groupBy("conv_id").agg(F.count("*").cast("int").alias("frames"), F.sum(F.length("p.text")).alias("chars"))
+
+
+@query("search_parse", "SELECT page_id, CAST(least(4, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: x LIKE '/%'))) AS INTEGER) AS n_links FROM pages")
+def search_parse(spark, d):
+    """Result links of a page: the first four."""
+    links = F.filter(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1)), lambda x: x.startswith("/"))
+    return table(spark, d, "pages").select("page_id", F.size(F.slice(links, 1, 4)).alias("n_links"))
+
+
+@query("percent_format", "SELECT label, printf('%.1f%%', 100.0 * n / t) AS share FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t FROM embeddings GROUP BY label)")
+def percent_format(spark, d):
+    e = table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+    return e.select("label", F.format_string("%.1f%%", 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"))
+
+
+@query("focus_window")
+def focus_window(spark, d):
+    """The part of each labelled document that a passage's terms point at."""
+    docs = table(spark, d, "documents").where("length(text) between 900 and 3000")
+    b = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.bm25_terms(F.col("text"))).alias("terms"))
+    pairs = docs.join(b, F.col("doc_id") % 40 == F.col("item_id"))
+    return pairs.select("doc_id", "item_id", T.focus_window(F.col("text"), F.col("terms")).alias("focus"))
+
+
+@query("mime_routing", "SELECT n, extractor, modality FROM (VALUES (0, 'pdf', 'pdf'), (1, 'image', 'image'), (2, 'audio', 'audio'), (3, 'video', 'video'), (4, 'table', 'text'), (5, 'docx', 'text'), (6, 'text', 'text'), (7, 'unresolved', NULL)) t(n, extractor, modality)")
+def mime_routing(spark, d):
+    m = ["application/pdf", "image/png", "audio/mpeg", "video/mp4", "text/csv", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/json", "application/x-foo"]
+    return spark.createDataFrame(list(enumerate(m)), "n int, mime string").select("n", R.extractor_of(F.col("mime")).alias("extractor"), R.modality_of(F.col("mime")).alias("modality"))
+
+
+@query("keyframes", "SELECT id, start, least(start + 30, duration) AS \"end\" FROM (SELECT event_id AS id, CAST(event_id % 200 + 0.5 AS DOUBLE) AS duration, unnest(range(0, 241, 30)) AS start FROM events) WHERE start < duration")
+def keyframes(spark, d):
+    m = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 200 + F.lit(0.5)).cast("double").alias("duration"))
+    return R.keyframes(m).select("id", F.col("start").cast("long").alias("start"), "end")
+
+
+@query("audio_pieces", "SELECT id, CAST(off // 1200 AS INTEGER) AS piece, CAST(off AS BIGINT) AS \"offset\", least(1200, duration - off) AS length FROM (SELECT event_id AS id, CAST(event_id % 5000 + 0.5 AS DOUBLE) AS duration, unnest(range(0, 6001, 1200)) AS off FROM events) WHERE off < duration")
+def audio_pieces(spark, d):
+    m = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 5000 + F.lit(0.5)).cast("double").alias("duration"))
+    return R.audio_pieces(m).select("id", "piece", F.col("offset").cast("long").alias("offset"), "length")
+
+
+@query("empty_reason", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'No text was found in this image.' WHEN 1 THEN 'No speech was found in this audio.' WHEN 2 THEN 'The pages hold no text.' ELSE 'The file is empty.' END AS reason FROM documents")
+def empty_reason(spark, d):
+    m = F.element_at(F.array(*[F.lit(x) for x in ("image", "audio", "pdf", "text")]), (F.col("doc_id") % 4 + 1).cast("int"))
+    reason = F.when(m == "image", "No text was found in this image.").when(m.isin("audio", "video"), F.concat(F.lit("No speech was found in this "), m, F.lit("."))).when(m == "pdf", "The pages hold no text.").otherwise("The file is empty.")
+    return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
+
+
+@query("json_repair", "SELECT n, a, b FROM (VALUES (0, 1, 'x'), (1, 2, 'y'), (2, NULL, NULL)) t(n, a, b)")
+def json_repair(spark, d):
+    """Model output as JSON: code fences off, doubled colons and trailing commas mended, else null."""
+    raw = ['```json\n{"a": 1, "b": "x",}\n```', '{"a":: 2, "b": "y"}', "sorry"]
+    fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"^\s*```[a-z]*\s*|\s*```\s*$", ""), "::", ":"), r",(\s*[}\]])", "$1")
+    return spark.createDataFrame(list(enumerate(raw)), "n int, raw string").select("n", F.from_json(fixed, "a int, b string").alias("j")).select("n", "j.a", "j.b")

@@ -7,11 +7,14 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 DATASET_SCHEMA = "id string, question string, relevantDocuments array<string>, relevantPages array<int>, expectAnswerContains array<string>, unanswerable boolean, modality string, note string"
 MODALITIES = ("text", "pdf", "image", "audio", "video")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
