@@ -31,7 +31,7 @@ from .common import Chunk, chunks_of, column, ints, ranges, read, ship
 START, LETTER, NUMBER, OTHER, WHITE, BLANK, QUOTE, SHORT, PEND_E, PEND_L = range(10)
 # Code point classes.
 C_LETTER, C_STMD, C_RV, C_L, C_E, C_NUMBER, C_OTHER, C_QUOTE, C_BLANK, C_WHITE, C_RESET = range(11)
-CACHE_SLICES = 400_000
+CACHE_SLICES = 200_000
 MATRIX_BYTES = 128  # longer slices are merged with a heap
 
 
@@ -140,7 +140,7 @@ class Codec:
         self.byte_id = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         pairs = [(ranks[t[:j]] * self.size + ranks[t[j:]], i) for t, i in ranks.items() for j in range(1, len(t)) if t[:j] in ranks and t[j:] in ranks]
         keys, values = np.array([x for x, _ in pairs], np.int64), np.array([x for _, x in pairs], np.int32)
-        self.bits = 21
+        self.bits = 20
         self.slot_key = np.full(1 << self.bits, -1, np.int64)
         self.slot_rank = np.full(1 << self.bits, 1 << 30, np.int32)
         self.probes = 0
@@ -158,8 +158,8 @@ class Codec:
     def forget(self) -> None:
         self.seen: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 20, np.int32)
-        self.first = np.zeros(1 << 19, np.int64)
-        self.count = np.zeros(1 << 19, np.int64)
+        self.first = np.zeros(1 << 18, np.int64)
+        self.count = np.zeros(1 << 18, np.int64)
         self.used = 0
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
@@ -325,7 +325,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         own = codec(SparkFiles.get(name))
         for b in batches:
             keys = ints(b, "doc_id")
-            for c in chunks_of(column(b, "text"), 2 << 20):
+            for c in chunks_of(column(b, "text")):
                 ids, n = own.encode(c)
                 at = np.concatenate([[0], np.cumsum(n)])
                 csv, plain = [], []

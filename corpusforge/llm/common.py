@@ -7,6 +7,7 @@ no word or window crosses two of them unless the caller asks for it.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -21,7 +22,21 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-CHUNK_BYTES = 2 << 20
+
+
+def _thrifty() -> None:
+    """Give freed memory back to the system: an executor's Python workers live long, and share its memory with a JVM."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB are mapped, and unmapped when freed
+        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        return
+    pa.set_memory_pool(pa.system_memory_pool())
+
+
+_thrifty()
+CHUNK_BYTES = 1 << 20
 #: Odd multiplier of the byte polynomial and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)

@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = column(b, "doc_id")
-            for c in chunks_of(column(b, "text"), 2 << 20):
+            for c in chunks_of(column(b, "text")):
                 sets, n = shingle_sets(c, words)
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(sets ^ U64(k)))]) for k in (0x1234567, 0x89ABCDEF)]
@@ -145,11 +145,11 @@ def confirm(pairs: DataFrame, own: DataFrame, words: int, percent: int) -> DataF
             u, v, tu, tv = (column(b, x) for x in ("u", "v", "tu", "tv"))
             done = np.concatenate([[0], np.cumsum(pc.add(pc.binary_length(tu), pc.binary_length(tv)).to_numpy(zero_copy_only=False).astype(np.int64))])
             lo = 0
-            while lo < b.num_rows:  # about 4 MB of text, or one pair
-                to = max(lo + 1, int(np.searchsorted(done, done[lo] + (4 << 20), "right")) - 1)
+            while lo < b.num_rows:  # about 2 MB of text, or one pair
+                to = max(lo + 1, int(np.searchsorted(done, done[lo] + (2 << 20), "right")) - 1)
                 both = pa.concat_arrays([tu.slice(lo, to - lo), tv.slice(lo, to - lo)])
                 parts = []
-                for c in chunks_of(both, 4 << 20):
+                for c in chunks_of(both):
                     sets, n = shingle_sets(c, words)
                     parts += np.split(sets, np.cumsum(n)[:-1])
                 good = []
