@@ -1,0 +1,92 @@
+"""Geometry queries: maps of embeddings, boxes, addresses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import vectors as V
+from ..operators import geometry as G
+from ..registry import query
+from ..sources.readers import table
+
+
+@query("pca3_map")
+def pca3_map(spark, d):
+    return G.pca(table(spark, d, "embeddings"))[0]
+
+
+@query("pca3_variance", None)
+def pca3_variance(spark, d):
+    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(G.pca(table(spark, d, "embeddings"))[1])], "component int, share double")
+
+
+@query("robust_spread", "SELECT label, greatest(list_sort(list(m))[least(count(*) - 1, CAST(floor(count(*) * 0.9) AS BIGINT)) + 1], 0.05) AS spread FROM (SELECT label, round(abs(CAST(embedding[1] AS DOUBLE)), 6) AS m FROM embeddings) GROUP BY label")
+def robust_spread(spark, d):
+    m = table(spark, d, "embeddings").select("label", F.round(F.abs(F.col("embedding")[0].cast("double")), 6).alias("m"))
+    return G.robust_spread(m, ["label"])
+
+
+@query("unit_vectors", "SELECT vec_id, round(sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 6) AS norm, 1.0::DOUBLE AS unit_norm FROM embeddings")
+def unit_vectors(spark, d):
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.norm(V.unit(F.col("embedding"))), 6).alias("unit_norm"))
+
+
+@query("sigmoid_clamp", "SELECT event_id, round(1 / (1 + exp(-value / 100)), 6) AS s, greatest(0.0, least(1.0, value / 100)) AS c FROM events")
+def sigmoid_clamp(spark, d):
+    v = F.col("value") / 100
+    return table(spark, d, "events").select("event_id", F.round(V.sigmoid(v), 6).alias("s"), V.clamp01(v).alias("c"))
+
+
+def boxes(spark, d):
+    e = table(spark, d, "part")
+    x, y = (F.col("p_partkey") % 7 / 10).cast("double"), (F.col("p_partkey") % 11 / 20).cast("double")
+    return e.select("p_partkey", "p_brand", x.alias("x0"), y.alias("y0"), (x + F.col("p_size") / 100).alias("x1"), (y + 0.2).alias("y1"))
+
+
+_BOX = "bx AS (SELECT p_partkey, p_brand, p_partkey % 7 / 10 AS x0, p_partkey % 11 / 20 AS y0, p_partkey % 7 / 10 + p_size / 100 AS x1, p_partkey % 11 / 20 + 0.2::DOUBLE AS y1 FROM part)"
+
+
+@query("bbox_union", f"WITH {_BOX} SELECT p_brand, round(min(x0), 4) AS x0, round(min(y0), 4) AS y0, round(max(x1), 4) AS x1, round(max(y1), 4) AS y1 FROM bx GROUP BY p_brand")
+def bbox_union(spark, d):
+    return G.union(boxes(spark, d), ["p_brand"])
+
+
+@query("iou_neighbours", f"WITH {_BOX}, p AS (SELECT a.p_partkey, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM bx a JOIN bx b ON b.p_partkey = a.p_partkey + 7) SELECT p_partkey, round(i / (s - i), 6) AS iou FROM p")
+def iou_neighbours(spark, d):
+    b = boxes(spark, d).select("p_partkey", F.struct("x0", "y0", "x1", "y1").alias("box"))
+    other = b.select((F.col("p_partkey") - 7).alias("p_partkey"), F.col("box").alias("other"))
+    return b.join(other, "p_partkey").select("p_partkey", F.round(G.iou(F.col("box"), F.col("other")), 6).alias("iou"))
+
+
+@query("ip_blocked", "SELECT n, blocked FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, true), (5, false), (6, true), (7, true), (8, false), (9, true)) t(n, blocked)")
+def ip_blocked(spark, d):
+    a = ["10.1.2.3", "127.0.0.1", "8.8.8.8", "172.31.0.9", "999.1.1.1", "172.32.0.1", "::1", "fe80::1", "2606:4700::1111", "nonsense"]
+    return spark.createDataFrame(list(enumerate(a)), "n int, a string").select("n", G.blocked_address(F.col("a")).alias("blocked"))
+
+
+def page_lines(spark, d):
+    rows = [(1, "Student", 0.1, 0.1, 0.2, 0.13), (1, "Score", 0.5, 0.1, 0.6, 0.13), (1, "Aanya", 0.1, 0.2, 0.2, 0.23), (1, "91", 0.5, 0.2, 0.55, 0.23), (1, "Rahul", 0.1, 0.3, 0.2, 0.33), (1, "52", 0.5, 0.301, 0.55, 0.33), (2, "left one", 0.05, 0.1, 0.4, 0.12), (2, "right one", 0.55, 0.1, 0.9, 0.12), (2, "left two", 0.05, 0.13, 0.4, 0.15), (2, "right two", 0.55, 0.13, 0.9, 0.15)]
+    return spark.createDataFrame(rows, "page int, text string, x0 double, y0 double, x1 double, y1 double")
+
+
+@query("layout_rows", "SELECT * FROM (VALUES (1, 'Student', 0), (1, 'Score', 0), (1, 'Aanya', 1), (1, '91', 1), (1, 'Rahul', 2), (1, '52', 2), (2, 'left one', 0), (2, 'right one', 0), (2, 'left two', 1), (2, 'right two', 1)) t(page, text, row)")
+def layout_rows(spark, d):
+    return G.rows_of(page_lines(spark, d), ["page"]).select("page", "text", "row")
+
+
+@query("layout_order", "SELECT * FROM (VALUES (2, 'left one', 0), (2, 'left two', 1), (2, 'right one', 2), (2, 'right two', 3)) t(page, text, place)")
+def layout_order(spark, d):
+    """Two columns are read one after the other."""
+    return G.reading_order(page_lines(spark, d).where("page = 2"), ["page"]).select("page", "text", "place")
+
+
+@query("layout_table", "SELECT * FROM (VALUES (0, 0, 'Student'), (0, 1, 'Score'), (1, 0, 'Aanya'), (1, 1, '91'), (2, 0, 'Rahul'), (2, 1, '52')) t(row, \"column\", text)")
+def layout_table(spark, d):
+    return G.table_of(page_lines(spark, d).where("page = 1"), ["page"]).select("row", F.col("column").cast("int").alias("column"), "text")
+
+
+@query("layout_gap", "SELECT 2 AS page, 0.4::DOUBLE AS start, 0.15::DOUBLE AS width")
+def layout_gap(spark, d):
+    g = G.largest_gap(page_lines(spark, d).where("page = 2").select("page", F.col("x0").alias("a"), F.col("x1").alias("z")), ["page"])
+    return g.select("page", "start", F.round("width", 6).alias("width"))

@@ -1,0 +1,73 @@
+"""Streaming queries: each runs over the files that there are and returns its end state."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..registry import query
+from ..sources.readers import table
+from ..streaming import jobs as J
+
+
+def events(spark, d):
+    """The events table as a stream of files."""
+    path = f"{d}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parquet*")
+
+
+def _name(base: str) -> str:
+    return f"{base}_{uuid.uuid4().hex[:8]}"
+
+
+@query("stream_latest_status", "SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
+def stream_latest_status(spark, d):
+    return J.run_once(spark, J.latest_status(events(spark, d)), _name("status"), "complete")
+
+
+@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedupe(spark, d):
+    return J.run_once(spark, J.once(events(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"), _name("once"))
+
+
+@query("stream_mailbox", "SELECT n AS uid, 'uid:' || n AS identity FROM range(1, 451) r(n)")
+def stream_mailbox(spark, d):
+    """450 messages above the cursor, 200 at a time."""
+    table(spark, d, "region")
+    J.register(spark)
+    box = spark.readStream.format("mailbox").option("messages", "450").option("batch", "200").load()
+    q = box.select("uid", "identity").writeStream.format("memory").queryName(name := _name("mail")).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return spark.table(name)
+
+
+@query(
+    "stream_breaker",
+    """WITH RECURSIVE c AS (SELECT user_id AS key, CAST(event_id AS DOUBLE) AS t, event_id % 7 = 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 30),
+w AS (SELECT key, t, failed, n, true AS allowed, CASE WHEN failed THEN t + 500 ELSE -1e18 END AS until FROM c WHERE n = 1
+UNION ALL SELECT c.key, c.t, c.failed, c.n, c.t >= w.until, CASE WHEN c.t >= w.until AND c.failed THEN c.t + 500 ELSE w.until END FROM w JOIN c ON c.key = w.key AND c.n = w.n + 1)
+SELECT key, t AS "at", failed, allowed FROM w""",
+)
+def stream_breaker(spark, d):
+    table(spark, d, "region")
+    calls = events(spark, d).where("user_id < 30").select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"), (F.col("event_id") % 7 == 0).alias("failed"))
+    return J.run_once(spark, J.breaker(calls, 500.0), _name("breaker"))
+
+
+@query("stream_token_bucket")
+def stream_token_bucket(spark, d):
+    table(spark, d, "region")
+    calls = events(spark, d).where("user_id < 30").select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"))
+    return J.run_once(spark, J.token_bucket(calls, 0.01), _name("bucket"))
+
+
+@query("mail_attachments", "SELECT 'm' || o_orderkey || '#1' AS external_id, 'a' AS name FROM orders WHERE o_orderkey % 50 = 1 UNION ALL SELECT 'm' || o_orderkey || '#3', 'attachment-3' FROM orders WHERE o_orderkey % 50 = 1")
+def mail_attachments(spark, d):
+    """Attachments of mails; the second is too large, the third has no name."""
+    o = table(spark, d, "orders").where("o_orderkey % 50 = 1")
+    a = F.array(*[F.struct(F.lit(n).cast("string").alias("name"), F.lit(s).alias("size")) for n, s in (("a", 10), ("b", 10_000), (None, 20))])
+    return J.attachments(o.select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("identity"), a.alias("attachments")), 1000)
