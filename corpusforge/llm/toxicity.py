@@ -29,6 +29,7 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 MINED = 1024  # stems kept, by weight of evidence
 KEPT = 4096  # features of the classifier
+SURPRISE = 3.5  # standard errors by which a feature must stand out
 GOLD = 5.0  # log odds of a label as a voter
 SPARSE = 250  # an entry votes if it is at least one word in so many
 #: Insults that start the lexicon (English, German, French, Spanish).
@@ -93,6 +94,12 @@ def count(texts: list[str]) -> Counts:
     return Counts(d, f, n, np.concatenate(words), np.concatenate(bangs), base)
 
 
+def surprise(hits: np.ndarray, of: np.ndarray, share: float) -> np.ndarray:
+    """Standard errors by which `hits` of `of` documents exceed the share that chance would give."""
+    share = min(max(share, 1e-3), 1 - 1e-3)
+    return (hits - of * share) / np.sqrt(np.maximum(of, 1) * share * (1 - share))
+
+
 def mine(x: Counts, y: np.ndarray) -> np.ndarray:
     """Features that stand for the toxic class in the labelled rows: dense in several toxic documents and in few clean ones."""
     if not len(y) or y.min() == y.max():
@@ -101,10 +108,9 @@ def mine(x: Counts, y: np.ndarray) -> np.ndarray:
     feats, at = np.unique(x.feature[thick], return_inverse=True)
     toxic = np.bincount(at, y[x.doc[thick]] == 1, len(feats))
     clean = np.bincount(at, y[x.doc[thick]] == 0, len(feats))
-    weight = np.log((toxic + 0.2) / (y.sum() + 1)) - np.log((clean + 0.2) / ((1 - y).sum() + 1))
-    enough = 2 if y.sum() < 200 else 4
-    pick = np.flatnonzero((toxic >= enough) & (weight > 2.5) & (clean <= 0.35 * toxic))
-    pick = pick[np.argsort(-(toxic[pick] * weight[pick]), kind="stable")][:MINED]
+    strong = surprise(toxic, toxic + clean, y.mean())
+    pick = np.flatnonzero((toxic >= 2) & (strong >= SURPRISE) & (clean <= 0.35 * toxic))
+    pick = pick[np.argsort(-strong[pick], kind="stable")][:MINED]
     return feats[pick]
 
 
@@ -155,53 +161,89 @@ def label_model(table: np.ndarray, prior: float, gold: np.ndarray, rounds: int =
     return q
 
 
-def train(own: Sample, rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float]:
-    """Sorted feature hashes, their weights, bias."""
-    x, y = count(own.texts), np.array(own.labels, np.int64)
+def fit_once(x: Counts, y: np.ndarray, toxic_share: float, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted feature hashes, their weights, bias: mining, label model, logistic regression."""
     mined = mine(x, y)
     entries = np.unique(np.concatenate([np.array([word_feature(w) for w in LEXICON], U64), mined]))
     if not x.docs:
         return entries, np.full(len(entries), 4.0), -3.0
-    q = label_model(votes(x, entries), own.share if len(y) else 0.1, y)
+    q = label_model(votes(x, entries), toxic_share if len(y) else 0.1, y)
     thick = x.n * SPARSE >= x.words[x.doc]
     feats, at = np.unique(x.feature[thick], return_inverse=True)
     seen = np.bincount(at, minlength=len(feats))
     mass = np.bincount(at, q[x.doc[thick]], len(feats))
-    lift = np.abs(np.log((mass + 0.2) / (q.sum() + 1)) - np.log((seen - mass + 0.2) / ((1 - q).sum() + 1)))
-    strong = np.flatnonzero((seen >= 2) & (lift > 1.5))
-    strong = strong[np.argsort(-(lift[strong] * np.sqrt(seen[strong])), kind="stable")][:KEPT]
+    far = surprise(mass, seen, q.mean())
+    strong = np.flatnonzero((seen >= 3) & (far >= SURPRISE))
+    strong = strong[np.argsort(-far[strong], kind="stable")][:KEPT]
     keep = np.unique(np.concatenate([feats[strong], entries]))
     j = np.minimum(np.searchsorted(keep, x.feature), len(keep) - 1)
     ok = keep[j] == x.feature
     d, j = x.doc[ok], j[ok]
     v = strength(x.n[ok], x.words[d])
-    w, b = np.zeros(len(keep)), float(np.log(max(own.share, 0.02) / max(1 - own.share, 0.02)))
+    w, b = np.zeros(len(keep)), float(np.log(max(toxic_share, 0.02) / max(1 - toxic_share, 0.02)))
     w[np.isin(keep, entries)] = 1.0
     g2, gb2 = np.full(len(keep), 1e-4), 1e-4
-    weight = np.where(q > 0.5, max(own.share, 0.02) / max(1e-9, (q > 0.5).mean()), (1 - own.share) / max(1e-9, (q <= 0.5).mean()))
+    weight = np.where(q > 0.5, max(toxic_share, 0.02) / max(1e-9, (q > 0.5).mean()), (1 - toxic_share) / max(1e-9, (q <= 0.5).mean()))
     for _ in range(rounds):  # AdaGrad on all rows, log loss against posterior labels
         z = np.bincount(d, w[j] * v, x.docs) + b
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         r = (p - q) * weight / x.docs
         g = np.bincount(j, r[d] * v, len(keep)) + 1e-5 * w
         g2 += g * g
-        w -= 0.2 * g / np.sqrt(g2)
+        w = np.maximum(w - 0.4 * g / np.sqrt(g2), 0)  # evidence only ever adds up
         gb2 += r.sum() ** 2
-        b -= 0.2 * r.sum() / np.sqrt(gb2)
-    live = np.abs(w) > 0.02
-    if len(y) and 0 < y.sum() < len(y):
-        b += calibration(np.bincount(d, w[j] * v, x.docs) + b, y)
+        b -= 0.4 * r.sum() / np.sqrt(gb2)
+    live = w > 0.02
     return keep[live], w[live], float(b)
 
 
+def part(x: Counts, rows: np.ndarray) -> Counts:
+    """The counts of some documents, renumbered."""
+    new = np.full(x.docs, -1, np.int64)
+    new[rows] = np.arange(len(rows))
+    ok = new[x.doc] >= 0
+    return Counts(new[x.doc[ok]], x.feature[ok], x.n[ok], x.words[rows], x.bangs[rows], len(rows))
+
+
+def distinct(x: Counts) -> np.ndarray:
+    """The first of each set of (near) copies: documents whose three least feature hashes agree."""
+    first = np.searchsorted(x.doc, np.arange(x.docs))
+    last = np.searchsorted(x.doc, np.arange(x.docs), "right")
+    key = np.stack([np.where(first + k < last, x.feature[np.minimum(first + k, max(len(x.feature) - 1, 0))], U64(0)) for k in range(3)], 1) if len(x.feature) else np.zeros((x.docs, 3), U64)
+    return np.sort(np.unique(key, axis=0, return_index=True)[1]) if x.docs else np.zeros(0, np.int64)
+
+
+def logits(x: Counts, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
+    keep, w, b = model
+    j = np.minimum(np.searchsorted(keep, x.feature), len(keep) - 1)
+    ok = keep[j] == x.feature
+    return np.bincount(x.doc[ok], w[j[ok]] * strength(x.n[ok], x.words[x.doc[ok]]), x.docs) + b
+
+
+def train(own: Sample, folds: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """fit_once() on all rows; its bias is set on scores that each row gets from a model fitted without it."""
+    x, y = count(own.texts), np.array(own.labels, np.int64)
+    rows = distinct(x)  # copies would make any of their words look like evidence
+    x, y = part(x, rows), y[rows]
+    keep, w, b = fit_once(x, y, own.share)
+    if len(y) and min(y.sum(), (1 - y).sum()) >= 2 * folds:
+        fold, z = np.random.default_rng(7).permutation(len(y)) % folds, np.zeros(len(y))
+        for k in range(folds):
+            z[fold == k] = logits(part(x, np.flatnonzero(fold == k)), fit_once(part(x, np.flatnonzero(fold != k)), y[fold != k], own.share))
+        b += calibration(z, y)
+    return keep, w, float(b)
+
+
 def calibration(z: np.ndarray, y: np.ndarray) -> float:
-    """Shift of the bias that puts THRESHOLD between the classes of the training rows: at the best of recall less false alarms, low in a gap."""
+    """Shift of the bias that puts THRESHOLD where recall less false alarms is best: near the lower end of the scores that are about as good."""
     cuts = np.unique(z)
     pos, neg = np.sort(z[y == 1]), np.sort(z[y == 0])
-    gain = (1 - np.searchsorted(pos, cuts) / len(pos)) - 6 * (1 - np.searchsorted(neg, cuts) / len(neg))
+    gain = (1 - np.searchsorted(pos, cuts) / len(pos)) - 8 * (1 - np.searchsorted(neg, cuts) / len(neg))
     best = int(np.argmax(gain))
     low = cuts[best - 1] if best else cuts[best] - 1
-    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (low + 0.4 * (cuts[best] - low)))
+    near = cuts[gain >= gain[best] - 0.004]
+    lo, hi = min(low, near.min()), max(cuts[best], near.max())
+    return float(np.log(THRESHOLD / (1 - THRESHOLD)) - (lo + 0.2 * (hi - lo)))
 
 
 def scores_of(c: Chunk, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray:
@@ -210,7 +252,8 @@ def scores_of(c: Chunk, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarr
     j = np.minimum(np.searchsorted(keep, f), len(keep) - 1)
     hit = keep[j] == f
     pair, n = np.unique(d[hit] * len(keep) + j[hit], return_counts=True)
-    z = np.bincount(pair // len(keep), w[pair % len(keep)] * strength(n, n_words[pair // len(keep)]), c.n) + bias
+    at, who = pair % len(keep), pair // len(keep)
+    z = np.bincount(who, w[at] * strength(n, n_words[who]), c.n) + bias
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
