@@ -95,10 +95,10 @@ def run_compare(spark, d):
     return long.groupBy("metric").pivot("mode", ["agentic", "naive"]).agg(F.first("v"))
 
 
-@query("run_counterpart", "SELECT a.event_id, b.event_id AS other FROM (SELECT *, row_number() OVER () AS z FROM events WHERE user_id < 20) a JOIN LATERAL (SELECT event_id FROM events e WHERE e.user_id = a.user_id AND e.event_type <> a.event_type ORDER BY ts DESC, event_id LIMIT 1) b ON true")
+@query("run_counterpart", "WITH l AS (SELECT user_id, event_type, arg_max(event_id, (ts, -event_id)) AS other, max(ts) AS ts FROM events GROUP BY user_id, event_type) SELECT e.event_id, arg_max(l.other, (l.ts, -l.other)) AS other FROM events e JOIN l ON l.user_id = e.user_id AND l.event_type <> e.event_type GROUP BY e.event_id")
 def run_counterpart(spark, d):
     """Each run's latest counterpart: same data set, another mode (user and event type stand in)."""
-    e = table(spark, d, "events").where("user_id < 20")
+    e = table(spark, d, "events")
     w = Window.partitionBy("user_id", "event_type").orderBy(F.desc("ts"), "event_id")
     latest = e.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", F.col("event_type").alias("other_type"), F.col("event_id").alias("other"), F.col("ts").alias("other_ts"))
     pairs = e.join(latest, (e.user_id == latest.user_id) & (e.event_type != latest.other_type)).drop(latest.user_id)

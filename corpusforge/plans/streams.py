@@ -47,27 +47,27 @@ def stream_mailbox(spark, d):
 
 @query(
     "stream_breaker",
-    """WITH RECURSIVE c AS (SELECT user_id AS key, CAST(event_id AS DOUBLE) AS t, event_id % 7 = 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id < 30),
+    """WITH RECURSIVE c AS (SELECT user_id AS key, CAST(event_id AS DOUBLE) AS t, event_id % 7 = 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
 w AS (SELECT key, t, failed, n, true AS allowed, CASE WHEN failed THEN t + 500 ELSE -1e18 END AS until FROM c WHERE n = 1
 UNION ALL SELECT c.key, c.t, c.failed, c.n, c.t >= w.until, CASE WHEN c.t >= w.until AND c.failed THEN c.t + 500 ELSE w.until END FROM w JOIN c ON c.key = w.key AND c.n = w.n + 1)
 SELECT key, t AS "at", failed, allowed FROM w""",
 )
 def stream_breaker(spark, d):
     table(spark, d, "region")
-    calls = events(spark, d).where("user_id < 30").select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"), (F.col("event_id") % 7 == 0).alias("failed"))
+    calls = events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"), (F.col("event_id") % 7 == 0).alias("failed"))
     return J.run_once(spark, J.breaker(calls, 500.0), _name("breaker"))
 
 
 @query("stream_token_bucket")
 def stream_token_bucket(spark, d):
     table(spark, d, "region")
-    calls = events(spark, d).where("user_id < 30").select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"))
+    calls = events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"))
     return J.run_once(spark, J.token_bucket(calls, 0.01), _name("bucket"))
 
 
-@query("mail_attachments", "SELECT 'm' || o_orderkey || '#1' AS external_id, 'a' AS name FROM orders WHERE o_orderkey % 50 = 1 UNION ALL SELECT 'm' || o_orderkey || '#3', 'attachment-3' FROM orders WHERE o_orderkey % 50 = 1")
+@query("mail_attachments", "SELECT 'm' || o_orderkey || '#1' AS external_id, 'a' AS name FROM orders UNION ALL SELECT 'm' || o_orderkey || '#3', 'attachment-3' FROM orders")
 def mail_attachments(spark, d):
     """Attachments of mails; the second is too large, the third has no name."""
-    o = table(spark, d, "orders").where("o_orderkey % 50 = 1")
+    o = table(spark, d, "orders")
     a = F.array(*[F.struct(F.lit(n).cast("string").alias("name"), F.lit(s).alias("size")) for n, s in (("a", 10), ("b", 10_000), (None, 20))])
     return J.attachments(o.select(F.concat(F.lit("m"), F.col("o_orderkey").cast("string")).alias("identity"), a.alias("attachments")), 1000)

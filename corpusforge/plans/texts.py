@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as C
+from ..operators.search import sparse_topk
 from ..registry import query
 from ..sources import readers as R
 from ..sources.readers import table
@@ -36,7 +37,7 @@ def chunk_documents(spark, d):
 @query("chunk_fold")
 def chunk_fold(spark, d):
     """The same chunks by a JVM-side fold."""
-    docs = table(spark, d, "documents").where("length(text) > 800 and length(text) < 4000")
+    docs = table(spark, d, "documents").where("length(text) > 800")
     return docs.select("doc_id", F.posexplode(C.pack(F.col("text"))).alias("ordinal", "c")).select("doc_id", "ordinal", "c.text", "c.start", "c.stop")
 
 
@@ -261,11 +262,11 @@ def percent_format(spark, d):
 
 @query("focus_window")
 def focus_window(spark, d):
-    """The part of each labelled document that a passage's terms point at."""
-    docs = table(spark, d, "documents").where("length(text) between 900 and 3000")
-    b = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.bm25_terms(F.col("text"))).alias("terms"))
-    pairs = docs.join(b, F.col("doc_id") % 40 == F.col("item_id"))
-    return pairs.select("doc_id", "item_id", T.focus_window(F.col("text"), F.col("terms")).alias("focus"))
+    """The part of each passage's best documents that its terms point at."""
+    docs, b = table(spark, d, "documents"), table(spark, d, "benchmark")
+    top = sparse_topk(docs, b, 3).select("item_id", "doc_id")
+    terms = b.select("item_id", F.array_distinct(T.bm25_terms(F.col("text"))).alias("terms"))
+    return docs.select("doc_id", "text").join(F.broadcast(top), "doc_id").join(terms, "item_id").select("doc_id", "item_id", T.focus_window(F.col("text"), F.col("terms")).alias("focus"))
 
 
 @query("mime_routing", "SELECT n, extractor, modality FROM (VALUES (0, 'pdf', 'pdf'), (1, 'image', 'image'), (2, 'audio', 'audio'), (3, 'video', 'video'), (4, 'table', 'text'), (5, 'docx', 'text'), (6, 'text', 'text'), (7, 'unresolved', NULL)) t(n, extractor, modality)")

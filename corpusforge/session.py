@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -28,3 +28,10 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f.relative_to(ROOT))
     spark.sparkContext.addPyFile(str(target))
     spark.sparkContext._corpusforge_sent = True
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once: checkpointed in the cluster's shared folder, or persisted where the session names none."""
+    spark = df.sparkSession
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
+    return df.checkpoint() if named else df.persist()
