@@ -10,12 +10,17 @@ from pyspark.sql import functions as F
 from ..session import ship
 
 DATASET_SCHEMA = "id string, question string, relevantDocuments array<string>, relevantPages array<int>, expectAnswerContains array<string>, unanswerable boolean, modality string, note string"
+#: Tables with long texts.
+TEXTS = ("documents", "pages")
 MODALITIES = ("text", "pdf", "image", "audio", "video")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table.  One of few splits is dealt to all cores where its rows are costly to work on."""
     ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
 
 
 def modality_of(mime: Column) -> Column:
