@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import U64, ints, mix
+from .common import U64, column, mix
 
 MAX_BITS = 28  # 32 MB
 
@@ -31,7 +31,8 @@ def build(hashes: DataFrame, name: str = "h", mixed: bool = False) -> np.ndarray
         own, any_ = np.zeros(1 << bits >> 3, np.uint8), False
         for b in batches:
             any_ |= b.num_rows > 0
-            for at in _bits(mix(ints(b, name).view(np.uint64)) if mixed else ints(b, name).view(np.uint64), bits):
+            h = column(b, name).drop_null().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for at in _bits(mix(h) if mixed else h, bits):
                 np.bitwise_or.at(own, at >> 3, (1 << (at & 7)).astype(np.uint8))
         if any_:
             yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bitmap"])

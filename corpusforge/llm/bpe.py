@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, chunks_of, column, ints, ranges, read, ship
+from .common import Chunk, chunks_of, column, ranges, read, ship
 
 # Automaton states: what the last code point was.
 START, LETTER, NUMBER, OTHER, WHITE, BLANK, QUOTE, SHORT, PEND_E, PEND_L = range(10)
@@ -324,7 +324,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(SparkFiles.get(name))
         for b in batches:
-            keys = ints(b, "doc_id")
+            keys = column(b, "doc_id")
             for c in chunks_of(column(b, "text")):
                 ids, n = own.encode(c)
                 at = np.concatenate([[0], np.cumsum(n)])
@@ -333,7 +333,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                     part = ids[a:z]
                     csv.append(hashlib.sha256(",".join(map(own.text.__getitem__, part.tolist())).encode()).hexdigest())
                     plain.append(hashlib.sha256(own.decode(part)).hexdigest())
-                yield pa.RecordBatch.from_arrays([pa.array(keys[c.rows]), pa.array(n.astype(np.int64)), pa.array(csv), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                yield pa.RecordBatch.from_arrays([keys.slice(c.rows.start, c.n), pa.array(n.astype(np.int64)), pa.array(csv), pa.array(plain)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, chunks_of, column, covered, ints, ranges, read, word_hashes, words_of
+from .common import LOWER, NOT_ALNUM, chunks_of, column, covered, ranges, read, word_hashes, words_of
 
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
@@ -141,7 +141,7 @@ def search(docs: DataFrame, ids: list[int], texts: list[str], window: int = WIND
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = q.value
         for b in batches:
-            keys = ints(b, "doc_id")
+            keys = column(b, "doc_id")
             for c in chunks_of(column(b, "text")):
                 index = PositionalIndex(c, own.vocabulary)
                 w, at = index.phrases(own.windows, own.length)
@@ -160,7 +160,7 @@ def search(docs: DataFrame, ids: list[int], texts: list[str], window: int = WIND
                 item_off = np.searchsorted(pairs[:, 0], np.arange(c.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(keys[c.rows]),
+                        keys.slice(c.rows.start, c.n),
                         pa.array(index.n_words.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(span_off.astype(np.int32)), pa.array(spans.reshape(-1).astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(item_off.astype(np.int32)), pa.array(np.ascontiguousarray(pairs[:, 1]))),
@@ -188,7 +188,7 @@ def proximity(docs: DataFrame, items: DataFrame, rarest: int = 3, within: int =
 
         def run(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keys = ints(b, "doc_id")
+                keys = column(b, "doc_id").to_pylist()
                 for c in chunks_of(column(b, "text")):
                     index = PositionalIndex(c, q.value.vocabulary)
                     rows = []
@@ -196,7 +196,7 @@ def proximity(docs: DataFrame, items: DataFrame, rarest: int = 3, within: int =
                         pick = terms[np.argsort(index.count[terms], kind="stable")][:rarest]
                         if len(pick) == min(rarest, len(terms)) and index.count[pick].all():
                             d, n = np.unique(index.doc[index.near(pick, within)], return_counts=True)
-                            rows += [(keys[c.rows][x], item, y) for x, y in zip(d.tolist(), n.tolist(), strict=True)]
+                            rows += [(keys[c.rows.start + x], item, y) for x, y in zip(d.tolist(), n.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "item_id", "n_near"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, n_near long")
