@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXTS and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if name in TEXTS and df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
 def modality_of(mime: Column) -> Column:
