@@ -1,7 +1,9 @@
 """Secret scan: candidates by character runs, false positives removed by a random forest.
 
-Method.  Runs of token characters of MIN_LENGTH or more that hold a digit, or follow a secret's
-name and a sign of assignment, are candidates (numpy over the bytes).  A forest of decision trees
+Method.  Runs of token characters are cut at '=' (padding at a run's end stays) and at rules of
+RULE equal signs.  Pieces of MIN_LENGTH or more that hold a digit or follow a quote, '=' or ':',
+are candidates (numpy over the bytes); so is a whole run with a digit and no such piece.
+No candidate is too long, and all of its bytes are judged.  A forest of decision trees
 judges length, character transitions and classes, dictionary coverage, path signs and the
 neighbouring words.  It is trained from labelled findings: rows of (before, value, after,
 label); labelled_findings() makes a seeded set of known shapes, and callers may give their own.
@@ -24,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, chunks_of, column, read, ship
+from .common import Chunk, chunks_of, column, covered, read, ship
 
-MIN_LENGTH, MAX_LENGTH = 16, 512
+MIN_LENGTH = 16
+RULE = 4
 NEAR = 48  # bytes of context on either side
 THRESHOLD = 0.5
 TREES, DEPTH, LEAF = 40, 9, 4
@@ -36,6 +39,9 @@ TOKEN = np.zeros(256, bool)
 TOKEN[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *b"+/_-=.~"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
+_SIGN = np.zeros(256, bool)
+_SIGN[[*b"=.-/+~_"]] = True
+_RULES, _TAIL = np.flatnonzero(_SIGN).astype(np.uint8), np.frombuffer(b".-~", np.uint8)
 _NAME = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?id|signature)[a-z_\-]*[\"']?\s*(?:=|:|=>|\s)\s*[\"']?$")
 _ASSIGN = re.compile(rb"(?:=|:|=>)\s*[\"']?$")
 _SAFE = re.compile(rb"(?i)(?:sha-?(?:1|256|512)|md5|checksum|digest|commit|revision|rev|etag|uuid|guid|build|version|integrity|phone|card|isbn|order|invoice|id)\W{0,4}$")
@@ -112,12 +118,14 @@ def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[bytes, bytes,
         lead = prose() + " "
         if i % 2:
             value = r.choice([lambda: pick(hexes, r.choice([32, 40, 40, 48, 64])), lambda: pick(hexes, 40).upper(), lambda: pick(alnum, r.randint(20, 64)), lambda: pick(b64, r.randint(24, 88)), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: r.choice(["ghp_", "gho_"]) + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(alnum, 24), lambda: "eyJ" + pick(alnum, 24) + "." + pick(alnum, 40) + "." + pick(alnum, 43), lambda: "AIza" + pick(alnum, 35)])()
+            if i % 64 == 3:  # longer than a line
+                value = pick(r.choice([b64, alnum, alnum + "-_"]), r.choice([400, 1200, 3000]))
             q = r.choice(['"', '"', "'", ""])
             before = lead + r.choice(names) + r.choice([" = ", "=", ": ", ":", " => "]) + q
             after = q + r.choice([" ", "\n", ";", ",", "!! ", "%%% "]) + prose()
             out.append((before[-NEAR:].encode(), value.encode(), after[:NEAR].encode(), 1))
         else:
-            kind = r.randrange(10)
+            kind = r.randrange(11)
             before, after = lead, r.choice([" ", ".", ", ", "\n"]) + prose()
             if kind == 0:
                 value, before = pick(hexes, r.choice([32, 40, 64])), lead + r.choice(safe) + r.choice([" ", ": ", "=", " = "])
@@ -139,8 +147,12 @@ def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[bytes, bytes,
                 before = lead + pick("0123456789", 2) + "@"
             elif kind == 8:
                 value = pick("0123456789", 4) + "-" + pick("0123456789", 2) + "-" + pick("0123456789", 2) + "T" + pick("0123456789", 6)
-            else:
+            elif kind == 9:
                 value = r.choice("ab01-=_.") * r.randint(16, 40) + r.choice(["1", "0"])
+            elif i % 5 == 0:  # data of a picture or an archive
+                value, before = pick(b64, r.choice([100, 400, 1200, 3000])), lead + r.choice(["base64,", "", 'src="data:image/png;base64,'])
+            else:
+                value = "-".join(r.choice(WORDS) for _ in range(r.randint(4, 9))) + r.choice(["", "1", "2024"])
             out.append((before[-NEAR:].encode(), value.encode(), after[:NEAR].encode(), 0))
     return out
 
@@ -203,28 +215,47 @@ def train(findings: list[tuple[bytes, bytes, bytes, int]], trees: int = TREES, s
     return Forest(out)
 
 
+def spans(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every run of marked places."""
+    wide = np.concatenate([[False], inside, [False]])
+    edge = np.flatnonzero(wide[1:] != wide[:-1])
+    return edge[0::2], edge[1::2]
+
+
+def pieces(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the parts that '=' and rules leave of the runs of token characters."""
+    first = np.flatnonzero(np.concatenate([[True], data[1:] != data[:-1]])) if len(data) else np.zeros(0, np.int64)
+    last = np.concatenate([first[1:], [len(data)]])[: len(first)]
+    sign, goes_on = data[first], np.concatenate([inside, [False]])[last]
+    cut = (sign == 0x3D) & goes_on | np.isin(sign, _RULES) & (last - first >= RULE)
+    return spans(inside & ~covered(first[cut], (last - first)[cut], len(data)))
+
+
 def candidates(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every candidate of the chunk."""
-    inside = np.concatenate([[False], TOKEN[c.data], [False]])
-    edge = np.flatnonzero(inside[1:] != inside[:-1])
-    start, end = edge[0::2], edge[1::2]
-    long = end - start >= MIN_LENGTH
-    start, end = start[long], end[long]
-    digits = np.concatenate([[0], np.cumsum(_DIGIT[c.data])])
-    named = (digits[end] - digits[start]) > 0
-    named |= np.isin(c.data[np.maximum(start - 1, 0)], np.frombuffer(b"\"'=:", np.uint8)) & (start > 0)
-    start, end = start[named], end[named]
-    lead = np.array([i for i, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)) if c.raw[s:e].tobytes().lstrip(b"=.-/+~_") and e - s <= MAX_LENGTH * 8], np.int64)
-    start, end = start[lead], end[lead]
-    for i, (s, e) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):  # name=value in one run: the value is the candidate
-        run = c.raw[s:e].tobytes()
-        cut = run.rstrip(b"=").rfind(b"=") + 1
-        if cut and e - s - cut >= MIN_LENGTH:
-            start[i] = s + cut
-        tail = len(run) - len(run.rstrip(b".-~"))
-        end[i] = e - tail
+    inside = TOKEN[c.data]
+    digits, others = (np.concatenate([[0], np.cumsum(x)]) for x in (_DIGIT[c.data], inside & ~_SIGN[c.data]))
+
+    def kept(start: np.ndarray, end: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of some length that are not signs alone."""
+        ok = (end - start >= least) & (others[end] > others[start])
+        return start[ok], end[ok]
+
+    upto = np.maximum.accumulate(np.where(np.isin(c.data, _TAIL), 0, np.arange(1, len(c.data) + 1)))  # the last place before a tail of signs
+    start, end = kept(*pieces(c.data, inside), MIN_LENGTH)
+    after = np.isin(c.data[np.maximum(start - 1, 0)], np.frombuffer(b"\"'=:", np.uint8)) & (start > 0)
+    wanted = (digits[end] > digits[start]) | after
+    start, end = start[wanted], end[wanted]
+    end = upto[end - 1]
     ok = end - start >= MIN_LENGTH
-    return start[ok], end[ok]
+    start, end = start[ok], end[ok]
+    whole, to = kept(*spans(inside), MIN_LENGTH)  # name=value in one run is one candidate if no part of it is
+    bare = (digits[to] > digits[whole]) & (np.searchsorted(start, whole) == np.searchsorted(start, to))
+    whole, to = whole[bare], upto[to[bare] - 1]
+    long = to - whole >= MIN_LENGTH
+    start, end = np.concatenate([start, whole[long]]), np.concatenate([end, to[long]])
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order]
 
 
 def findings_of(c: Chunk, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -236,7 +267,7 @@ def findings_of(c: Chunk, forest: Forest) -> tuple[np.ndarray, np.ndarray, np.nd
     rows = []
     for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist(), strict=True):
         lo, hi = int(c.starts[d]), int(c.starts[d] + c.lens[d])
-        rows.append(features(c.raw[max(lo, s - NEAR) : s].tobytes(), c.raw[s : min(e, s + MAX_LENGTH)].tobytes(), c.raw[e : min(hi, e + NEAR)].tobytes()))
+        rows.append(features(c.raw[max(lo, s - NEAR) : s].tobytes(), c.raw[s:e].tobytes(), c.raw[e : min(hi, e + NEAR)].tobytes()))
     return doc, start, end, forest.score(np.array(rows))
 
 

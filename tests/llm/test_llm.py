@@ -103,6 +103,41 @@ def test_secret_scan_and_redact(spark, docs, empty):
     assert secret_scan.redact(docs).count() == docs.count()
 
 
+KEY = "q7Zr2LkX9vTb4NwJ8mHs5PdY1cGf6RaE3uVo0WiB"
+
+
+def candidates_of(text):
+    import pyarrow as pa
+
+    from corpusforge.llm.common import chunks_of
+
+    return [bytes(c.raw[s:e]).decode() for c in chunks_of(pa.array([text])) for s, e in zip(*(x.tolist() for x in secret_scan.candidates(c)), strict=True)]
+
+
+def test_secrets_in_long_runs(spark):
+    r = random.Random(5)
+    blob = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(6000))
+    long = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(5000))
+    rows = [(1, f"{blob}==token={KEY} end", KEY), (2, "-" * 5000 + f"token={KEY}", KEY), (3, "=" * 5000 + f"password={KEY} x", KEY), (4, "anduntilthe" * 500 + f"_token={KEY}", KEY), (5, f'api_key = "{long}"', long), (6, f"token={KEY}==", f"{KEY}==")]
+    assert all(value in candidates_of(t) for _, t, value in rows)
+    df = spark.createDataFrame([x[:2] for x in rows], "doc_id long, text string")
+    found = {(x.doc_id, x.value_sha256) for x in secret_scan.scan(df).where("is_secret").collect()}
+    assert found >= {(i, sha(v.encode())) for i, _, v in rows}
+    assert not any(v in x.text for x, (_, _, v) in zip(secret_scan.redact(df).orderBy("doc_id").collect(), rows, strict=True))
+
+
+def test_long_values_are_judged_whole(monkeypatch):
+    import pyarrow as pa
+
+    from corpusforge.llm.common import chunks_of
+
+    seen, own = [], secret_scan.features
+    monkeypatch.setattr(secret_scan, "features", lambda a, v, z: seen.append(len(v)) or own(a, v, z))
+    for c in chunks_of(pa.array(['token = "' + KEY * 50 + '"'])):
+        secret_scan.findings_of(c, secret_scan.Forest([]))
+    assert seen == [40 * 50]
+
+
 # ---- 3
 
 
