@@ -2,7 +2,8 @@
 
 Method.  Runs of token characters are cut at '=' (padding at a run's end stays) and at rules of
 RULE equal signs.  Pieces of MIN_LENGTH or more that hold a digit or follow a quote, '=' or ':',
-are candidates (numpy over the bytes); so is a whole run with a digit and no such piece.
+and pieces of NAMED_LENGTH or more that follow a secret's name and a sign of assignment or a
+blank, are candidates (numpy over the bytes); so is a whole run with a digit and no such piece.
 No candidate is too long, and all of its bytes are judged.  A forest of decision trees
 judges length, character transitions and classes, dictionary coverage, path signs and the
 neighbouring words.  It is trained from labelled findings: rows of (before, value, after,
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import Chunk, chunks_of, column, covered, read, ship
 
-MIN_LENGTH = 16
+MIN_LENGTH, NAMED_LENGTH = 16, 6
 RULE = 4
 NEAR = 48  # bytes of context on either side
 THRESHOLD = 0.5
@@ -43,6 +44,8 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*b"=.-/+~_"]] = True
 _RULES, _TAIL = np.flatnonzero(_SIGN).astype(np.uint8), np.frombuffer(b".-~", np.uint8)
 _NAME = re.compile(rb"(?i)(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?id|signature)[a-z_\-]*[\"']?\s*(?:=|:|=>|\s)\s*[\"']?$")
+#: The names of _NAME with their sign, over lower-case bytes: a value starts where a match ends.
+_NAMED = re.compile(rb"(?:token|secret|passw(?:or)?d|pwd|api[_-]?key|apikey|access[_-]?key|auth|bearer|credential|private[_-]?key|client[_-]?id|signature)[a-z_\-]*[\"']?\s*(?:=>|=|:|\s)\s*[\"']?")
 _ASSIGN = re.compile(rb"(?:=|:|=>)\s*[\"']?$")
 _SAFE = re.compile(rb"(?i)(?:sha-?(?:1|256|512)|md5|checksum|digest|commit|revision|rev|etag|uuid|guid|build|version|integrity|phone|card|isbn|order|invoice|id)\W{0,4}$")
 _DUMMY = re.compile(rb"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|dummy|test|foobar|lorem|1234567|abcdef|000000")
@@ -118,14 +121,16 @@ def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[bytes, bytes,
         lead = prose() + " "
         if i % 2:
             value = r.choice([lambda: pick(hexes, r.choice([32, 40, 40, 48, 64])), lambda: pick(hexes, 40).upper(), lambda: pick(alnum, r.randint(20, 64)), lambda: pick(b64, r.randint(24, 88)), lambda: "AKIA" + pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16), lambda: r.choice(["ghp_", "gho_"]) + pick(alnum, 36), lambda: "sk_live_" + pick(alnum, 24), lambda: "xoxb-" + pick("0123456789", 12) + "-" + pick(alnum, 24), lambda: "eyJ" + pick(alnum, 24) + "." + pick(alnum, 40) + "." + pick(alnum, 43), lambda: "AIza" + pick(alnum, 35)])()
-            if i % 64 == 3:  # longer than a line
+            if i % 16 == 1:  # without a digit, or short
+                value = r.choice([lambda: pick(alnum[:52], r.randint(12, 32)), lambda: pick(alnum, r.randint(8, 15)), lambda: r.choice("-_").join(r.choice(WORDS) for _ in range(r.randint(3, 5))), lambda: "".join(r.choice(WORDS) for _ in range(r.randint(3, 6))), lambda: r.choice(WORDS) + r.choice(WORDS + [""]) + pick("0123456789", r.randint(2, 4))])()
+            elif i % 64 == 3:  # longer than a line
                 value = pick(r.choice([b64, alnum, alnum + "-_"]), r.choice([400, 1200, 3000]))
             q = r.choice(['"', '"', "'", ""])
             before = lead + r.choice(names) + r.choice([" = ", "=", ": ", ":", " => "]) + q
             after = q + r.choice([" ", "\n", ";", ",", "!! ", "%%% "]) + prose()
             out.append((before[-NEAR:].encode(), value.encode(), after[:NEAR].encode(), 1))
         else:
-            kind = r.randrange(11)
+            kind = r.randrange(12)
             before, after = lead, r.choice([" ", ".", ", ", "\n"]) + prose()
             if kind == 0:
                 value, before = pick(hexes, r.choice([32, 40, 64])), lead + r.choice(safe) + r.choice([" ", ": ", "=", " = "])
@@ -149,6 +154,8 @@ def labelled_findings(n: int = 4000, seed: int = 17) -> list[tuple[bytes, bytes,
                 value = pick("0123456789", 4) + "-" + pick("0123456789", 2) + "-" + pick("0123456789", 2) + "T" + pick("0123456789", 6)
             elif kind == 9:
                 value = r.choice("ab01-=_.") * r.randint(16, 40) + r.choice(["1", "0"])
+            elif kind == 10:  # prose after a name
+                value, before = r.choice([lambda: "".join(r.choice(syllables) for _ in range(r.randint(3, 7))), lambda: r.choice([w for w in WORDS if len(w) >= 6])])(), lead + r.choice(names) + r.choice([" ", " ", " ", ": "])
             elif i % 5 == 0:  # data of a picture or an archive
                 value, before = pick(b64, r.choice([100, 400, 1200, 3000])), lead + r.choice(["base64,", "", 'src="data:image/png;base64,'])
             else:
@@ -231,6 +238,13 @@ def pieces(data: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return spans(inside & ~covered(first[cut], (last - first)[cut], len(data)))
 
 
+def named_starts(c: Chunk) -> np.ndarray:
+    """Where a value begins that follows a secret's name, at most NEAR bytes before it and in the same text."""
+    found = np.array([(m.start(), m.end()) for m in _NAMED.finditer(bytes(c.raw).lower())], np.int64).reshape(-1, 2)
+    same = np.searchsorted(c.starts, found[:, 0], "right") == np.searchsorted(c.starts, found[:, 1], "right")
+    return found[same & (found[:, 1] - found[:, 0] <= NEAR), 1]
+
+
 def candidates(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of every candidate of the chunk."""
     inside = TOKEN[c.data]
@@ -242,12 +256,13 @@ def candidates(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
         return start[ok], end[ok]
 
     upto = np.maximum.accumulate(np.where(np.isin(c.data, _TAIL), 0, np.arange(1, len(c.data) + 1)))  # the last place before a tail of signs
-    start, end = kept(*pieces(c.data, inside), MIN_LENGTH)
+    start, end = kept(*pieces(c.data, inside), NAMED_LENGTH)
+    named = np.isin(start, named_starts(c))
     after = np.isin(c.data[np.maximum(start - 1, 0)], np.frombuffer(b"\"'=:", np.uint8)) & (start > 0)
-    wanted = (digits[end] > digits[start]) | after
-    start, end = start[wanted], end[wanted]
+    wanted = named | (end - start >= MIN_LENGTH) & ((digits[end] > digits[start]) | after)
+    start, end, named = start[wanted], end[wanted], named[wanted]
     end = upto[end - 1]
-    ok = end - start >= MIN_LENGTH
+    ok = end - start >= np.where(named, NAMED_LENGTH, MIN_LENGTH)
     start, end = start[ok], end[ok]
     whole, to = kept(*spans(inside), MIN_LENGTH)  # name=value in one run is one candidate if no part of it is
     bare = (digits[to] > digits[whole]) & (np.searchsorted(start, whole) == np.searchsorted(start, to))

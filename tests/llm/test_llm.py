@@ -126,6 +126,20 @@ def test_secrets_in_long_runs(spark):
     assert not any(v in x.text for x, (_, _, v) in zip(secret_scan.redact(df).orderBy("doc_id").collect(), rows, strict=True))
 
 
+def test_named_secrets_without_digits_or_short(spark):
+    values = ["AbCdQwErTyUiOpLkJhGf", "correcthorsebatterystaple", "qWeRtYuIoPaSdFgHjKlZxCvB", "Tr0ub4dor", "xK9mQ2vL"]
+    rows = list(enumerate([f"token = {values[0]} x", f"password={values[1]}", f"Authorization: Bearer {values[2]} x", f'password = "{values[3]}"', f"db_password={values[4]}", "the token economy and a secret ingredient, password required"]))
+    found = {(x.doc_id, x.value_sha256) for x in secret_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("is_secret").collect()}
+    assert found == {(i, sha(v.encode())) for i, v in enumerate(values)}
+    assert candidates_of("a token") == [] and "ordinary" not in str(candidates_of("ordinary words here"))
+
+
+def test_held_out_findings_are_candidates():
+    rest = [x for x in secret_scan.labelled_findings(1500, seed=2) if x[3]]
+    kept = [v.decode().rstrip(".-~") in candidates_of((a + v + z).decode()) for a, v, z, _ in rest]
+    assert np.mean(kept) > 0.995
+
+
 def test_long_values_are_judged_whole(monkeypatch):
     import pyarrow as pa
 
