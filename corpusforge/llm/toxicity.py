@@ -53,8 +53,8 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def strength(n: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Value of a feature that a text of so many words holds n times: grows with its density, less than in proportion."""
-    return np.sqrt(np.minimum(n, 30) / (1 + words / 100))
+    """Value of a feature that a text of so many words holds n times: grows with its density, less than in proportion, at any length."""
+    return np.sqrt(n / (1 + words / 100))
 
 
 def word_feature(word: str) -> np.uint64:

@@ -358,6 +358,20 @@ def test_classifiers_on_held_out_rows(spark, kind):
         assert clean == {i for i, r in got.items() if not r.predicted}
 
 
+def test_toxicity_of_long_texts(spark):
+    """An insult at one word in 40 is as toxic in 24,000 or 100,000 words as in 1,200; clean texts of any length stay clean."""
+    rows = labelled("toxic")
+    clean = " ".join(t for _, t, y in rows if not y).split()
+    plant = lambda n: " ".join("idiot" if i % 40 == 7 else w for i, w in zip(range(n), clean * (n // len(clean) + 1), strict=False))
+    sizes = [1_200, 24_000, 100_000]
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(1000 + n, plant(n)) for n in sizes] + [(500_000, " ".join(clean[:5000]) + " "), (500_001, " ".join(clean[:5000] * 20))], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(df, toxicity.fit(df, lab)).where("doc_id >= 1000").collect()}
+    scores = [got[1000 + n].score for n in sizes]
+    assert all(got[1000 + n].predicted for n in sizes) and max(scores) - min(scores) < 0.1, scores
+    assert not got[500_000].predicted and not got[500_001].predicted
+
+
 def test_labels_of_held_out_rows_are_not_learned(spark):
     rows = labelled("toxic")
     df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
