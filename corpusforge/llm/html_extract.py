@@ -9,7 +9,9 @@ pages; open tokens covered by such runs are boilerplate, the unique runs are kep
 never judged by repetition, since articles quote and copy each other.
 
 A host with many pages is dealt to shards of about SHARD pages, each with a suffix array of its
-own: a template is on all of them.
+own.  Fingerprints of all runs of such a host are counted over its shards (one row a fingerprint
+and task before the shuffle), and a shard gets back those of its undecided pages' runs that
+stand in two shards; so a host's pages have the same text whatever the shards.
 
 Cases: null and empty html give an empty text; broken or unclosed markup is read as far as it
 goes; repeated rows and pages without a url (one host of their own) are ordinary; an empty
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column, read, ship
+from .common import chunks_of, column, covered, read, ship, signed, window_hash, word_hashes, words_of
 
 RUN = 6
 SHARD = 256
 HEAVY_HOSTS = 100_000  # host counts sent to all tasks at most; beyond it they are joined
 CONTENT, FURNITURE, OPEN = 0, 1, 2
+_BLANK = np.zeros(256, bool)
+_BLANK[0x20] = True
 
 _RAW = r"script|style|noscript|template|iframe|svg|math|object|textarea|select|title|canvas|audio|video"
 _TOKEN = re.compile(
@@ -131,8 +135,20 @@ def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray
     return np.cumsum(diff[:-1]) > 0
 
 
-def judge(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
-    """Main text of each of a host's pages."""
+def fingerprints(pages: list[list[tuple[int, str]]], run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hash, page and first token (counted over all pages) of every run of the open and furniture blocks of each page, by chunks."""
+    base = 0
+    for c in chunks_of(pa.array([" ".join(text for kind, text in own if kind != CONTENT) for own in pages], pa.string())):
+        start, end, n = words_of(c, _BLANK)
+        h = window_hash(word_hashes(c, start, end), run)
+        owner = np.repeat(np.arange(c.rows.start, c.rows.start + c.n), n)
+        at = np.flatnonzero(owner[: len(h)] == owner[run - 1 :][: len(h)])
+        yield signed(h[at]), owner[at], base + at
+        base += len(owner)
+
+
+def judge(pages: list[list[tuple[int, str]]], run: int = RUN, shared: np.ndarray | None = None) -> list[str]:
+    """Main text of each of a host's pages; shared: sorted fingerprints of runs that other shards hold too."""
     ids: dict[str, int] = {}
     tokens, owner, where = [], [], []
     for p, own in enumerate(pages):
@@ -143,6 +159,9 @@ def judge(pages: list[list[tuple[int, str]]], run: int = RUN) -> list[str]:
                 owner += [p] * len(words)
                 where.append((p, k, len(words)))
     cover = repeated(np.array(tokens, np.int64), np.array(owner, np.int64), run)
+    if shared is not None and len(shared):
+        at = np.concatenate([first[np.isin(h, shared)] for h, _, first in fingerprints(pages, run)])
+        cover |= covered(at, np.full(len(at), run), len(cover))
     left: dict[tuple[int, int], str] = {}
     at = 0
     for p, k, n in where:
@@ -185,14 +204,32 @@ def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
                     ["page_id", "url", "host", "shard", "kinds", "texts"],
                 )
 
-    def decide(t: pa.Table) -> pa.Table:
-        pages_ = [list(zip(k, x, strict=True)) for k, x in zip(t.column("kinds").to_pylist(), t.column("texts").to_pylist(), strict=True)]
-        text = judge(pages_, run)
+    def blocks(b: pa.RecordBatch | pa.Table) -> list[list[tuple[int, str]]]:
+        return [list(zip(k, x, strict=True)) for k, x in zip(b.column("kinds").to_pylist(), b.column("texts").to_pylist(), strict=True)]
+
+    def decide(t: pa.Table, shared: np.ndarray | None = None) -> pa.Table:
+        text = judge(blocks(t), run, shared)
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(x) for x in text], pa.int64())})
 
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """host, shard, fingerprint, whether a page that needs it holds it: distinct rows of a batch."""
+        for b in batches:
+            pages_, hosts = blocks(b), b.column("host").dictionary_encode()
+            shards, codes = b.column("shard").to_numpy(), hosts.indices.to_numpy()
+            needs = np.array([all(kind != CONTENT for kind, _ in own) and any(kind == OPEN for kind, _ in own) for own in pages_], bool)
+            for h, page, _ in fingerprints(pages_, run):
+                got = np.unique(np.stack([codes[page].astype(np.int64), shards[page], h, needs[page].astype(np.int64)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([hosts.dictionary.take(pa.array(got[:, 0])), pa.array(got[:, 1]), pa.array(got[:, 2]), pa.array(got[:, 3] == 1)], ["host", "shard", "run", "needed"])
+
     id_kind = ids.simpleString()
-    read_ = own.select("page_id", "url", "html", "host", "shard").mapInArrow(parse, kinds.replace("page_id long", f"page_id {id_kind}"))
-    return read_.groupBy("host", "shard").applyInArrow(decide, f"page_id {id_kind}, url string, text string, n_chars long")
+    kinds, done = kinds.replace("page_id long", f"page_id {id_kind}"), f"page_id {id_kind}, url string, text string, n_chars long"
+    split = own.select("page_id", "url", "html", "host", "shard").mapInArrow(parse, kinds)
+    if not some:
+        return split.groupBy("host", "shard").applyInArrow(lambda t: decide(t), done)
+    found = own.where(F.col("n").isNotNull()).select("page_id", "url", "html", "host", "shard").mapInArrow(parse, kinds).mapInArrow(runs, "host string, shard long, run long, needed boolean")
+    wide = found.groupBy("host", "run").agg(F.min("shard").alias("least"), F.max("shard").alias("most"), F.max("needed").alias("needed")).where("least < most and needed").select("host", "run")
+    shared = found.where("needed").select("host", "shard", "run").distinct().join(wide, ["host", "run"]).select("host", "shard", "run")
+    return split.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(lambda t, known: decide(t, np.sort(known.column("run").to_numpy())), done)
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,6 +65,22 @@ def test_html_host_template_goes_from_pages_without_article(spark):
     assert got == {i: f"{i} own words of page {i * 7}" for i in range(5)}
 
 
+def test_html_shards_do_not_change_texts(spark):
+    """Blocks on two pages of a host, a template, furniture repeated as open text, and a notice, over pages dealt to many shards."""
+    r = random.Random(9)
+    prose = lambda n: " ".join(f"w{r.randrange(10**6)}" for _ in range(n))
+    pairs, notice, menu = [prose(9) for _ in range(20)], prose(12), prose(10)
+    rows = []
+    for i in range(40):
+        body = f"<div>{pairs[i % 20]}</div><p>{prose(8)} own é {i}</p>" + (f"<p>{notice}</p>" if i % 9 == 0 else "")
+        rows.append((i, f"http://h.org/{i}", page(body)))
+    rows += [(40, "http://h.org/a", page(f"<nav>{menu}</nav><article>text</article>")), (41, "http://h.org/b", page(f"<p>{menu}</p>")), (42, "http://other.org/b", page(f"<p>{pairs[0]}</p>")), (43, "http://h.org/c", None), (44, "http://h.org/d", page("<p>few words</p>"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    one, many = ({x.page_id: x.text for x in html_extract.extract(df, shard=n).collect()} for n in (256, 2))
+    assert one == many and one[41] == "" and one[42] == pairs[0]
+    assert not any(p in one[i] for i in range(40) for p in [*pairs, notice])
+
+
 def test_repeated_runs_by_brute_force():
     r = np.random.default_rng(2)
     tokens, owner = r.integers(0, 3, 400), np.repeat(np.arange(8), 50)
