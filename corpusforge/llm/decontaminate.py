@@ -4,8 +4,9 @@ Method.  Each partition of the documents builds postings (term -> sorted word po
 the terms that the test items use.  A query window takes its rarest term's list, shifts it by
 the term's offset and intersects it with the shifted lists of the other terms, rarest first.
 The test items travel to the index in blocks of bounded size (BLOCK_BYTES of text); a larger
-benchmark is split into more blocks, whose answers are merged by document.  No document words
-are shuffled, so a passage that a third of all documents share costs what it holds.
+benchmark is split into more blocks, for which the documents are written once with a number for
+each row, and the blocks' answers are merged by row.  No document words are shuffled, so a
+passage that a third of all documents share costs what it holds.
 
 Cases: null and empty texts have no words; items without words are ignored, as are items
 without an id; repeated items and rows are answered one by one; an empty table gives an empty
@@ -19,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, chunks_of, column, covered, ranges, read, word_hashes, words_of
+from .common import LOWER, NOT_ALNUM, chunks_of, column, covered, ranges, read, shared_dir, stored, word_hashes, words_of
 
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
@@ -131,17 +132,17 @@ def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[l
         yield [r.item_id for r in rows], [r.text for r in rows]
 
 
-SPANS = "doc_id long, n_words long, spans array<int>, items array<long>"
+SPANS = "row long, doc_id long, n_words long, spans array<int>, items array<long>"
 
 
-def search(docs: DataFrame, ids: list[int], texts: list[str], window: int = WINDOW) -> DataFrame:
-    """For every document: its words, the merged spans (start, end, start, end, ...) that windows hit, the items that hit it."""
+def search(docs: DataFrame, ids: list[int], texts: list[str], window: int = WINDOW, row: Column | None = None) -> DataFrame:
+    """For every document: its row number, words, the merged spans (start, end, start, end, ...) that windows hit, the items that hit it."""
     q = docs.sparkSession.sparkContext.broadcast(Queries(ids, texts, window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = q.value
         for b in batches:
-            keys = column(b, "doc_id")
+            keys, row = column(b, "doc_id"), column(b, "row")
             for c in chunks_of(column(b, "text")):
                 index = PositionalIndex(c, own.vocabulary)
                 w, at = index.phrases(own.windows, own.length)
@@ -160,24 +161,30 @@ def search(docs: DataFrame, ids: list[int], texts: list[str], window: int = WIND
                 item_off = np.searchsorted(pairs[:, 0], np.arange(c.n + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
+                        row.slice(c.rows.start, c.n),
                         keys.slice(c.rows.start, c.n),
                         pa.array(index.n_words.astype(np.int64)),
                         pa.ListArray.from_arrays(pa.array(span_off.astype(np.int32)), pa.array(spans.reshape(-1).astype(np.int32))),
                         pa.ListArray.from_arrays(pa.array(item_off.astype(np.int32)), pa.array(np.ascontiguousarray(pairs[:, 1]))),
                     ],
-                    ["doc_id", "n_words", "spans", "items"],
+                    ["row", "doc_id", "n_words", "spans", "items"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SPANS)
+    return docs.select((F.lit(None).cast("long") if row is None else row).alias("row"), "doc_id", "text").mapInArrow(run, SPANS)
 
 
 def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """search() over all blocks of the items; with several blocks a document has a row for each."""
-    found = [search(docs, ids, texts, window) for ids, texts in blocks(items, block_bytes)]
-    out = found[0]
-    for x in found[1:]:
-        out = out.unionByName(x)
-    return out if len(found) == 1 else out.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    """search() over all blocks of the items: one row for every row of docs."""
+    own = list(blocks(items, block_bytes))
+    if len(own) == 1:
+        return search(docs, *own[0], window)
+    spark = docs.sparkSession
+    docs = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), shared_dir(spark), "rows")
+    out = None
+    for ids, texts in own:
+        found = search(docs, ids, texts, window, F.col("row"))
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
 
 def proximity(docs: DataFrame, items: DataFrame, rarest: int = 3, within: int = 10) -> DataFrame:

@@ -293,6 +293,16 @@ def test_decontamination(spark, docs, texts, empty, block):
     assert decontaminate.report(decontaminate.matches(empty, bench)).count() == 0
 
 
+def test_decontamination_answers_every_row_with_many_blocks(spark):
+    """Repeated rows, and rows without an id of equal length, one of them contaminated; blocks of 200 bytes."""
+    long, other = (" ".join(f"{x}{i}" for i in range(60)) for x in "wv")
+    texts = [(1, long), (1, long), (None, long), (None, other), (None, None), (None, ""), (3, None), (7, other)]
+    items = [(1, long), (2, "one two three"), (3, "no such words anywhere")]
+    d, b = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block in (1 << 20, 200):
+        assert Counter(map(tuple, decontaminate.report(decontaminate.matches(d, b, block_bytes=block)).collect())) == plain_hits(texts, items)
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "alpha x beta y gamma"), (2, "alpha " + "x " * 30 + "beta gamma"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(9, "gamma beta alpha")], "item_id long, text string")
