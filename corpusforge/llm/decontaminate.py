@@ -80,10 +80,9 @@ class PositionalIndex:
         return (np.concatenate(found_w), np.concatenate(found_at)) if found_w else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def near(self, terms: np.ndarray, within: int) -> np.ndarray:
-        """Proximity: positions of the rarest of these terms that have all others at most `within` words away in the same document."""
-        order = terms[np.argsort(self.count[terms], kind="stable")]
-        at = self.postings[self.first[order[0]] : self.first[order[0] + 1]]
-        for t in order[1:]:
+        """Proximity: positions of the first of these terms that have all others at most `within` words away in the same document."""
+        at = self.postings[self.first[terms[0]] : self.first[terms[0] + 1]]
+        for t in terms[1:]:
             other = self.postings[self.first[t] : self.first[t + 1]]
             if not len(other) or not len(at):
                 return at[:0]
@@ -119,7 +118,7 @@ class Queries:
             self.windows[i, : len(x)] = x
         self.owners = np.array([i for _, i in owner], np.int64)
         self.owner_at = np.searchsorted(np.array([w for w, _ in owner], np.int64), np.arange(len(rows) + 1))
-        self.terms = {i: np.unique(np.searchsorted(self.vocabulary, h)) for i, h in zip(ids, per_item, strict=True) if len(h)}
+        self.terms = [(i, np.unique(np.searchsorted(self.vocabulary, h))) for i, h in zip(ids, per_item, strict=True) if len(h)]
 
 
 def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
@@ -187,21 +186,51 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
     return out.groupBy("row", "doc_id", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
 
 
+def document_counts(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """Documents of the whole table that hold each term."""
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(sent.value), np.int64)
+        for b in batches:
+            for c in chunks_of(column(b, "text")):
+                index = PositionalIndex(c, sent.value)
+                pairs = np.unique(np.stack([index.doc[index.postings], index.term[index.postings]], 1), axis=0)
+                n += np.bincount(pairs[:, 1], minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["term", "n"])
+
+    out = np.zeros(len(vocabulary), np.int64)
+    for r in docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        out[r.term] = r.n
+    return out
+
+
 def proximity(docs: DataFrame, items: DataFrame, rarest: int = 3, within: int = 10) -> DataFrame:
-    """doc_id, item_id, n_near: places where an item's `rarest` least frequent terms stand within `within` words."""
+    """doc_id, item_id, n_near: places where an item's `rarest` least frequent terms stand within `within` words.
+
+    Frequency is the number of documents of the whole table; terms that no document holds are
+    passed over.  Places are those of the least frequent term.
+    """
     spark, out = docs.sparkSession, None
     for ids, texts in blocks(items):
-        q = spark.sparkContext.broadcast(Queries(ids, texts, WINDOW))
+        own = Queries(ids, texts, WINDOW)
+        n = document_counts(docs, own.vocabulary)
+        picks = []
+        for item, terms in own.terms:
+            held = terms[n[terms] > 0]
+            if len(held) >= min(rarest, len(terms)):
+                picks.append((item, held[np.argsort(n[held], kind="stable")][:rarest]))
+        q = spark.sparkContext.broadcast((own.vocabulary, picks))
 
         def run(batches: Iterator[pa.RecordBatch], q=q) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keys = column(b, "doc_id").to_pylist()
                 for c in chunks_of(column(b, "text")):
-                    index = PositionalIndex(c, q.value.vocabulary)
+                    index = PositionalIndex(c, q.value[0])
                     rows = []
-                    for item, terms in q.value.terms.items():
-                        pick = terms[np.argsort(index.count[terms], kind="stable")][:rarest]
-                        if len(pick) == min(rarest, len(terms)) and index.count[pick].all():
+                    for item, pick in q.value[1]:
+                        if index.count[pick].all():
                             d, n = np.unique(index.doc[index.near(pick, within)], return_counts=True)
                             rows += [(keys[c.rows.start + x], item, y) for x, y in zip(d.tolist(), n.tolist(), strict=True)]
                     yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(3)], ["doc_id", "item_id", "n_near"])

@@ -309,6 +309,15 @@ def test_proximity(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.proximity(d, b, 3, 5).collect()] == [(1, 9)]
 
 
+def test_proximity_does_not_depend_on_neighbours(spark):
+    """The item's three rarest terms of the table are side by side in one document; its other terms stand in other partitions, or nowhere."""
+    texts = [(1, "alpha x beta y gamma"), *((i, "common usual words") for i in range(2, 12))]
+    b = spark.createDataFrame([(9, "gamma common beta usual alpha"), (8, "gamma beta alpha nowhere")], "item_id long, text string")
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    for parts in (1, 11):
+        assert sorted(map(tuple, decontaminate.proximity(d.repartitionByRange(parts, "doc_id"), b, 3, 5).collect())) == [(1, 8, 1), (1, 9, 1)]
+
+
 # ---- 6
 
 
