@@ -28,8 +28,8 @@ def _thrifty() -> None:
     """Give freed memory back to the system: an executor's Python workers live long, and share its memory with a JVM."""
     try:
         libc = ctypes.CDLL("libc.so.6")
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD: arrays over 1 MB are mapped, and unmapped when freed
-        libc.mallopt(-1, 4 << 20)  # M_TRIM_THRESHOLD
+        libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD: only larger arrays are mapped and unmapped one by one, which costs a page fault for each 4 KB
+        libc.mallopt(-1, 48 << 20)  # M_TRIM_THRESHOLD: freed memory kept at most
     except (OSError, AttributeError):  # another C library
         return
     pa.set_memory_pool(pa.system_memory_pool())
@@ -126,15 +126,16 @@ def sliding_min(a: np.ndarray, w: int) -> np.ndarray:
 def opened(a: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
     """Places that hold the minimum of some valid window of w places (all of them on ties).
 
-    a: hash by place.  valid: for each window start, whether the window counts.  Equal windows
-    choose the same places, so any two of them share one.
+    a: hash by place; its upper 32 bits decide.  valid: for each window start, whether the window
+    counts.  Equal windows choose the same places, so any two of them share one.
     """
     if len(a) < w:
         return np.zeros(0, np.int64)
-    m = np.where(valid[: len(a) - w + 1], sliding_min(a, w), U64(0))
-    pad = np.zeros(w - 1, U64)
-    top = ~sliding_min(~np.concatenate([pad, m, pad]), w)
-    return np.flatnonzero((top == a) & (top != 0))
+    own = np.maximum(a >> U64(32), U64(1)).astype(np.uint32)
+    none = np.zeros(w - 1, np.uint32)
+    least = np.where(valid[: len(a) - w + 1], sliding_min(own, w), np.uint32(0))
+    top = ~sliding_min(~np.concatenate([none, least, none]), w)
+    return np.flatnonzero(top == own)
 
 
 @dataclass

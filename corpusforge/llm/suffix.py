@@ -32,32 +32,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BASE, BASE_INV, BYTE_A, BYTE_B, U64, Chunk, chunks_of, column, covered, mix, opened, powers, prefix, read, shared_dir, ship, signed, stored
+from .common import BASE, BASE_INV, BYTE_A, BYTE_B, U64, Chunk, chunks_of, column, covered, mix, opened, powers, prefix, ranges, read, shared_dir, ship, signed, stored
 
 WINDOW = 200
 GRAM = 96
 LEFT = WINDOW - GRAM  # bytes before the gram that a window can reach
 WIDE = LEFT + WINDOW  # bytes of a context
 CHUNK = 1 << 20
+STEP = 1 << 16  # places hashed together
 ROWS = 6144  # contexts sorted together, about
 HOT = 32768
 QUARTERS = 4
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def _grams(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of the GRAM bytes at each place, the chosen places, the text of each byte, the prefix hashes."""
-    pre = prefix(BYTE_A[c.data], BASE)
-    owner = np.repeat(np.arange(c.n, dtype=np.int32), c.lens + 1)[: len(c.data)]
-    n = len(c.data) - GRAM + 1
-    if n <= 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64), owner, pre
-    end = c.starts + c.lens
-    g = mix((pre[GRAM:] - pre[:n]) * powers(BASE_INV, n))
-    place = np.arange(n)
-    g[place + GRAM > end[owner[:n]]] = NONE
-    valid = place + WINDOW <= end[owner[:n]]
-    return g, opened(g, valid, LEFT + 1), owner, pre
+def _grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen places of a chunk and the hashes of the GRAM bytes there, worked out in blocks that fit a core's cache."""
+    n, end = len(c.data) - GRAM + 1, c.starts + c.lens
+
+    def across(size: int) -> np.ndarray:
+        """Places from which so many bytes leave their text."""
+        first = np.maximum(c.starts, end - size + 1)
+        return ranges(first, end + 1 - first)
+
+    cut, out = [across(GRAM), across(WINDOW)], []
+    for k in range(0, n, STEP):
+        lo, hi = max(0, k - LEFT), min(n, k + STEP + LEFT)
+        pre = prefix(BYTE_A[c.data[lo : hi + GRAM - 1]], BASE)
+        g = mix((pre[GRAM:] - pre[: hi - lo]) * powers(BASE_INV, hi - lo))
+        off, outside = (x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] - lo for x in cut)
+        g[off] = NONE
+        valid = np.ones(hi - lo, bool)
+        valid[outside] = False
+        at = opened(g, valid, LEFT + 1)
+        at = at[(at >= k - lo) & (at < k + STEP - lo)]
+        out.append((at + lo, g[at]))
+    at, g = zip(*out, strict=True) if out else ([np.zeros(0, np.int64)], [np.zeros(0, U64)])
+    return np.concatenate(at), np.concatenate(g)
 
 
 def recurring(docs: DataFrame, folder: str) -> DataFrame:
@@ -66,8 +77,7 @@ def recurring(docs: DataFrame, folder: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in chunks_of(column(b, "text"), CHUNK):
-                g, at, _, _ = _grams(c)
-                h, n = np.unique(g[at], return_counts=True)
+                h, n = np.unique(_grams(c)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(h)), pa.array(n > 1)], ["h", "twice"])
 
     seen = docs.select("text").mapInArrow(run, "h long, twice boolean")
@@ -85,9 +95,10 @@ def contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
         for b in batches:
             keys = column(b, "doc_id")
             for c in chunks_of(column(b, "text"), CHUNK):
-                g, at, owner, pre = _grams(c)
-                at = at[bloom.contains(sent.value, g[at])]
-                own = owner[at]
+                at, g = _grams(c)
+                live = bloom.contains(sent.value, g)
+                at, g, pre = at[live], g[live], prefix(BYTE_A[c.data], BASE)
+                own = np.searchsorted(c.starts, at, "right") - 1
                 lo = np.maximum(at - LEFT, c.starts[own])
                 hi = np.minimum(at + WINDOW, c.starts[own] + c.lens[own])
                 ctx = mix((pre[hi] - pre[lo]) * powers(BASE_INV, len(pre))[lo] + ((at - lo) * 1024 + (hi - at)).astype(U64))
@@ -122,10 +133,10 @@ def contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                     flat = c.data[np.repeat(lo[i] - off[:-1], size) + np.arange(off[-1])]
                     text = pa.Array.from_buffers(pa.binary(), len(i), [None, pa.py_buffer(off), pa.py_buffer(flat.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(g[at[i]])), keys_here.take(pa.array(own[i])), pa.array((at[i] - c.starts[own[i]]).astype(np.int32)), pa.array((at[i] - lo[i]).astype(np.int32)), pa.array((hi[i] - at[i]).astype(np.int32)), text], ["h", "doc_id", "at", "left", "right", "context"])
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(g[i])), keys_here.take(pa.array(own[i])), pa.array((at[i] - c.starts[own[i]]).astype(np.int32)), pa.array((at[i] - lo[i]).astype(np.int32)), pa.array((hi[i] - at[i]).astype(np.int32)), text], ["h", "doc_id", "at", "left", "right", "context"])
                 if len(s):
                     z = pa.nulls(len(s), pa.binary())
-                    t = owner[s]
+                    t = np.searchsorted(c.starts, s, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(s), np.int64)), keys_here.take(pa.array(t)), pa.array((s - c.starts[t]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(np.zeros(len(s), np.int32)), z], ["h", "doc_id", "at", "left", "right", "context"])
 
     return docs.select("doc_id", "text").mapInArrow(run, CONTEXT)
@@ -134,24 +145,32 @@ def contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
 def padded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Contexts as a matrix of WIDE bytes, the gram at column LEFT; left and right lengths."""
     left, right = t.column("left").to_numpy().astype(np.int64), t.column("right").to_numpy().astype(np.int64)
-    raw = t.column("context").combine_chunks() if isinstance(t.column("context"), pa.ChunkedArray) else t.column("context")
-    if isinstance(raw, pa.ChunkedArray):
-        raw = pa.concat_arrays(raw.chunks)
-    flat = np.frombuffer(b"".join(raw.to_pylist()), np.uint8)
     x = np.zeros((t.num_rows, WIDE), np.uint8)
+    if not t.num_rows:
+        return x, left, right
+    parts = []
+    for raw in t.column("context").chunks:
+        off = np.frombuffer(raw.buffers()[1], np.int32)[raw.offset : raw.offset + len(raw) + 1]
+        parts.append(np.frombuffer(raw.buffers()[2] or b"", np.uint8)[off[0] : off[-1]])
+    flat = np.concatenate(parts)
     col = np.arange(WIDE)[None, :]
     x[(col >= LEFT - left[:, None]) & (col < LEFT + right[:, None])] = flat
     return x, left, right
 
 
+def prefix_rows(x: np.ndarray) -> np.ndarray:
+    """Prefix hashes of every context: contexts x (WIDE + 1)."""
+    pre = np.zeros((len(x), WIDE + 1), U64)
+    np.cumsum(BYTE_A[x] * powers(BASE, WIDE)[None, :], axis=1, out=pre[:, 1:])
+    return pre
+
+
 class Suffixes:
     """Suffixes of contexts from the gram on, compared by prefix hashes."""
 
-    def __init__(self, x: np.ndarray, group: np.ndarray):
+    def __init__(self, x: np.ndarray, pre: np.ndarray, group: np.ndarray):
         self.x, self.group = x, group
-        self.pre = np.zeros((len(x), WIDE + 1), U64)
-        np.cumsum(BYTE_A[x] * powers(BASE, WIDE)[None, :], axis=1, out=self.pre[:, 1:])
-        self.own = self.pre[:, LEFT:] - self.pre[:, LEFT : LEFT + 1]  # hash of the first k bytes of the suffix
+        self.own = pre[:, LEFT:] - pre[:, LEFT : LEFT + 1]  # hash of the first k bytes of the suffix
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Length of the common extension of suffixes a and b, by binary search."""
@@ -200,10 +219,9 @@ class Suffixes:
         return order
 
 
-def repeated_offsets(x: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
+def repeated_offsets(x: np.ndarray, pre: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> np.ndarray:
     """contexts x (LEFT + 1): whether the window that starts d bytes before the gram repeats in the group."""
-    s = Suffixes(x, group)
-    order = s.sort()
+    order = Suffixes(x, pre, group).sort()
     out = np.zeros((len(x), LEFT + 1), bool)
     for d in range(LEFT + 1):
         if d:
@@ -211,7 +229,7 @@ def repeated_offsets(x: np.ndarray, left: np.ndarray, right: np.ndarray, group:
         live = order[(left[order] >= d) & (right[order] >= WINDOW - d)]
         a, b = live[:-1], live[1:]
         lo, hi = LEFT - d, LEFT - d + WINDOW
-        same = (group[a] == group[b]) & (s.pre[a, hi] - s.pre[a, lo] == s.pre[b, hi] - s.pre[b, lo])
+        same = (group[a] == group[b]) & (pre[a, hi] - pre[a, lo] == pre[b, hi] - pre[b, lo])
         a, b = a[same], b[same]
         ok = (x[a, lo:hi] == x[b, lo:hi]).all(1)
         out[a[ok], d] = True
@@ -219,20 +237,63 @@ def repeated_offsets(x: np.ndarray, left: np.ndarray, right: np.ndarray, group:
     return out
 
 
-def _spans(at: np.ndarray, dup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, start, length) of each run of repeated windows."""
+def runs_of(dup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, farthest, nearest offset) of each run of repeated windows."""
     wall = np.zeros((len(dup), 1), np.int8)
     edge = np.diff(np.concatenate([wall, dup.view(np.int8), wall], axis=1), axis=1)
     row, first = np.nonzero(edge == 1)
     _, last = np.nonzero(edge == -1)
-    return row, at[row] - (last - 1), (last - first) - 1 + WINDOW
+    return row, last - 1, first
 
 
 SPAN = "doc_id long, at int, left int"
 
 
+def equal_contexts(pre: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First context of each set of equal ones in a group, by context, and whether a context has an equal one (bytes compared)."""
+    order = np.lexsort((pre[:, -1], right, left, group))
+    same = np.zeros(len(order), bool)
+    a, b = order[:-1], order[1:]
+    same[1:] = (group[a] == group[b]) & (left[a] == left[b]) & (right[a] == right[b]) & (pre[a, -1] == pre[b, -1])
+    head = order[np.flatnonzero(~same)[np.cumsum(~same) - 1]]
+    i = np.flatnonzero(same)
+    same[i] = (x[order[i]] == x[head[i]]).all(1)
+    first, twice = np.arange(len(order)), np.zeros(len(order), bool)
+    first[order[same]] = head[same]
+    twice[order[same]] = twice[head[same]] = True
+    return first, twice
+
+
+def extension(pre: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray, side: int) -> np.ndarray:
+    """Bytes, `most` at most, in which contexts a and b agree to the right (side 1) or left (-1) of the gram's start: binary search over prefix hashes."""
+    lo, step = np.zeros(len(a), np.int64), 1 << (WINDOW.bit_length() - 1)
+    while step:
+        to = np.minimum(lo + step, most)
+        at = LEFT + side * to
+        lo = np.where(pre[a, at] - pre[a, LEFT] == pre[b, at] - pre[b, LEFT], to, lo)
+        step >>= 1
+    return lo
+
+
+def pair_windows(pre: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For two contexts of one gram: the farthest left and the nearest offset of the windows that they share (nearest > farthest: none)."""
+    back = extension(pre, a, b, np.minimum(left[a], left[b]), -1)
+    ahead = extension(pre, a, b, np.minimum(right[a], right[b]), 1)
+    col = np.arange(WIDE)[None, :]
+    wrong = np.flatnonzero(((x[a] != x[b]) & (col >= LEFT - back[:, None]) & (col < LEFT + ahead[:, None])).any(1))
+    for k in wrong.tolist():  # equal hashes of unequal bytes: the bytes decide
+        differ = np.flatnonzero(x[a[k]] != x[b[k]])
+        back[k] = min(back[k], LEFT - 1 - max(differ[differ < LEFT], default=LEFT - 1 - back[k]))
+        ahead[k] = min(ahead[k], min(differ[differ >= LEFT], default=LEFT + ahead[k]) - LEFT)
+    return np.minimum(back, LEFT), np.maximum(WINDOW - ahead, 0)
+
+
 def sort_groups(t: pa.Table) -> pa.Table:
-    """Spans of the contexts of some grams that repeat among them."""
+    """Spans of the contexts of some grams that repeat among them.
+
+    Equal contexts share all their windows, so one of them stands for all; two different ones of
+    a gram are extended to both sides from it; only grams with more are suffix-sorted.
+    """
     h = t.column("h").to_numpy()
     _, group, n = np.unique(h, return_inverse=True, return_counts=True)
     t = t.filter(pa.array(n[group] > 1))
@@ -240,9 +301,28 @@ def sort_groups(t: pa.Table) -> pa.Table:
         return pa.table({"doc_id": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "left": pa.array([], pa.int32())})
     _, group = np.unique(t.column("h").to_numpy(), return_inverse=True)
     x, left, right = padded(t)
-    row, start, size = _spans(t.column("at").to_numpy().astype(np.int64), repeated_offsets(x, left, right, group.astype(np.int64)))
-    doc = t.column("doc_id").combine_chunks()
-    return pa.table({"doc_id": doc.take(pa.array(row)), "at": pa.array(start.astype(np.int32)), "left": pa.array(size.astype(np.int32))})
+    pre = prefix_rows(x)
+    first, twice = equal_contexts(pre, x, left, right, group)
+    farthest, nearest = np.full(len(x), -1), np.zeros(len(x), np.int64)
+    whole = np.flatnonzero(twice)
+    farthest[whole], nearest[whole] = left[whole], np.maximum(WINDOW - right[whole], 0)
+    heads = np.flatnonzero(first == np.arange(len(x)))
+    heads = heads[np.argsort(group[heads], kind="stable")]
+    kinds = np.bincount(group[heads])
+    two = heads[kinds[group[heads]] == 2].reshape(-1, 2)
+    back, near = pair_windows(pre, x, left, right, two[:, 0], two[:, 1])
+    for own in (two[:, 0], two[:, 1]):  # a context that has an equal one is settled
+        open_ = ~twice[own]
+        farthest[own[open_]], nearest[own[open_]] = back[open_], near[open_]
+    out = [(i := np.flatnonzero(farthest >= nearest), farthest[i], nearest[i])]
+    many = heads[kinds[group[heads]] > 2]
+    if len(many):
+        row, far, near = runs_of(repeated_offsets(x[many], pre[many], left[many], right[many], group[many]))
+        open_ = ~twice[many[row]]
+        out.append((many[row[open_]], far[open_], near[open_]))
+    row, far, near = (np.concatenate(z) for z in zip(*out, strict=True))
+    at, doc = t.column("at").to_numpy().astype(np.int64), t.column("doc_id").combine_chunks()
+    return pa.table({"doc_id": doc.take(pa.array(row)), "at": pa.array((at[row] - far).astype(np.int32)), "left": pa.array((far - near + WINDOW).astype(np.int32))})
 
 
 def _hot_windows(hot: DataFrame, folder: str) -> DataFrame:

@@ -350,7 +350,7 @@ def test_suffix_sort_orders_as_bytes_do():
     x = r.integers(97, 99, (300, suffix.WIDE)).astype(np.uint8)
     x[100:200] = x[:100]
     x[150:200, -1] += 1
-    s = suffix.Suffixes(x, np.arange(300) % 3)
+    s = suffix.Suffixes(x, suffix.prefix_rows(x), np.arange(300) % 3)
     keys = [(int(s.group[i]), x[i, suffix.LEFT :].tobytes()) for i in s.sort()]
     assert keys == sorted(keys)
 
