@@ -26,11 +26,13 @@ class Sample:
     share: float  # of label 1 among all rows of the training fold
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> Sample:
+def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS, total_bytes: int = SAMPLE_TOTAL) -> Sample:
     """At most `rows` training rows of each class, chosen by hash of the id, with their whole texts.
 
     Labels that are null or contradict each other for one id are left out.  The chosen ids are
-    at most 2 * rows, so they go to the scan as a broadcast.
+    at most 2 * rows, so they go to the scan as a broadcast.  Texts over SAMPLE_BYTES are left
+    out; null texts count as empty; documents that share a labelled id all count, 4 * rows of both
+    classes at most; an empty table gives an empty sample.
     """
     fold = labels.where(~held_out() & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).alias("label"), F.max(label).alias("most")).where("label = most").select("doc_id", "label")
     counts = {r.label: r["count"] for r in fold.groupBy("label").count().collect()}
@@ -43,11 +45,18 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     spark, texts, out = docs.sparkSession, [], []
     if known:
         chosen = spark.createDataFrame(known, "doc_id long, label int")
-        found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-        used = {0: 0, 1: 0}
-        for r in found.limit(4 * rows).collect():
-            used[r.label] += len(r.text)
-            if used[r.label] <= SAMPLE_TOTAL:
+        found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
+        found = found.select("doc_id", "label", "text", F.xxhash64("doc_id").alias("rank"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
+        # Which rows fit is decided on their sizes (a few numbers a row); only those texts travel.
+        sizes = found.drop("text").orderBy("rank", "doc_id", "h").limit(4 * rows).collect()
+        used, last = {0: 0, 1: 0}, {}
+        for r in sizes:
+            used[r.label] += r.size
+            if used[r.label] <= total_bytes:
+                last[r.label] = (r.rank, r.doc_id, r.h)
+        for value, (rank, doc, h) in sorted(last.items()):
+            upto = (F.col("rank") < rank) | ((F.col("rank") == rank) & ((F.col("doc_id") < doc) | ((F.col("doc_id") == doc) & (F.col("h") <= h))))
+            for r in found.where((F.col("label") == value) & upto).orderBy("rank", "doc_id", "h").select("text").toLocalIterator():
                 texts.append(r.text)
-                out.append(r.label)
+                out.append(value)
     return Sample(texts, out, counts.get(1, 0) / total if total else 0.0)
