@@ -260,7 +260,7 @@ def plain_hits(texts, items, window=10):
         w = word.findall(lower(t))
         for k in range(max(1, len(w) - window + 1) if w else 0):
             wins[tuple(w[k : k + window])].add(item)
-    out = []
+    out, df = [], Counter(x for _, t in texts for x in set(word.findall(lower(t))))
     for i, t in texts:
         w = word.findall(lower(t))
         mark, names = [False] * len(w), set()
@@ -270,10 +270,21 @@ def plain_hits(texts, items, window=10):
                     names |= hit
                     mark[k : k + size] = [True] * size
         names = sorted(map(str, names))
-        out.append((i, len(w), sum(mark), len(names), sha(",".join(names).encode()), any(mark)))
+        out.append((i, len(w), sum(mark), len(names), sha(",".join(names).encode()), any(mark), plain_near_items(w, df, items)))
     return Counter(out)
 
 
+def plain_near_items(words, df, items, rarest=3, within=10):
+    """Items whose rarest words, by rows of texts that hold them (df) and then by spelling, stand together in words."""
+    word, found = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), set()
+    for item, t in items:
+        terms = set(word.findall(lower(t)))
+        pick = sorted((x for x in terms if df[x]), key=lambda x: (df[x], x.encode()))[:rarest]
+        if pick and len(pick) >= min(rarest, len(terms)) and any(x == pick[0] and set(pick) <= set(words[max(0, k - within) : k + within + 1]) for k, x in enumerate(words)):
+            found.add(item)
+    return len(found)
+
+
 def items_of(texts):
     own = dict(texts)
     ids = [i for i, t in texts if t and len(t.split()) > 40]
