@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 
@@ -241,6 +242,26 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
+#: Groups that are told to all tasks at most; beyond it they are joined by group and salt.
+LARGE_GROUPS = 100_000
+SALTS = 32
+
+
+def with_parts(rows: DataFrame, key: str, by: str, large: DataFrame, name: str = "part") -> DataFrame:
+    """rows with the part of its group that each is dealt to, by the hash of column `by`.
+
+    large (key, parts) names the groups with several parts; all rows of other groups are part 0.
+    No group is gathered for this: large goes to all tasks while it is small, and otherwise
+    meets the rows by group and one of SALTS salts.
+    """
+    if large.limit(LARGE_GROUPS + 1).count() <= LARGE_GROUPS:
+        met = rows.join(F.broadcast(large), key, "left")
+    else:
+        salted = large.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = rows.withColumn("_salt", F.pmod(F.hash(by, F.lit(1)), F.lit(SALTS))).join(salted, [key, "_salt"], "left").drop("_salt")
+    return met.withColumn(name, F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1)).cast("long")).cast("int")).drop("parts")
+
+
 def drop_dir(spark: SparkSession, folder: str) -> None:
     """Remove a shared folder that is no longer read."""
     jvm = spark.sparkContext._jvm

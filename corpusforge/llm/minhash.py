@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, word_hashes, words_of
+from .common import LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
 from .components import components
 
 ROWS = 5
 BANDS = 30
 BINS = ROWS * BANDS
 BLOCK = 256
+BLOCK_SHINGLES = 1 << 20
+FAN = 1024  # partners that meet a hub's set in one part
 PROBES = np.random.default_rng(23).integers(0, BINS, (4096, BINS))
 
 
@@ -124,76 +126,78 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame, folder: str) -> DataFrame:
-    """doc_id, text of the documents in ids, stored.  A bitmap of bounded size keeps most others out of the shuffle."""
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, folder: str) -> DataFrame:
+    """doc_id, set (its sorted shingle hashes as bytes) of the documents in ids, stored.  A bitmap of bounded size keeps most others out of the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom.build(ids.select("doc_id"), "doc_id", mixed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array(bloom.contains(sent.value, mix(ints(b, "doc_id").astype(np.int64).view(np.uint64)))))
+            b = b.filter(pa.array(bloom.contains(sent.value, mix(ints(b, "doc_id").astype(np.int64).view(np.uint64)))))
+            for c in chunks_of(column(b, "text")):
+                sets, n = shingle_sets(c, words)
+                off = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(c.rows.start, c.n), pa.Array.from_buffers(pa.binary(), c.n, [None, pa.py_buffer(off), pa.py_buffer(sets)])], ["doc_id", "set"])
+
+    near = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return stored(near.join(ids, "doc_id", "left_semi"), folder, "sets")
 
-    near = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, text string")
-    return stored(near.join(ids, "doc_id", "left_semi"), folder, "texts")
 
+def hashes_of(cells: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), U64) for x in cells]
 
-def confirm(pairs: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union; own: doc_id, text."""
-    rows = pairs.join(own.select(F.col("doc_id").alias("v"), F.col("text").alias("tv")), "v").join(own.select(F.col("doc_id").alias("u"), F.col("text").alias("tu")), "u").select("u", "v", "tu", "tv")
+
+def confirm(pairs: DataFrame, own: DataFrame, percent: int, folder: str) -> DataFrame:
+    """The pairs (u, v) whose full shingle sets have 100 * intersection >= percent * union; own: doc_id, set.
+
+    A u with many partners is dealt to parts of FAN of them, and its set goes to each part once.
+    """
+    large = stored(pairs.groupBy("u").agg(F.ceil(F.count("*") / FAN).alias("parts")).where("parts > 1"), folder, "large-hubs")
+    hubs = own.join(large.withColumnRenamed("u", "doc_id"), "doc_id", "left").select(F.col("doc_id").alias("u"), F.col("set").alias("su"), F.explode(F.sequence(F.lit(0), (F.coalesce("parts", F.lit(1)) - 1).cast("int"))).alias("part"))
+    rows = with_parts(pairs, "u", "v", large).join(own.select(F.col("doc_id").alias("v"), F.col("set").alias("sv")), "v").join(hubs, ["u", "part"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            u, v, tu, tv = (column(b, x) for x in ("u", "v", "tu", "tv"))
-            done = np.concatenate([[0], np.cumsum(pc.add(pc.binary_length(tu), pc.binary_length(tv)).to_numpy(zero_copy_only=False).astype(np.int64))])
-            lo = 0
-            while lo < b.num_rows:  # about 2 MB of text, or one pair
-                to = max(lo + 1, int(np.searchsorted(done, done[lo] + (2 << 20), "right")) - 1)
-                both = pa.concat_arrays([tu.slice(lo, to - lo), tv.slice(lo, to - lo)])
-                parts = []
-                for c in chunks_of(both):
-                    sets, n = shingle_sets(c, words)
-                    parts += np.split(sets, np.cumsum(n)[:-1])
-                good = []
-                for x, y in zip(parts[: to - lo], parts[to - lo :], strict=True):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    either = len(x) + len(y) - shared
-                    good.append(either > 0 and 100 * shared >= percent * either)
-                keep = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([u.slice(lo, to - lo).filter(keep), v.slice(lo, to - lo).filter(keep)], ["u", "v"])
-                lo = to
-
-    return rows.select("u", "v", "tu", "tv").mapInArrow(run, "u long, v long")
-
-
-def rest_of(groups: DataFrame, own: DataFrame, words: int, percent: int) -> DataFrame:
+            good = []
+            for x, y in zip(hashes_of(column(b, "su")), hashes_of(column(b, "sv")), strict=True):
+                at = np.minimum(np.searchsorted(y, x), max(len(y) - 1, 0))
+                shared = int((y[at] == x).sum()) if len(y) else 0
+                either = len(x) + len(y) - shared
+                good.append(either > 0 and 100 * shared >= percent * either)
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([column(b, "u").filter(keep), column(b, "v").filter(keep)], ["u", "v"])
+
+    return rows.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def rest_of(groups: DataFrame, own: DataFrame, percent: int, folder: str) -> DataFrame:
     """Links (u, v) between members of a hub's group in different components, one of them outside the hub's.
 
     groups: hub, doc_id, n, component, centre (the hub's component).  A group is dealt to blocks
-    of about BLOCK members; a block with outsiders meets every block of its group, each meeting
-    a task of bounded size that counts common shingles as a matrix product.  Only links leave it.
+    of about BLOCK members and BLOCK_SHINGLES shingles; a block with outsiders meets every block
+    of its group, each meeting a task of bounded size that counts common shingles as a matrix
+    product.  Rows meet their block's meetings, so no group is gathered; only links leave.
     """
-    sizes = groups.groupBy("hub").agg(F.count("*").alias("size"), F.max(F.col("component") != F.col("centre")).alias("open")).where("open and size > 1").drop("open")
-    dealt = groups.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)).cast("int"))
-    outside = dealt.where("component <> centre")
-    away = outside.select("hub", F.col("block").alias("a")).distinct()
-    rows = dealt.select("hub", "doc_id", "component", "size", "block", (F.col("component") != F.col("centre")).alias("out"))
-    left = rows.where("out").select("hub", F.col("block").alias("a"), F.explode(F.sequence(F.lit(0), (F.ceil(F.col("size") / BLOCK) - 1).cast("int"))).alias("b"), "doc_id", "component", F.lit(0).alias("side"))
-    right = rows.join(away, "hub").select("hub", "a", F.col("block").alias("b"), "doc_id", "component", F.lit(1).alias("side"))
+    sizes = groups.groupBy("hub").agg(F.count("*").alias("size"), F.sum("n").alias("n"), F.max(F.col("component") != F.col("centre")).alias("open")).where("open and size > 1")
+    sizes = stored(sizes.select("hub", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("n") / BLOCK_SHINGLES)).alias("parts")), folder, "open-groups")
+    dealt = with_parts(groups, "hub", "doc_id", sizes.where("parts > 1"), "block").select("hub", "block", "doc_id", "component", (F.col("component") != F.col("centre")).alias("out"))
+    dealt = stored(dealt, folder, "dealt")
+    away = dealt.where("out").select("hub", F.col("block").alias("a")).distinct()
+    meetings = stored(away.join(sizes, "hub").select("hub", "a", F.explode(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int"))).alias("b")), folder, "meetings")
+    left = dealt.where("out").join(meetings.withColumn("block", F.col("a")), ["hub", "block"]).select("hub", "a", "b", "doc_id", "component", F.lit(0).alias("side"))
+    right = dealt.join(meetings.withColumn("block", F.col("b")), ["hub", "block"]).select("hub", "a", "b", "doc_id", "component", F.lit(1).alias("side"))
     met = left.unionByName(right).join(own, "doc_id")
 
     def run(t: pa.Table) -> pa.Table:
         side, doc, comp = (t.column(x).to_numpy() for x in ("side", "doc_id", "component"))
-        parts: list = []
-        for c in chunks_of(t.column("text")):
-            sets, n = shingle_sets(c, words)
-            parts += np.split(sets, np.cumsum(n)[:-1])
+        parts = hashes_of(t.column("set"))
         i, j = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         size = np.array([len(x) for x in parts])
         both = np.zeros((len(i), len(j)), np.float32)
         if len(i) and len(j):
             common = np.intersect1d(np.concatenate([parts[k] for k in i]), np.concatenate([parts[k] for k in j]))
             for lo in range(0, len(common), 4096):
-                own = common[lo : lo + 4096]
-                grid = [np.stack([np.isin(own, parts[k], assume_unique=True) for k in x]).astype(np.float32) for x in (i, j)]
+                some = common[lo : lo + 4096]
+                grid = [np.stack([np.isin(some, parts[k], assume_unique=True) for k in x]).astype(np.float32) for x in (i, j)]
                 both += grid[0] @ grid[1].T
         either = size[i][:, None] + size[j][None, :] - both
         good = (100 * both >= percent * either) & (either > 0) & (comp[i][:, None] != comp[j][None, :])
@@ -222,14 +226,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = placed.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), "n").distinct()
     star = star.join(size.select(F.col("doc_id").alias("u"), F.col("n").alias("nu")), "u")
     star = stored(star, folder, "star")
-    own = texts_of(docs, stored(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct(), folder, "candidates"), folder)
-    links = stored(confirm(star.where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v"), own, words, percent), folder, "links")
+    own = sets_of(docs, stored(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct(), folder, "candidates"), words, folder)
+    links = stored(confirm(star.where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v"), own, percent, folder), folder, "links")
     found = components(links, folder, "star-cc")
     # Members of a hub's group outside the hub's component: what the star has not settled.
     of = found.withColumnRenamed("id", "doc_id")
     groups = star.select(F.col("u").alias("hub"), F.col("v").alias("doc_id"), "n").join(of, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     groups = groups.join(of.select(F.col("doc_id").alias("hub"), F.col("component").alias("centre")), "hub", "left").withColumn("centre", F.coalesce("centre", "hub"))
-    more = stored(rest_of(groups, own, words, percent), folder, "more-links")
+    more = stored(rest_of(stored(groups.select("hub", "doc_id", "n", "component", "centre"), folder, "groups"), own, percent, folder), folder, "more-links")
     if more.isEmpty():
         final = found
     else:
