@@ -2,15 +2,16 @@
 
 Method.  Equal vectors of one label are one node with a multiplicity.  A label's nodes are dealt
 to shards of about SHARD nodes; each shard builds a layered small-world graph.  Every node of
-the label queries every shard with a beam search, then follows links above the threshold.  Each
-task audits a sample of its queries against brute force and doubles the beam until the recall
-reaches TARGET (a beam as wide as the shard is brute force).  A link that one end finds within a shard
-holds for both.  Hits are verified by cosine in
-double precision.  A task sends one edge a node (to the root of its own union) and the node's
-number of links, never all pairs; components are united over all tasks.
+the label queries every shard with a beam search, then follows links above the threshold; of two
+shards the nodes of the one with the lower number ask the other, and a link found holds for both ends.
+Each task audits queries against brute force until they have SEEN true links (or all queries are
+audited), and widens the beam until both the share of links and the share of audited queries with
+TARGET of their own links reach TARGET; past WIDEST the beam is the shard, which is brute force.
+Hits are verified by cosine in double precision.  A task sends one edge a node (to the root of its own union) and the
+node's number of links, never all pairs; components are united over all tasks.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and rows
-without a label or vec_id, link with nothing; vectors of different lengths never link; repeated
+without a label or vec_id, link with nothing and are kept; vectors of different lengths never link; repeated
 rows count as vectors of their own; an empty table gives an empty result; extra columns are
 ignored.
 """
@@ -29,8 +30,9 @@ from .components import components
 
 SHARD = 8192
 DEGREE = 12
-BEAM = 32
-AUDIT = 64
+BEAM, WIDEST = 32, 128
+AUDIT = 64  # queries audited at first
+SEEN = 50  # true links that an audit has to hold
 TARGET = 0.99
 BLOCK = 256
 EXPAND = 4  # candidates of a beam looked at together
@@ -110,6 +112,15 @@ class Hnsw:
                 self.layers[i].links[: self.sizes[i - 1]] = self.layers[i - 1].links
             self._grow(i, self.sizes[i - 1] if i else 0, size)
 
+    def slim(self) -> Hnsw:
+        """Without the vectors, to be stored; whole() puts them back."""
+        self.x = None
+        return self
+
+    def whole(self, x: np.ndarray) -> Hnsw:
+        self.x = x.astype(np.float32)[self.order]
+        return self
+
     def _grow(self, i: int, done: int, size: int) -> None:
         layer = self.layers[i]
         while done < size:
@@ -207,52 +218,74 @@ class Hnsw:
 
 
 def _matrix(col: pa.ChunkedArray | pa.Array, n: int) -> np.ndarray:
-    return np.asarray(pa.chunked_array([col]).combine_chunks().flatten() if isinstance(col, pa.Array) else col.combine_chunks().flatten(), np.float32).reshape(n, -1)
+    """Vectors in the precision that they came in."""
+    return np.asarray(pa.chunked_array([col]).combine_chunks().flatten() if isinstance(col, pa.Array) else col.combine_chunks().flatten()).reshape(n, -1)
 
 
 def build(t: pa.Table) -> pa.Table:
     ids, times = t.column("rep").to_numpy(), t.column("times").to_numpy()
-    x = unit(_matrix(t.column("x"), t.num_rows))
-    graph = pickle.dumps((ids, times, x, Hnsw(x)), protocol=5)
+    x = _matrix(t.column("x"), t.num_rows)
+    graph = pickle.dumps((ids, times, x, Hnsw(unit(x)).slim()), protocol=5)
     return pa.table({"label": t.column("label").slice(0, 1), "dim": t.column("dim").slice(0, 1), "shard": t.column("shard").slice(0, 1), "graph": pa.array([graph], pa.binary())})
 
 
+def audited(y: np.ndarray, x: np.ndarray, own: np.ndarray, least: float, seen: int = SEEN) -> tuple[np.ndarray, np.ndarray]:
+    """Queries picked at random and their numbers of true links, enlarged until these add up to `seen`.  own: each query's place in x, or -1 (its link to itself does not count)."""
+    order, at, pick, true = np.random.default_rng(1).permutation(len(y)), 0, [], []
+    while at < len(order) and (not at or sum(t.sum() for t in true) < seen):
+        part = order[at : at + max(AUDIT, min(at, 512))]
+        hit = y[part] @ x.T >= least
+        inside = np.flatnonzero(own[part] >= 0)
+        hit[inside, own[part[inside]]] = False
+        pick.append(part)
+        true.append(hit.sum(1))
+        at += len(part)
+    return np.concatenate(pick), np.concatenate(true)
+
+
 def search(least: float, target: float):
     def run(t: pa.Table) -> pa.Table:
-        """One shard's graph (the row with a graph) and a block of queries: an edge and a number of links for each query."""
+        """One shard's graph (the row with a graph) and the nodes of an equal or lower shard: an edge and a number of links for each node met."""
         q = t.filter(t.column("graph").is_null())
         blob = t.filter(t.column("graph").is_valid()).column("graph")
         rep, times = q.column("rep").to_numpy(), q.column("times").to_numpy()
         if not len(rep) or not len(blob):
             return pa.table({"u": pa.array([], pa.int64()), "v": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
         ids, own_times, x, graph = pickle.loads(blob[0].as_py())
-        y = unit(_matrix(q.column("x"), len(rep)))
-        pick = np.random.default_rng(1).permutation(len(rep))[:AUDIT]
-        true = (y[pick] @ x.T >= least).sum()
+        x, y = unit(x), unit(_matrix(q.column("x"), len(rep)))
+        graph = graph.whole(x)
+        by_id = np.argsort(ids)
+        place = by_id[np.minimum(np.searchsorted(ids, rep, sorter=by_id), len(ids) - 1)]
+        place = np.where(ids[place] == rep, place, -1)
+        pick, true = audited(y, x, place, least)
         beam = BEAM
         while True:
             if beam >= len(x):
                 who, what = (np.concatenate(z) for z in zip(*[(lambda a: (a[0] + k, a[1]))(np.nonzero(y[k : k + 512] @ x.T >= least)) for k in range(0, len(y), 512)], strict=True))
+            else:
+                who, what = graph.within(y, least - 1e-4, beam)
+                exact = np.concatenate([(y[who[k : k + 65536]] * x[what[k : k + 65536]]).sum(1) for k in range(0, len(who), 65536)] or [np.zeros(0)])
+                who, what = who[exact >= least], what[exact >= least]
+            other = place[who] != what
+            who, what = who[other], what[other]
+            if beam >= len(x):
                 break
-            who, what = graph.within(y, least - 1e-4, beam)
-            exact = np.concatenate([(y[who[k : k + 65536]] * x[what[k : k + 65536]]).sum(1) for k in range(0, len(who), 65536)] or [np.zeros(0)])
-            who, what = who[exact >= least], what[exact >= least]
-            if np.isin(who, pick).sum() >= target * true:
+            found = np.bincount(who, minlength=len(rep))[pick]
+            if found.sum() >= target * true.sum() and (found >= target * true).mean() >= target:
                 break
-            beam *= 2
-        if len(rep) == len(ids):  # a shard's own nodes ask it: a link found from one end holds for both
-            order = np.argsort(rep)
-            back = order[np.minimum(np.searchsorted(rep, ids[what], sorter=order), len(rep) - 1)]
-            if (rep[back] == ids[what]).all():
-                own = np.argsort(ids)
-                place = own[np.minimum(np.searchsorted(ids, rep, sorter=own), len(ids) - 1)]
-                pairs = np.unique(np.concatenate([who * len(ids) + what, back * len(ids) + place[who]]))
-                who, what = pairs // len(ids), pairs % len(ids)
-        other = rep[who] != ids[what]
-        who, what = who[other], what[other]
+            beam = beam * 4 if beam < WIDEST else len(x)
+        if (place >= 0).all():  # a shard's own nodes ask it: a link found from one end holds for both
+            turned = np.full(len(ids), -1, np.int64)
+            turned[place] = np.arange(len(rep))
+            pairs = np.unique(np.concatenate([who * len(ids) + what, turned[what] * len(ids) + place[who]]))
+            who, what = pairs // len(ids), pairs % len(ids)
+            back = np.zeros(len(ids), np.int64)
+        else:
+            back = np.bincount(what, times[who], len(ids)).astype(np.int64)
         links = np.bincount(who, own_times[what], len(rep)).astype(np.int64)
+        met = np.flatnonzero(back)
         u, v = unite(rep[who], ids[what])
-        return pa.table({"u": pa.array(np.concatenate([rep, u])), "v": pa.array(np.concatenate([rep, v])), "links": pa.array(np.concatenate([links, np.zeros(len(u), np.int64)]))})
+        return pa.table({"u": pa.array(np.concatenate([rep, ids[met], u])), "v": pa.array(np.concatenate([rep, ids[met], v])), "links": pa.array(np.concatenate([links, back[met], np.zeros(len(u), np.int64)]))})
 
     return run
 
@@ -279,19 +312,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, target: float = TAR
     spark = vectors.sparkSession
     ship(spark)
     folder = shared_dir(spark)
-    rows = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("float") + F.lit(0).cast("float")).alias("x"))
+    kind = vectors.schema["embedding"].dataType.elementType.simpleString()
+    kind = kind if kind in ("float", "double") else "double"
+    rows = vectors.select("vec_id", "label", F.transform("embedding", lambda x: x.cast(kind) + F.lit(0).cast(kind)).alias("x"))
     good = rows.where("vec_id is not null and label is not null and size(x) > 0").where(~F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.exists("x", lambda x: x != 0))
-    keyed = stored(good.select("vec_id", "label", "x", F.xxhash64("x").alias("h1"), F.hash("x").alias("h2"), F.size("x").alias("dim")), folder, "vectors")
+    keyed = stored(good.select("vec_id", "label", "x", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(7), "x").alias("h2"), F.size("x").alias("dim")), folder, "vectors")
     key = ["label", "dim", "h1", "h2"]
     classes = stored(keyed.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("times")), folder, "classes")
     nodes = classes.join(keyed.select(F.col("vec_id").alias("rep"), "x", *key), ["rep", *key]).dropDuplicates(["rep", *key])
     sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).alias("shards"))
     nodes = stored(nodes.join(sizes, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int")).select("label", "dim", "shard", "shards", "rep", "times", "x"), folder, "nodes")
-    kind = nodes.schema["label"].dataType.simpleString()
-    graphs = stored(nodes.groupBy("label", "dim", "shard").applyInArrow(build, f"label {kind}, dim int, shard int, graph binary"), folder, "graphs")
-    every = F.explode(F.sequence(F.lit(0), (F.col("shards") - 1).cast("int")))
-    asked = nodes.select("label", "dim", F.col("shard").alias("block"), every.alias("shard"), "rep", "times", "x", F.lit(None).cast("binary").alias("graph"))
-    sent = graphs.join(sizes, ["label", "dim"]).select("label", "dim", every.alias("block"), "shard", F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("times"), F.lit(None).cast("array<float>").alias("x"), "graph")
+    label = nodes.schema["label"].dataType.simpleString()
+    graphs = stored(nodes.groupBy("label", "dim", "shard").applyInArrow(build, f"label {label}, dim int, shard int, graph binary"), folder, "graphs")
+    above = F.explode(F.sequence(F.col("shard"), (F.col("shards") - 1).cast("int")))
+    upto = F.explode(F.sequence(F.lit(0), F.col("shard")))
+    asked = nodes.select("label", "dim", F.col("shard").alias("block"), above.alias("shard"), "rep", "times", "x", F.lit(None).cast("binary").alias("graph"))
+    sent = graphs.join(sizes, ["label", "dim"]).select("label", "dim", upto.alias("block"), "shard", F.lit(0).cast("long").alias("rep"), F.lit(0).cast("long").alias("times"), F.lit(None).cast(f"array<{kind}>").alias("x"), "graph")
     found = stored(asked.unionByName(sent).groupBy("label", "dim", "block", "shard").applyInArrow(search(least, target), "u long, v long, links long"), folder, "found")
     comp = components(found.where("u <> v").select("u", "v"), folder)
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
@@ -300,7 +336,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, target: float = TAR
     out = out.select("vec_id", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     alone = rows.where(F.col("vec_id").isNull() | F.col("label").isNull() | (F.coalesce(F.size("x"), F.lit(0)) <= 0) | F.coalesce(F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(True)) | ~F.coalesce(F.exists("x", lambda x: x != 0), F.lit(False)))
     out = out.unionByName(alone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
-    return out.select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return out.select("vec_id", "n_links", "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

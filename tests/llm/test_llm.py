@@ -509,6 +509,25 @@ def test_vectors_against_brute_force(spark, shard):
     assert hnsw.near_duplicates(df.where("vec_id < -1000000")).count() == 0
 
 
+def test_vectors_in_double_precision(spark):
+    """A pair whose cosine is under the threshold by less than single precision can tell."""
+    c = 0.93 - 1e-9
+    rows = [(1, [1.0, 0.0], 1), (2, [c, float(np.sqrt(1 - c * c))], 1), (3, [0.0, 1.0], 2), (4, [float(np.sqrt(1 - 0.9301**2)), 0.9301], 2), (None, [1.0, 0.0], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: (0, 1, True), 2: (0, 2, True), 3: (1, 3, True), 4: (1, 3, False), None: (0, None, True)}
+
+
+def test_audit_sees_rare_links():
+    """Two linked pairs among 3,000 vectors: the audit goes on until it holds them, and every pair is found."""
+    r = np.random.default_rng(4)
+    x = hnsw.unit(r.normal(size=(3000, 32)))
+    x[2000], x[2500] = hnsw.unit(x[[10, 20]] + 0.02 * r.normal(size=(2, 32)))
+    pick, true = hnsw.audited(x, x, np.arange(3000), 0.93)
+    assert len(pick) == 3000 and true.sum() == 4
+    pick, true = hnsw.audited(x, x, np.arange(3000), -1.0)
+    assert len(pick) == hnsw.AUDIT and true.sum() == hnsw.AUDIT * 2999
+
+
 def test_graph_recall():
     r = np.random.default_rng(1)
     x = hnsw.unit(r.normal(size=(3000, 24)))
