@@ -1,11 +1,13 @@
 """Substring deduplication by a log-structured index of window fingerprints.
 
-Method.  A fingerprint is the hash of WINDOW consecutive words (64 bits to find, 32 more to
-verify).  The index is a list of immutable runs (Parquet, sorted by fingerprint), each holding
-the earliest document of a fingerprint.  A new batch of documents becomes a run of its own; its
-fingerprints are merge-joined with the history, and a window whose fingerprint has an earlier
-document, or an earlier start in its own, is a repeat.  Runs are compacted into one when there
-are more than FANOUT.  Batches are taken in ascending order of doc_id.
+Method.  A fingerprint is the hash of WINDOW consecutive words: 64 bits to find, and 64 more of
+an independent hash that verify.  The index is a list of immutable runs, each holding the
+earliest document of a fingerprint; a run is a Parquet table bucketed and sorted by fingerprint.
+A new batch is shuffled once, to the runs' buckets, and merge-joined with every run where it
+lies: history is never shuffled again.  What is new becomes a run; a window whose fingerprint has
+an earlier document, or an earlier start in its own, is a repeat.  Runs are compacted into one,
+bucket by bucket, when there are more than FANOUT.  A manifest names the runs, so that a later
+session opens the index again and adds to it.  Batches are taken in ascending order of doc_id.
 
 Most windows occur once.  Each window is tied to the least GRAM-word hash among its words
 (winnowing: equal windows choose the same one); a window whose hash occurs once
@@ -22,20 +24,22 @@ compared with themselves only.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BYTE_B, SPACES, U64, Chunk, chunks_of, column, covered, ints, mix, opened, read, shared_dir, ship, signed, stored, window_hash, word_hashes, words_of
+from .common import BYTE_B, SPACES, U64, Chunk, chunks_of, column, covered, drop_dir, ints, mix, opened, read, shared_dir, ship, signed, stored, window_hash, word_hashes, words_of
 
 WINDOW = 20
 GRAM = 8
-BATCHES = 2
+BATCHES = 4
 FANOUT = 2
 NONE = U64(0xFFFFFFFFFFFFFFFF)
 
@@ -78,7 +82,7 @@ def recurring(docs: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
     return stored(seen.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h"), folder, "recurring")
 
 
-FINGERPRINT = "h long, v int, doc_id long, at int, span int"
+FINGERPRINT = "h long, v long, doc_id long, at int, span int"
 
 
 def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDOW) -> DataFrame:
@@ -106,7 +110,7 @@ def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDO
                     use &= np.cumsum(reach)[: len(ok)] > 0
                 w = np.flatnonzero(use)
                 f = window_hash(h, window)[w]
-                v = window_hash(word_hashes(c, start, end, bytes_table=BYTE_B), window)[w] >> U64(33)
+                v = window_hash(word_hashes(c, start, end, bytes_table=BYTE_B), window)[w]
                 own, ids = doc[w], keys[c.rows]
                 order = np.lexsort((w, ids[own], v, f))
                 f, v, own, w = f[order], v[order], own[order], w[order]
@@ -123,52 +127,92 @@ def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDO
                 size = np.diff(np.concatenate([i, [len(gone)]])) - 1 + window
                 s, t = gone[i], doc[gone[i]]
                 f, v, own, w = f[new], v[new], own[new], w[new]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(v.astype(np.int32)), pa.array(ids[own]), pa.array((w - first[own]).astype(np.int32)), pa.nulls(len(f), pa.int32())], ["h", "v", "doc_id", "at", "span"])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids[t].astype(np.int64).view(np.uint64) * U64(2654435761) + s.astype(U64)))), pa.array(np.full(len(s), -1, np.int32)), pa.array(ids[t]), pa.array((s - first[t]).astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "v", "doc_id", "at", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(signed(v)), pa.array(ids[own]), pa.array((w - first[own]).astype(np.int32)), pa.nulls(len(f), pa.int32())], ["h", "v", "doc_id", "at", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids[t].astype(np.int64).view(np.uint64) * U64(2654435761) + s.astype(U64)))), pa.array(np.full(len(s), -1, np.int64)), pa.array(ids[t]), pa.array((s - first[t]).astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "v", "doc_id", "at", "span"])
 
     return docs.select("doc_id", "text").mapInArrow(run, FINGERPRINT)
 
 
 class FingerprintIndex:
-    """Immutable runs (h, v, first) under a folder, each sorted by fingerprint."""
+    """Immutable runs (h, v, first) below a folder, bucketed and sorted by fingerprint, and the manifest that names them.
 
-    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW):
-        self.spark, self.folder, self.window, self.runs, self.made = spark, folder, window, [], 0
+    Cases: an empty batch adds an empty run; a batch given twice finds all of its windows in
+    the same documents, so repeats nothing but what it repeated before; fingerprints that are null
+    are left out; opening a folder without a manifest starts an empty index.
+    """
 
-    def history(self) -> DataFrame | None:
-        out = None
-        for r in self.runs:
-            out = r if out is None else out.unionByName(r)
-        return out
+    def __init__(self, spark: SparkSession, folder: str, window: int = WINDOW):
+        self.spark, self.folder, self.window = spark, folder, window
+        self.runs: list[str] = []
+        self.made, self.buckets = 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.name = "fingerprints_" + uuid.uuid4().hex
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> FingerprintIndex:
+        """The index that an earlier session left in the folder."""
+        own = cls(spark, folder)
+        try:
+            last = spark.read.json(f"{folder}/manifest-*").orderBy(F.desc("version")).first()
+        except AnalysisException:  # no manifest yet
+            return own
+        own.made, own.buckets, own.window, own.runs = last.version, last.buckets, last.window, list(last.runs)
+        return own
+
+    def _note(self) -> None:
+        self.spark.createDataFrame([(self.made, self.buckets, self.window, self.runs)], "version long, buckets int, window int, runs array<string>").coalesce(1).write.mode("overwrite").json(f"{self.folder}/manifest-{self.made}")
+
+    def _table(self, run: str) -> DataFrame:
+        """A run with its bucketing known to the planner."""
+        name = f"{self.name}_{run.replace('-', '_')}"
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {name} (h BIGINT, v BIGINT, first BIGINT) USING parquet CLUSTERED BY (h, v) SORTED BY (h, v) INTO {self.buckets} BUCKETS LOCATION '{self.folder}/{run}'")
+        return self.spark.table(name)
+
+    def _write(self, rows: DataFrame) -> None:
+        """rows (h, v, first), already dealt by fingerprint, as the next run."""
+        self.made += 1
+        run = f"run-{self.made}"
+        self._table(run)
+        rows.select("h", "v", "first").write.mode("append").format("parquet").bucketBy(self.buckets, "h", "v").sortBy("h", "v").saveAsTable(f"{self.name}_{run.replace('-', '_')}")
+        self.runs.append(run)
 
     def append(self, batch: DataFrame) -> DataFrame:
         """Add fingerprints() of a batch; its repeats: doc_id, at, span.
 
-        One shuffle by fingerprint sorts the batch and merge-joins it with the history; what is
-        new becomes the batch's run, what is not is a repeat, and both are written together.
+        The batch is ranked and compared once and written; what is new goes from there to a run.
         """
         by = Window.partitionBy("h", "v").orderBy("doc_id", "at")
-        ranked = batch.withColumn("first", F.first("doc_id").over(by)).withColumn("nth", F.row_number().over(by))
-        past = self.history()
-        if past is None:
-            ranked = ranked.withColumn("before", F.lit(None).cast("long"))
-        else:
-            past = past.groupBy("h", "v").agg(F.min("first").alias("before")) if len(self.runs) > 1 else past.withColumnRenamed("first", "before")
-            ranked = ranked.join(past, ["h", "v"], "left")
+        dealt = batch.where("h is not null").repartition(self.buckets, "h", "v")
+        ranked = dealt.withColumn("first", F.first("doc_id").over(by)).withColumn("nth", F.row_number().over(by)).withColumn("before", F.lit(None).cast("long"))
+        for run in self.runs:
+            past = self._table(run).withColumnRenamed("first", "past")
+            ranked = ranked.join(past.hint("merge"), ["h", "v"], "left").withColumn("before", F.least("before", "past")).drop("past")
         repeat = F.col("span").isNotNull() | (F.col("doc_id") > F.least("first", F.coalesce("before", "first")))
         new = F.col("span").isNull() & (F.col("nth") == 1) & (F.col("before").isNull() | (F.col("before") > F.col("first")))
         rows = ranked.where(repeat | new).select(F.when(new, F.col("h")).alias("h"), F.when(new, F.col("v")).alias("v"), "doc_id", F.when(repeat, F.col("at")).alias("at"), F.when(repeat, F.coalesce("span", F.lit(self.window))).alias("span"))
-        self.made += 1
-        whole = stored(rows, self.folder, f"run-{self.made}")
-        self.runs.append(whole.where("h is not null").select("h", "v", F.col("doc_id").alias("first")))
+        whole = stored(rows, self.folder, f"batch-{self.made + 1}")
+        self._write(whole.where("h is not null").select("h", "v", F.col("doc_id").alias("first")))
+        self._note()
         return whole.where("at is not null").select("doc_id", "at", "span")
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        if len(self.runs) > 1:
-            self.made += 1
-            merged = self.history().groupBy("h", "v").agg(F.min("first").alias("first")).sortWithinPartitions("h", "v")
-            self.runs = [stored(merged, self.folder, f"run-{self.made}")]
+        """Merge all runs into one, bucket by bucket; the old runs go once the manifest no longer names them."""
+        if len(self.runs) < 2:
+            return
+        old, every = self.runs, None
+        for run in old:
+            own = self._table(run)
+            every = own if every is None else every.unionByName(own)
+        self.runs = []
+        self._write(every.groupBy("h", "v").agg(F.min("first").alias("first")))
+        self._note()
+        for run in old:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
+            drop_dir(self.spark, f"{self.folder}/{run}")
+
+    def close(self) -> None:
+        """Take the runs' names out of the session's catalog; the files stay."""
+        for run in self.runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{run.replace('-', '_')}")
 
 
 def remove(docs: DataFrame, repeats: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
@@ -209,6 +253,10 @@ def remove(docs: DataFrame, repeats: DataFrame, folder: str, window: int = WINDO
                 w = w[order]
                 again = np.zeros(len(w), bool)
                 again[1:] = (f[w[1:]] == f[w[:-1]]) & (doc[w[1:]] == doc[w[:-1]])
+                twin = np.flatnonzero(again)
+                if len(twin):  # verified by the second hash
+                    v = window_hash(word_hashes(c, start, end, bytes_table=BYTE_B), window)
+                    again[twin] = v[w[twin]] == v[w[twin - 1]]
                 again = w[again]
                 gone = covered(np.concatenate([far, again]), np.concatenate([np.asarray(pc.list_flatten(long.slice(c.rows.start, c.n))).astype(np.int64), np.full(len(again), window)]), len(h))
                 total = np.concatenate([[0], np.cumsum(gone)])
@@ -245,6 +293,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, batches: int = BATCHES) -
         repeats = again if repeats is None else repeats.unionByName(again)
         if len(index.runs) > FANOUT:
             index.compact()
+    index.close()
     return remove(docs, repeats, folder, window)
 
 

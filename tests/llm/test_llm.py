@@ -250,6 +250,25 @@ def test_fingerprint_index_grows_and_compacts(spark, docs, texts):
     assert got == plain_windows(texts)
 
 
+def test_fingerprint_index_opens_again(spark, docs, texts):
+    """A batch added after the index was opened anew gives what one pass gives; history is not shuffled; a batch given twice is found in its own documents."""
+    folder, cut = shared_dir(spark), sorted(i for i, _ in texts)[30]
+    first = substring.FingerprintIndex.open(spark, folder)
+    old = first.append(substring.fingerprints(docs.where(F.col("doc_id") < cut), None))
+    first.close()
+    again = substring.FingerprintIndex.open(spark, folder)
+    assert again.runs == ["run-1"] and again.made == 1
+    plan = again._table("run-1").groupBy("h", "v").count()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    new = again.append(substring.fingerprints(docs.where(F.col("doc_id") >= cut), None))
+    got = {r.doc_id: tuple(r) for r in substring.remove(docs, old.unionByName(new), shared_dir(spark)).drop("kept").collect()}
+    assert got == plain_windows(texts)
+    assert again.append(substring.fingerprints(docs.where(F.col("doc_id") < cut), None)).exceptAll(old).count() == 0
+    again.compact()
+    assert len(again.runs) == 1 and substring.FingerprintIndex.open(spark, folder).runs == again.runs
+    again.close()
+
+
 # ---- 5
 
 
