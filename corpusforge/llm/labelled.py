@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 #: Labelled rows a class that a classifier is fitted on at most, and the longest text among them (bytes).
 SAMPLE_ROWS = 1500
 SAMPLE_BYTES = 1 << 16
+#: Rows without a label that the label model of weak supervision sees at most.
+UNLABELLED_ROWS = 1500
 #: Bytes of text the driver takes for a class at most; rows beyond it (in hash order) are not used for fitting.
 SAMPLE_TOTAL = 12 << 20
 
@@ -60,3 +62,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
                 texts.append(r.text)
                 out.append(value)
     return Sample(texts, out, counts.get(1, 0) / total if total else 0.0)
+
+
+def unlabelled(docs: DataFrame, labels: DataFrame, rows: int = UNLABELLED_ROWS, longest: int = SAMPLE_BYTES // 8) -> list[str]:
+    """Texts of at most `rows` documents without a label, outside the held-out fold, chosen by hash of the id; texts over `longest` bytes, null and empty ones are left out."""
+    some = docs.where(F.col("doc_id").isNotNull() & ~held_out() & F.octet_length("text").between(1, longest)).select("doc_id", F.xxhash64("doc_id").alias("rank"))
+    ids = some.join(labels.select("doc_id").distinct(), "doc_id", "left_anti").orderBy("rank", "doc_id").limit(rows).distinct()
+    picked = [r.doc_id for r in ids.collect()]
+    if not picked:
+        return []
+    chosen = docs.sparkSession.createDataFrame([(x,) for x in picked], "doc_id long")
+    found = docs.where(F.octet_length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
+    return [r.text for r in found.collect()]

@@ -1,15 +1,17 @@
 """Toxicity by weak supervision.
 
-Method.  Many voters look at a document: every entry of a lexicon of insults, every stem mined
-from the labelled training rows, and a few patterns; each votes toxic, clean or abstains.  A
-generative label model (expectation maximisation over the votes; a training row's label is one
-more voter) estimates each voter's rates under both classes; voters whose votes stay correlated
-given the class share one voice.  Its posterior labels train a logistic
-regression on counts of words and word stems, which scores every whole text.
+Method.  Dozens of voters look at a document: every entry of a lexicon of insults, every stem mined
+from the labelled training rows, and patterns (several entries, entries and shouting, entries in
+a short text, density, none in many words); each votes toxic, clean or abstains.  A generative
+label model is fitted by expectation maximisation on the votes of labelled and unlabelled rows: it
+estimates each voter's rates under both classes, a row's label being one more voter whose own
+accuracy is estimated with the others', and voters whose votes stay correlated given the class
+share one voice.  Its posterior labels, of all these rows, train a logistic regression on words
+and word stems, which scores every whole text.
 
 Cases: null and empty texts have no features and score the bias; very long texts are scored
-whole; repeated rows score alike; without labels only lexicon and patterns vote; an empty table
-gives an empty result; extra columns are ignored.
+whole; repeated rows and ties score alike; without labels only lexicon and patterns vote; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, BASE_INV, BYTE_A, LOWER, NOT_ALNUM, U64, Chunk, chunks_of, column, mix, prefix, read, spans_hash, words_of
-from .labelled import Sample, held_out, sample
+from .labelled import Sample, held_out, sample, unlabelled
 
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6, 7)
 MINED = 1024  # stems kept, by weight of evidence
 KEPT = 4096  # features of the classifier
 SURPRISE = 3.5  # standard errors by which a feature must stand out
-GOLD = 5.0  # log odds of a label as a voter
+GOLD = 5.0  # greatest log odds of a label as a voter; its accuracy is estimated
 SPARSE = 250  # an entry votes if it is at least one word in so many
 #: Insults that start the lexicon (English, German, French, Spanish).
 LEXICON = (
@@ -52,9 +54,9 @@ def features(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(who), n
 
 
-def strength(n: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Value of a feature that a text of so many words holds n times: grows with its density, less than in proportion, at any length."""
-    return np.sqrt(n / (1 + words / 100))
+def strength(n: np.ndarray, words: np.ndarray, insult: np.ndarray) -> np.ndarray:
+    """Value of a feature that a text of so many words holds n times: grows with its density, less than in proportion, at any length; an insult of the lexicon counts 1 more wherever it stands."""
+    return np.sqrt(n / (1 + words / 100)) + insult
 
 
 def word_feature(word: str) -> np.uint64:
@@ -63,6 +65,9 @@ def word_feature(word: str) -> np.uint64:
     return mix(spans_hash(pre, np.array([0]), np.array([len(raw)]), BASE_INV) + U64(1))[0]
 
 
+INSULTS = np.unique(np.array([word_feature(w) for w in LEXICON], U64))
+
+
 @dataclass
 class Counts:
     """Features by document of the sample, as sorted triples."""
@@ -114,25 +119,40 @@ def mine(x: Counts, y: np.ndarray) -> np.ndarray:
     return feats[pick]
 
 
+PATTERNS = 8
+
+
 def votes(x: Counts, entries: np.ndarray) -> np.ndarray:
     """documents x voters: 1 toxic, -1 clean, 0 abstains.  One voter an entry, then the patterns."""
-    table = np.zeros((x.docs, len(entries) + 3), np.int8)
+    table = np.zeros((x.docs, len(entries) + PATTERNS), np.int8)
+    hits = np.zeros(x.docs)
     if len(entries):
         order = np.argsort(entries)
         at = np.minimum(np.searchsorted(entries[order], x.feature), len(entries) - 1)
-        hit = (entries[order][at] == x.feature) & (x.n * SPARSE >= x.words[x.doc])
+        known = entries[order][at] == x.feature
+        hit = known & ((x.n * SPARSE >= x.words[x.doc]) | np.isin(x.feature, INSULTS))
         table[x.doc[hit], order[at[hit]]] = 1
-    kinds = table[:, : len(entries)].sum(1)
-    table[:, -3] = np.where(kinds >= 3, 1, np.where(kinds == 0, -1, 0))  # several entries, or none at all
-    table[:, -2] = np.where((kinds > 0) & (x.bangs > 0), 1, 0)  # an entry, and shouting
-    table[:, -1] = np.where((kinds == 0) & (x.words >= 20), -1, 0)  # enough words without one
+        hits = np.bincount(x.doc[known], x.n[known], x.docs)
+    kinds, words = table[:, : len(entries)].sum(1), np.maximum(x.words, 1)
+    for k, (toxic, clean) in enumerate((
+        (kinds >= 2, kinds == 0),  # several entries, or none
+        (kinds >= 4, kinds < 1),
+        ((kinds > 0) & (x.bangs > 0), (kinds == 0) & (x.bangs == 0)),  # an entry and shouting
+        ((kinds > 0) & (words <= 60), np.zeros(x.docs, bool)),  # an entry in a short text
+        (hits >= 0.02 * words, hits == 0),  # density
+        (hits >= 0.05 * words, hits < 0.002 * words),
+        (np.zeros(x.docs, bool), (hits == 0) & (words >= 20)),  # many words without one
+        (np.zeros(x.docs, bool), (hits == 0) & (words >= 200)),
+    )):
+        table[:, len(entries) + k] = np.where(toxic, 1, np.where(clean, -1, 0))
     return table
 
 
 def label_model(table: np.ndarray, prior: float, gold: np.ndarray, rounds: int = 25) -> np.ndarray:
     """Posterior of the toxic class: per-voter rates by EM, one voice for each group of correlated voters.
 
-    gold: 1, 0, or -1 where a row has no label; a label is one more voter, of the fixed log odds GOLD.
+    gold: 1, 0, or -1 where a row has no label; labels are one more voter, whose rates are estimated
+    like the others' and whose log odds GOLD bounds.
     """
     n, m = table.shape
     pos, neg = (table == 1).astype(np.float32), (table == -1).astype(np.float32)
@@ -142,12 +162,13 @@ def label_model(table: np.ndarray, prior: float, gold: np.ndarray, rounds: int =
         return np.full(n, prior)
     pos, neg = pos[:, used], neg[:, used]
     vote = pos.sum(1) > 0
-    told = np.where(gold == 1, GOLD, np.where(gold == 0, -GOLD, 0.0))
     q = np.where(gold == 1, 0.95, np.where(gold == 0, 0.02, np.where(vote, 0.8, prior / 4)))
-    share = np.ones(len(used))
+    share, yes, no = np.ones(len(used)), gold == 1, gold == 0
     for step in range(rounds):
         w1, w0 = q.sum() + 2, (1 - q).sum() + 2
         rates = [((q @ pos + 0.2) / w1, (q @ neg + 0.2) / w1), (((1 - q) @ pos + 0.02) / w0, ((1 - q) @ neg + 0.2) / w0)]
+        right = [(q @ yes + 1) / (q @ (yes | no) + 1.1), ((1 - q) @ no + 1) / ((1 - q) @ (yes | no) + 1.1)]  # of labels, by class
+        told = np.where(yes, np.log(right[0] / (1 - right[1])), np.where(no, np.log((1 - right[0]) / right[1]), 0.0)).clip(-GOLD, GOLD)
         if step in (3, 10):  # correlations of what the class leaves unexplained
             resid = pos - neg - np.outer(q, rates[0][0] - rates[0][1]) - np.outer(1 - q, rates[1][0] - rates[1][1])
             resid = resid.astype(np.float32)
@@ -163,11 +184,12 @@ def label_model(table: np.ndarray, prior: float, gold: np.ndarray, rounds: int =
 
 def fit_once(x: Counts, y: np.ndarray, toxic_share: float, rounds: int = 150) -> tuple[np.ndarray, np.ndarray, float]:
     """Sorted feature hashes, their weights, bias: mining, label model, logistic regression."""
-    mined = mine(x, y)
-    entries = np.unique(np.concatenate([np.array([word_feature(w) for w in LEXICON], U64), mined]))
+    told = np.flatnonzero(y >= 0)
+    mined = mine(part(x, told), y[told])
+    entries = np.unique(np.concatenate([INSULTS, mined]))
     if not x.docs:
         return entries, np.full(len(entries), 4.0), -3.0
-    q = label_model(votes(x, entries), toxic_share if len(y) else 0.1, y)
+    q = label_model(votes(x, entries), toxic_share if len(told) else 0.1, y)
     thick = x.n * SPARSE >= x.words[x.doc]
     feats, at = np.unique(x.feature[thick], return_inverse=True)
     seen = np.bincount(at, minlength=len(feats))
@@ -179,7 +201,7 @@ def fit_once(x: Counts, y: np.ndarray, toxic_share: float, rounds: int = 150) ->
     j = np.minimum(np.searchsorted(keep, x.feature), len(keep) - 1)
     ok = keep[j] == x.feature
     d, j = x.doc[ok], j[ok]
-    v = strength(x.n[ok], x.words[d])
+    v = strength(x.n[ok], x.words[d], np.isin(keep, INSULTS)[j])
     w, b = np.zeros(len(keep)), float(np.log(max(toxic_share, 0.02) / max(1 - toxic_share, 0.02)))
     w[np.isin(keep, entries)] = 1.0
     g2, gb2 = np.full(len(keep), 1e-4), 1e-4
@@ -217,20 +239,23 @@ def logits(x: Counts, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarray
     keep, w, b = model
     j = np.minimum(np.searchsorted(keep, x.feature), len(keep) - 1)
     ok = keep[j] == x.feature
-    return np.bincount(x.doc[ok], w[j[ok]] * strength(x.n[ok], x.words[x.doc[ok]]), x.docs) + b
+    return np.bincount(x.doc[ok], w[j[ok]] * strength(x.n[ok], x.words[x.doc[ok]], np.isin(keep, INSULTS)[j[ok]]), x.docs) + b
 
 
-def train(own: Sample, folds: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
-    """fit_once() on all rows; its bias is set on scores that each row gets from a model fitted without it."""
-    x, y = count(own.texts), np.array(own.labels, np.int64)
+def train(own: Sample, unlabelled: list[str] | None = None, folds: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
+    """fit_once() on all rows; its bias is set on scores that each labelled row gets from a model fitted without it."""
+    x = count([*own.texts, *(unlabelled or [])])
+    y = np.array([*own.labels, *[-1] * len(unlabelled or [])], np.int64)
     rows = distinct(x)  # copies would make any of their words look like evidence
     x, y = part(x, rows), y[rows]
     keep, w, b = fit_once(x, y, own.share)
-    if len(y) and min(y.sum(), (1 - y).sum()) >= 2 * folds:
-        fold, z = np.random.default_rng(7).permutation(len(y)) % folds, np.zeros(len(y))
+    told = np.flatnonzero(y >= 0)
+    if len(told) and min((y == 1).sum(), (y == 0).sum()) >= 2 * folds:
+        fold, z = np.full(len(y), -1), np.zeros(len(y))
+        fold[told] = np.random.default_rng(7).permutation(len(told)) % folds
         for k in range(folds):
             z[fold == k] = logits(part(x, np.flatnonzero(fold == k)), fit_once(part(x, np.flatnonzero(fold != k)), y[fold != k], own.share))
-        b += calibration(z, y)
+        b += calibration(z[told], y[told])
     return keep, w, float(b)
 
 
@@ -253,7 +278,7 @@ def scores_of(c: Chunk, model: tuple[np.ndarray, np.ndarray, float]) -> np.ndarr
     hit = keep[j] == f
     pair, n = np.unique(d[hit] * len(keep) + j[hit], return_counts=True)
     at, who = pair % len(keep), pair // len(keep)
-    z = np.bincount(who, w[at] * strength(n, n_words[who]), c.n) + bias
+    z = np.bincount(who, w[at] * strength(n, n_words[who], np.isin(keep, INSULTS)[at]), c.n) + bias
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -283,7 +308,7 @@ def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    return train(sample(docs, labels, "toxic"))
+    return train(sample(docs, labels, "toxic"), unlabelled(docs, labels))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
