@@ -4,9 +4,16 @@ Method.  A page is read into blocks.  Markup decides most of them: scripts, styl
 headers, footers, sidebars, notices, adverts, forms and reader comments are furniture; what
 stands inside an article (or main) element is content.  Everything else (all of a page without
 such an element) is open.  Open and furniture blocks of a host's pages form one token stream;
-its suffix array, by prefix doubling, finds runs of RUN tokens or more that stand on distinct
-pages; open tokens covered by such runs are boilerplate, the unique runs are kept.  Content is
-never judged by repetition, since articles quote and copy each other.
+its suffix array, by prefix doubling to full depth, and the common prefixes of neighbours from
+distinct pages give the longest repeated run at every token; open tokens covered by runs of RUN
+tokens or more are boilerplate, the unique runs are kept.  Content is never judged by repetition,
+since articles quote and copy each other.
+
+A class, id or role marks furniture by whole tokens: all parts of one (at hyphens and underscores)
+have to be names of furniture or neutral ones, so "cookie-notice" and "site-header" do and
+"share-prices" and "comment-free" do not.  Hidden elements are furniture.  A header inside an
+article is a header, headline included; text outside the article of a page that has one is not
+main text.
 
 A host with many pages is dealt to shards of about SHARD pages, each with a suffix array of its
 own.  Fingerprints of all runs of such a host are counted over its shards (one row a fingerprint
@@ -38,23 +45,33 @@ CONTENT, FURNITURE, OPEN = 0, 1, 2
 _BLANK = np.zeros(256, bool)
 _BLANK[0x20] = True
 
-_RAW = r"script|style|noscript|template|iframe|svg|math|object|textarea|select|title|canvas|audio|video"
+_RAW = r"script|style|noscript|template|iframe|textarea|select|title|canvas|audio|video"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*?(?:/>|>.*?(?:</(?P=raw)\s*>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)",
     re.S | re.I,
 )
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=\s|/|$|=)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
+_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _FURNITURE = frozenset("nav header footer aside form head button dialog menu".split())
-_TRACKED = frozenset("div section article main nav header footer aside form head body ul ol dl table figure dialog button menu span details center".split())
 _MAIN = frozenset(("article", "main"))
 _CHROME = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar widget widgets related recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus login signin signup search pagination pager toolbar contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar widget widgets related recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus login signin signup search pagination pager toolbar contentinfo complementary topnav sidenav subnav bottomnav".split()
 )
 
 
+#: Parts of a class name that say where something stands, not what it is.
+_NEUTRAL = frozenset("site page main top bottom left right global user social primary secondary wrapper container box block bar list section area inner outer item link links module panel slot unit row col text area".split())
+
+
 def _chrome(attrs: str) -> bool:
-    return any(word in _CHROME for _, value in _ATTR.findall(attrs) for word in re.split(r"[^a-z]+", value.lower()))
+    for _, value in _ATTR.findall(attrs):
+        for token in value.strip("\"'").lower().split():
+            parts = [x for x in re.split(r"[-_]+|[0-9]+", token) if x]
+            if any(x in _CHROME for x in parts) and all(x in _CHROME or x in _NEUTRAL for x in parts):
+                return True
+    return bool(_HIDDEN.search(attrs))
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
@@ -83,56 +100,74 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         tag = tag.lower()
         if tag not in _INLINE:
             flush()
-        if tag in _TRACKED:
-            if m["close"]:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
+        if tag in _VOID:
+            continue
+        if m["close"]:
+            for k in range(len(stack) - 1, -1, -1):
+                if stack[k][0] == tag:
+                    if stack[k][1:] != (stack[k - 1][1:] if k else (False, False)):
                         flush()
+                    del stack[k:]
+                    break
+        elif not m["attrs"].endswith("/"):
+            if tag not in _INLINE:  # a block ends an open paragraph, an item the one before
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] == "p" or stack[k][0] == tag == "li":
                         del stack[k:]
                         break
-            elif not m["attrs"].endswith("/"):
-                up = stack[-1] if stack else ("", False, False)
-                chrome = tag in _FURNITURE or tag not in ("body", "article", "main") and _chrome(m["attrs"])
-                if tag in _INLINE and chrome != up[1]:
-                    flush()
-                stack.append((tag, up[1] or chrome, up[2] or tag in _MAIN))
+                    if stack[k][0] not in _INLINE:
+                        break
+            up = stack[-1] if stack else ("", False, False)
+            chrome = tag in _FURNITURE or tag not in ("html", "body", "article", "main") and bool(m["attrs"]) and _chrome(m["attrs"])
+            if tag in _INLINE and chrome != up[1]:
+                flush()
+            stack.append((tag, up[1] or chrome, up[2] or tag in _MAIN))
     if at < len(page):
         text.append(page[at:])
     flush()
     return out
 
 
-def suffix_array(tokens: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the suffixes and their ranks by the first `depth` tokens (equal prefixes share a rank), by prefix doubling."""
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    width = 1
-    while width < depth:
-        step = min(width, depth - width)
-        after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
-        rank = np.unique(rank * (int(after.max(initial=0)) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        width += step
-    return np.argsort(rank, kind="stable"), rank
+def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffixes in order, and the rank of every place by its first 1, 2, 4, ... tokens (prefix doubling until all differ)."""
+    ranks, width = [np.unique(tokens, return_inverse=True)[1].astype(np.int64)], 1
+    while width < len(tokens) and ranks[-1].max(initial=0) + 1 < len(tokens):
+        after = np.full(len(tokens), -1, np.int64)
+        after[: len(tokens) - width] = ranks[-1][width:]
+        ranks.append(np.unique(ranks[-1] * (len(tokens) + 1) + after + 1, return_inverse=True)[1].astype(np.int64))
+        width *= 2
+    return np.argsort(ranks[-1], kind="stable"), ranks
+
+
+def common_prefix(a: np.ndarray, b: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
+    """Tokens that the suffixes a and b begin with alike: doubled widths, the widest first."""
+    out, n = np.zeros(len(a), np.int64), len(ranks[0])
+    for k in range(len(ranks) - 1, -1, -1):
+        x, y = a + out, b + out
+        ok = (x < n) & (y < n)
+        ok[ok] = ranks[k][x[ok]] == ranks[k][y[ok]]
+        out[ok] += 1 << k
+    return out
 
 
 def repeated(tokens: np.ndarray, page: np.ndarray, run: int = RUN) -> np.ndarray:
-    """Marks tokens covered by a run of `run` tokens that stands on two distinct pages."""
-    out = np.zeros(len(tokens), bool)
+    """Marks tokens covered by a run of `run` tokens or more that stands on two distinct pages."""
     if len(tokens) < run:
-        return out
-    order, rank = suffix_array(tokens, run)
-    place = order[order + run <= len(tokens)]
-    place = place[page[place] == page[place + run - 1]]
-    r = rank[place]
-    edge = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
-    if not len(edge):
-        return out
-    least, most = np.minimum.reduceat(page[place], edge), np.maximum.reduceat(page[place], edge)
-    wide = np.repeat(least < most, np.diff(np.concatenate([edge, [len(r)]])))
-    diff = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(diff, place[wide], 1)
-    np.add.at(diff, place[wide] + run, -1)
-    return np.cumsum(diff[:-1]) > 0
+        return np.zeros(len(tokens), bool)
+    edge = np.flatnonzero(page[1:] != page[:-1]) + 1
+    wide = np.insert(tokens.astype(np.int64), edge, -1 - np.arange(len(edge)))  # a token of its own ends each page
+    owner = np.insert(page.astype(np.int64), edge, -1)
+    order, ranks = suffix_array(wide)
+    order = order[owner[order] >= 0]
+    own, longest = owner[order], np.zeros(len(wide), np.int64)
+    for way in (1, -1):  # the nearest neighbour of another page, before and after
+        o, p = order[::way], own[::way]
+        first = np.concatenate([[0], np.flatnonzero(p[1:] != p[:-1]) + 1])
+        mate = np.repeat(first - 1, np.diff(np.append(first, len(p))))
+        i = np.flatnonzero(mate >= 0)
+        longest[o[i]] = np.maximum(longest[o[i]], common_prefix(o[i], o[mate[i]], ranks))
+    at = np.flatnonzero(longest >= run)
+    return covered(at, longest[at], len(wide))[owner >= 0]
 
 
 def fingerprints(pages: list[list[tuple[int, str]]], run: int = RUN) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:

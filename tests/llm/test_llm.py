@@ -58,6 +58,49 @@ def test_html(spark):
     assert html_extract.extract(df.where("page_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("body,want", [
+    ('<article>A<section class="share-prices"><p>Share prices rose.</p></section><div class="comment-free">Main para</div></article>', "A Share prices rose. Main para"),
+    ('<article><p>x</p><p class="advert">buy</p><p class="cookie-notice">ok<p>y</p><div hidden>z</div><div style="display: none">q</div></article>', "x y"),
+    ("<article>a <math><mi>x</mi></math> b<svg><text>label</text></svg></article>", "a x b label"),
+    ('<div class="topnav">Home News</div><p>own words</p>', "own words"),
+    ('<article><ul><li class="ad">buy<li>kept</ul><span class="promo">go</span> on</article>', "kept on"),
+    ("<article>" + "long text " * 200_000 + "</article>", ("long text " * 200_000).strip()),
+])
+def test_html_markup(body, want):
+    """Class names by whole tokens, paragraphs and hidden elements, formulas, a menu on one page only, open items, a very long page."""
+    assert html_extract.judge([html_extract.blocks_of(page(body))]) == [want]
+
+
+def plain_main(pages_):
+    """Open words of pages without content that stand in no six words of another page's open or furniture words."""
+    streams = [" ".join(t for kind, t in own if kind != html_extract.CONTENT).split() for own in pages_]
+    grams = [{tuple(w[i : i + 6]) for i in range(len(w) - 5)} for w in streams]
+    out = []
+    for p, own in enumerate(pages_):
+        others, w = set().union(*(g for k, g in enumerate(grams) if k != p)), streams[p]
+        gone = {j for i in range(len(w) - 5) if tuple(w[i : i + 6]) in others for j in range(i, i + 6)}
+        if any(kind == html_extract.CONTENT for kind, _ in own):
+            out.append(" ".join(t for kind, t in own if kind == html_extract.CONTENT))
+        else:
+            kinds = [kind for kind, t in own for _ in t.split()]
+            out.append(" ".join(x for j, x in enumerate(w) if j not in gone and kinds[j] == html_extract.OPEN))
+    return out
+
+
+def test_html_by_brute_force(spark):
+    """Hosts with templates, pairs of blocks and articles, as the whole operator against plain sets of words."""
+    r = random.Random(12)
+    lines = [" ".join(f"w{r.randrange(30)}" for _ in range(r.randint(3, 14))) for _ in range(60)]
+    rows = []
+    for i in range(60):
+        body = "".join(r.choice(["<p>{}</p>", "<div>{}</div>", "<nav>{}</nav>"]).format(r.choice(lines)) for _ in range(6))
+        rows.append((i, f"http://h{i % 3}.org/{i}", page(f"<article>{r.choice(lines)}</article>{body}" if i % 10 == 0 else body)))
+    got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for host in range(3):
+        own = [x for x in rows if x[0] % 3 == host]
+        assert [got[i] for i, *_ in own] == plain_main([html_extract.blocks_of(h) for *_, h in own])
+
+
 def test_html_host_template_goes_from_pages_without_article(spark):
     template = "<div>Welcome to our little site about nothing at all</div>"
     rows = [(i, f"http://h.org/{i}", page(f"{template}<p>{i} own words of page {i * 7}</p>")) for i in range(5)]
