@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from .common import U64, column, mix
 
 MAX_BITS = 28  # 32 MB
+#: From so many bits on, up to TASKS tasks fill bitmaps of their own, which are merged on the executors by PIECES pieces.
+WIDE_BITS, TASKS, PIECES = 25, 64, 16
 
 
 def _bits(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -38,8 +40,26 @@ def build(hashes: DataFrame, name: str = "h", mixed: bool = False) -> np.ndarray
             yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()], pa.binary())], ["bitmap"])
 
     out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in hashes.select(name).coalesce(4).mapInArrow(run, "bitmap binary").toLocalIterator():
-        out |= np.frombuffer(r.bitmap, np.uint8)
+    if bits < WIDE_BITS:
+        for r in hashes.select(name).coalesce(4).mapInArrow(run, "bitmap binary").toLocalIterator():
+            out |= np.frombuffer(r.bitmap, np.uint8)
+        return out
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in run(batches):
+            whole = np.frombuffer(b.column(0)[0].as_buffer(), np.uint8).reshape(PIECES, -1)
+            for k in range(PIECES):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([whole[k].tobytes()], pa.binary())], ["piece", "bitmap"])
+
+    def merge(t: pa.Table) -> pa.Table:
+        own = np.zeros(len(out) // PIECES, np.uint8)
+        for x in t.column("bitmap"):
+            own |= np.frombuffer(x.as_buffer(), np.uint8)
+        return pa.table({"piece": t.column("piece").slice(0, 1), "bitmap": pa.array([own.tobytes()], pa.binary())})
+
+    kinds = "piece int, bitmap binary"
+    for r in hashes.select(name).coalesce(TASKS).mapInArrow(cut, kinds).groupBy("piece").applyInArrow(merge, kinds).toLocalIterator():
+        out.reshape(PIECES, -1)[r.piece] = np.frombuffer(r.bitmap, np.uint8)
     return out
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
+from .common import LARGE_GROUPS, LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
 from .components import components
 
 ROWS = 5
@@ -207,6 +207,17 @@ def rest_of(groups: DataFrame, own: DataFrame, percent: int, folder: str) -> Dat
     return met.groupBy("hub", "a", "b").applyInArrow(run, "u long, v long").distinct()
 
 
+def members(sets: DataFrame, folder: str) -> DataFrame:
+    """doc_id, rep (the smallest id with an equal set) of every row.  Classes of more than FAN go to all tasks, so that their rows stay where they are."""
+    key = ["h1", "h2", "n"]
+    classes = stored(sets.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")), folder, "classes")
+    large = classes.where(F.col("size") > FAN).drop("size")
+    if large.limit(LARGE_GROUPS + 1).count() > LARGE_GROUPS:
+        return sets.join(classes, key).select("doc_id", "rep")
+    rest = sets.join(F.broadcast(large), key, "left_anti").join(classes, key)
+    return rest.select("doc_id", "rep").unionByName(sets.join(F.broadcast(large), key).select("doc_id", "rep"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -214,8 +225,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     folder = shared_dir(spark)
     all_rows = stored(signatures(docs, words), folder, "signatures")
     sets = all_rows.where("n > 0 and doc_id is not null")
-    classes = sets.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("rep"))
-    member = stored(sets.select("doc_id", "h1", "h2", "n").join(classes, ["h1", "h2", "n"]).select("doc_id", "rep").distinct(), folder, "members")
+    member = stored(members(sets.select("doc_id", "h1", "h2", "n"), folder).distinct(), folder, "members")
     reps = member.where("doc_id = rep").select("doc_id")
     keyed = stored(sets.select("doc_id", "n", F.explode("bands").alias("key")).join(reps, "doc_id", "left_semi").select("doc_id", "n", "key"), folder, "keys")
     shared = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), folder, "shared")

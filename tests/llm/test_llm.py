@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusforge.llm import bpe, decontaminate, hnsw, html_extract, minhash, quality, secret_scan, substring, suffix, toxicity
+from corpusforge.llm import bloom, bpe, common, decontaminate, hnsw, html_extract, minhash, quality, secret_scan, substring, suffix, toxicity
 from corpusforge.llm.common import shared_dir
 from corpusforge.llm.labelled import Sample
 
@@ -534,6 +534,25 @@ def test_minhash_loses_no_link_to_the_star(spark, monkeypatch):
     assert got == plain_near(rows, 3, 85)
 
 
+def test_minhash_large_groups(spark, docs, texts, monkeypatch):
+    """Classes, hubs and groups that count as large are dealt another way and give the same; so do more large groups than all tasks are told."""
+    want = plain_near(texts, 3, 85)
+    for limit in (100_000, 0):
+        monkeypatch.setattr(minhash, "FAN", 1)
+        monkeypatch.setattr(minhash, "BLOCK", 4)
+        monkeypatch.setattr(minhash, "LARGE_GROUPS", limit)
+        monkeypatch.setattr(common, "LARGE_GROUPS", limit)
+        assert {r.doc_id: tuple(r) for r in minhash.near_duplicates(docs, 3, 85).collect()} == want
+
+
+def test_wide_bitmap(spark, monkeypatch):
+    """Merged by pieces on the executors, a bitmap is the same."""
+    h = spark.range(0, 5000, 1, 7).select(F.xxhash64("id").alias("h"))
+    one = bloom.build(h)
+    monkeypatch.setattr(bloom, "WIDE_BITS", 8)
+    assert (bloom.build(h) == one).all() and one.any()
+
+
 def test_without(spark, docs):
     ids = docs.select("doc_id").where("doc_id % 3 = 0")
     assert {r.doc_id for r in minhash.without(docs, ids).collect()} == {r.doc_id for r in docs.where("doc_id % 3 <> 0").collect()}
