@@ -6,11 +6,16 @@ has a total order (score descending, then id).
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import bm25_terms
-from ..functions.vectors import clamp01, dot, norm
+from ..functions.vectors import clamp01
 
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 PREFETCH, RRF_K = 40, 60
@@ -65,11 +70,44 @@ def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = PREFETCH) -> DataF
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH, id_col: str = "vec_id") -> DataFrame:
-    """Exact cosine search.  queries: item_id, query (array); they must fit a broadcast (QUERY_BLOCK rows), every block scans the vectors once."""
-    q = queries.select("item_id", F.transform("query", lambda x: x.cast("double")).alias("query"), norm(F.col("query")).alias("nq"))
-    pairs = vectors.select(id_col, "embedding", norm(F.col("embedding")).alias("nv")).join(F.broadcast(q), F.lit(True))
-    scored = pairs.select("item_id", id_col, F.round(dot(F.col("embedding"), F.col("query")) / (F.col("nv") * F.col("nq")), 6).alias("score"))
-    return ranked(scored, ["item_id"], [F.desc("score"), F.asc(id_col)], k)
+    """Exact cosine search.  queries: item_id, query (array).
+
+    Questions go to the tasks in blocks of QUERY_BLOCK; a block scans the vectors once, as matrix
+    products by Arrow batch, and a partition hands on no more than its own k best of a question.
+    Vectors that are null, zero, hold nulls or have another length meet no question.
+    """
+    spark, kinds = vectors.sparkSession, f"item_id {queries.schema['item_id'].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
+    asked = queries.select("item_id", F.transform("query", lambda x: x.cast("double")).alias("query")).where("size(query) > 0").toLocalIterator()
+    out = None
+    while block := list(itertools.islice(asked, QUERY_BLOCK)):
+        for size in sorted({len(r.query) for r in block}):
+            own = [r for r in block if len(r.query) == size]
+            sent = spark.sparkContext.broadcast(([r.item_id for r in own], unit_rows(np.array([r.query for r in own], np.float64))))
+            near = vectors.where(F.size("embedding") == size).select(id_col, "embedding").mapInArrow(lambda batches, sent=sent: nearest(batches, *sent.value, id_col, k), kinds)
+            out = near if out is None else out.unionByName(near)
+    return ranked(spark.createDataFrame([], kinds) if out is None else out, ["item_id"], [F.desc("score"), F.asc(id_col)], k)
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def nearest(batches: Iterator[pa.RecordBatch], items: list, questions: np.ndarray, id_col: str, k: int) -> Iterator[pa.RecordBatch]:
+    """The k best (score of 6 digits, then id) of a partition's vectors for each question."""
+    score, ids = np.full((len(items), 0), -np.inf), np.zeros(0, np.int64)
+    place = np.zeros((len(items), 0), np.int64)
+    for b in batches:
+        x = unit_rows(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
+        own = questions @ x.T
+        own = np.round(np.where(np.isfinite(own), own, -np.inf), 6)
+        score, place = np.concatenate([score, own], 1), np.concatenate([place, np.broadcast_to(len(ids) + np.arange(b.num_rows), own.shape)], 1)
+        ids = np.concatenate([ids, b.column(0).to_numpy(zero_copy_only=False)])
+        best = np.lexsort((ids[place], -score), axis=1)[:, :k]
+        score, place = np.take_along_axis(score, best, 1), np.take_along_axis(place, best, 1)
+    which, col = np.nonzero(np.isfinite(score))
+    if len(which):
+        yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in which.tolist()]), pa.array(ids[place[which, col]]), pa.array(score[which, col])], ["item_id", id_col, "score"])
 
 
 def rrf(dense: DataFrame, sparse: DataFrame, by: list[str], id_col: str, weights: tuple[float, float] = (1.0, 1.0), k: int = RRF_K) -> DataFrame:

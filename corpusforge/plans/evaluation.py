@@ -15,10 +15,21 @@ _LABELS = "lab AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON c
 
 
 def labels(spark, d) -> DataFrame:
-    """item_id, doc_id: documents that hold a passage word for word (found among those that share its rarest word)."""
+    """item_id, doc_id: documents that hold a passage word for word.
+
+    A document that holds a passage has its inner words (all but the first and last) as words of
+    its own, so the longest of them finds the candidates by an equi-join, and only those are read
+    for the passage.  Passages of one or two words, if there are any, are looked for in all texts.
+    """
     words = F.split(F.col("text"), r"\s+")
-    q = bench(spark, d).select("item_id", F.col("text").alias("passage"), F.element_at(F.array_sort(words, lambda a, b: F.length(b) - F.length(a)), 1).alias("w"))
-    return docs(spark, d).join(F.broadcast(q), F.contains(F.col("text"), F.col("w")) & F.contains(F.col("text"), F.col("passage"))).select("item_id", "doc_id").distinct()
+    q = bench(spark, d).select("item_id", F.col("text").alias("passage"), words.alias("words"))
+    inner = q.where("size(words) > 2").select("item_id", "passage", F.element_at(F.array_sort(F.slice("words", 2, F.size("words") - 2), lambda a, b: F.length(b) - F.length(a)), 1).alias("w"))
+    held = docs(spark, d).select("doc_id", F.explode(F.array_distinct(words)).alias("w"))
+    found = held.join(inner, "w").select("doc_id", "item_id", "passage").join(docs(spark, d), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    few = q.where("size(words) <= 2")
+    if not few.isEmpty():
+        found = found.unionByName(docs(spark, d).join(F.broadcast(few), F.contains("text", "passage")).select("item_id", "doc_id"))
+    return found.distinct()
 
 
 def results(spark, d) -> DataFrame:
