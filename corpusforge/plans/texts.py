@@ -142,11 +142,15 @@ def named_locations(spark, d):
     return c.select("conv_id", "turn", F.transform(T.named_locations(ask), lambda x: x.cast("long")).alias("pages"))
 
 
-@query("evidence_class", r"""WITH c AS (SELECT conv_id, turn, lower(text || ' ' || ['', 'which year was the peak', 'list all the marks', 'the flow chart', 'a photo', 'compare the bar chart and the table'][turn % 6 + 1]) AS q FROM conversations), k AS (SELECT *, 
-regexp_matches(q, '\b(figure|fig\.|image|photo|photograph|picture|illustration|drawing|logo|icon|screenshot|pictured|depict[a-z0-9_]*|looks? like|shown in the|visual)\b') AS v, regexp_matches(q, '\b(diagram|flow ?chart|architecture|pipeline diagram|schematic|arrow|flow)\b') AS g,
-regexp_matches(q, '\b(chart|graph|plot|bar|axis|trend|growth|grow|grew|increase|decrease|decline|market sizes?|forecast|projection|peak)\b|\b(in|by|from|between|since|until|to) (19|20)[0-9][0-9]\b|\b(highest|lowest|largest|smallest|maximum|minimum)\b.*\b(year|value|month|quarter)\b|\bwhich (year|month|quarter)\b') AS c,
-regexp_matches(q, '\b(table|row|column|score|scored|marks?|grade|rank(ed|ing)?|which (student|person|item|product|country|team))\b|\blist (all|every|each)\b') AS t, regexp_matches(q, '\b(compare|comparison|versus|vs\.?|both|consistent with|agree with)\b') AS m FROM c)
-SELECT conv_id, turn, CASE WHEN m AND (v OR g OR c OR t) OR (CAST(v AS INT) + CAST(g AS INT) + CAST(c AS INT) + CAST(t AS INT)) > 1 THEN 'mixed' WHEN c THEN 'chart' WHEN t THEN 'table' WHEN g THEN 'diagram' WHEN v THEN 'visual' ELSE 'text' END AS evidence FROM k""")
+_SAYS = {k: " OR ".join(f"regexp_matches(q, '{p}')" for p in patterns) for k, patterns in T.EVIDENCE.items()}
+
+
+@query(
+    "evidence_class",
+    f"""WITH c AS (SELECT conv_id, turn, lower(text || ' ' || ['', 'which year was the peak', 'list all the marks', 'the flow chart', 'a photo', 'compare the bar chart and the table'][turn % 6 + 1]) AS q FROM conversations),
+k AS (SELECT *, {_SAYS["visual"]} AS v, {_SAYS["diagram"]} AS g, {_SAYS["chart"]} AS c, {_SAYS["table"]} AS t, {_SAYS["compare"]} AS m FROM c)
+SELECT conv_id, turn, CASE WHEN m AND (v OR g OR c OR t) OR (CAST(v AS INT) + CAST(g AS INT) + CAST(c AS INT) + CAST(t AS INT)) > 1 THEN 'mixed' WHEN c THEN 'chart' WHEN t THEN 'table' WHEN g THEN 'diagram' WHEN v THEN 'visual' ELSE 'text' END AS evidence FROM k""",
+)
 def evidence_class(spark, d):
     asks = F.array(*[F.lit(x) for x in ("", "which year was the peak", "list all the marks", "the flow chart", "a photo", "compare the bar chart and the table")])
     q = F.concat_ws(" ", F.col("text"), F.element_at(asks, (F.col("turn") % 6 + 1).cast("int")))
@@ -158,7 +162,7 @@ def region_types(spark, d):
     return spark.createDataFrame([(k,) for k in ("text", "chart", "table", "diagram")], "kind string").select("kind", T.region_types(F.col("kind")).alias("regions"))
 
 
-_PICKS = ["Hi there!", "how are you", "Thanks!!", "bye", "who are you?", "help", "ok", "what is on page 3", "asdfgh", "fnj3f3", "", "RRF"]
+_PICKS = ["Hi there!", "how are you", "Thanks!!", "bye", "who are you?", "help", "ok", "what is on page 3", "asdfgh", "x7q2z", "", "RRF"]
 
 
 @query("smalltalk_class", "SELECT n, CASE n WHEN 0 THEN 'greeting' WHEN 1 THEN 'how_are_you' WHEN 2 THEN 'thanks' WHEN 3 THEN 'farewell' WHEN 4 THEN 'identity' WHEN 5 THEN 'capability' WHEN 6 THEN 'acknowledgement' WHEN 8 THEN 'unintelligible' WHEN 9 THEN 'unintelligible' END AS kind FROM range(12) r(n)")

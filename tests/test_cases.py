@@ -79,7 +79,7 @@ def test_named_locations(spark, text, want):
     assert one(spark, T.named_locations(F.col("t")), t=text) == want
 
 
-@pytest.mark.parametrize("text,want", [("Hiii!!", "greeting"), ("how are you", "how_are_you"), ("ok", "acknowledgement"), ("right, what does the handbook say", None), ("what is on page 3", None), ("asdf", "unintelligible"), ("???", "unintelligible"), ("bm25", None), ("OCR", None), ("fnj3f3 chunking", None), ("2005.11401v4.pdf", None)])
+@pytest.mark.parametrize("text,want", [("Hiii!!", "greeting"), ("how are you", "how_are_you"), ("ok", "acknowledgement"), ("right, what does the handbook say", None), ("what is on page 3", None), ("asdf", "unintelligible"), ("???", "unintelligible"), ("bm25", None), ("OCR", None), ("x7q2z", "unintelligible"), ("x7q2z budget", None), ("minutes.2019v4.pdf", None), ("sdfgh", "unintelligible"), ("xkcdrtbb", "unintelligible")])
 def test_smalltalk(spark, text, want):
     assert one(spark, T.smalltalk_class(F.col("t")), t=text) == want
 
