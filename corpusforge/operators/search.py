@@ -65,8 +65,12 @@ def sparse_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return posts.join(q.join(idf, "term"), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
 
 
-def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = PREFETCH) -> DataFrame:
-    return ranked(sparse_scores(docs, queries), ["item_id"], [F.desc("score"), F.asc("doc_id")], k)
+def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = PREFETCH, without: DataFrame | None = None) -> DataFrame:
+    """The k best of each question; without: pairs (item_id, doc_id) that are left out before the ranking."""
+    scores = sparse_scores(docs, queries)
+    if without is not None:
+        scores = scores.join(without.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
+    return ranked(scores, ["item_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH, id_col: str = "vec_id") -> DataFrame:

@@ -130,7 +130,11 @@ def safe_filename(spark, d):
 _KW = ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)
 
 
-@query("keyword_query", rf"SELECT item_id, array_to_string(list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda t: regexp_replace(t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda t: t <> '' AND (regexp_matches(t, '[0-9\-./]') OR regexp_matches(t, '^.+\p{{Lu}}') OR NOT list_contains([{_KW}], lower(t)))), ' ') AS q FROM benchmark")
+def keywords_sql(text: str) -> str:
+    return rf"array_to_string(list_filter(list_transform(regexp_split_to_array({text}, '\s+'), lambda t: regexp_replace(t, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g')), lambda t: t <> '' AND (regexp_matches(t, '[0-9\-./]') OR regexp_matches(t, '^.+\p{{Lu}}') OR NOT list_contains([{_KW}], lower(t)))), ' ')"
+
+
+@query("keyword_query", f"SELECT item_id, {keywords_sql('text')} AS q FROM benchmark")
 def keyword_query(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.keyword_query(F.col("text")).alias("q"))
 
