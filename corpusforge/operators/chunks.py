@@ -13,7 +13,7 @@ STATE = "struct<done:array<struct<text:string,start:int,stop:int>>,held:array<st
 
 
 def pack(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
-    """Chunks array<struct<text, start, stop>> of a long text, by one fold over its sentences.
+    """Chunks array<struct<text, start, stop>> of a text: up to the target as it is, longer ones by one fold over their sentences.
 
     A chunk closes when its sentences reach the target; its last sentences, up to `overlap`
     characters but never all of them, begin the next one.  A heading opens a new chunk, without
@@ -53,7 +53,9 @@ def pack(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
         )
         return F.when(added["size"] >= target, close(added, True)).otherwise(added)
 
-    return F.aggregate(split_sentences(text), empty, step, lambda s: close(s, False)["done"])
+    body = F.regexp_replace(text, r"^(?U:\s)+|(?U:\s)+$", "")
+    whole = F.when(body != "", F.array(F.struct(body.alias("text"), F.lit(0).alias("start"), F.length(text).alias("stop")))).otherwise(F.array())
+    return F.when(F.length(text) <= target, whole).otherwise(F.aggregate(split_sentences(text), empty, step, lambda s: close(s, False)["done"]))
 
 
 def chunks(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:

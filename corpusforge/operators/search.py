@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bm25_terms
 from ..functions.vectors import clamp01
+from ..session import settled
 
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 PREFETCH, RRF_K = 40, 60
@@ -30,6 +31,15 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = No
     return out.where(F.col(name) <= k) if k else out
 
 
+def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
+    """Number all rows 1.. in a total order without gathering them: sorted ranges, each numbered from the size of those before it."""
+    parts = settled(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) + F.col("_before")
+    return parts.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before")
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, length, term: one row a term occurrence; length counts the kept terms."""
     t = docs.select("doc_id", bm25_terms(F.col("text")).alias("terms"))

@@ -95,7 +95,7 @@ def thread_titles(spark, d):
 @query("thread_order", "SELECT conv_id, CAST(row_number() OVER (ORDER BY max(turn) DESC, conv_id) AS INTEGER) AS place FROM conversations GROUP BY conv_id")
 def thread_order(spark, d):
     t = talk(spark, d).groupBy("conv_id").agg(F.max("turn").alias("last"))
-    return t.select("conv_id", F.row_number().over(Window.partitionBy().orderBy(F.desc("last"), "conv_id")).alias("place"))
+    return S.numbered(t, [F.desc("last"), F.asc("conv_id")]).select("conv_id", F.col("place").cast("int").alias("place"))
 
 
 @query("thread_search", "SELECT DISTINCT conv_id FROM conversations WHERE role <> 'system' AND contains(lower(text), 'with')")

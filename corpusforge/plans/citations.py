@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import cite as C
 from ..registry import query
 from ..sources.readers import table
+from .retrieval import terms_sql
 
 BY = ["conv_id", "turn"]
 _ANS = "ans AS (SELECT conv_id, turn, 'Alpha beta gamma delta epsilon [^1]. ' || 'Second claim of the answer here [^' || (turn % 5 + 1) || '][^9]. Third one stands alone. Last [^2].' AS text FROM conversations WHERE role = 'assistant')"
@@ -57,7 +58,15 @@ def answer_sentences(spark, d):
     return C.sentences(answers(spark, d), BY).groupBy(*BY).agg(F.count("*").cast("int").alias("n"))
 
 
-@query("citation_support")
+_CLAIMS = "cl AS (SELECT conv_id, turn, unnest([{'pos': 0, 'marker': 1, 'claim': 'Alpha beta gamma delta epsilon .'}, {'pos': 1, 'marker': turn % 5 + 1, 'claim': 'Second claim of the answer here .'}, {'pos': 1, 'marker': 9, 'claim': 'Second claim of the answer here .'}, {'pos': 3, 'marker': 2, 'claim': 'Last .'}], recursive := true) FROM ans)"
+
+
+@query(
+    "citation_support",
+    f"""WITH {_ANS}, {_CLAIMS}, tok AS (SELECT doc_id, {terms_sql("text")} AS t FROM documents WHERE text IS NOT NULL), ct AS (SELECT *, list_distinct({terms_sql("claim")}) AS c FROM cl),
+sc AS (SELECT conv_id, turn, pos, marker, claim, CASE WHEN doc_id IS NOT NULL THEN round(len(list_intersect(c, t)) / len(c), 6) END AS score FROM ct LEFT JOIN tok ON marker <= 4 AND doc_id = conv_id + marker - 1)
+SELECT conv_id, turn, CAST(pos AS INTEGER) AS pos, CAST(marker AS INTEGER) AS marker, score, length(claim) < 20 OR coalesce(score >= 0.02, true) AS supported FROM sc""",
+)
 def citation_support(spark, d):
     """Each marked claim against its evidence; unresolved and short claims count as supported."""
     c = C.resolve(C.claims(answers(spark, d), BY), evidence(spark, d), BY)

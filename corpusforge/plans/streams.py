@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..registry import query
@@ -17,18 +15,14 @@ def events(spark, d):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parquet*")
 
 
-def _name(base: str) -> str:
-    return f"{base}_{uuid.uuid4().hex[:8]}"
-
-
 @query("stream_latest_status", "SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id")
 def stream_latest_status(spark, d):
-    return J.run_once(spark, J.latest_status(events(spark, d)), _name("status"), "complete")
+    return J.run_once(spark, J.latest_status(events(spark, d)), "complete")
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedupe(spark, d):
-    return J.run_once(spark, J.once(events(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"), _name("once"))
+    return J.run_once(spark, J.once(events(spark, d), ["user_id", "event_type"]).select("user_id", "event_type"))
 
 
 @query("stream_mailbox", "SELECT n AS uid, 'uid:' || n AS identity FROM range(1, 451) r(n)")
@@ -37,12 +31,7 @@ def stream_mailbox(spark, d):
     table(spark, d, "region")
     J.register(spark)
     box = spark.readStream.format("mailbox").option("messages", "450").option("batch", "200").load()
-    q = box.select("uid", "identity").writeStream.format("memory").queryName(name := _name("mail")).start()
-    try:
-        q.processAllAvailable()
-    finally:
-        q.stop()
-    return spark.table(name)
+    return J.run_once(spark, box.select("uid", "identity"), whole=False)
 
 
 @query(
@@ -55,14 +44,20 @@ SELECT key, t AS "at", failed, allowed FROM w""",
 def stream_breaker(spark, d):
     table(spark, d, "region")
     calls = events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"), (F.col("event_id") % 7 == 0).alias("failed"))
-    return J.run_once(spark, J.breaker(calls, 500.0), _name("breaker"))
+    return J.run_once(spark, J.breaker(calls, 500.0))
 
 
-@query("stream_token_bucket")
+@query(
+    "stream_token_bucket",
+    """WITH RECURSIVE c AS (SELECT user_id AS key, CAST(event_id AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+w AS (SELECT key, t, n, true AS granted, CAST(1 AS DOUBLE) AS level FROM c WHERE n = 1
+UNION ALL SELECT key, t, n, full_ >= 1, CASE WHEN full_ >= 1 THEN full_ - 1 ELSE full_ END FROM (SELECT c.key, c.t, c.n, least(CAST(2 AS DOUBLE), w.level + (c.t - w.t) * CAST(0.01 AS DOUBLE)) AS full_ FROM w JOIN c ON c.key = w.key AND c.n = w.n + 1))
+SELECT key, t AS "at", granted FROM w""",
+)
 def stream_token_bucket(spark, d):
     table(spark, d, "region")
     calls = events(spark, d).select(F.col("user_id").alias("key"), F.col("event_id").cast("double").alias("at"))
-    return J.run_once(spark, J.token_bucket(calls, 0.01), _name("bucket"))
+    return J.run_once(spark, J.token_bucket(calls, 0.01))
 
 
 @query("mail_attachments", "SELECT 'm' || o_orderkey || '#1' AS external_id, 'a' AS name FROM orders UNION ALL SELECT 'm' || o_orderkey || '#3', 'attachment-3' FROM orders")

@@ -37,7 +37,7 @@ def chunk_documents(spark, d):
 @query("chunk_fold")
 def chunk_fold(spark, d):
     """The same chunks by a JVM-side fold."""
-    docs = table(spark, d, "documents").where("length(text) > 800")
+    docs = table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(C.pack(F.col("text"))).alias("ordinal", "c")).select("doc_id", "ordinal", "c.text", "c.start", "c.stop")
 
 
@@ -107,7 +107,7 @@ def html_title(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_title(F.col("html")).alias("title"))
 
 
-@query("html_document")
+@query("html_document", rf"SELECT page_id, CASE WHEN title <> '' THEN '# ' || title || chr(10) || chr(10) ELSE '' END || {_HTML} AS text FROM (SELECT page_id, html, trim(regexp_replace(regexp_extract(html, '(?is)<title\b[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')) AS title FROM pages)")
 def html_document(spark, d):
     """Title line and body as one text, as an ingested page."""
     return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,8 +31,19 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext._corpusforge_sent = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A fresh folder below the one that the cluster shares (spark.checkpoint.dir); in local mode one below /tmp where none is named."""
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or (current.get() if current.isDefined() else None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = "/tmp/checkpoints"
+    return f"{top.rstrip('/')}/corpusforge-{uuid.uuid4().hex}"
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df computed once: checkpointed in the cluster's shared folder, or persisted where the session names none."""
-    spark = df.sparkSession
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
-    return df.checkpoint() if named else df.persist()
+    """df computed once: written to the shared folder and read again, so that no lost executor takes it away."""
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 from pyspark.sql.types import StructType
 
-from ..session import ROOT, ship
+from ..session import ROOT, shared_folder, ship
 
 
 class MailboxReader(SimpleDataSourceStreamReader):
@@ -69,11 +69,29 @@ def attachments(mails: DataFrame, limit: int) -> DataFrame:
     return mails.select("identity", F.posexplode("attachments").alias("n", "a")).where(F.col("a.size") <= limit).select(F.concat("identity", F.lit("#"), (F.col("n") + 1).cast("string")).alias("external_id"), F.coalesce("a.name", F.concat(F.lit("attachment-"), (F.col("n") + 1).cast("string"))).alias("name"))
 
 
-def run_once(spark: SparkSession, df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a streaming DataFrame over what there is, into a memory table."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+def run_once(spark: SparkSession, df: DataFrame, mode: str = "append", whole: bool = True) -> DataFrame:
+    """Run a streaming DataFrame over what there is, into a Parquet table of the shared folder, and read that.
+
+    The checkpoint lies beside the table.  A batch that is run again overwrites its own part; in
+    complete mode each batch replaces the one before.  whole=False: for sources that cannot say
+    where their present end is; the query stops once they hand out nothing more.
+    """
+    folder = shared_folder(spark)
+    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/part=none")
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/part={0 if mode == 'complete' else n}")
+
+    stream = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+    if whole:
+        stream.trigger(availableNow=True).start().awaitTermination()
+    else:
+        q = stream.start()
+        try:
+            q.processAllAvailable()
+        finally:
+            q.stop()
+    return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
 def breaker(calls: DataFrame, cooldown: float) -> DataFrame:

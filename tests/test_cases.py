@@ -7,6 +7,8 @@ from corpusforge.functions import text as T
 from corpusforge.functions import vectors as V
 from corpusforge.operators import chunks as C
 from corpusforge.operators import cite, evaluate, geometry, search, tabular
+from corpusforge.operators.loop import agentic
+from corpusforge.operators.search import numbered
 from corpusforge.sources import readers
 
 
@@ -116,12 +118,36 @@ def test_fold_and_loop_give_the_same_chunks(spark):
     text = " ".join(f"Sentence number {i} of this text says little more than that." for i in range(60)) + "\n# Heading\n" + " ".join(f"After it comes {i}." for i in range(90))
     docs = spark.createDataFrame([(1, text), (2, "  short  "), (3, text.replace("Sentence", "S"))], "doc_id long, text string")
     loop = {(r.doc_id, r.ordinal): (r.text, r.start, r.stop) for r in C.chunks(docs).collect()}
-    fold = docs.where("length(text) > 800").select("doc_id", F.posexplode(C.pack(F.col("text"))).alias("ordinal", "c")).collect()
-    assert len(fold) > 6 and all(loop[r.doc_id, r.ordinal] == tuple(r.c) for r in fold)
+    fold = docs.select("doc_id", F.posexplode(C.pack(F.col("text"))).alias("ordinal", "c")).collect()
+    assert len(fold) == len(loop) > 6 and all(loop[r.doc_id, r.ordinal] == tuple(r.c) for r in fold)
     assert loop[2, 0] == ("short", 0, 9)
     assert sorted(k for d, k in loop if d == 1) == list(range(sum(d == 1 for d, _ in loop)))
 
 
+def test_numbering_over_ranges(spark):
+    rows = spark.range(0, 5000, numPartitions=7).select((F.col("id") * 7919 % 5000).alias("x"), (F.col("id") % 3).alias("y"))
+    got = numbered(rows, [F.desc("y"), F.asc("x")]).orderBy("place").collect()
+    assert [r.place for r in got] == list(range(1, 5001))
+    assert [(r.y, r.x) for r in got] == sorted([(r.y, r.x) for r in got], key=lambda t: (-t[0], t[1]))
+    assert numbered(rows.limit(0), [F.asc("x")]).count() == 0
+
+
+def test_loop_keeps_evidence_and_looks_past_it(spark):
+    """Two passages are enough, one counts once over all rounds; readings of images and web rows come on top of what is kept."""
+    docs = spark.createDataFrame([(1, "amber brass cedar delta elm"), (2, "amber brass"), (3, "fir"), (4, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "amber brass cedar delta elm fir gum holly ivy juniper"), (2, "zinc"), (3, None)], "item_id long, text string")
+    got = {r.item_id: (r.decision, r.iteration, r.n_evidence) for r in agentic(asked, docs).collect()}
+    assert got == {1: ("answer", 1, 2), 2: ("abstain", 3, 0), 3: ("abstain", 3, 0)}
+    one = {r.item_id: (r.decision, r.iteration, r.n_evidence) for r in agentic(asked, docs.where("doc_id = 1")).collect()}
+    assert one[1] == ("abstain", 3, 1)
+    found = spark.createDataFrame([(1, -1, 0.6), (2, -1, 0.9)], "item_id long, doc_id long, score double")
+    looked = {r.item_id: (r.decision, r.n_evidence) for r in agentic(asked, docs.where("doc_id = 1"), images=found).collect()}
+    assert looked == {1: ("answer", 2), 2: ("answer", 1), 3: ("abstain", 0)}
+    web = spark.createDataFrame([(2, -1, 0.5), (2, -2, 0.5), (3, -1, 0.5)], "item_id long, doc_id long, score double")
+    went = {r.item_id: (r.decision, r.n_evidence) for r in agentic(asked, docs.where("doc_id = 1"), web=web).collect()}
+    assert went == {1: ("abstain", 1), 2: ("answer", 2), 3: ("abstain", 1)}
+
+
 def test_ranking_metrics(spark):
     res = spark.createDataFrame([(1, "a", 1, True), (1, "b", 2, False), (1, "c", 3, True), (1, "d", 4, False)], "item_id int, doc_id string, rank int, relevant boolean")
     n = spark.createDataFrame([(1, 2), (2, 1)], "item_id int, n_labels int")
