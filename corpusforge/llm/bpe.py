@@ -287,7 +287,11 @@ def _vocabulary(spark: SparkSession, path: str) -> str:
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids array<int>: the token ids of every whole text."""
+    """id, ids array<int>, starts array<int>: the token ids of every whole text, and the byte of the text at which each token starts.
+
+    A null or empty text has empty arrays.  starts let a caller decode a byte span of the text
+    from its tokens alone: those from the last start at or before the span's.
+    """
     name = _vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -297,10 +301,13 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for c in chunks_of(column(b, "t")):
                 ids, n = own.encode(c)
                 off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([keys[c.rows], pa.ListArray.from_arrays(pa.array(off), pa.array(ids, pa.int32()))], ["k", "ids"])
+                size = own.vocab_len[ids]
+                ends = np.cumsum(size)
+                starts = ends - size - np.repeat(np.concatenate([[0], ends])[off[:-1]], n)
+                yield pa.RecordBatch.from_arrays([keys[c.rows], *(pa.ListArray.from_arrays(pa.array(off), pa.array(x, pa.int32())) for x in (ids, starts))], ["k", "ids", "starts"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").withColumnRenamed("k", id_col)
+    return docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInArrow(run, f"k {kind}, ids array<int>, starts array<int>").withColumnRenamed("k", id_col)
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

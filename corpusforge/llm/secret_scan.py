@@ -321,9 +321,10 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
             text = column(b, "text").to_pylist()
             for c in chunks_of(column(b, "text")):
                 doc, start, end, score = findings_of(c, sent.value)
-                hit = score >= threshold
-                for d in np.unique(doc[hit]).tolist():
-                    own = hit & (doc == d)
+                hit = np.flatnonzero(score >= threshold)
+                hit = hit[np.argsort(doc[hit], kind="stable")]
+                held, first = np.unique(doc[hit], return_index=True)
+                for d, own in zip(held.tolist(), np.split(hit, first[1:]), strict=False):
                     parts, at = [], int(c.starts[d])
                     for s, e in zip(start[own].tolist(), end[own].tolist(), strict=True):
                         parts += [c.raw[at:s].tobytes(), MASK]

@@ -237,6 +237,19 @@ def test_bpe_matches_library(docs, texts, empty, library):
     back = {r.doc_id: bytes(r.text) for r in bpe.decode(coded, path).collect()}
     assert back == {i: (t or "").encode() for i, t in texts}
     assert bpe.encoded(docs, path).where("not round_trip").count() == 0
+    vocab = bpe.codec(path)
+    for r in coded.join(docs.select("doc_id", "text"), "doc_id").collect():
+        raw, at = (r.text or "").encode(), [*r.starts, len((r.text or "").encode())]
+        assert len(r.starts) == len(r.ids)
+        assert all(raw[a:b] == vocab.decode(np.array([i])) for i, a, b in zip(r.ids, at[:-1], at[1:], strict=True))
+
+
+def test_bpe_text_beyond_a_chunk(spark, library):
+    """A text of 3 MB between small ones: one text is one chunk, whatever its size."""
+    path, enc = library
+    rows = [(1, "short"), (2, "A longer text, größer als 1 MB; it's 漢字 too. " * 60_000), (3, None), (4, "after")]
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in bpe.digests(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), path).collect()}
+    assert got == {i: (len(enc.encode_ordinary(t or "")), sha((t or "").encode())) for i, t in rows}
 
 
 def test_bpe_random_strings(library):

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from .test_llm import items_of, plain_hits, plain_near
+from corpusforge.llm import secret_scan
+
+from .test_llm import items_of, labelled, plain_hits, plain_near
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,6 +38,37 @@ def test_stages(spark, folder, texts):
     assert out.where("not round_trip").count() == 0 and out.count() == len(texts)
 
 
+def test_toxic_documents_go_and_secrets_are_masked(spark, tmp_path):
+    """Planted cases: documents with insults go, clean ones stay; each secret is replaced and nothing else of a text changes."""
+    rows = labelled("toxic")
+    key = "Zk3vQ9xLm2Rt8YbN5cWd7HfJ"
+    secrets = [(5000 + i, f'before {i} token = "{key}{i}" and after') for i in range(3)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + secrets, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {r.doc_id for r in stages["toxicity"](spark, docs, str(tmp_path)).collect()}
+    wrong = [i for i, _, y in rows if (i in kept) == bool(y)]
+    assert len(wrong) <= 0.05 * len(rows) and {i for i, _ in secrets} <= kept
+    masked = {r.doc_id: r.text for r in stages["secrets"](spark, docs, str(tmp_path)).collect()}
+    assert {i: masked[i] for i, _ in secrets} == {i: t.replace(f"{key}{i - 5000}", secret_scan.MASK.decode()) for i, t in secrets}
+    assert all(masked[i] == t for i, t, _ in rows)
+
+
+def test_odd_rows_pass_through_all_stages(spark, folder, tmp_path):
+    """Null ids, null and empty texts, repeated rows, a text of 1 MB and columns with the operators' own names: clean rows arrive at the end."""
+    long = " ".join(f"w{i}" for i in range(150_000))
+    rows = [(None, "a row without an id", 1, "x", 0.5), (11, None, 1, "x", 0.5), (12, "", 1, "x", 0.5), (13, long, 1, "x", 0.5), (14, "twice the same row", 1, "x", 0.5), (14, "twice the same row", 1, "x", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int, component_id string, score double")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    near = corpus_pipeline.STAGES[1][1](spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    out = sorted(((r.doc_id or 0), r.round_trip, r.n_tokens > 0) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert out == [(0, True, True), (11, True, False), (12, True, False), (13, True, True), (14, True, True), (14, True, True)]
+
+
 def test_empty(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 0")
     for _, stage in corpus_pipeline.STAGES[:-1]:
