@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -78,6 +79,42 @@ def reading_order(lines: DataFrame, by: list[str], gap: float = 0.03) -> DataFra
     return lines.groupBy(*by).applyInPandas(run, T.StructType([*lines.schema.fields, T.StructField("place", T.IntegerType())]))
 
 
+def gutter_is_grid(lines: DataFrame, by: list[str]) -> DataFrame:
+    """by, is_grid: whether a gutter parts the columns of one table rather than two columns of prose.
+
+    lines: by, is_left, y0, y1, text.  A grid has two lines a side at least, rows in common (four
+    fifths of the shorter side, the left one among equals, within 0.35 of the median height), and
+    numbers as half of one side or nothing but cells.  The nearest line across is found in one pass
+    over the sorted lines.
+    """
+    from pyspark.sql import Window
+
+    from .regions import is_number
+
+    w = Window.partitionBy(*by).orderBy("cy")
+    before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    p = lines.withColumn("cy", (F.col("y0") + F.col("y1")) / 2).withColumn("num", is_number(F.col("text")))
+    p = p.withColumn("cell", F.col("num") | ((F.size(F.split(F.trim("text"), r"\s+")) <= 4) & ~F.rtrim("text").endswith(".")))
+    far = lambda side: F.least(F.col("cy") - F.last(F.when(F.col("is_left") == side, F.col("cy")), True).over(before), F.first(F.when(F.col("is_left") == side, F.col("cy")), True).over(after) - F.col("cy"))
+    p = p.withColumn("across", F.when(F.col("is_left"), far(False)).otherwise(far(True)))
+    heights = lines.groupBy(*by).agg(F.median(F.col("y1") - F.col("y0")).alias("h"))
+    g = p.join(heights, by).groupBy(*by)
+    of = lambda what, side: F.count_if(what & (F.col("is_left") == side))
+    near = F.coalesce(F.col("across") <= F.col("h") * 0.35, F.lit(False))
+    g = g.agg(of(F.lit(True), True).alias("nl"), of(F.lit(True), False).alias("nr"), of(F.col("num"), True).alias("ml"), of(F.col("num"), False).alias("mr"), of(near, True).alias("kl"), of(near, False).alias("kr"), F.bool_and("cell").alias("cells"))
+    paired = F.when(F.col("nl") <= F.col("nr"), F.col("kl") >= F.col("nl") * 0.8).otherwise(F.col("kr") >= F.col("nr") * 0.8)
+    return g.select(*by, ((F.least("nl", "nr") >= 2) & paired & ((F.col("ml") >= F.col("nl") * 0.5) | (F.col("mr") >= F.col("nr") * 0.5) | F.col("cells"))).alias("is_grid"))
+
+
+def projected(x: Column, y: Column, z: Column, yaw: float, pitch: float, scale: float, centre: tuple[float, float]) -> Column:
+    """Struct (x, y, depth): a point turned by yaw, then by pitch, and seen in mild perspective."""
+    cy, sy, cp, sp = (F.lit(f(a)) for a in (yaw, pitch) for f in (math.cos, math.sin))
+    across, back = x * cy - z * sy, x * sy + z * cy
+    depth = y * sp + back * cp
+    size = F.lit(float(scale)) / (1.8 - depth * 0.35)
+    return F.struct((centre[0] + across * size).alias("x"), (centre[1] - (y * cp - back * sp) * size).alias("y"), depth.alias("depth"))
+
+
 def table_of(lines: DataFrame, by: list[str]) -> DataFrame:
     """Cells of a grid from text boxes: by, row, column, text.  Column starts are clustered by their running mean; lines of one cell are joined."""
     from pyspark.sql import Window

@@ -7,7 +7,7 @@ has a total order (score descending, then id).
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +40,14 @@ def numbered(df: DataFrame, order: list[Column], name: str = "place") -> DataFra
     return parts.join(F.broadcast(before), "_part").withColumn(name, place.cast("long")).drop("_part", "_before")
 
 
+def payload(rows: DataFrame, kb: str, modality: Sequence[str] = (), document: Sequence = (), page: int | None = None, region_type: Sequence[str] = ()) -> DataFrame:
+    """Rows of one collection that pass every given filter; it stands below the ranking, so top-k is taken among them."""
+    out = rows.where(F.col("kb") == kb)
+    for column, allowed in (("modality", modality), ("doc_id", document), ("page", () if page is None else (page,)), ("region_type", region_type)):
+        out = out.where(F.col(column).isin(*allowed)) if allowed else out
+    return out
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, length, term: one row a term occurrence; length counts the kept terms."""
     t = docs.select("doc_id", bm25_terms(F.col("text")).alias("terms"))

@@ -113,18 +113,30 @@ def html_document(spark, d):
     return table(spark, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
 
+def _safe_sql(x: str) -> str:
+    kept = rf"regexp_replace(nfc_normalize(regexp_extract({x}, '([^/]*)/*$', 1)), '[^\p{{L}}\p{{M}}\p{{N}}_.\- ]+', '_', 'g')"
+    return f"coalesce(nullif(list_last(list_filter(list_transform(range(0, least(length({kept}), 200) + 1), lambda i: substr({kept}, 1, i)), lambda t: strlen(t) <= 200)), ''), 'upload')"
+
+
 @query(
     "url_filename",
-    r"""WITH p AS (SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS path, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages), l AS (SELECT page_id, host, regexp_extract(path, '([^/]+)$', 1) AS last FROM p)
-SELECT page_id, CASE WHEN last <> '' AND regexp_matches(last, '\.[A-Za-z0-9]{1,5}$') THEN last WHEN last <> '' THEN last || '.html' ELSE host || '.html' END AS filename FROM l""",
+    rf"""WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url || '/a%20b+c%C3%A9' WHEN 1 THEN 'https://Ex.org/100%/' ELSE url END AS url FROM pages), l AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', ''), '([^/]+)$', 1) AS last FROM u),
+s AS (SELECT page_id, CASE WHEN last = '' THEN host WHEN last = '100%' THEN last ELSE url_decode(last) END AS n FROM l), b AS (SELECT page_id, {_safe_sql("n")} AS b FROM s)
+SELECT page_id, CASE WHEN contains(b, '.') THEN b WHEN page_id % 2 = 0 THEN b || '.pdf' ELSE b || '.txt' END AS filename FROM b""",
 )
 def url_filename(spark, d):
-    return table(spark, d, "pages").select("page_id", T.url_filename(F.col("url")).alias("filename"))
+    """Names of fetched pages; some urls carry escapes, sound and broken."""
+    k = F.col("page_id") % 4
+    url = F.when(k == 0, F.concat("url", F.lit("/a%20b+c%C3%A9"))).when(k == 1, "https://Ex.org/100%/").otherwise(F.col("url"))
+    return table(spark, d, "pages").select("page_id", T.url_filename(url, F.when(F.col("page_id") % 2 == 0, "application/pdf").otherwise("text/html")).alias("filename"))
 
 
-@query("safe_filename", r"SELECT page_id, CASE WHEN trim(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^\p{L}\p{M}\p{N}_.\- ]', '_', 'g')) = '' THEN 'upload' ELSE substr(trim(regexp_replace(regexp_replace(url, '^.*[/\\]', ''), '[^\p{L}\p{M}\p{N}_.\- ]', '_', 'g')), 1, 200) END AS filename FROM pages")
+@query("safe_filename", f"WITH n AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN substr(text, 1, 80) || chr(101) || chr(769) || '.txt' WHEN 2 THEN source || '/' || substr(text, 1, 40) || '//' ELSE substr(text, 1, 300) END AS n FROM documents) SELECT doc_id, {_safe_sql('n')} AS filename FROM n")
 def safe_filename(spark, d):
-    return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
+    """Beginnings of texts as names: with folders, decomposed accents, or too many bytes."""
+    k = F.col("doc_id") % 5
+    name = F.when(k == 0, "").when(k == 1, F.concat(F.substring("text", 1, 80), F.lit("é.txt"))).when(k == 2, F.concat("source", F.lit("/"), F.substring("text", 1, 40), F.lit("//"))).otherwise(F.substring("text", 1, 300))
+    return table(spark, d, "documents").select("doc_id", T.safe_filename(name).alias("filename"))
 
 
 _KW = ", ".join(f"'{w}'" for w in T.QUESTION_STOPWORDS)
