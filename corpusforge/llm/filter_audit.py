@@ -25,7 +25,7 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, shared_dir, stored
 
 LETTERS = "ABCDE"
 MASKS = 1 << len(LETTERS)
@@ -54,9 +54,9 @@ def masks(docs: DataFrame, labels: DataFrame) -> DataFrame:
         F.coalesce("source", F.lit("")).alias("part"), F.col("doc_id").cast("long").alias("doc_id"),
         F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("digest"), own_failures(F.col("text")).alias("own"),
     )
-    # Repeated rows become one with a count before anything is joined.
-    rows = rows.groupBy("part", "doc_id", "digest", "own").agg(F.count("*").alias("n"))
-    first = rows.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
+    # Repeated rows become one with a count before anything is joined; the texts are read once.
+    rows = stored(rows.groupBy("part", "doc_id", "digest", "own").agg(F.count("*").alias("n")), shared_dir(docs.sparkSession), "masks")
+    first = rows.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).withColumn("first", F.lit(True))
     marked = rows.join(first, ["digest", "doc_id"], "left")
     known = labels.where("doc_id is not null and (quality = 1 or toxic = 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     known = known.agg(F.coalesce(F.max(F.col("quality") == 1), F.lit(False)).alias("good"), F.coalesce(F.max(F.col("toxic") == 1), F.lit(False)).alias("toxic"))
@@ -95,7 +95,7 @@ def plans() -> Column:
         before = 0
         for k, letter in enumerate(order, 1):
             b = LETTERS.index(letter)
-            steps.append(F.struct(F.lit(order).alias("filter_order"), F.lit(k).alias("step"), F.lit(b).alias("b"), F.lit(before).alias("before")))
+            steps.append(F.struct(F.lit(order).alias("filter_order"), F.lit(k).alias("step"), F.lit(b).alias("b"), F.lit(1 << b).alias("own"), F.lit(before).alias("before")))
             before |= 1 << b
     return F.array(*steps)
 
@@ -104,7 +104,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each part, filter order and step: kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
     found = cells(parity_sums(masks(docs, labels)))
     steps = found.select("part", "cells_all", "left_all", "left_good", "left_toxic", "shares", F.explode(plans()).alias("p")).select("*", "p.*")
-    own = F.shiftleft(F.lit(1), F.col("b"))
+    own = F.col("own")
     after = F.col("before").bitwiseOR(own)
     lost = lambda kind: F.col(f"left_{kind}")[F.col("before")] - F.col(f"left_{kind}")[after]
     return steps.select(
@@ -118,7 +118,7 @@ ORACLE = r"""
 with words as (
   select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') as w from documents
 ), split as (
-  select doc_id, part, t, list_filter(w, x -> x <> '') as w from words
+  select doc_id, part, t, list_filter(w, lambda x: x <> '') as w from words
 ), firsts as (
   select coalesce(text, '') as t, min(doc_id) as first from documents group by 1
 ), failing as (
@@ -138,19 +138,19 @@ with words as (
   where len(list_distinct([a, b, c, d, e])) = 5
 ), fails_of as (
   select doc_id, list(letter) as letters from failing group by doc_id
-), at as (
+), placed as (
   select o.filter_order, d.part, d.good, d.toxic, f.letters,
-    list_min(list_transform(coalesce(f.letters, []), x -> instr(o.filter_order, x))) as gone
+    list_min(list_transform(coalesce(f.letters, []), lambda x: instr(o.filter_order, x))) as gone
   from orders o, docs d left join fails_of f using (doc_id)
 ), steps as (
   select p.part, o.filter_order, s.step, substr(o.filter_order, s.step, 1) as letter
   from (select distinct part from docs) p, orders o, (select unnest(range(1, 6))::int as step) s
 ), counted as (
   select s.part, s.filter_order, s.step,
-    count(*) filter (gone is null or gone > s.step) as kept, count(*) filter (gone = s.step) as removed,
-    count(*) filter (gone < s.step and list_contains(letters, s.letter)) as redundant, count(*) filter (letters = [s.letter]) as unique_fails,
-    count(*) filter (gone = s.step and good) as good_lost, count(*) filter (gone = s.step and toxic) as toxic_lost, s.letter
-  from steps s join at a on a.part = s.part and a.filter_order = s.filter_order group by s.part, s.filter_order, s.step, s.letter
+    count(*) filter (where gone is null or gone > s.step) as kept, count(*) filter (where gone = s.step) as removed,
+    count(*) filter (where gone < s.step and list_contains(letters, s.letter)) as redundant, count(*) filter (where letters = [s.letter]) as unique_fails,
+    count(*) filter (where gone = s.step and good) as good_lost, count(*) filter (where gone = s.step and toxic) as toxic_lost, s.letter
+  from steps s join placed a on a.part = s.part and a.filter_order = s.filter_order group by s.part, s.filter_order, s.step, s.letter
 )
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
   (sum(removed) over (partition by part, letter))::bigint as shapley

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, hnsw, html_extract, minhash, quality, secret_scan, substring, suffix, toxicity
+from . import bpe, centroids, decontaminate, filter_audit, hnsw, html_extract, minhash, quality, secret_scan, sentence_piece, substring, suffix, toxicity
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_embedding_dedup": hnsw.op9_embedding_dedup,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_centroids": centroids.op11_centroids,
+    "op12_sentence_piece": sentence_piece.op12_sentence_piece,
+    "op13_filter_audit": filter_audit.op13_filter_audit,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op5_decontamination": decontaminate.ORACLE,
     "op6_suffix_dedup": suffix.ORACLE,
     "op8_minhash": minhash.ORACLE,
+    "op11_centroids": centroids.ORACLE,
+    "op13_filter_audit": filter_audit.ORACLE,
 }
