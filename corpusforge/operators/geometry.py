@@ -1,4 +1,4 @@
-"""Vectors in the plane and boxes on pages: PCA maps, intersections, reading order, tables from boxes."""
+"""Vectors in the plane and boxes on pages: PCA maps, intersections, gaps and gutters."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BOX = "struct<x0:double,y0:double,x1:double,y1:double>"
 
@@ -26,24 +25,6 @@ def union(boxes: DataFrame, by: list[str]) -> DataFrame:
     return boxes.groupBy(*by).agg(F.round(F.min("x0"), 4).alias("x0"), F.round(F.min("y0"), 4).alias("y0"), F.round(F.max("x1"), 4).alias("x1"), F.round(F.max("y1"), 4).alias("y1"))
 
 
-def rows_of(lines: DataFrame, by: list[str]) -> DataFrame:
-    """Rows of text lines by vertical overlap of half the lower height: adds row.  One group is one page."""
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["y0", "x0"], kind="stable").reset_index(drop=True)
-        top = bottom = None
-        row, out = -1, []
-        for a, z in zip(p["y0"], p["y1"], strict=True):
-            overlap = -1.0 if top is None else min(z, bottom) - max(a, top)
-            if top is None or overlap < 0.5 * min(z - a, bottom - top):
-                row, top, bottom = row + 1, a, z
-            else:
-                top, bottom = min(top, a), max(bottom, z)
-            out.append(row)
-        return p.assign(row=out)
-
-    return lines.groupBy(*by).applyInPandas(run, T.StructType([*lines.schema.fields, T.StructField("row", T.IntegerType())]))
-
-
 def largest_gap(intervals: DataFrame, by: list[str]) -> DataFrame:
     """Widest gap between merged intervals (a, z) of each group: by, start, width; none: no row."""
     from pyspark.sql import Window
@@ -53,32 +34,6 @@ def largest_gap(intervals: DataFrame, by: list[str]) -> DataFrame:
     return gaps.groupBy(*by).agg(F.max(F.struct("width", (-F.col("start")).alias("s"))).alias("m")).select(*by, (-F.col("m.s")).alias("start"), F.col("m.width").alias("width"))
 
 
-def reading_order(lines: DataFrame, by: list[str], gap: float = 0.03) -> DataFrame:
-    """Recursive XY cut: adds place.  A page's lines are cut at their widest vertical gap, else at the widest horizontal one."""
-    def cut(p: pd.DataFrame, lo: str, hi: str) -> float | None:
-        best, reach, at = gap, None, None
-        for a, z in sorted(zip(p[lo], p[hi], strict=True)):
-            if reach is not None and a - reach > best:
-                best, at = a - reach, (a + reach) / 2
-            reach = z if reach is None else max(reach, z)
-        return at
-
-    def order(p: pd.DataFrame) -> list[int]:
-        if len(p) > 1:
-            for lo, hi in (("x0", "x1"), ("y0", "y1")):
-                at = cut(p, lo, hi)
-                if at is not None:
-                    return order(p[p[hi] <= at]) + order(p[p[lo] >= at])
-        return p.sort_values(["y0", "x0"], kind="stable").index.tolist()
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.reset_index(drop=True)
-        place = pd.Series(range(len(p)), index=order(p))
-        return p.assign(place=[int(place[i]) for i in range(len(p))])
-
-    return lines.groupBy(*by).applyInPandas(run, T.StructType([*lines.schema.fields, T.StructField("place", T.IntegerType())]))
-
-
 def gutter_is_grid(lines: DataFrame, by: list[str]) -> DataFrame:
     """by, is_grid: whether a gutter parts the columns of one table rather than two columns of prose.
 
@@ -115,17 +70,6 @@ def projected(x: Column, y: Column, z: Column, yaw: float, pitch: float, scale:
     return F.struct((centre[0] + across * size).alias("x"), (centre[1] - (y * cp - back * sp) * size).alias("y"), depth.alias("depth"))
 
 
-def table_of(lines: DataFrame, by: list[str]) -> DataFrame:
-    """Cells of a grid from text boxes: by, row, column, text.  Column starts are clustered by their running mean; lines of one cell are joined."""
-    from pyspark.sql import Window
-
-    placed = rows_of(lines, by)
-    w = Window.partitionBy(*by).orderBy("x0")
-    starts = placed.withColumn("new", (F.col("x0") - F.coalesce(F.lag("x0").over(w), F.lit(-1.0)) > 0.05).cast("int"))
-    numbered = starts.withColumn("column", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    return numbered.groupBy(*by, "row", "column").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))), lambda x: x["text"]), " ").alias("text"))
-
-
 def pca(vectors: DataFrame, k: int = 3) -> tuple[DataFrame, list[float]]:
     """vec_id, pc array (4 digits) on centred vectors, and each component's share of the variance.
 

@@ -63,30 +63,3 @@ def iou_neighbours(spark, d):
 def ip_blocked(spark, d):
     a = ["10.1.2.3", "127.0.0.1", "8.8.8.8", "172.31.0.9", "999.1.1.1", "172.32.0.1", "::1", "fe80::1", "2606:4700::1111", "nonsense"]
     return spark.createDataFrame(list(enumerate(a)), "n int, a string").select("n", G.blocked_address(F.col("a")).alias("blocked"))
-
-
-def page_lines(spark, d):
-    rows = [(1, "Student", 0.1, 0.1, 0.2, 0.13), (1, "Score", 0.5, 0.1, 0.6, 0.13), (1, "Aanya", 0.1, 0.2, 0.2, 0.23), (1, "91", 0.5, 0.2, 0.55, 0.23), (1, "Rahul", 0.1, 0.3, 0.2, 0.33), (1, "52", 0.5, 0.301, 0.55, 0.33), (2, "left one", 0.05, 0.1, 0.4, 0.12), (2, "right one", 0.55, 0.1, 0.9, 0.12), (2, "left two", 0.05, 0.13, 0.4, 0.15), (2, "right two", 0.55, 0.13, 0.9, 0.15)]
-    return spark.createDataFrame(rows, "page int, text string, x0 double, y0 double, x1 double, y1 double")
-
-
-@query("layout_rows", "SELECT * FROM (VALUES (1, 'Student', 0), (1, 'Score', 0), (1, 'Aanya', 1), (1, '91', 1), (1, 'Rahul', 2), (1, '52', 2), (2, 'left one', 0), (2, 'right one', 0), (2, 'left two', 1), (2, 'right two', 1)) t(page, text, row)")
-def layout_rows(spark, d):
-    return G.rows_of(page_lines(spark, d), ["page"]).select("page", "text", "row")
-
-
-@query("layout_order", "SELECT * FROM (VALUES (2, 'left one', 0), (2, 'left two', 1), (2, 'right one', 2), (2, 'right two', 3)) t(page, text, place)")
-def layout_order(spark, d):
-    """Two columns are read one after the other."""
-    return G.reading_order(page_lines(spark, d).where("page = 2"), ["page"]).select("page", "text", "place")
-
-
-@query("layout_table", "SELECT * FROM (VALUES (0, 0, 'Student'), (0, 1, 'Score'), (1, 0, 'Aanya'), (1, 1, '91'), (2, 0, 'Rahul'), (2, 1, '52')) t(row, \"column\", text)")
-def layout_table(spark, d):
-    return G.table_of(page_lines(spark, d).where("page = 1"), ["page"]).select("row", F.col("column").cast("int").alias("column"), "text")
-
-
-@query("layout_gap", "SELECT 2 AS page, 0.4::DOUBLE AS start, 0.15::DOUBLE AS width")
-def layout_gap(spark, d):
-    g = G.largest_gap(page_lines(spark, d).where("page = 2").select("page", F.col("x0").alias("a"), F.col("x1").alias("z")), ["page"])
-    return g.select("page", "start", F.round("width", 6).alias("width"))

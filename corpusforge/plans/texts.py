@@ -178,18 +178,54 @@ def region_types(spark, d):
     return spark.createDataFrame([(k,) for k in ("text", "chart", "table", "diagram")], "kind string").select("kind", T.region_types(F.col("kind")).alias("regions"))
 
 
-_PICKS = ["Hi there!", "how are you", "Thanks!!", "bye", "who are you?", "help", "ok", "what is on page 3", "asdfgh", "x7q2z", "", "RRF"]
-
-
-@query("smalltalk_class", "SELECT n, CASE n WHEN 0 THEN 'greeting' WHEN 1 THEN 'how_are_you' WHEN 2 THEN 'thanks' WHEN 3 THEN 'farewell' WHEN 4 THEN 'identity' WHEN 5 THEN 'capability' WHEN 6 THEN 'acknowledgement' WHEN 8 THEN 'unintelligible' WHEN 9 THEN 'unintelligible' END AS kind FROM range(12) r(n)")
+_GREETINGS = ("Hi there!", "how are you?", "Thanks!!", "bye", "who are you?", "help", "ok", "what is on page 3", "right, what does it say", "???")
+_FIRST = "regexp_extract(lower(text), '[a-z]+', 0)"
+_TYPED = f"""typed AS (SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 8 WHEN 0 THEN regexp_replace({_FIRST}, '[aeiouy]', '', 'g') WHEN 1 THEN {_FIRST} || repeat(substr({_FIRST}, 1, 1), 4)
+WHEN 2 THEN substr('qwertyuiopasdfghjkl', CAST(conv_id % 12 + 1 AS INTEGER), CAST(turn % 4 + 3 AS INTEGER)) WHEN 3 THEN {_FIRST} || conv_id % 10 || {_FIRST} WHEN 4 THEN substr(text, 1, 30)
+WHEN 5 THEN [{", ".join(f"'{x}'" for x in _GREETINGS)}][conv_id % {len(_GREETINGS)} + 1] WHEN 6 THEN {_FIRST} || ' ' || regexp_replace({_FIRST}, '[aeiouy]', '', 'g') ELSE upper({_FIRST}) || conv_id % 10 END AS t FROM conversations)"""
+
+
+def _noise_sql(w: str) -> str:
+    bare = rf"regexp_replace(lower({w}), '[^\p{{L}}\p{{N}}]', '', 'g')"
+    letters = f"regexp_replace({bare}, '[0-9]', '', 'g')"
+    rows = T.KEYS.split()
+    slid = " OR ".join([f"contains('{r}', {letters})" for r in rows] + [f"contains({letters}, '{r[:4]}')" for r in rows])
+    held = f"len(list_filter(range(1, length({bare}) - 2), lambda i: substr({bare}, CAST(i AS INTEGER), 4) = repeat(substr({bare}, CAST(i AS INTEGER), 1), 4))) > 0"
+    signs = f"{held} OR regexp_matches({bare}, '[a-z][0-9]+[a-z]') OR (length({letters}) >= 4 AND ({slid})) OR regexp_matches({letters}, '[^aeiouy]{{6,}}') OR (length({letters}) >= 5 AND NOT regexp_matches({letters}, '[aeiouy]'))"
+    return rf"(regexp_matches({bare}, '^[a-z0-9]+$') AND NOT regexp_matches({w}, '[./]') AND NOT regexp_matches({w}, '^\p{{Lu}}{{2,}}[0-9]*$') AND ({signs}))"
+
+
+_NORM = r"trim(regexp_replace(regexp_replace(lower(t), '[^\p{L}\p{N}\s'']', ' ', 'g'), '\s+', ' ', 'g'))"
+_KINDS = " ".join(f"WHEN regexp_matches(norm, '{p.replace(chr(39), chr(39) * 2)}') THEN '{k}'" for k, p in T.SMALLTALK)
+_SMALLTALK = rf"""{_TYPED}, m AS (SELECT *, {_NORM} AS norm, list_transform(string_split_regex(trim(t), '\s+'), lambda w: CASE WHEN {_noise_sql("w")} THEN 2 WHEN regexp_matches(w, '^[bcdfghjklmnpqrstvwxz]{{1,3}}$') THEN 1 ELSE 0 END) AS marks FROM typed),
+mashed AS (SELECT *, trim(t) <> '' AND (NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') OR (len(marks) <= 3 AND list_max(marks) = 2 AND list_min(marks) >= 1)) AS mash FROM m),
+kinds AS (SELECT conv_id, turn, CASE WHEN norm = '' THEN CASE WHEN mash THEN 'unintelligible' END WHEN len(string_split(norm, ' ')) > 7 OR regexp_matches(norm, '{T.CORPUS_WORDS}') THEN NULL {_KINDS} WHEN mash THEN 'unintelligible' END AS kind FROM mashed)"""
+
+
+def typed_messages(spark, d):
+    """Turns as messages that people type: words without vowels, held keys, slides over the keyboard, greetings, openings of questions."""
+    c, first = table(spark, d, "conversations"), F.regexp_extract(F.lower("text"), "[a-z]+", 0)
+    bare = F.regexp_replace(first, "[aeiouy]", "")
+    k = (F.col("conv_id") * 7 + F.col("turn")) % 8
+    slide = F.substring(F.lit("qwertyuiopasdfghjkl"), (F.col("conv_id") % 12 + 1).cast("int"), (F.col("turn") % 4 + 3).cast("int"))
+    digit = (F.col("conv_id") % 10).cast("string")
+    picked = F.element_at(F.array(*map(F.lit, _GREETINGS)), (F.col("conv_id") % len(_GREETINGS) + 1).cast("int"))
+    kinds = [bare, F.concat(first, F.repeat(F.substring(first, 1, 1), 4)), slide, F.concat(first, digit, first), F.substring("text", 1, 30), picked, F.concat_ws(" ", first, bare)]
+    t = F.concat(F.upper(first), digit)
+    for i, x in enumerate(kinds):
+        t = F.when(k == i, x).otherwise(t)
+    return c.select("conv_id", "turn", t.alias("text"))
+
+
+@query("smalltalk_class", f"WITH {_SMALLTALK} SELECT conv_id, turn, kind FROM kinds")
 def smalltalk_class(spark, d):
-    return spark.createDataFrame(list(enumerate(_PICKS)), "n long, text string").select("n", T.smalltalk_class(F.col("text")).alias("kind"))
+    return typed_messages(spark, d).select("conv_id", "turn", T.smalltalk_class(F.col("text")).alias("kind"))
 
 
-@query("smalltalk_routing")
+@query("smalltalk_routing", f"WITH {_SMALLTALK} SELECT kind, count(*) AS n FROM kinds GROUP BY kind")
 def smalltalk_routing(spark, d):
-    """Turns that go on to retrieval: those that are no small talk."""
-    return table(spark, d, "conversations").where("role = 'user'").withColumn("kind", T.smalltalk_class(F.col("text"))).groupBy("kind").agg(F.count("*").alias("n"))
+    """Messages by kind; those without one go on to retrieval."""
+    return typed_messages(spark, d).withColumn("kind", T.smalltalk_class(F.col("text"))).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query("title_truncate", "SELECT conv_id, turn, CASE WHEN length(text) > 60 THEN rtrim(substr(text, 1, 60)) || '…' ELSE text END AS title FROM conversations")
