@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stem import stems
 from ..functions.text import bm25_terms
 from ..functions.vectors import clamp01
 from ..session import settled
@@ -22,7 +24,7 @@ K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 PREFETCH, RRF_K = 40, 60
 TOP_K, RERANK_KEEP, RERANK_FLOOR = 8, 3, 0.01
 #: Questions sent to every task of a dense scan at once; more are taken in further blocks.
-QUERY_BLOCK = 4096
+QUERY_BLOCK, VECTOR_BLOCK = 4096, 512
 
 
 def ranked(df: DataFrame, by: list[str], order: list[Column], k: int | None = None, name: str = "rank") -> DataFrame:
@@ -48,18 +50,34 @@ def payload(rows: DataFrame, kb: str, modality: Sequence[str] = (), document: Se
     return out
 
 
+@dataclass
+class Index:
+    """Stored postings of a table of documents: posts (doc_id, term, tf, weight), idf (term, df, idf).
+
+    Terms are stems.  Posts are files of term ranges, each sorted by term, so a search for a few terms
+    skips the row groups of all others, and a common term may span many files.
+    """
+
+    posts: DataFrame
+    idf: DataFrame
+
+
 def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, length, term: one row a term occurrence; length counts the kept terms."""
     t = docs.select("doc_id", bm25_terms(F.col("text")).alias("terms"))
     return t.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
 
 
-def postings(docs: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """doc_id, term, tf, weight.  only: a DataFrame of terms, to build the postings of a query batch alone."""
-    t = tokens(docs)
-    if only is not None:
-        t = t.join(only.select("term").distinct(), "term", "left_semi")
-    tf = t.groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf"))
+def stemmed(rows: DataFrame) -> DataFrame:
+    """rows with each term replaced by its stem; the distinct terms are stemmed once, into a stored vocabulary."""
+    vocabulary = settled(stems(rows.select("term").distinct()))
+    return rows.join(vocabulary, "term").withColumn("term", F.col("stem")).drop("stem")
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """doc_id, term (a stem), tf, weight of every document."""
+    tf = settled(tokens(docs).groupBy("doc_id", "term", "length").agg(F.count("*").alias("tf")))
+    tf = stemmed(tf).groupBy("doc_id", "term", "length").agg(F.sum("tf").alias("tf"))
     return tf.select("doc_id", "term", "tf", (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / AVERAGE_LENGTH))).alias("weight"))
 
 
@@ -69,21 +87,45 @@ def inverse_frequency(posts: DataFrame, n: DataFrame) -> DataFrame:
     return df.select("term", "df", F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def _state(docs: DataFrame) -> tuple:
+    """What a stored index depends on: the plan of docs, and the files it reads with their sizes and times; without files nothing."""
+    spark = docs.sparkSession
+    hadoop, files = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in sorted(docs.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(hadoop).getFileStatus(path)
+        files.append((name, status.getLen(), status.getModificationTime()))
+    return (docs.semanticHash(), *files) if files else ()
+
+
+def index(docs: DataFrame) -> Index:
+    """The stored index of docs (doc_id, text), built once a session for the same files and plan."""
+    docs = docs.select("doc_id", "text")
+    context = docs.sparkSession.sparkContext
+    known = context.__dict__.setdefault("_corpusforge_indexes", {})
+    key = _state(docs)
+    if key and key in known:
+        return known[key]
+    posts = settled(postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    out = Index(posts, settled(inverse_frequency(posts, docs.agg(F.count("*").alias("n_docs")))))
+    if key:
+        known[key] = out
+    return out
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
-    """item_id, term: the distinct terms of each question."""
-    return queries.select("item_id", F.explode(F.array_distinct(bm25_terms(F.col("text")))).alias("term"))
+    """item_id, term: the distinct stems of each question."""
+    return stemmed(queries.select("item_id", F.explode(F.array_distinct(bm25_terms(F.col("text")))).alias("term"))).distinct()
 
 
-def sparse_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def sparse_scores(docs: DataFrame | Index, queries: DataFrame) -> DataFrame:
     """item_id, doc_id, score (6 digits): BM25 of every document that shares a term with a question."""
-    q = query_terms(queries)
-    posts = postings(docs, q)
-    n = docs.agg(F.count("*").alias("n_docs"))
-    idf = inverse_frequency(posts, n)
-    return posts.join(q.join(idf, "term"), "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
+    own = docs if isinstance(docs, Index) else index(docs)
+    q = query_terms(queries).join(own.idf, "term")
+    return own.posts.join(q, "term").groupBy("item_id", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
 
 
-def sparse_topk(docs: DataFrame, queries: DataFrame, k: int = PREFETCH, without: DataFrame | None = None) -> DataFrame:
+def sparse_topk(docs: DataFrame | Index, queries: DataFrame, k: int = PREFETCH, without: DataFrame | None = None) -> DataFrame:
     """The k best of each question; without: pairs (item_id, doc_id) that are left out before the ranking."""
     scores = sparse_scores(docs, queries)
     if without is not None:
@@ -95,7 +137,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH, id_col
     """Exact cosine search.  queries: item_id, query (array).
 
     Questions go to the tasks in blocks of QUERY_BLOCK; a block scans the vectors once, as matrix
-    products by Arrow batch, and a partition hands on no more than its own k best of a question.
+    products of VECTOR_BLOCK vectors, and a partition hands on no more than its own k best of a
+    question.  A block's result is stored before the next one is sent.
     Vectors that are null, zero, hold nulls or have another length meet no question.
     """
     spark, kinds = vectors.sparkSession, f"item_id {queries.schema['item_id'].dataType.simpleString()}, {id_col} {vectors.schema[id_col].dataType.simpleString()}, score double"
@@ -106,6 +149,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = PREFETCH, id_col
             own = [r for r in block if len(r.query) == size]
             sent = spark.sparkContext.broadcast(([r.item_id for r in own], unit_rows(np.array([r.query for r in own], np.float64))))
             near = vectors.where(F.size("embedding") == size).select(id_col, "embedding").mapInArrow(lambda batches, sent=sent: nearest(batches, *sent.value, id_col, k), kinds)
+            near = settled(near)
+            sent.destroy()
             out = near if out is None else out.unionByName(near)
     return ranked(spark.createDataFrame([], kinds) if out is None else out, ["item_id"], [F.desc("score"), F.asc(id_col)], k)
 
@@ -119,7 +164,7 @@ def nearest(batches: Iterator[pa.RecordBatch], items: list, questions: np.ndarra
     """The k best (score of 6 digits, then id) of a partition's vectors for each question."""
     score, ids = np.full((len(items), 0), -np.inf), np.zeros(0, np.int64)
     place = np.zeros((len(items), 0), np.int64)
-    for b in batches:
+    for b in (whole.slice(at, VECTOR_BLOCK) for whole in batches for at in range(0, whole.num_rows, VECTOR_BLOCK)):
         x = unit_rows(np.asarray(b.column(1).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(b.num_rows, -1))
         own = questions @ x.T
         own = np.round(np.where(np.isfinite(own), own, -np.inf), 6)
@@ -127,6 +172,8 @@ def nearest(batches: Iterator[pa.RecordBatch], items: list, questions: np.ndarra
         ids = np.concatenate([ids, b.column(0).to_numpy(zero_copy_only=False)])
         best = np.lexsort((ids[place], -score), axis=1)[:, :k]
         score, place = np.take_along_axis(score, best, 1), np.take_along_axis(place, best, 1)
+        used, place = np.unique(place, return_inverse=True)
+        ids, place = ids[used], place.reshape(score.shape)
     which, col = np.nonzero(np.isfinite(score))
     if len(which):
         yield pa.RecordBatch.from_arrays([pa.array([items[i] for i in which.tolist()]), pa.array(ids[place[which, col]]), pa.array(score[which, col])], ["item_id", id_col, "score"])

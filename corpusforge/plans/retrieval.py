@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stem import stems_sql
 from ..functions.text import BM25_STOPWORDS
 from ..operators import search as S
 from ..registry import query
@@ -19,9 +20,12 @@ def terms_sql(text: str) -> str:
 
 POSTINGS = f"""
 tok AS (SELECT doc_id, {terms_sql("text")} AS t FROM documents),
-post AS (SELECT doc_id, term, count(*) AS tf, count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * any_value(n) / 256.0)) AS weight FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM tok) GROUP BY doc_id, term),
+qtok AS (SELECT item_id, {terms_sql("text")} AS t FROM benchmark),
+voc AS (SELECT DISTINCT unnest(t) AS term FROM (SELECT t FROM tok UNION ALL SELECT t FROM qtok)),
+{stems_sql("voc")},
+post AS (SELECT doc_id, stem AS term, count(*) AS tf, count(*) * 2.2 / (count(*) + 1.2 * (0.25 + 0.75 * any_value(n) / 256.0)) AS weight FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM tok) JOIN stems USING (term) GROUP BY doc_id, stem),
 idf AS (SELECT term, count(*) AS df, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post GROUP BY term),
-q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest({terms_sql("text")}) AS term FROM benchmark)),
+q AS (SELECT DISTINCT item_id, stem AS term FROM (SELECT item_id, unnest(t) AS term FROM qtok) JOIN stems USING (term)),
 score AS (SELECT item_id, doc_id, round(sum(weight * idf), 6) AS score FROM post JOIN q USING (term) JOIN idf USING (term) GROUP BY item_id, doc_id),
 sparse AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM score) WHERE rank <= 40)"""
 #: Stand-in for an encoder: the vector of a question is the embedding whose id is item_id modulo the number of vectors; document d has the vector with id d modulo it.
@@ -68,13 +72,20 @@ def fused(spark, d, weights=(1.0, 1.0)) -> DataFrame:
 
 @query("bm25_postings", f"WITH {POSTINGS} SELECT doc_id, term, CAST(tf AS BIGINT) AS tf, round(weight, 6) AS weight FROM post")
 def bm25_postings(spark, d):
-    return S.postings(docs(spark, d)).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    return S.index(docs(spark, d)).posts.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+
+
+@query("stemmed_terms", f"WITH {POSTINGS} SELECT term, stem FROM stems WHERE term IN (SELECT unnest(t) FROM tok)")
+def stemmed_terms(spark, d):
+    """Stem of each distinct term of the documents."""
+    from ..functions.stem import stems
+
+    return stems(S.tokens(docs(spark, d)).select("term").distinct()).select("term", "stem")
 
 
 @query("bm25_idf", f"WITH {POSTINGS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, d):
-    n = docs(spark, d).agg(F.count("*").alias("n_docs"))
-    return S.inverse_frequency(S.postings(docs(spark, d)), n).select("term", "df", F.round("idf", 6).alias("idf"))
+    return S.index(docs(spark, d)).idf.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("bm25_topk", f"WITH {POSTINGS} SELECT item_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM sparse")
@@ -101,7 +112,7 @@ def rrf_weighted(spark, d):
 def hybrid_rrf_topk(spark, d):
     """Hybrid search: both branches, fusion, then text for the survivors alone; ids without a document fall away."""
     top = fused(spark, d).where("position <= 12").select("item_id", "doc_id", "score", "position")
-    return docs(spark, d).select("doc_id", "lang", "source", F.substring("text", 1, 240).alias("preview")).join(F.broadcast(top), "doc_id").select("item_id", "doc_id", "score", "position", "lang", "source", "preview")
+    return docs(spark, d).select("doc_id", "lang", "source", F.substring("text", 1, 240).alias("preview")).join(top, "doc_id").select("item_id", "doc_id", "score", "position", "lang", "source", "preview")
 
 
 @query("candidate_count", f"WITH {POSTINGS}, {DENSE}, {_fused('1.0')} SELECT item_id, count(*) AS n_candidates FROM fused GROUP BY item_id")
