@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stems
 from ..functions.text import bm25_terms
 from ..functions.vectors import clamp01
-from ..session import settled
+from ..session import pruning, settled
 
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 PREFETCH, RRF_K = 40, 60
@@ -106,7 +106,7 @@ def index(docs: DataFrame) -> Index:
     key = _state(docs)
     if key and key in known:
         return known[key]
-    posts = settled(postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"))
+    posts = settled(postings(docs).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), **pruning("term", "doc_id"))
     out = Index(posts, settled(inverse_frequency(posts, docs.agg(F.count("*").alias("n_docs")))))
     if key:
         known[key] = out

@@ -295,14 +295,6 @@ def retry_delay(spark, d):
     return spark.createDataFrame(list(enumerate(said)), "n int, msg string").select("n", T.retry_delay_ms(F.col("msg")).cast("int").alias("ms"))
 
 
-@query("sse_frames", "SELECT conv_id, CAST(count(*) AS INTEGER) AS frames, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY conv_id")
-def sse_frames(spark, d):
-    """A stream of data frames parted by blank lines, scanned back into payloads."""
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.collect_list(F.concat(F.lit("data: "), F.to_json(F.struct("turn", "text")))), "\n\n").alias("raw"))
-    frames = c.select("conv_id", F.explode(F.split("raw", "\n\n")).alias("f")).where("f <> ''").select("conv_id", F.from_json(F.regexp_replace("f", "^data: ", ""), "turn long, text string").alias("p"))
-    return frames.groupBy("conv_id").agg(F.count("*").cast("int").alias("frames"), F.sum(F.length("p.text")).alias("chars"))
-
-
 @query("search_parse", "SELECT page_id, CAST(least(4, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: x LIKE '/%'))) AS INTEGER) AS n_links FROM pages")
 def search_parse(spark, d):
     """Result links of a page: the first four."""

@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from .plans import catalog, citations, documents, evaluation, geometry, layout, library, office, regions, retrieval, streams, tables, texts  # noqa: F401
+    from .plans import agent, catalog, citations, documents, evaluation, geometry, layout, library, office, regions, retrieval, streams, tables, texts  # noqa: F401
 
 
 load_all()

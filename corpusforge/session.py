@@ -42,8 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/corpusforge-{uuid.uuid4().hex}"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df computed once: written to the shared folder and read again, so that no lost executor takes it away."""
+def settled(df: DataFrame, **options: str) -> DataFrame:
+    """df computed once: written to the shared folder (with the writer's options) and read again, so that no lost executor takes it away."""
     folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def pruning(*columns: str) -> dict[str, str]:
+    """Writer's options for columns that are looked up by value: a Bloom filter for each row group, beside the least and greatest value that every Parquet file has."""
+    return {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
