@@ -17,21 +17,21 @@ def frames(fragments: DataFrame, by: list[str], order: list[str], text: str = "t
     """
     w = Window.partitionBy(*by).orderBy(*order)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    f = fragments.select(*by, *order, F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n").alias("t")).where(F.length("t") > 0)
-    f = f.withColumn("at", F.coalesce(F.sum(F.length("t")).over(before), F.lit(0)))
-    f = f.withColumn("other", F.when(F.col("t").rlike("[^\n]"), F.col("at") + F.length(F.regexp_replace("t", "\n+$", ""))))
-    f = f.withColumn("open", (F.col("at") - F.coalesce(F.max("other").over(before), F.lit(0))) % 2)
-    end = F.col("at") + F.length("t")
-    f = f.withColumn("left", (end - F.coalesce(F.max("other").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))) % 2)
+    f = fragments.select(*by, *order, F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n").alias("_t")).where(F.length("_t") > 0)
+    f = f.withColumn("_at", F.coalesce(F.sum(F.length("_t")).over(before), F.lit(0)))
+    f = f.withColumn("_other", F.when(F.col("_t").rlike("[^\n]"), F.col("_at") + F.length(F.regexp_replace("_t", "\n+$", ""))))
+    f = f.withColumn("_open", (F.col("_at") - F.coalesce(F.max("_other").over(before), F.lit(0))) % 2)
+    end = F.col("_at") + F.length("_t")
+    f = f.withColumn("_left", (end - F.coalesce(F.max("_other").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))) % 2)
     last = F.lead(F.lit(True)).over(w).isNull()
-    body = F.concat(F.when(F.col("open") == 1, "\n").otherwise(""), F.col("t"))
-    body = F.when((F.col("left") == 1) & ~last, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
-    f = f.withColumn("parts", F.split(body, "\n\n"))
-    f = f.withColumn("first", F.coalesce(F.sum(F.size("parts") - 1).over(before), F.lit(0)))
-    ends = F.max(F.col("first") + F.size("parts") - 1).over(Window.partitionBy(*by))
-    p = f.withColumn("final", ends).select(*by, *order, "final", "first", F.posexplode("parts").alias("i", "part"))
-    g = p.groupBy(*by, (F.col("first") + F.col("i")).alias("frame"), "final").agg(F.array_sort(F.collect_list(F.struct(*order, "part"))).alias("a"))
-    return g.select(*by, "frame", F.array_join(F.transform("a", lambda x: x["part"]), "").alias("content"), (F.col("frame") == F.col("final")).alias("is_rest"))
+    body = F.concat(F.when(F.col("_open") == 1, "\n").otherwise(""), F.col("_t"))
+    body = F.when((F.col("_left") == 1) & ~last, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    f = f.withColumn("_parts", F.split(body, "\n\n"))
+    f = f.withColumn("_first", F.coalesce(F.sum(F.size("_parts") - 1).over(before), F.lit(0)))
+    ends = F.max(F.col("_first") + F.size("_parts") - 1).over(Window.partitionBy(*by))
+    p = f.withColumn("_final", ends).select(*by, *order, "_final", "_first", F.posexplode("_parts").alias("_i", "_part"))
+    g = p.groupBy(*by, (F.col("_first") + F.col("_i")).alias("frame"), "_final").agg(F.array_sort(F.collect_list(F.struct(*order, "_part"))).alias("a"))
+    return g.select(*by, "frame", F.array_join(F.transform("a", lambda x: x["_part"]), "").alias("content"), (F.col("frame") == F.col("_final")).alias("is_rest"))
 
 
 def deltas(framed: DataFrame, by: list[str]) -> DataFrame:
