@@ -59,10 +59,11 @@ def features(c: Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield _bucket(both[same], 4), doc[1:][same]
     pre = prefix(BYTE_A[c.data], BASE)
     owner = np.repeat(np.arange(c.n, dtype=np.int32), c.lens + 1)[: len(c.data)]
+    owner[(c.starts + c.lens)[:-1]] = -1  # the space after a text is not its own: what follows in the chunk must not matter
     for g in GRAMS:
         if len(c.data) >= g:
             at = len(c.data) - g + 1
-            inside = owner[:at] == owner[g - 1 :]
+            inside = (owner[:at] == owner[g - 1 :]) & (owner[:at] >= 0)
             h = (pre[g:] - pre[:at]) * powers(BASE_INV, at)
             yield _bucket(h[inside], 8 + g), owner[:at][inside]
 
