@@ -15,8 +15,12 @@ cannot recur, so when the whole corpus is at hand, only the others are indexed.
 recurring hashes reaches the scan as a bitmap of bounded size, which may let others through but
 loses none.
 
+Spans travel with a row's doc_id and a hash of its text, so rows that share a doc_id never get
+each other's spans.
+
 Cases: null and empty texts have no words; texts shorter than a window keep all; very long texts
-are one document; rows that share a doc_id and text get one answer each, the same; an empty
+are one document; rows that share a doc_id and text get one answer each, the same; rows that share
+a doc_id but not a text are documents of their own, neither of which is the earlier one; an empty
 table gives an empty result; extra columns are ignored; rows without a doc_id are
 compared with themselves only.
 """
@@ -82,11 +86,16 @@ def recurring(docs: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
     return stored(seen.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h"), folder, "recurring")
 
 
-FINGERPRINT = "h long, v long, doc_id long, at int, span int"
+FINGERPRINT = "h long, v long, doc_id long, k long, at int, span int"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, k (a hash of the text), text."""
+    return docs.select("doc_id", F.xxhash64("text").alias("k"), "text")
 
 
 def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDOW) -> DataFrame:
-    """h, v, doc_id, at of each fingerprint's earliest document in a chunk of the scan.
+    """h, v, doc_id, k, at of each fingerprint's earliest document in a chunk of the scan (all texts of that doc_id).
 
     Only windows tied to hashes of the bitmap count, if there is one.  Later documents of the same
     chunk are repeats already: they come as rows with a span (words from at on), under a
@@ -97,7 +106,7 @@ def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pc.is_valid(column(b, "doc_id")))
-            keys = ints(b, "doc_id")
+            keys, hashes = ints(b, "doc_id"), ints(b, "k")
             for c in chunks_of(column(b, "text")):
                 start, end, n, h, doc, ok = _layout(c, window)
                 use = ok.copy()
@@ -111,14 +120,15 @@ def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDO
                 w = np.flatnonzero(use)
                 f = window_hash(h, window)[w]
                 v = window_hash(word_hashes(c, start, end, bytes_table=BYTE_B), window)[w]
-                own, ids = doc[w], keys[c.rows]
-                order = np.lexsort((w, ids[own], v, f))
+                own, ids, ks = doc[w], keys[c.rows], hashes[c.rows]
+                order = np.lexsort((w, ks[own], ids[own], v, f))
                 f, v, own, w = f[order], v[order], own[order], w[order]
                 new = np.ones(len(f), bool)
                 new[1:] = (f[1:] != f[:-1]) | (v[1:] != v[:-1])
-                later = np.flatnonzero(~new)
-                least = ids[own[np.flatnonzero(new)[np.cumsum(new) - 1][later]]] if len(later) else ids[:0]
-                later = later[ids[own[later]] > least]
+                least = ids[own[np.flatnonzero(new)[np.cumsum(new) - 1]]] if len(f) else ids[:0]
+                later = np.flatnonzero(ids[own] > least)
+                # Another text of the earliest doc_id is no repeat here, but may be one of an earlier chunk's.
+                new[1:] |= (ids[own[1:]] == least[1:]) & (ks[own[1:]] != ks[own[:-1]])
                 first = np.concatenate([[0], np.cumsum(n)])
                 gone = np.sort(w[later])
                 cut = np.ones(len(gone), bool)  # consecutive windows are one span
@@ -127,10 +137,10 @@ def fingerprints(docs: DataFrame, bitmap: np.ndarray | None, window: int = WINDO
                 size = np.diff(np.concatenate([i, [len(gone)]])) - 1 + window
                 s, t = gone[i], doc[gone[i]]
                 f, v, own, w = f[new], v[new], own[new], w[new]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(signed(v)), pa.array(ids[own]), pa.array((w - first[own]).astype(np.int32)), pa.nulls(len(f), pa.int32())], ["h", "v", "doc_id", "at", "span"])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids[t].astype(np.int64).view(np.uint64) * U64(2654435761) + s.astype(U64)))), pa.array(np.full(len(s), -1, np.int64)), pa.array(ids[t]), pa.array((s - first[t]).astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "v", "doc_id", "at", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(signed(v)), pa.array(ids[own]), pa.array(ks[own]), pa.array((w - first[own]).astype(np.int32)), pa.nulls(len(f), pa.int32())], ["h", "v", "doc_id", "k", "at", "span"])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(mix(ids[t].astype(np.int64).view(np.uint64) * U64(2654435761) + s.astype(U64)))), pa.array(np.full(len(s), -1, np.int64)), pa.array(ids[t]), pa.array(ks[t]), pa.array((s - first[t]).astype(np.int32)), pa.array(size.astype(np.int32))], ["h", "v", "doc_id", "k", "at", "span"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FINGERPRINT)
+    return keyed(docs).mapInArrow(run, FINGERPRINT)
 
 
 class FingerprintIndex:
@@ -176,7 +186,7 @@ class FingerprintIndex:
         self.runs.append(run)
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Add fingerprints() of a batch; its repeats: doc_id, at, span.
+        """Add fingerprints() of a batch; its repeats: doc_id, k, at, span.
 
         The batch is ranked and compared once and written; what is new goes from there to a run.
         """
@@ -188,11 +198,11 @@ class FingerprintIndex:
             ranked = ranked.join(past.hint("merge"), ["h", "v"], "left").withColumn("before", F.least("before", "past")).drop("past")
         repeat = F.col("span").isNotNull() | (F.col("doc_id") > F.least("first", F.coalesce("before", "first")))
         new = F.col("span").isNull() & (F.col("nth") == 1) & (F.col("before").isNull() | (F.col("before") > F.col("first")))
-        rows = ranked.where(repeat | new).select(F.when(new, F.col("h")).alias("h"), F.when(new, F.col("v")).alias("v"), "doc_id", F.when(repeat, F.col("at")).alias("at"), F.when(repeat, F.coalesce("span", F.lit(self.window))).alias("span"))
+        rows = ranked.where(repeat | new).select(F.when(new, F.col("h")).alias("h"), F.when(new, F.col("v")).alias("v"), "doc_id", "k", F.when(repeat, F.col("at")).alias("at"), F.when(repeat, F.coalesce("span", F.lit(self.window))).alias("span"))
         whole = stored(rows, self.folder, f"batch-{self.made + 1}")
         self._write(whole.where("h is not null").select("h", "v", F.col("doc_id").alias("first")))
         self._note()
-        return whole.where("at is not null").select("doc_id", "at", "span")
+        return whole.where("at is not null").select("doc_id", "k", "at", "span")
 
     def compact(self) -> None:
         """Merge all runs into one, bucket by bucket; the old runs go once the manifest no longer names them."""
@@ -218,15 +228,14 @@ class FingerprintIndex:
 def remove(docs: DataFrame, repeats: DataFrame, folder: str, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (the words left, joined by one space).
 
-    Only texts with repeats are shuffled to meet them: a bitmap of bounded size of their ids
+    Only texts with repeats are shuffled to meet them: a bitmap of bounded size of their hashes
     splits the scan, and the others are answered where they are read.
     """
-    spans = stored(repeats.groupBy("doc_id").agg(F.collect_list("at").alias("at"), F.collect_list("span").alias("span")), folder, "spans")
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(spans.select("doc_id"), "doc_id", mixed=True))
+    spans = stored(repeats.groupBy("doc_id", "k").agg(F.collect_list("at").alias("at"), F.collect_list("span").alias("span")), folder, "spans")
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(spans.select("k"), "k", mixed=True))
 
     def marked(b: pa.RecordBatch) -> np.ndarray:
-        ids = ints(pa.RecordBatch.from_arrays([pc.fill_null(column(b, "doc_id"), 0)], ["doc_id"]), "doc_id")
-        return bloom.contains(sent.value, mix(ids.astype(np.int64).view(np.uint64)))
+        return bloom.contains(sent.value, mix(ints(b, "k").view(np.uint64)))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -269,8 +278,8 @@ def remove(docs: DataFrame, repeats: DataFrame, folder: str, window: int = WINDO
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
                 )
 
-    out, own = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", docs.select("doc_id", "text")
-    with_spans = own.mapInArrow(some, "doc_id long, text string").join(spans, "doc_id", "left").select("doc_id", "text", "at", "span").mapInArrow(answer, out)
+    out, own = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string", keyed(docs)
+    with_spans = own.mapInArrow(some, "doc_id long, k long, text string").join(spans, ["doc_id", "k"], "left").select("doc_id", "text", "at", "span").mapInArrow(answer, out)
     return own.mapInArrow(rest, out).unionByName(with_spans)
 
 

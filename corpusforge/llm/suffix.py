@@ -14,10 +14,13 @@ more than HOT contexts goes another exact way: its windows are counted by hash,
 sums before the shuffle, first by the core that a quarter of its windows share, so no task holds
 such a group.
 
+Spans travel with a key of their row, its doc_id and a hash of its text (without a doc_id: two
+hashes of the text), so rows that share a doc_id never get each other's spans.
+
 Cases: null and empty texts have no bytes; texts shorter than a window keep all; very long texts
 are cut nowhere; overlapping repeats inside one text count; repeated rows (same doc_id and text)
-are copies of each other; rows without a doc_id count for others and keep all; an empty table
-gives an empty result; extra columns are ignored.
+are copies of each other; rows that share a doc_id but not a text, and rows without a doc_id, are
+texts like any other; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +31,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import BASE, BASE_INV, BYTE_A, BYTE_B, U64, Chunk, chunks_of, column, covered, mix, opened, powers, prefix, ranges, read, shared_dir, ship, signed, stored
+from .common import BASE, BASE_INV, BYTE_A, BYTE_B, U64, Chunk, chunks_of, column, covered, ints, mix, opened, powers, prefix, ranges, read, shared_dir, ship, signed, stored
 
 WINDOW = 200
 GRAM = 96
@@ -84,7 +87,13 @@ def recurring(docs: DataFrame, folder: str) -> DataFrame:
     return stored(seen.groupBy("h").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 or twice").select("h"), folder, "recurring")
 
 
-CONTEXT = "h long, doc_id long, at int, left int, right int, context binary"
+KEY = "struct<a:bigint,k:bigint>"
+CONTEXT = f"h long, doc_id {KEY}, at int, left int, right int, context binary"
+
+
+def key() -> Column:
+    """What a row's spans are joined by, called doc_id in all tables of contexts and spans."""
+    return F.struct(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(7), "text")).alias("a"), F.xxhash64("text").alias("k"))
 
 
 def contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
@@ -139,7 +148,7 @@ def contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
                     t = np.searchsorted(c.starts, s, "right") - 1
                     yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(s), np.int64)), keys_here.take(pa.array(t)), pa.array((s - c.starts[t]).astype(np.int32)), pa.array((e - s).astype(np.int32)), pa.array(np.zeros(len(s), np.int32)), z], ["h", "doc_id", "at", "left", "right", "context"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, CONTEXT)
+    return docs.select(key().alias("doc_id"), "text").mapInArrow(run, CONTEXT)
 
 
 def padded(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -246,7 +255,7 @@ def runs_of(dup: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, last - 1, first
 
 
-SPAN = "doc_id long, at int, left int"
+SPAN = f"doc_id {KEY}, at int, left int"
 
 
 def equal_contexts(pre: np.ndarray, x: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +307,7 @@ def sort_groups(t: pa.Table) -> pa.Table:
     _, group, n = np.unique(h, return_inverse=True, return_counts=True)
     t = t.filter(pa.array(n[group] > 1))
     if not t.num_rows:
-        return pa.table({"doc_id": pa.array([], pa.int64()), "at": pa.array([], pa.int32()), "left": pa.array([], pa.int32())})
+        return pa.table({"doc_id": t.column("doc_id"), "at": pa.array([], pa.int32()), "left": pa.array([], pa.int32())})
     _, group = np.unique(t.column("h").to_numpy(), return_inverse=True)
     x, left, right = padded(t)
     pre = prefix_rows(x)
@@ -363,9 +372,12 @@ def _hot_windows(hot: DataFrame, folder: str) -> DataFrame:
                         f, v = (mix((p[i, LEFT - d + WINDOW] - p[i, LEFT - d]) * inv) for p in pres)
                         yield pa.RecordBatch.from_arrays([pa.array(signed(f)), pa.array(signed(v)), doc.take(pa.array(i)), pa.array((at[i] - d).astype(np.int32))], ["f", "v", "doc_id", "at"])
 
-    each = stored(dealt.join(often, "core", "left_semi").select("h", "doc_id", "at", "left", "right", "context", "q").mapInArrow(windows, "f long, v long, doc_id long, at int"), folder, "hot-windows").distinct()
+    each = stored(dealt.join(often, "core", "left_semi").select("h", "doc_id", "at", "left", "right", "context", "q").mapInArrow(windows, f"f long, v long, doc_id {KEY}, at int"), folder, "hot-windows").distinct()
     twice = each.groupBy("f", "v").agg(F.count("*").alias("n")).where("n > 1")
-    return each.join(twice, ["f", "v"], "left_semi").select("doc_id", "at", F.lit(WINDOW).alias("left"))
+    # Rows that repeat id and text send the same contexts; windows are counted by place, so those rows are told apart here.
+    copies = hot.groupBy("doc_id", "at", "left", "right").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("left") + F.col("right") >= WINDOW))
+    copies = copies.select("doc_id", (F.col("at") - F.col("left")).alias("at"), (F.col("left") + F.col("right")).alias("left"))
+    return each.join(twice, ["f", "v"], "left_semi").select("doc_id", "at", F.lit(WINDOW).alias("left")).unionByName(copies)
 
 
 def repeats(docs: DataFrame, folder: str, hot: int = HOT) -> DataFrame:
@@ -389,14 +401,14 @@ def repeats(docs: DataFrame, folder: str, hot: int = HOT) -> DataFrame:
 def remove(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept of every row.
 
-    Only texts with spans are shuffled to meet them: a bitmap of bounded size of their ids splits
-    the scan, and the others are answered where they are read.
+    Only texts with spans are shuffled to meet them: a bitmap of bounded size of their hashes
+    splits the scan, and the others are answered where they are read.
     """
     own = stored(spans.groupBy("doc_id").agg(F.collect_list("at").alias("s"), F.collect_list("left").alias("n")), folder, "spans")
-    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(own.select("doc_id"), "doc_id", mixed=True))
+    sent = docs.sparkSession.sparkContext.broadcast(bloom.build(own.select("doc_id.k"), "k", mixed=True))
 
     def marked(b: pa.RecordBatch) -> np.ndarray:
-        return bloom.contains(sent.value, mix(pc.fill_null(column(b, "doc_id"), 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)))
+        return bloom.contains(sent.value, mix(ints(b, "k").view(np.uint64)))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -427,8 +439,9 @@ def remove(docs: DataFrame, spans: DataFrame, folder: str) -> DataFrame:
                     runs.append(int((mark & ~np.concatenate([[False], mark[:-1]])).sum()))
                 yield pa.RecordBatch.from_arrays([keys.slice(c.rows.start, c.n), pa.array(size), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(sha, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    out, plain = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", docs.select("doc_id", "text")
-    with_spans = plain.mapInArrow(some, "doc_id long, text string").join(own, "doc_id", "left").select("doc_id", "text", "s", "n").mapInArrow(run, out)
+    out, plain = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", docs.select("doc_id", "text", key()["a"].alias("a"), key()["k"].alias("k"))
+    met = own.select(F.col("doc_id.a").alias("a"), F.col("doc_id.k").alias("k"), "s", "n")
+    with_spans = plain.mapInArrow(some, "doc_id long, text string, a long, k long").join(met, ["a", "k"], "left").select("doc_id", "text", "s", "n").mapInArrow(run, out)
     return plain.mapInArrow(rest, out).unionByName(with_spans)
 
 

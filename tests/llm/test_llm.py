@@ -643,7 +643,7 @@ def test_null_ids(spark, library):
     items = spark.createDataFrame([(1, long), (None, "a"), (2, None)], "item_id long, text string")
     for out in (bpe.digests(d, path), bpe.encoded(d, path), decontaminate.report(decontaminate.matches(d, items)), substring.deduplicate(d), suffix.deduplicate(d), quality.score(d, quality.train(quality.sample(d, lab, "quality"))), minhash.near_duplicates(d), toxicity.score(d, toxicity.fit(d, lab))):
         assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 0, 1, 1, 3, 9]
-    assert {(r.doc_id, r.n_removed) for r in suffix.deduplicate(d).collect()} == {(1, len(long)), (None, 0), (3, 0), (9, len(long) - 1)}
+    assert {(r.doc_id, r.n_removed) for r in suffix.deduplicate(d).collect()} == {(1, len(long)), (None, len(long)), (None, 0), (3, 0), (9, len(long) - 1)}
     assert {(r.doc_id, r.n_removed) for r in substring.deduplicate(d).collect()} == {(1, 0), (None, 0), (3, 0), (9, 59)}
     assert minhash.without(d, d.select("doc_id").where("doc_id = 1 or doc_id is null")).count() == 4
     assert secret_scan.scan(d).count() == 0 and secret_scan.redact(d).count() == 6 and decontaminate.clean(d, items).count() == 2
