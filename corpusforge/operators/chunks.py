@@ -58,23 +58,23 @@ def pack(text: Column, target: int = TARGET, overlap: int = OVERLAP) -> Column:
     return F.when(F.length(text) <= target, whole).otherwise(F.aggregate(split_sentences(text), empty, step, lambda s: close(s, False)["done"]))
 
 
-def chunks(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id, ordinal, text, start, stop: texts up to the target stay whole, longer ones are packed in partitions of documents."""
+def chunks(docs: DataFrame, target: int = TARGET, overlap: int = OVERLAP, key: str = "doc_id") -> DataFrame:
+    """key, ordinal, text, start, stop: texts up to the target stay whole, longer ones are packed in partitions of documents."""
     from collections.abc import Iterator
 
     import pandas as pd
 
-    kinds = "doc_id long, ordinal int, text string, start int, stop int"
+    kinds = f"{key} {docs.schema[key].dataType.simpleString()}, ordinal int, text string, start int, stop int"
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             rows = []
-            for doc, text, sentences in zip(p["doc_id"], p["text"], p["sentences"], strict=True):
+            for doc, text, sentences in zip(p[key], p["text"], p["sentences"], strict=True):
                 got = [(text.strip(), 0, len(text))] if len(text) <= target else packed(text, list(sentences), target, overlap)
                 rows += [(doc, k, *x) for k, x in enumerate(x for x in got if x[0])]
-            yield pd.DataFrame(rows, columns=["doc_id", "ordinal", "text", "start", "stop"])
+            yield pd.DataFrame(rows, columns=[key, "ordinal", "text", "start", "stop"])
 
-    long = docs.select("doc_id", "text", F.when(F.length("text") > target, split_sentences(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("sentences")).where("text is not null")
+    long = docs.select(key, "text", F.when(F.length("text") > target, split_sentences(F.col("text"))).otherwise(F.array().cast("array<string>")).alias("sentences")).where("text is not null")
     return long.mapInPandas(run, kinds)
 
 
@@ -141,3 +141,77 @@ def section_at(headings: Column, start: Column, stop: Column, fallback: Column)
     before = F.filter(headings, lambda h: h["at"] <= start)
     inside = F.filter(headings, lambda h: (h["at"] > start) & (h["at"] < stop))
     return F.coalesce(F.try_element_at(before, F.lit(-1))["title"], F.try_element_at(inside, F.lit(1))["title"], fallback)
+
+
+HEADING = r"^#{1,6}[ \t]+(.+?)[ \t#]*$"
+
+
+def headings_of(text: Column) -> Column:
+    """array<struct<at, title>>: heading lines with the place where each starts, found by a running position over the lines."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,title:string>>").alias("found"))
+
+    def line(s: Column, x: Column) -> Column:
+        title = F.substring(F.trim(F.regexp_extract(x, HEADING, 1)), 1, 200)
+        return F.struct((s["at"] + F.length(x) + 1).alias("at"), F.when(x.rlike(HEADING), F.concat(s["found"], F.array(F.struct(s["at"].alias("at"), title.alias("title"))))).otherwise(s["found"]).alias("found"))
+
+    return F.aggregate(F.split(text, "[\n\r\u2028\u2029]", -1), start, line, lambda s: s["found"])
+
+
+def transcript_parts(items: Column, target: int = TARGET) -> Column:
+    """Parts array<struct<first, last, text>> of consecutive pieces (array<struct<o, t>>): a piece opens a new part where it would take a part beyond the target."""
+    kind = "struct<done:array<struct<first:bigint,last:bigint,texts:array<string>>>,size:int>"
+    empty = F.from_json(F.lit('{"done":[],"size":0}'), kind)
+
+    def step(s: Column, x: Column) -> Column:
+        opens = (F.size(s["done"]) == 0) | ((s["size"] > 0) & (s["size"] + F.length(x["t"]) > target))
+        last = F.element_at(s["done"], -1)
+        own = F.struct(x["o"].cast("bigint").alias("first"), x["o"].cast("bigint").alias("last"), F.array(F.trim(x["t"])).alias("texts"))
+        longer = F.struct(last["first"].alias("first"), x["o"].cast("bigint").alias("last"), F.concat(last["texts"], F.array(F.trim(x["t"]))).alias("texts"))
+        done = F.when(opens, F.concat(s["done"], F.array(own))).otherwise(F.concat(F.slice(s["done"], F.lit(1), F.size(s["done"]) - 1), F.array(longer)))
+        return F.struct(done.alias("done"), F.when(opens, F.length(x["t"])).otherwise(s["size"] + F.length(x["t"])).alias("size"))
+
+    parts = F.aggregate(items, empty, step, lambda s: s["done"])
+    return F.filter(F.transform(parts, lambda p: F.struct(p["first"].alias("first"), p["last"].alias("last"), F.trim(F.array_join(p["texts"], " ")).alias("text"))), lambda p: p["text"] != "")
+
+
+BLOCK = ("kind", "source", "text", "page", "ts_start", "ts_end", "section")
+PLANNED = "doc_id, ordinal, route, kind, source, text, page, start, stop, ts_start, ts_end, section"
+
+
+def plan_chunks(blocks: DataFrame, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """PLANNED: the chunks of documents given as blocks (doc_id, place and BLOCK), each by the route of its kind.
+
+    region and image blocks stay as they are (an empty region is left out), since a citation points
+    at them; consecutive pieces of a transcript (source asr) on one page are merged up to the target and
+    keep their time span instead of offsets; other texts stay whole up to the target and are
+    packed by sentences beyond it, with the section that their place falls into.  Ordinals
+    number a document's chunks over all routes.  A null text counts as empty.
+    """
+    b = blocks.select("doc_id", F.col("place").cast("long").alias("place"), *BLOCK).withColumn("text", F.coalesce("text", F.lit("")))
+    w = Window.partitionBy("doc_id").orderBy("place")
+    spoken = (F.col("kind") == "text") & (F.col("source") == "asr")
+    joins = spoken & F.coalesce(F.lag(spoken).over(w) & F.lag("page").over(w).eqNullSafe(F.col("page")), F.lit(False))
+    b = b.withColumn("run", F.sum(F.when(joins, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.count("*").over(Window.partitionBy("doc_id", "run")))
+    route = F.when(F.col("kind").isin("region", "image"), F.col("kind")).when(F.col("n") > 1, "transcript").when(F.length("text") > target, "split").otherwise("whole")
+    b = b.withColumn("route", route)
+    own = ["doc_id", "route", "kind", "source", "page", "ts_start", "ts_end"]
+    none = F.lit(None).cast("int")
+    trimmed = F.regexp_replace("text", r"^(?U:\s)+|(?U:\s)+$", "")
+    alone = b.where(F.col("route").isin("region", "image", "whole")).withColumn("plain", F.col("route") == "whole")
+    alone = alone.where((F.col("route") == "image") | (trimmed != "")).select(
+        *own, "place", F.lit(0).alias("part"), F.when(F.col("route") == "image", F.col("text")).otherwise(trimmed).alias("text"), F.when(F.col("plain"), 0).alias("start"), F.when(F.col("plain"), F.length("text")).alias("stop"),
+        F.when(F.col("plain"), section_at(headings_of(F.col("text")), F.lit(0), F.length("text"), F.col("section"))).otherwise(F.col("section")).alias("section"),
+    )
+    said = b.where("route = 'transcript'").groupBy("doc_id", "run").agg(F.array_sort(F.collect_list(F.struct(F.col("place").alias("o"), F.col("text").alias("t")))).alias("items"))
+    said = said.select("doc_id", F.posexplode(transcript_parts(F.col("items"), target)).alias("part", "p")).select("doc_id", F.col("p.first").alias("place"), F.col("p.last").alias("last"), F.col("p.text").alias("text"))
+    ends = b.select("doc_id", F.col("place").alias("last"), F.col("ts_end").alias("until"))
+    merged = said.join(b.drop("text"), ["doc_id", "place"]).drop("ts_end").join(ends, ["doc_id", "last"]).withColumnRenamed("until", "ts_end")
+    merged = merged.select(*own, "place", F.lit(0).alias("part"), "text", none.alias("start"), none.alias("stop"), "section")
+    long = b.where("route = 'split'").withColumn("key", F.struct("doc_id", "place"))
+    packed_ = chunks(long.select(F.to_json("key").alias("k"), "text"), target, overlap, "k").withColumnRenamed("ordinal", "part")
+    heads = long.select(F.to_json("key").alias("k"), *own, "place", "section", headings_of(F.col("text")).alias("heads"), F.length("text").alias("whole"))
+    cut = packed_.join(heads, "k").withColumn("stop", F.least(F.col("start") + F.length("text"), "whole"))
+    cut = cut.select(*own, "place", "part", "text", "start", "stop", section_at(F.col("heads"), F.col("start"), F.col("start") + F.length("text"), F.col("section")).alias("section"))
+    every = alone.unionByName(merged).unionByName(cut)
+    order = Window.partitionBy("doc_id").orderBy("place", "part")
+    return every.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int")).select(*PLANNED.split(", "))

@@ -10,9 +10,10 @@ from ..functions.text import number_of
 SLICE = 20
 
 
-def headers(cells: list[str | None]) -> list[str]:
-    """Names of a header row: blanks become `Column i`."""
-    return [(c or "").strip() or f"Column {i}" for i, c in enumerate(cells, 1)]
+def header_names(cells: Column) -> Column:
+    """Names of a header row's cells: blank and null ones become `Column i`."""
+    name = lambda c, i: F.when(F.trim(F.coalesce(c, F.lit(""))) != "", F.trim(c)).otherwise(F.concat(F.lit("Column "), (i + 1).cast("string")))
+    return F.transform(cells, name)
 
 
 def numeric_columns(df: DataFrame) -> DataFrame:

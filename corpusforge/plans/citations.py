@@ -26,9 +26,12 @@ def evidence(spark, d) -> DataFrame:
     return answers(spark, d).select(*BY, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("conv_id") + i)).alias("p", "doc_id")).select(*BY, (F.col("p") + 1).alias("place"), "doc_id")
 
 
-@query("normalise_markers", "SELECT n, t FROM (VALUES (0, '[^1]'), (1, '[^12] and [^3]'), (2, 'plain [^4] x²')) v(n, t)")
+@query("normalise_markers", "SELECT conv_id, turn, 'See [^' || turn || '] and [^' || conv_id % 1000 || '], x² and [note] in [^' || conv_id % 7 || '].' AS t FROM conversations")
 def normalise_markers(spark, d):
-    return spark.createDataFrame([(0, "[¹]"), (1, "[^¹²] and [³]"), (2, "plain [4] x²")], "n int, t string").select("n", T.normalise_markers(F.col("t")).alias("t"))
+    """Markers in superscript, plain and mixed form; other superscripts and brackets stay."""
+    up = lambda c: F.translate(c.cast("string"), "0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹")
+    said = F.concat(F.lit("See ["), up(F.col("turn")), F.lit("] and [^"), up(F.col("conv_id") % 1000), F.lit("], x² and [note] in ["), (F.col("conv_id") % 7).cast("string"), F.lit("]."))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.normalise_markers(said).alias("t"))
 
 
 _MARK = f"{_ANS}, mk AS (SELECT conv_id, turn, unnest(list_distinct([1, turn % 5 + 1, 9, 2])) AS marker FROM ans)"

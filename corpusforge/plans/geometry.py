@@ -59,7 +59,19 @@ def iou_neighbours(spark, d):
     return b.join(other, "p_partkey").select("p_partkey", F.round(G.iou(F.col("box"), F.col("other")), 6).alias("iou"))
 
 
-@query("ip_blocked", "SELECT n, blocked FROM (VALUES (0, true), (1, true), (2, false), (3, true), (4, true), (5, false), (6, true), (7, true), (8, false), (9, true)) t(n, blocked)")
+_BLOCKS = ", ".join(f"({sum(int(x) << s for x, s in zip(b.split('/')[0].split('.'), (24, 16, 8, 0)))}, {1 << (32 - int(b.split('/')[1]))})" for b in G.BLOCKED)
+_QUADS = "a AS (SELECT c_custkey, [10, 100, 127, 169, 172, 192, 198, 203, 8, 224, 0, 1][c_custkey % 12 + 1] ::BIGINT AS q1, [0, 31, 64, 254, 168, 51, 18, 113, 16][c_custkey // 12 % 9 + 1] AS q2, c_nationkey * 11 AS q3, c_custkey % 256 AS q4 FROM customer)"
+
+
+@query(
+    "ip_blocked",
+    f"""WITH {_QUADS}, b(lo, n) AS (VALUES {_BLOCKS})
+SELECT c_custkey, CASE c_custkey % 7 WHEN 5 THEN c_custkey % 2 = 0 WHEN 6 THEN true ELSE q3 > 255 OR EXISTS (SELECT 1 FROM b WHERE ((q1 * 256 + q2) * 256 + q3) * 256 + q4 >= lo AND ((q1 * 256 + q2) * 256 + q3) * 256 + q4 < lo + n) END AS blocked FROM a""",
+)
 def ip_blocked(spark, d):
-    a = ["10.1.2.3", "127.0.0.1", "8.8.8.8", "172.31.0.9", "999.1.1.1", "172.32.0.1", "::1", "fe80::1", "2606:4700::1111", "nonsense"]
-    return spark.createDataFrame(list(enumerate(a)), "n int, a string").select("n", G.blocked_address(F.col("a")).alias("blocked"))
+    """Addresses that no fetch may reach: private and reserved blocks of both protocols, and what is no address."""
+    key, at = F.col("c_custkey"), lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    quad = F.concat_ws(".", at((10, 100, 127, 169, 172, 192, 198, 203, 8, 224, 0, 1), key % 12).cast("string"), at((0, 31, 64, 254, 168, 51, 18, 113, 16), F.floor(key / 12) % 9).cast("string"), (F.col("c_nationkey") * 11).cast("string"), (key % 256).cast("string"))
+    six = F.concat(F.when(key % 2 == 0, "fe80::").otherwise("2606:4700::"), F.lower(F.hex(key % 65536)))
+    address = F.when(key % 7 == 5, six).when(key % 7 == 6, F.concat(F.lit("host-"), key.cast("string"))).otherwise(quad)
+    return table(spark, d, "customer").select("c_custkey", G.blocked_address(address).alias("blocked"))

@@ -28,19 +28,87 @@ def sentence_rows(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(T.split_sentences(F.col("text"))).alias("pos", "sentence"))
 
 
-@query("chunk_documents")
+#: What Python and Java take for white space.
+_BLANK = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+
+
+def chunks_sql(sentences: str, target: int = C.TARGET, overlap: int = C.OVERLAP) -> str:
+    """CTEs sen, walk and packed (id, part, text, start, stop): sentences of texts packed one by one; `sentences` selects id, text and the list s."""
+    joined = lambda x: f"array_to_string({x}, ' ')"
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda z: length(z))), 0)"
+    return f"""sen AS MATERIALIZED (SELECT id, text, list_transform(s, lambda z: replace(z, chr(2), '.')) AS s FROM ({sentences}) WHERE length(text) > {target}),
+walk AS (SELECT id, 0 AS k, CAST([] AS VARCHAR[]) AS held, CAST(0 AS BIGINT) AS size, CAST(0 AS BIGINT) AS place, CAST(0 AS BIGINT) AS cur, CAST(NULL AS VARCHAR) AS a, CAST(0 AS BIGINT) AS a_at, CAST(NULL AS VARCHAR) AS b, CAST(0 AS BIGINT) AS b_at FROM sen
+UNION ALL SELECT id, k, CASE WHEN full_ THEN tail ELSE held2 END, CASE WHEN full_ THEN {size("tail")} ELSE size2 END, CASE WHEN full_ THEN cur2 - {size("tail")} ELSE place2 END, cur2, a, a_at, CASE WHEN full_ THEN {joined("held2")} END, place2
+FROM (SELECT *, CASE WHEN cut <= 1 THEN CAST([] AS VARCHAR[]) ELSE held2[cut:] END AS tail
+FROM (SELECT *, size2 >= {target} AS full_, list_min(list_filter(range(1, len(held2) + 1), lambda i: i = len(held2) OR {size("held2[i:]")} <= {overlap})) AS cut
+FROM (SELECT id, k, a, a_at, list_append(held1, x) AS held2, size1 + length(x) AS size2, start + length(x) AS cur2, CASE WHEN len(held1) = 0 THEN start ELSE place END AS place2
+FROM (SELECT *, CASE WHEN opens THEN CAST([] AS VARCHAR[]) ELSE held END AS held1, CASE WHEN opens THEN 0 ELSE size END AS size1, CASE WHEN opens THEN {joined("held")} END AS a, place AS a_at
+FROM (SELECT w.id, w.k + 1 AS k, w.held, w.size, w.place, sen.s[w.k + 1] AS x, CASE WHEN instr(substr(text, w.cur + 1), sen.s[w.k + 1]) > 0 THEN w.cur + instr(substr(text, w.cur + 1), sen.s[w.k + 1]) - 1 ELSE w.cur END AS start,
+regexp_matches(sen.s[w.k + 1], '^#{{1,6}}[ \t]') AND w.size >= {C.HEADING_MIN} AS opens FROM walk w JOIN sen USING (id) WHERE w.k < len(sen.s))))))),
+emitted AS (SELECT id, k, 1 AS o, a AS body, a_at AS place FROM walk WHERE a IS NOT NULL UNION ALL SELECT id, k, 2, b, b_at FROM walk WHERE b IS NOT NULL
+UNION ALL SELECT id, k + 1, 3, {joined("held")}, place FROM walk JOIN sen USING (id) WHERE k = len(sen.s)),
+packed AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY k, o) - 1 AS INTEGER) AS part, trim(body, '{_BLANK}') AS text, CAST(place AS INTEGER) AS start, CAST(place + length(body) AS INTEGER) AS stop FROM emitted WHERE trim(body, '{_BLANK}') <> '')"""
+
+
+_CHUNKS = f"""WITH RECURSIVE {SENTENCES}, {chunks_sql("SELECT documents.doc_id AS id, text, s FROM documents JOIN sp USING (doc_id)")}
+SELECT id AS doc_id, part AS ordinal, text, start, stop FROM packed UNION ALL SELECT doc_id, 0, trim(text, '{_BLANK}'), 0, CAST(length(text) AS INTEGER) FROM documents WHERE length(text) <= {C.TARGET} AND trim(text, '{_BLANK}') <> ''"""
+
+
+@query("chunk_documents", _CHUNKS)
 def chunk_documents(spark, d):
     """Fold over sentences with overlap; held against the column-expression form in the tests."""
     return C.chunks(table(spark, d, "documents"))
 
 
-@query("chunk_fold")
+@query("chunk_fold", _CHUNKS)
 def chunk_fold(spark, d):
     """The same chunks by a JVM-side fold."""
     docs = table(spark, d, "documents")
     return docs.select("doc_id", F.posexplode(C.pack(F.col("text"))).alias("ordinal", "c")).select("doc_id", "ordinal", "c.text", "c.start", "c.stop")
 
 
+_BLOCKS = """blocks AS (SELECT conv_id AS doc_id, turn AS place, CASE turn % 7 WHEN 3 THEN 'image' WHEN 5 THEN 'region' ELSE 'text' END AS kind, CASE WHEN turn % 7 IN (3, 5) THEN 'layout' WHEN turn // 3 % 2 = 0 THEN 'asr' ELSE 'text' END AS source,
+text, CAST(turn // 12 AS INTEGER) AS page, turn * 10.0::DOUBLE AS ts_start, turn * 10.0::DOUBLE + 8 AS ts_end, 's' || turn // 6 AS section FROM conversations
+UNION ALL SELECT 1000000 + doc_id, 0, 'text', 'text', '# Part ' || doc_id % 10 || chr(10) || text, 1, NULL, NULL, 'none' FROM documents UNION ALL SELECT 1000000 + doc_id, 1, 'text', 'text', 'See above.', 2, NULL, NULL, 'end' FROM documents)"""
+
+
+def _blocks(spark, d):
+    """Conversations as transcripts with images and regions in between, documents as one long block and a short one."""
+    t = F.col("turn")
+    c = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("doc_id"), t.alias("place"), F.when(t % 7 == 3, "image").when(t % 7 == 5, "region").otherwise("text").alias("kind"),
+        F.when((t % 7).isin(3, 5), "layout").when(F.floor(t / 3) % 2 == 0, "asr").otherwise("text").alias("source"), "text", F.floor(t / 12).cast("int").alias("page"),
+        (t * 10.0).alias("ts_start"), (t * 10.0 + 8).alias("ts_end"), F.concat(F.lit("s"), F.floor(t / 6).cast("string")).alias("section"),
+    )
+    d_ = table(spark, d, "documents").select((F.col("doc_id") + 1_000_000).alias("doc_id"), F.concat(F.lit("# Part "), (F.col("doc_id") % 10).cast("string"), F.lit("\n"), "text").alias("long"))
+    part = lambda place, text, page, section: F.struct(F.lit(place).cast("long").alias("place"), F.lit("text").alias("kind"), F.lit("text").alias("source"), text.alias("text"), F.lit(page).alias("page"), F.lit(None).cast("double").alias("ts_start"), F.lit(None).cast("double").alias("ts_end"), F.lit(section).alias("section"))
+    return c.unionByName(d_.select("doc_id", F.explode(F.array(part(0, F.col("long"), 1, "none"), part(1, F.lit("See above."), 2, "end"))).alias("b")).select("doc_id", "b.*"))
+
+
+_PLAN = rf"""WITH RECURSIVE {_BLOCKS}, b1 AS (SELECT doc_id, place, kind, source, coalesce(text, '') AS text, page, ts_start, ts_end, section, kind = 'text' AND source = 'asr' AS asr FROM blocks),
+b2 AS (SELECT *, sum(CASE WHEN asr AND coalesce(before AND page0 = page, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM (SELECT *, lag(asr) OVER w AS before, lag(page) OVER w AS page0 FROM b1 WINDOW w AS (PARTITION BY doc_id ORDER BY place))),
+b AS (SELECT *, CASE WHEN kind IN ('region', 'image') THEN kind WHEN count(*) OVER (PARTITION BY doc_id, run) > 1 THEN 'transcript' WHEN length(text) > {C.TARGET} THEN 'split' ELSE 'whole' END AS route FROM b2),
+lines AS (SELECT doc_id, place, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, place, string_split_regex(text, '[\n\r\x{{2028}}\x{{2029}}]') AS l FROM b)),
+heads AS (SELECT doc_id, place, n AS at_, substr(trim(regexp_extract(line, '^#{{1,6}}[ \t]+(.+?)[ \t#]*$', 1)), 1, 200) AS title FROM (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id, place ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM lines) WHERE regexp_matches(line, '^#{{1,6}}[ \t]+(.+?)[ \t#]*$')),
+speech AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY place) AS n FROM b WHERE route = 'transcript'),
+joined AS (SELECT doc_id, run, n, 0 AS part, length(text) AS size FROM speech WHERE n = 1 UNION ALL SELECT s.doc_id, s.run, s.n, j.part + CASE WHEN j.size > 0 AND j.size + length(s.text) > {C.TARGET} THEN 1 ELSE 0 END, CASE WHEN j.size > 0 AND j.size + length(s.text) > {C.TARGET} THEN 0 ELSE j.size END + length(s.text) FROM joined j JOIN speech s ON s.doc_id = j.doc_id AND s.run = j.run AND s.n = j.n + 1),
+said AS (SELECT s.doc_id, min(place) AS place, 'transcript' AS route, arg_min(kind, place) AS kind, arg_min(source, place) AS source, trim(string_agg(trim(text), ' ' ORDER BY place)) AS text, arg_min(page, place) AS page, arg_min(ts_start, place) AS ts_start, arg_max(ts_end, place) AS ts_end, arg_min(section, place) AS section FROM speech s JOIN joined j ON j.doc_id = s.doc_id AND j.run = s.run AND j.n = s.n GROUP BY s.doc_id, s.run, j.part),
+docs2 AS (SELECT doc_id * 100000 + place AS id, text FROM b WHERE route = 'split'),
+{SENTENCES.replace("sp AS (SELECT doc_id,", "sp2 AS (SELECT id,").replace("FROM documents", "FROM docs2")},
+{chunks_sql("SELECT id, text, s FROM docs2 JOIN sp2 USING (id)")},
+cut AS (SELECT b.doc_id, b.place, p.part, b.route, kind, source, p.text, page, p.start, CAST(least(p.start + length(p.text), length(b.text)) AS INTEGER) AS stop, ts_start, ts_end, p.start + length(p.text) AS until, section FROM packed p JOIN b ON b.doc_id * 100000 + b.place = p.id AND b.route = 'split'),
+placed AS (SELECT doc_id, place, 0 AS part, route, kind, source, CASE WHEN route = 'image' THEN text ELSE trim(text, '{_BLANK}') END AS text, page, CASE WHEN route = 'whole' THEN 0 END AS start, CASE WHEN route = 'whole' THEN CAST(length(text) AS INTEGER) END AS stop, ts_start, ts_end, CASE WHEN route = 'whole' THEN length(text) END AS until, section FROM b WHERE route = 'image' OR route IN ('region', 'whole') AND trim(text, '{_BLANK}') <> ''
+UNION ALL SELECT * FROM cut UNION ALL SELECT doc_id, place, 0, route, kind, source, text, page, NULL, NULL, ts_start, ts_end, NULL, section FROM said WHERE text <> '')
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY place, part) - 1 AS INTEGER) AS ordinal, route, kind, source, text, page, start, stop, ts_start, ts_end,
+CASE WHEN until IS NULL THEN section ELSE coalesce((SELECT arg_max(title, at_) FROM heads h WHERE h.doc_id = placed.doc_id AND h.place = placed.place AND at_ <= start), (SELECT arg_min(title, at_) FROM heads h WHERE h.doc_id = placed.doc_id AND h.place = placed.place AND at_ > start AND at_ < until), section) END AS section FROM placed"""
+
+
+@query("chunk_plan", _PLAN)
+def chunk_plan(spark, d):
+    """Chunks of all routes: regions and images as they are, transcripts merged by page, short texts whole, long ones packed; sections from heading lines."""
+    return C.plan_chunks(_blocks(spark, d))
+
+
 @query("chunk_ordinals", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM documents")
 def chunk_ordinals(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"))
@@ -173,9 +241,15 @@ def evidence_class(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", T.evidence_class(q).alias("evidence"))
 
 
-@query("region_types", "SELECT kind, CASE kind WHEN 'chart' THEN ['chart', 'table'] WHEN 'table' THEN ['table', 'chart'] WHEN 'diagram' THEN ['diagram', 'photo', 'screenshot'] ELSE CAST([] AS VARCHAR[]) END AS regions FROM (VALUES ('text'), ('chart'), ('table'), ('diagram')) v(kind)")
+_EVIDENCE_KINDS = ("text", "chart", "table", "diagram", "visual", "mixed")
+_REGION_CASES = " ".join(f"WHEN '{k}' THEN CAST([{', '.join(repr(x) for x in v)}] AS VARCHAR[])" for k, v in T.REGIONS_FOR.items())
+
+
+@query("region_types", f"SELECT item_id, CASE kind {_REGION_CASES} END AS regions FROM (SELECT item_id, ['{"', '".join(_EVIDENCE_KINDS)}'][item_id % 6 + 1] AS kind FROM benchmark)")
 def region_types(spark, d):
-    return spark.createDataFrame([(k,) for k in ("text", "chart", "table", "diagram")], "kind string").select("kind", T.region_types(F.col("kind")).alias("regions"))
+    """Kinds of regions that the evidence of a question may stand in."""
+    kind = F.element_at(F.array(*map(F.lit, _EVIDENCE_KINDS)), (F.col("item_id") % 6 + 1).cast("int"))
+    return table(spark, d, "benchmark").select("item_id", T.region_types(kind).alias("regions"))
 
 
 _GREETINGS = ("Hi there!", "how are you?", "Thanks!!", "bye", "who are you?", "help", "ok", "what is on page 3", "right, what does it say", "???")
@@ -252,10 +326,13 @@ def nul_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_nul(F.col("text"))).alias("h"), T.error_text(raw).alias("error"))
 
 
-@query("number_parse", "SELECT n, CAST(v AS DOUBLE) AS v FROM (VALUES (0, 1234.5), (1, 12.0), (2, NULL), (3, NULL), (4, 0.5), (5, -3.0), (6, NULL)) t(n, v)")
+@query("number_parse", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice WHEN 1 THEN CAST(l_quantity AS INTEGER) * 1.0 WHEN 2 THEN -l_extendedprice END AS v FROM lineitem""")
 def number_parse(spark, d):
-    cells = ["1,234.5", "12%", "nan", "abc", ".5", " -3 ", ""]
-    return spark.createDataFrame(list(enumerate(cells)), "n int, cell string").select("n", T.number_of(F.col("cell")).alias("v"))
+    """Prices with thousands commas, shares in per cent, negative amounts between blanks, and cells that are no numbers."""
+    k, price = F.col("l_linenumber") % 4, F.format_number("l_extendedprice", 2)
+    word = F.element_at(F.array(*map(F.lit, ("nan", "12 pieces", "", "1.2.3", "-", "1e"))), (F.col("l_partkey") % 6 + 1).cast("int"))
+    cell = F.when(k == 0, price).when(k == 1, F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("%"))).when(k == 2, F.concat(F.lit(" -"), price, F.lit(" "))).otherwise(word)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.number_of(cell).alias("v"))
 
 
 @query("embedding_text", "SELECT doc_id, coalesce(nullif(array_to_string(list_filter([trim(substr(text, 1, doc_id % 3 * 20)), CASE WHEN doc_id % 2 = 0 THEN source END], lambda x: x IS NOT NULL AND x <> ''), ' '), ''), source || ' image ' || doc_id) AS t FROM documents")
@@ -280,19 +357,26 @@ def mail_identity(spark, d):
     return table(spark, d, "orders").select("o_orderkey", own.alias("identity"), F.concat(own, F.lit("#1")).alias("attachment"))
 
 
-@query("mail_errors", "SELECT n, kind FROM (VALUES (0, 'credentials'), (1, 'host'), (2, 'refused'), (3, 'timeout'), (4, 'certificate'), (5, 'other')) t(n, kind)")
+_MAIL_ERRORS = ("AUTHENTICATIONFAILED Invalid credentials for ", "getaddrinfo ENOTFOUND imap.", "connect ECONNREFUSED 10.0.0.", "Socket timeout ETIMEDOUT after ", "self signed certificate of ", "mailbox is full: ")
+_MAIL_KINDS = ("credentials", "host", "refused", "timeout", "certificate", "other")
+
+
+@query("mail_errors", f"SELECT kind, event_type, count(*) AS n FROM (SELECT event_type, ['{"', '".join(_MAIL_KINDS)}'][event_id % 6 + 1] AS kind FROM events) GROUP BY kind, event_type")
 def mail_errors(spark, d):
-    """Ordered rules over error messages; the first that fits names the kind."""
-    said = ["AUTHENTICATIONFAILED Invalid credentials", "getaddrinfo ENOTFOUND imap.x", "connect ECONNREFUSED 1.2.3.4", "Socket timeout ETIMEDOUT", "self signed certificate", "boom"]
+    """Error messages of events by kind: ordered rules, the first that fits names it."""
+    e = table(spark, d, "events").select("event_type", F.concat(F.element_at(F.array(*map(F.lit, _MAIL_ERRORS)), (F.col("event_id") % 6 + 1).cast("int")), F.col("user_id").cast("string")).alias("msg"))
     m = F.lower("msg")
     kind = F.when(m.rlike("auth|credential|login"), "credentials").when(m.rlike("enotfound|getaddrinfo"), "host").when(m.rlike("econnrefused"), "refused").when(m.rlike("timeout|etimedout"), "timeout").when(m.rlike("certificate|tls|ssl"), "certificate").otherwise("other")
-    return spark.createDataFrame(list(enumerate(said)), "n int, msg string").select("n", kind.alias("kind"))
+    return e.groupBy(kind.alias("kind"), "event_type").agg(F.count("*").alias("n"))
 
 
-@query("retry_delay", "SELECT n, ms FROM (VALUES (0, 7000), (1, 62500), (2, 450), (3, NULL)) t(n, ms)")
+@query("retry_delay", "SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN user_id % 90 * 1000 WHEN 1 THEN user_id % 60 * 60000 + 2500 WHEN 2 THEN user_id % 90 * 10 END AS BIGINT) AS ms FROM events")
 def retry_delay(spark, d):
-    said = ['{"retryDelay":"7s"}', "Please try again in 1m2.5s.", "try again in 0.45s", "no delay"]
-    return spark.createDataFrame(list(enumerate(said)), "n int, msg string").select("n", T.retry_delay_ms(F.col("msg")).cast("int").alias("ms"))
+    """Delays named in rate-limit messages: in seconds, in minutes and seconds, in parts of a second, or not at all."""
+    k, u = F.col("event_id") % 4, F.col("user_id")
+    secs, mins, parts = (u % 90).cast("string"), (u % 60).cast("string"), F.format_string("%.2f", (u % 90) / 100)
+    said = F.when(k == 0, F.concat(F.lit('{"error":{"retryDelay":"'), secs, F.lit('s"}}'))).when(k == 1, F.concat(F.lit("Limit reached. Please try again in "), mins, F.lit("m2.5s."))).when(k == 2, F.concat(F.lit("try again in "), parts, F.lit("s"))).otherwise("quota exceeded")
+    return table(spark, d, "events").select("event_id", T.retry_delay_ms(said).alias("ms"))
 
 
 @query("search_parse", "SELECT page_id, CAST(least(4, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: x LIKE '/%'))) AS INTEGER) AS n_links FROM pages")
@@ -317,10 +401,17 @@ def focus_window(spark, d):
     return docs.select("doc_id", "text").join(F.broadcast(top), "doc_id").join(terms, "item_id").select("doc_id", "item_id", T.focus_window(F.col("text"), F.col("terms")).alias("focus"))
 
 
-@query("mime_routing", "SELECT n, extractor, modality FROM (VALUES (0, 'pdf', 'pdf'), (1, 'image', 'image'), (2, 'audio', 'audio'), (3, 'video', 'video'), (4, 'table', 'text'), (5, 'docx', 'text'), (6, 'text', 'text'), (7, 'unresolved', NULL)) t(n, extractor, modality)")
+_MIMES = (
+    ("application/pdf", "pdf", "pdf"), ("image/png", "image", "image"), ("audio/mpeg", "audio", "audio"), ("video/mp4", "video", "video"), ("text/csv; charset=utf-8", "text", "text"), ("text/csv", "table", "text"),
+    ("application/vnd.openxmlformats-officedocument.wordprocessingml.document", "docx", "text"), ("Application/JSON", "text", "text"), ("message/rfc822", "unresolved", "text"), ("application/x-foo", "unresolved", None),
+)
+
+
+@query("mime_routing", "SELECT doc_id, extractor, modality FROM documents JOIN (VALUES " + ", ".join(f"({i}, '{e}', {repr(m) if m else 'NULL'})" for i, (_, e, m) in enumerate(_MIMES)) + f") t(k, extractor, modality) ON doc_id % {len(_MIMES)} = k")
 def mime_routing(spark, d):
-    m = ["application/pdf", "image/png", "audio/mpeg", "video/mp4", "text/csv", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "application/json", "application/x-foo"]
-    return spark.createDataFrame(list(enumerate(m)), "n int, mime string").select("n", R.extractor_of(F.col("mime")).alias("extractor"), R.modality_of(F.col("mime")).alias("modality"))
+    """Documents with a type each, routed to their extractors and modalities."""
+    mime = F.element_at(F.array(*(F.lit(m) for m, _, _ in _MIMES)), (F.col("doc_id") % len(_MIMES) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", R.extractor_of(mime).alias("extractor"), R.modality_of(mime).alias("modality"))
 
 
 @query("keyframes", "SELECT id, start, least(start + 30, duration) AS \"end\" FROM (SELECT event_id AS id, CAST(event_id % 200 + 0.5 AS DOUBLE) AS duration, unnest(range(0, 241, 30)) AS start FROM events) WHERE start < duration")
@@ -342,9 +433,12 @@ def empty_reason(spark, d):
     return table(spark, d, "documents").select("doc_id", reason.alias("reason"))
 
 
-@query("json_repair", "SELECT n, a, b FROM (VALUES (0, 1, 'x'), (1, 2, 'y'), (2, NULL, NULL)) t(n, a, b)")
+@query("json_repair", "SELECT c_custkey, CASE WHEN c_custkey % 4 < 3 THEN c_nationkey END AS a, CASE WHEN c_custkey % 4 < 3 THEN c_name END AS b FROM customer")
 def json_repair(spark, d):
     """Model output as JSON: code fences off, doubled colons and trailing commas mended, else null."""
-    raw = ['```json\n{"a": 1, "b": "x",}\n```', '{"a":: 2, "b": "y"}', "sorry"]
+    k, body = F.col("c_custkey") % 4, F.to_json(F.struct(F.col("c_nationkey").alias("a"), F.col("c_name").alias("b")))
+    fenced = F.concat(F.lit("```json\n"), F.regexp_replace(body, r"\}$", ",}"), F.lit("\n```"))
+    raw = F.when(k == 0, body).when(k == 1, fenced).when(k == 2, F.regexp_replace(body, '"a":', '"a"::')).otherwise(F.concat(F.lit("Sorry, nothing for "), "c_name"))
     fixed = F.regexp_replace(F.regexp_replace(F.regexp_replace("raw", r"^\s*```[a-z]*\s*|\s*```\s*$", ""), "::", ":"), r",(\s*[}\]])", "$1")
-    return spark.createDataFrame(list(enumerate(raw)), "n int, raw string").select("n", F.from_json(fixed, "a int, b string").alias("j")).select("n", "j.a", "j.b")
+    rows = table(spark, d, "customer").select("c_custkey", raw.alias("raw"))
+    return rows.select("c_custkey", F.from_json(fixed, "a int, b string").alias("j")).select("c_custkey", "j.a", "j.b")

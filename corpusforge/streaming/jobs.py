@@ -1,4 +1,4 @@
-"""Streaming jobs: cursor source, idempotent replay, latest status, circuit breaker."""
+"""Streaming jobs: idempotent replay, latest status, circuit breaker, token bucket."""
 
 from __future__ import annotations
 
@@ -6,52 +6,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
-from pyspark.sql.types import StructType
 
-from ..session import ROOT, shared_folder, ship
-
-
-class MailboxReader(SimpleDataSourceStreamReader):
-    """Reads a mailbox above a cursor {validity, last}: resumed if the validity is the same, started over if not; at most `batch` messages at once."""
-
-    def __init__(self, options: dict[str, str]):
-        self.size, self.batch, self.validity = int(options.get("messages", "0")), int(options.get("batch", "200")), int(options.get("validity", "1"))
-
-    def initialOffset(self) -> dict:
-        return {"validity": self.validity, "last": 0}
-
-    def _rows(self, start: dict, stop: int) -> Iterator[tuple]:
-        return iter([(uid, f"uid:{uid}", f"subject {uid}") for uid in range(start["last"] + 1, stop + 1)])  # a batch at most
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        begin = start if start["validity"] == self.validity else {"validity": self.validity, "last": 0}
-        stop = min(self.size, begin["last"] + self.batch)
-        return self._rows(begin, stop), {"validity": self.validity, "last": stop}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._rows(start, end["last"])
-
-
-class MailboxSource(DataSource):
-    """format("mailbox"): uid, identity, subject."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "mailbox"
-
-    def schema(self) -> str:
-        return "uid long, identity string, subject string"
-
-    def simpleStreamReader(self, schema: StructType) -> MailboxReader:
-        return MailboxReader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    """Make format("mailbox") known, and this package to the Python that plans it."""
-    ship(spark)
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(ROOT))
-    spark.dataSource.register(MailboxSource)
+from ..session import shared_folder
 
 
 def latest_status(events: DataFrame) -> DataFrame:
@@ -69,31 +25,36 @@ def attachments(mails: DataFrame, limit: int) -> DataFrame:
     return mails.select("identity", F.posexplode("attachments").alias("n", "a")).where(F.col("a.size") <= limit).select(F.concat("identity", F.lit("#"), (F.col("n") + 1).cast("string")).alias("external_id"), F.coalesce("a.name", F.concat(F.lit("attachment-"), (F.col("n") + 1).cast("string"))).alias("name"))
 
 
-def run_once(spark: SparkSession, df: DataFrame, mode: str = "append", whole: bool = True) -> DataFrame:
+def run_once(spark: SparkSession, df: DataFrame, mode: str = "append", folder: str | None = None, settings: dict[str, str] | None = None) -> DataFrame:
     """Run a streaming DataFrame over what there is, into a Parquet table of the shared folder, and read that.
 
-    The checkpoint lies beside the table.  A batch that is run again overwrites its own part; in
-    complete mode each batch replaces the one before.  whole=False: for sources that cannot say
-    where their present end is; the query stops once they hand out nothing more.
+    The checkpoint lies beside the table: with the same folder a later run goes on where this one
+    ended.  A batch that is run again overwrites its own part; in complete mode each batch
+    replaces the one before.  settings hold while the query runs.
     """
-    folder = shared_folder(spark)
-    spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/part=none")
+    folder = folder or shared_folder(spark)
+    if not _exists(spark, f"{folder}/rows"):
+        spark.createDataFrame([], df.schema).write.parquet(f"{folder}/rows/part=none")
 
     def put(batch: DataFrame, n: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/part={0 if mode == 'complete' else n}")
 
-    stream = df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-    if whole:
-        stream.trigger(availableNow=True).start().awaitTermination()
-    else:
-        q = stream.start()
-        try:
-            q.processAllAvailable()
-        finally:
-            q.stop()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    try:
+        for k, v in (settings or {}).items():
+            spark.conf.set(k, v)
+        df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/rows")
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def breaker(calls: DataFrame, cooldown: float) -> DataFrame:
     """Circuit breaker over calls (key, at seconds, failed): a failure opens it for `cooldown`; adds allowed.  State is one row a key."""
     import pandas as pd
