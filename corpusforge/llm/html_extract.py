@@ -9,11 +9,14 @@ distinct pages give the longest repeated run at every token; open tokens covered
 tokens or more are boilerplate, the unique runs are kept.  Content is never judged by repetition,
 since articles quote and copy each other.
 
-A class, id or role marks furniture by whole tokens: all parts of one (at hyphens and underscores)
-have to be names of furniture or neutral ones, so "cookie-notice" and "site-header" do and
-"share-prices" and "comment-free" do not.  Hidden elements are furniture.  A header inside an
-article is a header, headline included; text outside the article of a page that has one is not
-main text.
+A class, id or role marks furniture by whole tokens: all parts of one (at hyphens, underscores and
+capitals) have to be names of furniture or neutral ones, so "cookieNotice", "site-header" and
+"reader-comments" do and "share-prices" and "comment-free" do not.  Names of lists of links (menu,
+breadcrumbs, pager) mark furniture inside an article only if half of the element's text is links:
+a menu may be one of dishes.  On headings there, words that may be a text's own subject (notice,
+search, comment) mark nothing.  Hidden elements are furniture.  A header element inside an article
+is a header, headline included, but a class that calls something the header of an article or post
+marks nothing; text outside the article of a page that has one is not main text.
 
 A host with many pages is dealt to shards of about SHARD pages, each with a suffix array of its
 own.  Fingerprints of all runs of such a host are counted over its shards (one row a fingerprint
@@ -57,42 +60,70 @@ _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 _FURNITURE = frozenset("nav header footer aside form head button dialog menu".split())
 _MAIN = frozenset(("article", "main"))
 _CHROME = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription paywall sidebar widget widgets related recommended share sharing social menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus login signin signup search pagination pager toolbar contentinfo complementary topnav sidenav subnav bottomnav".split()
+    "ad ads advert adverts advertisement advertising adsbygoogle adslot banner sponsor sponsored promo promos promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall sidebar widget widgets related recommended recommendations share sharing sharebar sharethis addthis addtoany social menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments commentlist commentform reply replies respond disqus login signin search pagination pager toolbar contentinfo complementary topnav sidenav subnav bottomnav taboola outbrain".split()
 )
-
-
+#: Names of lists of links.
+_LISTS = frozenset("menu nav navbar navigation breadcrumb breadcrumbs pagination pager toolbar topnav sidenav subnav bottomnav".split())
+#: Names that may be a heading's own subject.
+_SUBJECTS = frozenset("notice notices alert search comment comments reply replies banner share sharing social related header menu widget promotion promotions subscription".split())
 #: Parts of a class name that say where something stands, not what it is.
-_NEUTRAL = frozenset("site page main top bottom left right global user social primary secondary wrapper container box block bar list section area inner outer item link links module panel slot unit row col text area".split())
+_NEUTRAL = frozenset(
+    "site page main top bottom left right global user social primary secondary wrapper container box block bar list section area inner outer item items link links module panel slot unit row col text content body article articles post posts story stories entry blog news reader readers thread threads card cards label labels button buttons icon icons legal group holder strip feed tools title heading count meta form field".split()
+)
+_HEADER_OF = frozenset("article post story entry blog news section title heading card".split())
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_CAPITAL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+YES, LINKS, NO = 2, 1, 0
 
 
-def _chrome(attrs: str) -> bool:
+def _chrome(attrs: str, heading: bool = False) -> int:
+    """YES: names of furniture or hidden; LINKS: only names of lists of links."""
+    out = NO
     for _, value in _ATTR.findall(attrs):
-        for token in value.strip("\"'").lower().split():
-            parts = [x for x in re.split(r"[-_]+|[0-9]+", token) if x]
-            if any(x in _CHROME for x in parts) and all(x in _CHROME or x in _NEUTRAL for x in parts):
-                return True
-    return bool(_HIDDEN.search(attrs))
+        for token in value.strip("\"'").split():
+            parts = [x for x in re.split(r"[-_]+|[0-9]+", _CAPITAL.sub("-", token).lower()) if x]
+            found = {x for x in parts if x in _CHROME}
+            if not found or any(x not in _CHROME and x not in _NEUTRAL for x in parts):
+                continue
+            if found <= {"header", "masthead"} and _HEADER_OF.intersection(parts) or heading and found <= _SUBJECTS:
+                continue
+            out = max(out, LINKS if found <= _LISTS else YES)
+    return YES if _HIDDEN.search(attrs) else out
 
 
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
     """(kind, text) of every block with text, in page order; white space is one space."""
-    out: list[tuple[int, str]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, furniture, inside content
+    out: list[tuple[int, str, int]] = []
+    stack: list[tuple[str, bool, bool, int]] = []  # tag, furniture, inside content, number of the list of links around (0: none)
+    size, linked = [0], [0]  # characters of each such list, and those in links
     text: list[str] = []
     page = page or ""
-    at = 0
+    at = anchors = 0
+    outside = ("", False, False, 0)
 
     def flush() -> None:
         if text:
             words = html.unescape("".join(text)).split()
             text.clear()
             if words:
-                furniture, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append((FURNITURE if furniture else CONTENT if content else OPEN, " ".join(words)))
+                _, furniture, content, around = stack[-1] if stack else outside
+                out.append((FURNITURE if furniture else CONTENT if content else OPEN, " ".join(words), around))
+
+    def put(piece: str) -> None:
+        text.append(piece)
+        if stack and stack[-1][3]:
+            n = len("".join(piece.split()))
+            size[stack[-1][3]] += n
+            linked[stack[-1][3]] += n if anchors else 0
+
+    def drop(k: int) -> None:
+        nonlocal anchors
+        anchors -= sum(x[0] == "a" for x in stack[k:])
+        del stack[k:]
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            text.append(page[at : m.start()])
+            put(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
@@ -105,27 +136,34 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if m["close"]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
-                    if stack[k][1:] != (stack[k - 1][1:] if k else (False, False)):
+                    if stack[k][1:] != (stack[k - 1] if k else outside)[1:]:
                         flush()
-                    del stack[k:]
+                    drop(k)
                     break
         elif not m["attrs"].endswith("/"):
             if tag not in _INLINE:  # a block ends an open paragraph, an item the one before
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == "p" or stack[k][0] == tag == "li":
-                        del stack[k:]
+                        drop(k)
                         break
                     if stack[k][0] not in _INLINE:
                         break
-            up = stack[-1] if stack else ("", False, False)
-            chrome = tag in _FURNITURE or tag not in ("html", "body", "article", "main") and bool(m["attrs"]) and _chrome(m["attrs"])
-            if tag in _INLINE and chrome != up[1]:
+            _, furniture, content, around = stack[-1] if stack else outside
+            named = _chrome(m["attrs"], content and tag in _HEADINGS) if m["attrs"] and tag not in ("html", "body", "article", "main") else NO
+            chrome = tag in _FURNITURE or named == YES or named == LINKS and not content
+            if named == LINKS and content and not around and not chrome:
+                size.append(0)
+                linked.append(0)
+                around = len(size) - 1
+            if tag in _INLINE and (chrome and not furniture or around != (stack[-1] if stack else outside)[3]):
                 flush()
-            stack.append((tag, up[1] or chrome, up[2] or tag in _MAIN))
+            stack.append((tag, furniture or chrome, content or tag in _MAIN, around))
+            anchors += tag == "a"
     if at < len(page):
-        text.append(page[at:])
+        put(page[at:])
     flush()
-    return out
+    menus = {k for k in range(1, len(size)) if 2 * linked[k] >= size[k]}
+    return [(FURNITURE if around in menus else kind, words) for kind, words, around in out]
 
 
 def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
