@@ -39,7 +39,11 @@ EXPAND = 4  # candidates of a beam looked at together
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length; their largest component is divided out first, so that no square overflows or vanishes."""
     x = x.astype(np.float64)
+    if x.size:
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            x = x * 2.0 ** -np.clip(np.frexp(np.abs(x).max(1, keepdims=True))[1], -1000, 1000).astype(np.float64)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 

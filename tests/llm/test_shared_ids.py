@@ -95,3 +95,12 @@ def test_near_duplicates_of_shared_ids(spark):
     d = spark.createDataFrame([(5, a), (3, b), (5, b), (9, a), (None, a)], "doc_id long, text string")
     got = {(x.doc_id, x.component_id) for x in minhash.near_duplicates(d).collect()}
     assert got == {(5, 3), (3, 3), (9, 3), (None, None)}
+
+
+def test_vectors_of_any_magnitude(spark):
+    """Squares of finite components may overflow or vanish; the cosine does not."""
+    from corpusforge.llm import hnsw
+
+    rows = [(k, [s, s * 1.01], 1) for k, s in enumerate([1e200, 2e200, 1.0, 2.0, 1e-200, 1e-320, 1.7e308])] + [(7, [0.0, 0.0], 1), (8, [-1e300, 1e300], 1), (9, [1e300, float("inf")], 1)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {**{k: (6, 0) for k in range(7)}, 7: (0, 7), 8: (0, 8), 9: (0, 9)}
