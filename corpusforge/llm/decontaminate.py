@@ -232,11 +232,14 @@ def segments(b: pa.RecordBatch) -> Iterator[tuple[int, Segment]]:
         yield k, Segment.loaded([column(b, x)[k].as_buffer() for x in PARTS])
 
 
-def blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[int], list[str]]]:
-    """The items (item_id, text) in blocks whose texts hold about block_bytes."""
+def block_count(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
+    """In how many blocks the items travel."""
+    return int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // block_bytes) + 1
+
+
+def blocks(items: DataFrame, n: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The items (item_id, text) in n blocks of about one size, each taken from the table when it is asked for, so that the driver holds one at a time."""
     items = items.select("item_id", "text").where("item_id is not null and text is not null")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(size // block_bytes) + 1
     for k in range(n):
         rows = (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
         yield [r.item_id for r in rows], [r.text for r in rows]
@@ -331,11 +334,11 @@ def matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes
     broadcast is given up before the next; the hits then meet their documents by segment and row.
     """
     folder = shared_dir(docs.sparkSession)
-    own, parts = index(docs, folder), list(blocks(items, block_bytes))
-    if len(parts) == 1:
-        return search(own, prepared(own, *parts[0], window, rarest), within)
+    own, n = index(docs, folder), block_count(items, block_bytes)
+    if n == 1:
+        return search(own, prepared(own, *next(blocks(items, 1)), window, rarest), within)
     found = None
-    for k, part in enumerate(parts):
+    for k, part in enumerate(blocks(items, n)):
         one = stored(search(own, prepared(own, *part, window, rarest), within, hits_only=True), folder, f"hits-{k}")
         found = one if found is None else found.unionByName(one)
     flat = [F.flatten(F.collect_list(x)).alias(x) for x in ("spans", "items", "near", "near_places")]
@@ -354,20 +357,44 @@ def proximity(docs: DataFrame, items: DataFrame, rarest: int = RAREST, within: i
 
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs, with all their columns, that hold no window of any item; one narrow pass over segments for each block of items."""
-    for ids, texts in blocks(items, block_bytes):
-        sent = docs.sparkSession.sparkContext.broadcast(Queries(ids, texts, window))
+    """The rows of docs, with all their columns, that hold no window of any item.
+
+    Items of one block are looked for where the rows are read.  More blocks go one after the other:
+    each leaves the ids and text hashes of the rows that it hits in the shared folder, and its
+    broadcast is given up; the rows that none hit are returned.
+    """
+    n, spark = block_count(items, block_bytes), docs.sparkSession
+
+    def hits(b: pa.RecordBatch, q: Queries) -> np.ndarray:
+        hit = np.zeros(b.num_rows, bool)
+        for c in chunks_of(column(b, "text")):
+            own = Lists(Segment.of(c), q)
+            hit[c.rows.start + own.doc(own.phrases()[1])] = True
+        return hit
+
+    if n == 1:
+        sent = spark.sparkContext.broadcast(Queries(*next(blocks(items, 1)), window))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+        def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for c in chunks_of(column(b, "text")):
-                    own = Lists(Segment.of(c), sent.value)
-                    keep[c.rows.start + own.doc(own.phrases()[1])] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                yield b.filter(pa.array(~hits(b, sent.value)))
+
+        return docs.mapInArrow(rest, docs.schema)
+    ship(spark)
+    folder, keyed, found = shared_dir(spark), docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), "text"), None
+    for i, part in enumerate(blocks(items, n)):
+        sent = spark.sparkContext.broadcast(Queries(*part, window))
+
+        def some(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(hits(b, sent.value))).select(["d", "k"])
+
+        one = stored(keyed.mapInArrow(some, "d long, k long").distinct(), folder, f"hits-{i}")
+        sent.destroy()
+        found = one if found is None else found.unionByName(one)
+    found = found.distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(found["d"]) & (F.xxhash64(docs["text"]) == found["k"])
+    return docs.join(found, same, "left_anti")
 
 
 def report(found: DataFrame) -> DataFrame:
