@@ -379,11 +379,11 @@ def retry_delay(spark, d):
     return table(spark, d, "events").select("event_id", T.retry_delay_ms(said).alias("ms"))
 
 
-@query("search_parse", "SELECT page_id, CAST(least(4, len(list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: x LIKE '/%'))) AS INTEGER) AS n_links FROM pages")
+@query("search_parse", "SELECT page_id, list_filter(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), lambda x: x LIKE '/%')[1:4] AS links FROM pages")
 def search_parse(spark, d):
     """Result links of a page: the first four."""
     links = F.filter(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1)), lambda x: x.startswith("/"))
-    return table(spark, d, "pages").select("page_id", F.size(F.slice(links, 1, 4)).alias("n_links"))
+    return table(spark, d, "pages").select("page_id", F.slice(links, 1, 4).alias("links"))
 
 
 @query("percent_format", "SELECT label, printf('%.1f%%', 100.0 * n / t) AS share FROM (SELECT label, count(*) AS n, sum(count(*)) OVER () AS t FROM embeddings GROUP BY label)")
