@@ -35,6 +35,7 @@ BLOCK_BYTES = 4 << 20
 WINDOW = 10
 RAREST, WITHIN = 3, 10
 PAIRS = 1_000_000  # candidates looked at together
+ROW_GROUP = 8 << 20  # bytes of the index that a writer or reader holds, about
 
 
 @dataclass
@@ -224,7 +225,9 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
 
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(run, INDEX.replace("segment long, ", ""))
-    return stored(rows.select(F.monotonically_increasing_id().alias("segment"), "*"), folder, "index")
+    # Small row groups: writers and readers hold one whole, and a row is some megabytes.
+    rows.select(F.monotonically_increasing_id().alias("segment"), "*").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/index")
+    return docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
 def segments(b: pa.RecordBatch) -> Iterator[tuple[int, Segment]]:
