@@ -36,6 +36,8 @@ WINDOW = 10
 RAREST, WITHIN = 3, 10
 PAIRS = 1_000_000  # candidates looked at together
 ROW_GROUP = 8 << 20  # bytes of the index that a writer or reader holds, about
+#: Bytes of text in a segment, about: its arrays stay below half a megabyte each, which a JVM of some gigabytes can move.
+SEGMENT_BYTES = 1 << 19
 
 
 @dataclass
@@ -218,7 +220,7 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in chunks_of(column(b, "text")):
+            for c in chunks_of(column(b, "text"), SEGMENT_BYTES):
                 keys = column(b, "doc_id").slice(c.rows.start, c.n)
                 parts = [pa.array([x], pa.binary()) for x in Segment.of(c).stored()]
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, c.n], pa.int32()), pa.concat_arrays([keys])), *parts], ["doc_id", *PARTS])
@@ -226,7 +228,7 @@ def index(docs: DataFrame, folder: str) -> DataFrame:
     ship(docs.sparkSession)
     rows = docs.select("doc_id", "text").mapInArrow(run, INDEX.replace("segment long, ", ""))
     # Small row groups: writers and readers hold one whole, and a row is some megabytes.
-    rows.select(F.monotonically_increasing_id().alias("segment"), "*").write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/index")
+    rows.select(F.monotonically_increasing_id().alias("segment"), "*").write.option("parquet.block.size", ROW_GROUP).option("compression", "zstd").parquet(f"{folder}/index")
     return docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
 
 
