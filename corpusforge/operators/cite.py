@@ -58,3 +58,9 @@ def neighbours(chunks: DataFrame, by: str, order: str, text: str, reach: int = 1
     """Adds context: the texts of the rows within `reach` of each row's ordinal, by blank lines (a band self join as a range window)."""
     w = Window.partitionBy(by).orderBy(order).rangeBetween(-reach, reach)
     return chunks.withColumn("context", F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text)).over(w)), lambda x: x[text]), "\n\n"))
+
+
+def contexts(chunks: DataFrame, by: str, order: str, text: str, region: str = "region_type", reach: int = 1) -> DataFrame:
+    """Adds context: a chart, table or picture (a region that is not text) is its own; any other row has its neighbours'."""
+    own = F.col(region).isNotNull() & (F.col(region) != "text")
+    return neighbours(chunks, by, order, text, reach).withColumn("context", F.when(own, F.col(text)).otherwise(F.col("context")))

@@ -25,6 +25,15 @@ def union(boxes: DataFrame, by: list[str]) -> DataFrame:
     return boxes.groupBy(*by).agg(F.round(F.min("x0"), 4).alias("x0"), F.round(F.min("y0"), 4).alias("y0"), F.round(F.max("x1"), 4).alias("x1"), F.round(F.max("y1"), 4).alias("y1"))
 
 
+def decoded_box(raw: Column, rows_first: Column) -> Column:
+    """A model's box of four numbers from 0 to 1000 as shares x0, y0, x1, y1 of the page, y before x where rows_first; null where it is no box."""
+    part = lambda i: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.get(raw, F.lit(i)).cast("double") / 1000))
+    at = lambda i, j: F.when(rows_first, part(j)).otherwise(part(i))
+    box = F.struct(at(0, 1).alias("x0"), at(1, 0).alias("y0"), at(2, 3).alias("x1"), at(3, 2).alias("y1"))
+    whole = (F.size(raw) == 4) & ~F.exists(raw, lambda x: x.isNull() | F.isnan(x.cast("double")))
+    return F.when(whole & (box["x1"] > box["x0"]) & (box["y1"] > box["y0"]), box)
+
+
 def largest_gap(intervals: DataFrame, by: list[str]) -> DataFrame:
     """Widest gap between merged intervals (a, z) of each group: by, start, width; none: no row."""
     from pyspark.sql import Window

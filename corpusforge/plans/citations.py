@@ -90,6 +90,13 @@ def citation_context(spark, d):
     return C.neighbours(table(spark, d, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "context")
 
 
+@query("region_context", "WITH c AS (SELECT *, CASE turn % 4 WHEN 1 THEN 'chart' WHEN 2 THEN 'text' END AS region FROM conversations) SELECT a.conv_id, a.turn, CASE WHEN a.region = 'chart' THEN any_value(a.text) ELSE string_agg(b.text, chr(10) || chr(10) ORDER BY b.turn) END AS context FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 GROUP BY a.conv_id, a.turn, a.region")
+def region_context(spark, d):
+    """A cited chart is its own context; texts, also those of regions, have their neighbours'."""
+    c = table(spark, d, "conversations").withColumn("region_type", F.when(F.col("turn") % 4 == 1, "chart").when(F.col("turn") % 4 == 2, "text"))
+    return C.contexts(c, "conv_id", "turn", "text").select("conv_id", "turn", "context")
+
+
 @query("citation_lookup", "SELECT l.l_orderkey, l.l_linenumber, o.o_custkey, c.c_nationkey FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey")
 def citation_lookup(spark, d):
     """Chunk, its document and its collection (line, order and customer stand in)."""

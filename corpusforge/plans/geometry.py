@@ -52,6 +52,16 @@ def bbox_union(spark, d):
     return G.union(boxes(spark, d), ["p_brand"])
 
 
+@query("box_decode", "SELECT p_partkey, CASE WHEN ok THEN x0 END AS x0, CASE WHEN ok THEN y0 END AS y0, CASE WHEN ok THEN x1 END AS x1, CASE WHEN ok THEN y1 END AS y1 FROM (SELECT *, x1 > x0 AND y1 > y0 AND p_partkey % 7 <> 3 AS ok FROM (SELECT p_partkey, p_partkey % 900 / 1000 AS x0, p_size / 100 AS y0, least(1.0, (p_partkey % 900 + 20 * p_size - 200) / 1000) AS x1, least(1.0, (p_size * 10 + 300) / 1000) AS y1 FROM part))")
+def box_decode(spark, d):
+    """Boxes of models with either order of axes; inverted ones and those of three numbers are none."""
+    p, first = table(spark, d, "part"), F.col("p_partkey") % 2 == 0
+    x0, y0, x1, y1 = F.col("p_partkey") % 900, F.col("p_size") * 10, F.col("p_partkey") % 900 + F.col("p_size") * 20 - 200, F.col("p_size") * 10 + 300
+    four = F.when(first, F.array(y0.cast("long"), x0, y1.cast("long"), x1)).otherwise(F.array(x0, y0.cast("long"), x1, y1.cast("long")))
+    raw = F.when(F.col("p_partkey") % 7 == 3, F.slice(four, 1, 3)).otherwise(four)
+    return p.select("p_partkey", G.decoded_box(raw, first).alias("b")).select("p_partkey", "b.*")
+
+
 @query("iou_neighbours", f"WITH {_BOX}, p AS (SELECT a.p_partkey, greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS i, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s FROM bx a JOIN bx b ON b.p_partkey = a.p_partkey + 7) SELECT p_partkey, round(i / (s - i), 6) AS iou FROM p")
 def iou_neighbours(spark, d):
     b = boxes(spark, d).select("p_partkey", F.struct("x0", "y0", "x1", "y1").alias("box"))

@@ -326,6 +326,26 @@ def nul_clean(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.clean_nul(F.col("text"))).alias("h"), T.error_text(raw).alias("error"))
 
 
+@query("number_print", "SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN v = floor(v) THEN CAST(CAST(v AS BIGINT) AS VARCHAR) ELSE format('{:.4g}', v) END AS said FROM (SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN l_quantity WHEN 1 THEN l_extendedprice / 8 + 1 / 64.0 WHEN 2 THEN (l_partkey + 1) / 1048576.0 ELSE -(l_discount + 1 / 3.0) END AS v FROM lineitem)")
+def number_print(spark, d):
+    """Quantities, prices, small shares and negative amounts as tables print them."""
+    k = F.col("l_linenumber") % 4
+    v = F.when(k == 0, F.col("l_quantity")).when(k == 1, F.col("l_extendedprice") / 8 + F.lit(1 / 64)).when(k == 2, (F.col("l_partkey") + 1) / F.lit(1048576.0)).otherwise(-(F.col("l_discount") + F.lit(1 / 3)))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.printed(v).alias("said"))
+
+
+_ASKED = ("What was the market size in 2024?", "List all students of the class", "Explain the architecture", "What is in the photo?", "Compare the chart with the text", "What does the text say?")
+_ASKED_KINDS = ("chart", "table", "diagram", "visual", "mixed", "text")
+
+
+@query("evidence_route", f"SELECT conv_id, turn, CASE WHEN said IS NULL THEN worded WHEN said = 'text' AND worded <> 'text' THEN 'mixed' ELSE said END AS route FROM (SELECT conv_id, turn, ['{"', '".join(_ASKED_KINDS)}'][conv_id % 6 + 1] AS worded, CASE turn % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'table' WHEN 2 THEN 'diagram' END AS said FROM conversations)")
+def evidence_route(spark, d):
+    """What the analysis says and what the wording says, merged; a text answer against the wording searches both."""
+    k = F.col("turn") % 4
+    asked = F.element_at(F.array(*map(F.lit, _ASKED)), (F.col("conv_id") % 6 + 1).cast("int"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.evidence_route(F.when(k == 0, "text").when(k == 1, "table").when(k == 2, "diagram"), asked).alias("route"))
+
+
 @query("number_parse", """SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 4 WHEN 0 THEN l_extendedprice WHEN 1 THEN CAST(l_quantity AS INTEGER) * 1.0 WHEN 2 THEN -l_extendedprice END AS v FROM lineitem""")
 def number_parse(spark, d):
     """Prices with thousands commas, shares in per cent, negative amounts between blanks, and cells that are no numbers."""
@@ -420,6 +440,14 @@ def keyframes(spark, d):
     return R.keyframes(m).select("id", F.col("start").cast("long").alias("start"), "end")
 
 
+@query("audio_segments", "SELECT conv_id AS path, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS ordinal, 'text' AS kind, 'asr' AS source, trim(text) AS text, turn * 5.0::DOUBLE AS ts_start, turn * 5.0::DOUBLE + 4 AS ts_end FROM conversations WHERE trim(coalesce(text, '')) <> '' AND turn % 6 <> 5")
+def audio_segments(spark, d):
+    """Recognised speech as blocks, one a segment with its span; silent segments give none."""
+    t = F.col("turn")
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("path"), (t * 5.0).alias("start"), (t * 5.0 + 4).alias("end"), F.when(t % 6 == 5, "  ").otherwise(F.col("text")).alias("text"))
+    return R.segment_blocks(c)
+
+
 @query("audio_pieces", "SELECT id, CAST(off // 1200 AS INTEGER) AS piece, CAST(off AS BIGINT) AS \"offset\", least(1200, duration - off) AS length FROM (SELECT event_id AS id, CAST(event_id % 5000 + 0.5 AS DOUBLE) AS duration, unnest(range(0, 6001, 1200)) AS off FROM events) WHERE off < duration")
 def audio_pieces(spark, d):
     m = table(spark, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 5000 + F.lit(0.5)).cast("double").alias("duration"))

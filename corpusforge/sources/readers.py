@@ -101,3 +101,12 @@ def audio_pieces(media: DataFrame, piece: int = 1200) -> DataFrame:
     """media (id, duration) -> id, piece, offset, length: pieces of at most `piece` seconds."""
     parts = media.select("id", "duration", F.posexplode(F.sequence(F.lit(0), F.floor("duration").cast("int"), F.lit(piece))).alias("piece", "offset"))
     return parts.where("offset < duration").select("id", "piece", "offset", F.least(F.lit(piece), F.col("duration") - F.col("offset")).alias("length"))
+
+
+def segment_blocks(segments: DataFrame) -> DataFrame:
+    """segments (path, start, end, text) of recognised speech -> path, ordinal, kind, source, text, ts_start, ts_end: a block each, never merged, since citations seek to its span; blank ones are left out."""
+    from pyspark.sql import Window
+
+    said = segments.withColumn("text", F.trim("text")).where("text <> ''")
+    n = F.row_number().over(Window.partitionBy("path").orderBy("start", "end"))
+    return said.select("path", (n - 1).cast("int").alias("ordinal"), F.lit("text").alias("kind"), F.lit("asr").alias("source"), "text", F.col("start").alias("ts_start"), F.col("end").alias("ts_end"))

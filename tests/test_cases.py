@@ -193,3 +193,21 @@ def test_delimited_reader(spark, tmp_path):
     assert readers.read_delimited(spark, str(tmp_path / "t.csv")).columns == ["a", "b"]
     (tmp_path / "w.txt").write_text("one\ntwo")
     assert readers.read_text(spark, str(tmp_path / "w.txt")).first().text == "one\ntwo"
+
+
+@pytest.mark.parametrize("x,want", [(3.0, "3"), (-12.0, "-12"), (0.0, "0"), (1234.5, "1234"), (12345.678, "1.235e+04"), (0.5, "0.5"), (0.00012345, "0.0001234"), (0.000012345, "1.234e-05"), (99999.5, "1e+05"), (9.9996, "10"), (123.456, "123.5"), (-0.25, "-0.25"), (2.50001, "2.5")])
+def test_printed_numbers(spark, x, want):
+    got = spark.createDataFrame([(x,)], "x double").select(T.printed(F.col("x")).alias("s")).first().s
+    assert got == want or abs(float(got) - float(want)) <= abs(x) * 1e-3 and len(got) == len(want)
+
+
+def test_decoded_boxes(spark):
+    rows = [([100, 200, 300, 400], True), ([100, 200, 300, 400], False), ([300, 0, 100, 10], False), ([1, 2, 3], True), (None, True), ([-50, 0, 2000, 500], False), ([0, None, 1, 1], False)]
+    got = [r.b and tuple(r.b) for r in spark.createDataFrame(rows, "raw array<int>, f boolean").select(geometry.decoded_box(F.col("raw"), F.col("f")).alias("b")).collect()]
+    assert got == [(0.2, 0.1, 0.4, 0.3), (0.1, 0.2, 0.3, 0.4), None, None, None, (0.0, 0.0, 1.0, 0.5), None]
+
+
+def test_evidence_route(spark):
+    q, said = "What was the market size in 2024?", [None, "text", "table"]
+    got = [r.k for r in spark.createDataFrame([(s,) for s in said], "s string").select(T.evidence_route(F.col("s"), F.lit(q)).alias("k")).collect()]
+    assert got == ["chart", "mixed", "table"]
