@@ -121,10 +121,19 @@ def _grouped(rows: list) -> dict[str, list]:
 
 
 def robust_spread(values: DataFrame, by: list[str], column: str = "m", floor: float = 0.05) -> DataFrame:
-    """The value at place floor(0.9 n) (from 0) of each group's sorted magnitudes, `floor` at least."""
-    a = F.sort_array(F.collect_list(column))
-    at = F.least(F.size(a) - 1, F.floor(F.size(a) * 0.9).cast("int")) + 1
-    return values.groupBy(*by).agg(F.greatest(F.element_at(a, at), F.lit(floor)).alias("spread"))
+    """The value at place floor(0.9 n) (from 0) of each group's sorted magnitudes, `floor` at least.
+
+    Equal magnitudes are one row with a count first, and a running count finds the place, so no
+    group is gathered; nulls are left out.
+    """
+    from pyspark.sql import Window
+
+    own = values.where(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy(column).rowsBetween(Window.unboundedPreceding, 0))
+    total = F.sum("_n").over(group)
+    placed = own.withColumn("_upto", upto).withColumn("_at", F.least(total - 1, F.floor(total * 0.9)) + 1)
+    return placed.where((F.col("_upto") >= F.col("_at")) & (F.col("_upto") - F.col("_n") < F.col("_at"))).select(*by, F.greatest(F.col(column), F.lit(floor)).alias("spread"))
 
 
 #: Address blocks that no fetch may reach (fixed values).

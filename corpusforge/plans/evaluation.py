@@ -14,21 +14,31 @@ KS = (1, 3, 5, 12)
 _LABELS = "lab AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), nl AS (SELECT item_id, count(DISTINCT doc_id) AS n_labels FROM lab GROUP BY item_id)"
 
 
+#: Short passages that meet all texts at once at most.
+SHORT_BLOCK = 1000
+
+
 def labels(spark, d) -> DataFrame:
     """item_id, doc_id: documents that hold a passage word for word.
 
     A document that holds a passage has its inner words (all but the first and last) as words of
-    its own, so the longest of them finds the candidates by an equi-join, and only those are read
-    for the passage.  Passages of one or two words, if there are any, are looked for in all texts.
+    its own, so the one that stands in the fewest documents finds the candidates by an equi-join, and
+    only those are read for the passage.  Passages of one or two words, if there are any, are looked
+    for in all texts, SHORT_BLOCK at a time.
     """
     words = F.split(F.col("text"), r"\s+")
     q = bench(spark, d).select("item_id", F.col("text").alias("passage"), words.alias("words"))
-    inner = q.where("size(words) > 2").select("item_id", "passage", F.element_at(F.array_sort(F.slice("words", 2, F.size("words") - 2), lambda a, b: F.length(b) - F.length(a)), 1).alias("w"))
+    inner = q.where("size(words) > 2").select("item_id", F.explode(F.array_distinct(F.slice("words", 2, F.size("words") - 2))).alias("w"))
     held = docs(spark, d).select("doc_id", F.explode(F.array_distinct(words)).alias("w"))
-    found = held.join(inner, "w").select("doc_id", "item_id", "passage").join(docs(spark, d), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
-    few = q.where("size(words) <= 2")
-    if not few.isEmpty():
-        found = found.unionByName(docs(spark, d).join(F.broadcast(few), F.contains("text", "passage")).select("item_id", "doc_id"))
+    common = held.join(inner.select("w").distinct(), "w", "left_semi").groupBy("w").agg(F.count("*").alias("n"))
+    # A passage with an inner word that no document has is in none.
+    rarest = inner.join(common, "w", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "w"))["w"].alias("w")).join(q.select("item_id", "passage"), "item_id")
+    found = held.join(rarest, "w").select("doc_id", "item_id", "passage").join(docs(spark, d), "doc_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    few = q.where("size(words) <= 2").select("item_id", "passage")
+    n = few.count()
+    for k in range(0, n, SHORT_BLOCK):
+        block = few.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(-(-n // SHORT_BLOCK))) == k // SHORT_BLOCK)
+        found = found.unionByName(docs(spark, d).join(F.broadcast(block), F.contains("text", "passage")).select("item_id", "doc_id"))
     return found.distinct()
 
 

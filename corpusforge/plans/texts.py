@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import chunks as C
-from ..operators.search import sparse_topk
+from ..operators.search import numbered, sparse_topk
 from ..registry import query
 from ..sources import readers as R
 from ..sources.readers import table
@@ -111,7 +111,10 @@ def chunk_plan(spark, d):
 
 @query("chunk_ordinals", "SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS ordinal FROM documents")
 def chunk_ordinals(spark, d):
-    return table(spark, d, "documents").select("doc_id", (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).alias("ordinal"))
+    """Ordinals within a source: places in one order of all rows, less the place where the source begins; no source is gathered."""
+    rows = numbered(table(spark, d, "documents").select("source", "doc_id"), [F.asc("source"), F.asc("doc_id")])
+    begin = rows.groupBy("source").agg(F.min("place").alias("begin"))
+    return rows.join(begin, rows["source"].eqNullSafe(begin["source"])).select("doc_id", (F.col("place") - F.col("begin")).cast("int").alias("ordinal"))
 
 
 _RUNS = "r AS (SELECT conv_id, turn, role, text, sum(CASE WHEN role <> 'system' AND coalesce(lag_role <> 'system', false) THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS lag_role FROM conversations))"
