@@ -53,8 +53,8 @@ class HashEncoder:
         for t in texts:
             v = [0.0] * self.dim
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                v[h % self.dim] += 1.0 if h >> 63 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).digest()
+                v[int.from_bytes(h[:4]) % self.dim] += 1.0 if h[4] >> 7 else -1.0
             n = sum(x * x for x in v) ** 0.5
             out.append([x / n for x in v] if n else v)
         return out
