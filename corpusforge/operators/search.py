@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.stem import stems
 from ..functions.text import bm25_terms
 from ..functions.vectors import clamp01
-from ..session import pruning, settled
+from ..session import INDEXES, pruning, settled
 
 K1, B, AVERAGE_LENGTH = 1.2, 0.75, 256.0
 PREFETCH, RRF_K = 40, 60
@@ -102,7 +102,7 @@ def index(docs: DataFrame) -> Index:
     """The stored index of docs (doc_id, text), built once a session for the same files and plan."""
     docs = docs.select("doc_id", "text")
     context = docs.sparkSession.sparkContext
-    known = context.__dict__.setdefault("_corpusforge_indexes", {})
+    known = context.__dict__.setdefault(INDEXES, {})
     key = _state(docs)
     if key and key in known:
         return known[key]

@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = Path(__file__).resolve().parents[1]
+#: Where a context keeps the shared folders that were handed out, and the indexes that lie in them.
+FOLDERS, INDEXES = "_corpusforge_folders", "_corpusforge_indexes"
 
 
 def session(app: str = "corpusforge", cores: str = "*") -> SparkSession:
@@ -39,7 +41,24 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         top = "/tmp/checkpoints"
-    return f"{top.rstrip('/')}/corpusforge-{uuid.uuid4().hex}"
+    folder = f"{top.rstrip('/')}/corpusforge-{uuid.uuid4().hex}"
+    spark.sparkContext.__dict__.setdefault(FOLDERS, []).append(folder)
+    return folder
+
+
+def drop_folders(spark: SparkSession) -> int:
+    """Remove all shared folders that this session was given, and forget the indexes in them; how many there were.
+
+    Results are lazy and read from these folders: call this when none of them is needed any more.
+    """
+    own = spark.sparkContext.__dict__
+    folders = own.pop(FOLDERS, [])
+    own.pop(INDEXES, None)
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+    return len(folders)
 
 
 def settled(df: DataFrame, **options: str) -> DataFrame:

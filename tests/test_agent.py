@@ -48,6 +48,21 @@ def test_index_is_built_once_for_the_same_files(spark, tmp_path):
     assert {r.term for r in S.index(spark.read.parquet(path)).posts.collect()} == {"one", "two", "three"}
 
 
+def test_shared_folders_go_when_asked(spark, tmp_path):
+    import os
+
+    from corpusforge.session import FOLDERS, drop_folders
+
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "one two")], "doc_id long, text string").write.parquet(path)
+    first = S.index(spark.read.parquet(path))
+    folders = list(spark.sparkContext.__dict__[FOLDERS])
+    assert sum(os.path.exists(f.removeprefix("file:")) for f in folders) >= 2
+    assert drop_folders(spark) == len(folders) and not any(os.path.exists(f.removeprefix("file:")) for f in folders)
+    again = S.index(spark.read.parquet(path))
+    assert again is not first and again.posts.count() == 2
+
+
 def scanned(df):
     """Rows that the scan of a simple query hands on."""
     df.sparkSession.conf.set("spark.sql.adaptive.enabled", "false")
