@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, chunks_of, column, ranges, read, ship
+from .common import STAGE_BYTES, Chunk, chunks_of, column, ranges, read, ship
 
 # Automaton states: what the last code point was.
 START, LETTER, NUMBER, OTHER, WHITE, BLANK, QUOTE, SHORT, PEND_E, PEND_L = range(10)
@@ -353,7 +353,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         own = codec(SparkFiles.get(name))
         for b in batches:
             keys = column(b, "doc_id")
-            for c in chunks_of(column(b, "text"), 1 << 20):
+            for c in chunks_of(column(b, "text"), STAGE_BYTES):
                 ids, n = own.encode(c)
                 at = np.concatenate([[0], np.cumsum(n)])
                 same = [own.decode(ids[at[i] : at[i + 1]]) == c.raw[s : s + k].tobytes() for i, (s, k) in enumerate(zip(c.starts.tolist(), c.lens.tolist(), strict=True))]

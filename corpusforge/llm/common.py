@@ -38,6 +38,8 @@ def _thrifty() -> None:
 
 _thrifty()
 CHUNK_BYTES = 1 << 20
+#: Same for the stages of the pipeline: the same workers run all of them, and hold the largest one's memory.
+STAGE_BYTES = 1 << 19
 #: Odd multiplier of the byte polynomial and its inverse modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 BASE_INV = pow(BASE, -1, 1 << 64)
@@ -275,13 +277,14 @@ def utf8(text) -> bytes:
     return (text or "").encode()
 
 
-#: Bytes of an Arrow batch between the JVM and Python; a batch of whole texts can be large otherwise.
+#: Bytes of an Arrow batch between the JVM and Python; a batch of whole texts can be large otherwise.  A session can set another bound.
 BATCH_BYTES = 8 << 20
+BATCH_CONF = "corpusforge.batchBytes"
 
 
 def ship(spark: SparkSession) -> None:
     """Bound the session's Arrow batches, and send this package to the executors unless their Python path has it already."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get(BATCH_CONF, str(BATCH_BYTES)))
     root = Path(__file__).resolve().parents[2]
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root in known or getattr(spark.sparkContext, "_corpusforge_sent", False):

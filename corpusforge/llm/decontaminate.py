@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_ALNUM, U64, Chunk, chunks_of, column, covered, ranges, read, shared_dir, ship, stored, word_hashes, words_of
+from .common import LOWER, NOT_ALNUM, STAGE_BYTES, U64, Chunk, chunks_of, column, covered, ranges, read, shared_dir, ship, stored, word_hashes, words_of
 
 BLOCK_BYTES = 4 << 20
 WINDOW = 10
@@ -372,7 +372,7 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_bytes:
 
     def hits(b: pa.RecordBatch, q: Queries) -> np.ndarray:
         hit = np.zeros(b.num_rows, bool)
-        for c in chunks_of(column(b, "text")):
+        for c in chunks_of(column(b, "text"), STAGE_BYTES):
             own = Lists(Segment.of(c), q)
             hit[c.rows.start + own.doc(own.phrases()[1])] = True
         return hit

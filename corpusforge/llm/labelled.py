@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Labelled rows a class that a classifier is fitted on at most, and the longest text among them (bytes).
@@ -21,6 +22,11 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def local(spark: SparkSession, **columns: tuple[pa.DataType, list]) -> DataFrame:
+    """A small table of the driver's, sent as Arrow: rows of a list would go through Python workers of their own, which stay for a minute."""
+    return spark.createDataFrame(pa.table({name: pa.array(x, kind) for name, (kind, x) in columns.items()}))
+
+
 @dataclass
 class Sample:
     texts: list[str]
@@ -46,7 +52,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     known = [(r.doc_id, r.label) for r in picked.collect()]
     spark, texts, out = docs.sparkSession, [], []
     if known:
-        chosen = spark.createDataFrame(known, "doc_id long, label int")
+        chosen = local(spark, doc_id=(pa.int64(), [i for i, _ in known]), label=(pa.int32(), [y for _, y in known]))
         found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
         found = found.select("doc_id", "label", "text", F.xxhash64("doc_id").alias("rank"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("h"))
         # Which rows fit is decided on their sizes (a few numbers a row); only those texts travel.
@@ -71,6 +77,6 @@ def unlabelled(docs: DataFrame, labels: DataFrame, rows: int = UNLABELLED_ROWS,
     picked = [r.doc_id for r in ids.collect()]
     if not picked:
         return []
-    chosen = docs.sparkSession.createDataFrame([(x,) for x in picked], "doc_id long")
+    chosen = local(docs.sparkSession, doc_id=(pa.int64(), picked))
     found = docs.where(F.octet_length("text").between(1, longest)).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")).orderBy("doc_id")
     return [r.text for r in found.collect()]

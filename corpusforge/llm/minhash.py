@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import LARGE_GROUPS, LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
+from .common import CHUNK_BYTES, LARGE_GROUPS, LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
 from .components import components
 
 ROWS = 5
@@ -103,13 +103,13 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, words: int) -> DataFrame:
+def signatures(docs: DataFrame, words: int, chunk: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n, h1, h2 (digest of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = column(b, "doc_id")
-            for c in chunks_of(column(b, "text")):
+            for c in chunks_of(column(b, "text"), chunk):
                 sets, n = shingle_sets(c, words)
                 at = np.concatenate([[0], np.cumsum(n)])
                 sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(sets ^ U64(k)))]) for k in (0x1234567, 0x89ABCDEF)]
@@ -126,14 +126,14 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, h1 long, h2 long, bands array<long>")
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, words: int, folder: str) -> DataFrame:
+def sets_of(docs: DataFrame, ids: DataFrame, words: int, folder: str, chunk: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, set (its sorted shingle hashes as bytes) of the documents in ids, stored.  A bitmap of bounded size keeps most others out of the shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(bloom.build(ids.select("doc_id"), "doc_id", mixed=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(bloom.contains(sent.value, mix(ints(b, "doc_id").astype(np.int64).view(np.uint64)))))
-            for c in chunks_of(column(b, "text")):
+            for c in chunks_of(column(b, "text"), chunk):
                 sets, n = shingle_sets(c, words)
                 off = np.concatenate([[0], np.cumsum(8 * n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([column(b, "doc_id").slice(c.rows.start, c.n), pa.Array.from_buffers(pa.binary(), c.n, [None, pa.py_buffer(off), pa.py_buffer(sets)])], ["doc_id", "set"])
@@ -218,12 +218,12 @@ def members(sets: DataFrame, folder: str) -> DataFrame:
     return rest.select("doc_id", "rep").unionByName(sets.join(F.broadcast(large), key).select("doc_id", "rep"))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
     ship(spark)
     folder = shared_dir(spark)
-    all_rows = stored(signatures(docs, words), folder, "signatures")
+    all_rows = stored(signatures(docs, words, chunk), folder, "signatures")
     sets = all_rows.where("n > 0 and doc_id is not null")
     member = stored(members(sets.select("doc_id", "h1", "h2", "n"), folder).distinct(), folder, "members")
     reps = member.where("doc_id = rep").select("doc_id")
@@ -236,7 +236,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = placed.where("doc_id <> hub").select(F.col("hub").alias("u"), F.col("doc_id").alias("v"), "n").distinct()
     star = star.join(size.select(F.col("doc_id").alias("u"), F.col("n").alias("nu")), "u")
     star = stored(star, folder, "star")
-    own = sets_of(docs, stored(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct(), folder, "candidates"), words, folder)
+    own = sets_of(docs, stored(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct(), folder, "candidates"), words, folder, chunk)
     links = stored(confirm(star.where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v"), own, percent, folder), folder, "links")
     found = components(links, folder, "star-cc")
     # Members of a hub's group outside the hub's component: what the star has not settled.

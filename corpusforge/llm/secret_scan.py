@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Chunk, chunks_of, column, covered, read, ship
+from .common import STAGE_BYTES, Chunk, chunks_of, column, covered, read, ship
 
 MIN_LENGTH, NAMED_LENGTH = 16, 6
 RULE = 4
@@ -319,7 +319,7 @@ def redact(docs: DataFrame, forest: Forest | None = None, threshold: float = THR
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text = column(b, "text").to_pylist()
-            for c in chunks_of(column(b, "text")):
+            for c in chunks_of(column(b, "text"), STAGE_BYTES):
                 doc, start, end, score = findings_of(c, sent.value)
                 hit = np.flatnonzero(score >= threshold)
                 hit = hit[np.argsort(doc[hit], kind="stable")]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BASE_INV, BYTE_A, LOWER, NOT_ALNUM, U64, Chunk, chunks_of, column, mix, prefix, read, spans_hash, words_of
+from .common import BASE, BASE_INV, BYTE_A, LOWER, NOT_ALNUM, STAGE_BYTES, U64, Chunk, chunks_of, column, mix, prefix, read, spans_hash, words_of
 from .labelled import Sample, held_out, sample, unlabelled
 
 THRESHOLD = 0.3
@@ -301,7 +301,7 @@ def reject(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = [scores_of(c, sent.value) for c in chunks_of(column(b, "text"), 1 << 20)]
+            s = [scores_of(c, sent.value) for c in chunks_of(column(b, "text"), STAGE_BYTES)]
             yield b.filter(pa.array(np.concatenate(s) < threshold)) if s else b
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,12 +2,14 @@
 
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from corpusforge.llm import secret_scan
+from corpusforge.llm import bpe, decontaminate, minhash, secret_scan, toxicity
+from corpusforge.llm.common import BATCH_CONF, STAGE_BYTES
 
 from .test_llm import items_of, labelled, plain_hits, plain_near
 
@@ -55,6 +57,40 @@ def test_toxic_documents_go_and_secrets_are_masked(spark, tmp_path):
     assert all(masked[i] == t for i, t, _ in rows)
 
 
+def test_fitting_starts_no_workers_of_its_own(spark, folder, monkeypatch):
+    """The chosen ids go out as Arrow; a list of rows would be read by a second pool of Python workers in every executor."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows of a list"))
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    assert toxicity.sample(docs, labels, "quality").texts
+    assert toxicity.unlabelled(docs, labels.where("doc_id % 2 = 0"))
+
+
+def test_stages_take_small_batches_and_chunks(spark, folder, monkeypatch):
+    """All stages run in the same workers: each bounds its batches, and works on chunks of STAGE_BYTES without changing a row."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    stages, runs = dict(corpus_pipeline.STAGES), {}
+    spark.conf.unset(BATCH_CONF)
+    with monkeypatch.context() as m:
+        for name in ("toxicity", "decontamination", "secrets", "tokens"):
+            spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+            m.setattr(type(docs), "mapInArrow", lambda self, f, schema, *_, name=name: runs.update({name: f}) or self)
+            stages[name](spark, docs, folder)
+            assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == corpus_pipeline.BATCH_BYTES
+        m.setattr(type(docs), "mapInArrow", lambda self, f, schema, *_: runs.update(near_duplicates=f) or self)
+        minhash.signatures(docs, corpus_pipeline.NEAR_WORDS, STAGE_BYTES)
+    rows = [f"row {i} " + f"token = \"Zk3vQ9xLm2Rt8YbN5cWd7HfJ{i}\" some words of text " * 200 for i in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300), pa.int64()), pa.array(rows)], ["doc_id", "text"])
+    assert batch.nbytes > 4 * STAGE_BYTES
+    for name, module in (("toxicity", toxicity), ("near_duplicates", minhash), ("decontamination", decontaminate), ("secrets", secret_scan), ("tokens", bpe)):
+        sizes, cut = [], module.chunks_of
+        with monkeypatch.context() as m:
+            m.setattr(module, "chunks_of", lambda *a, **k: (sizes.append(len(c.data)) or c for c in cut(*a, **k)))
+            small = pa.Table.from_batches(list(runs[name](iter([batch]))))
+            assert sizes and max(sizes) <= STAGE_BYTES + 300
+            m.setattr(module, "chunks_of", lambda col, *_: cut(col, 1 << 30))
+            assert small.equals(pa.Table.from_batches(list(runs[name](iter([batch])))).combine_chunks())
+
+
 def test_odd_rows_pass_through_all_stages(spark, folder, tmp_path):
     """Null ids, null and empty texts, repeated rows, a text of 1 MB and columns with the operators' own names: clean rows arrive at the end."""
     long = " ".join(f"w{i}" for i in range(150_000))
