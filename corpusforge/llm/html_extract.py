@@ -20,8 +20,10 @@ marks nothing; text outside the article of a page that has one is not main text.
 
 A host with many pages is dealt to shards of about SHARD pages, each with a suffix array of its
 own.  Fingerprints of all runs of such a host are counted over its shards (one row a fingerprint
-and task before the shuffle), and a shard gets back those of its undecided pages' runs that
-stand in two shards; so a host's pages have the same text whatever the shards.
+and task before the shuffle, and one for each shard whose undecided pages hold it), and a shard
+gets back those of its undecided pages' runs that stand in two shards; so a host's pages have the
+same text whatever the shards.  The html is read into blocks twice: for the fingerprints, hashed
+in the same worker, and for the texts.
 
 Cases: null and empty html give an empty text; broken or unclosed markup is read as far as it
 goes; repeated rows and pages without a url (one host of their own) are ordinary; an empty
@@ -36,13 +38,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, column, covered, read, ship, signed, window_hash, word_hashes, words_of
+from .common import chunks_of, column, covered, ints, read, ship, signed, window_hash, word_hashes, words_of
+from .labelled import local
 
 RUN = 6
 SHARD = 256
+PAGES = 128  # pages that a task holds as blocks at a time
 HEAVY_HOSTS = 100_000  # host counts sent to all tasks at most; beyond it they are joined
 CONTENT, FURNITURE, OPEN = 0, 1, 2
 _BLANK = np.zeros(256, bool)
@@ -260,7 +264,7 @@ def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
     salt = F.xxhash64("page_id", "url")
     some = heavy.limit(HEAVY_HOSTS + 1).collect()
     if len(some) <= HEAVY_HOSTS:
-        small = spark.createDataFrame([(r.host, r.n) for r in some], "host string, n long")
+        small = local(spark, host=(pa.string(), [r.host for r in some]), n=(pa.int64(), [r.n for r in some]))
         own = own.join(F.broadcast(small), "host", "left")
     else:
         own = own.join(heavy, "host", "left")
@@ -269,8 +273,8 @@ def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(0, b.num_rows, 500):
-                part = b.slice(k, 500)
+            for k in range(0, b.num_rows, PAGES):
+                part = b.slice(k, PAGES)
                 got = [blocks_of(x) for x in column(part, "html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [column(part, "page_id"), column(part, "url"), column(part, "host"), column(part, "shard"), pa.array([bytes(kind for kind, _ in x) for x in got], pa.binary()), pa.array([[t for _, t in x] for x in got], pa.list_(pa.string()))],
@@ -285,10 +289,10 @@ def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
         return pa.table({"page_id": t.column("page_id"), "url": t.column("url"), "text": pa.array(text, pa.string()), "n_chars": pa.array([len(x) for x in text], pa.int64())})
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """host, shard, fingerprint, whether a page that needs it holds it: distinct rows of a batch."""
-        for b in batches:
-            pages_, hosts = blocks(b), b.column("host").dictionary_encode()
-            shards, codes = b.column("shard").to_numpy(), hosts.indices.to_numpy()
+        """host, shard, fingerprint, whether a page that needs it holds it: distinct rows of some pages."""
+        for b in (b.slice(k, PAGES) for b in batches for k in range(0, b.num_rows, PAGES)):
+            pages_, hosts = [blocks_of(x) for x in column(b, "html").to_pylist()], column(b, "host").dictionary_encode()
+            shards, codes = ints(b, "shard"), hosts.indices.to_numpy()
             needs = np.array([all(kind != CONTENT for kind, _ in own) and any(kind == OPEN for kind, _ in own) for own in pages_], bool)
             for h, page, _ in fingerprints(pages_, run):
                 got = np.unique(np.stack([codes[page].astype(np.int64), shards[page], h, needs[page].astype(np.int64)], 1), axis=0)
@@ -299,9 +303,11 @@ def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
     split = own.select("page_id", "url", "html", "host", "shard").mapInArrow(parse, kinds)
     if not some:
         return split.groupBy("host", "shard").applyInArrow(lambda t: decide(t), done)
-    found = own.where(F.col("n").isNotNull()).select("page_id", "url", "html", "host", "shard").mapInArrow(parse, kinds).mapInArrow(runs, "host string, shard long, run long, needed boolean")
-    wide = found.groupBy("host", "run").agg(F.min("shard").alias("least"), F.max("shard").alias("most"), F.max("needed").alias("needed")).where("least < most and needed").select("host", "run")
-    shared = found.where("needed").select("host", "shard", "run").distinct().join(wide, ["host", "run"]).select("host", "shard", "run")
+    found = own.where(F.col("n").isNotNull()).select("html", "host", "shard").mapInArrow(runs, "host string, shard long, run long, needed boolean")
+    found = found.groupBy("host", "run", F.when(F.col("needed"), F.col("shard")).alias("for")).agg(F.min("shard").alias("least"), F.max("shard").alias("most"))
+    of_run = Window.partitionBy("host", "run")
+    met = found.select("host", "run", F.col("for").alias("shard"), F.min("least").over(of_run).alias("least"), F.max("most").over(of_run).alias("most"))
+    shared = met.where("shard is not null and least < most").select("host", "shard", "run")
     return split.groupBy("host", "shard").cogroup(shared.groupBy("host", "shard")).applyInArrow(lambda t, known: decide(t, np.sort(known.column("run").to_numpy())), done)
 
 

@@ -124,6 +124,15 @@ def test_html_shards_do_not_change_texts(spark):
     assert not any(p in one[i] for i in range(40) for p in [*pairs, notice])
 
 
+def test_html_of_large_hosts_is_read_twice_by_one_pool_of_workers(spark, monkeypatch):
+    """One worker a task reads pages and hashes their runs, once for all fingerprints; a list of rows would start a second pool of Python workers beside it."""
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *_: pytest.fail("rows of a list"))
+    df = spark.range(12).selectExpr("id as page_id", "concat('http://h.org/', id) as url", "concat('<body><p>one line that stands on every page</p><p>', id, ' own words of page ', 7 * id, '</p></body>') as html")
+    got = html_extract.extract(df, shard=3)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 2
+    assert {r.page_id: r.text for r in got.collect()} == {i: f"{i} own words of page {i * 7}" for i in range(12)}
+
+
 def test_repeated_runs_by_brute_force():
     r = np.random.default_rng(2)
     tokens, owner = r.integers(0, 3, 400), np.repeat(np.arange(8), 50)
