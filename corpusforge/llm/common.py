@@ -240,9 +240,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/corpusforge-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write df below the shared folder and read it again: cuts lineage, survives lost executors."""
-    df.write.mode("overwrite").parquet(f"{folder}/{name}")
+def stored(df: DataFrame, folder: str, name: str, small: bool = False) -> DataFrame:
+    """Write df below the shared folder and read it again: cuts lineage, survives lost executors.
+
+    small: many tasks leave few rows each; they go to files by their size, not one a task.
+    """
+    (df.hint("rebalance") if small else df).write.mode("overwrite").parquet(f"{folder}/{name}")
     return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
 
 
@@ -279,12 +282,14 @@ def utf8(text) -> bytes:
 
 #: Bytes of an Arrow batch between the JVM and Python; a batch of whole texts can be large otherwise.  A session can set another bound.
 BATCH_BYTES = 8 << 20
+#: Same for operators whose JVM holds much besides: a batch takes its size twice there, and once more in the Python worker.
+SMALL_BATCH_BYTES = 2 << 20
 BATCH_CONF = "corpusforge.batchBytes"
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, batch: int = BATCH_BYTES) -> None:
     """Bound the session's Arrow batches, and send this package to the executors unless their Python path has it already."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get(BATCH_CONF, str(BATCH_BYTES)))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get(BATCH_CONF, str(batch)))
     root = Path(__file__).resolve().parents[2]
     known = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
     if root in known or getattr(spark.sparkContext, "_corpusforge_sent", False):

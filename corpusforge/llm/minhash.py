@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom
-from .common import CHUNK_BYTES, LARGE_GROUPS, LOWER, SPACES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
+from .common import CHUNK_BYTES, LARGE_GROUPS, LOWER, SMALL_BATCH_BYTES, SPACES, STAGE_BYTES, U64, Chunk, chunks_of, column, ints, mix, read, shared_dir, ship, signed, stored, window_hash, with_parts, word_hashes, words_of
 from .components import components
 
 ROWS = 5
@@ -142,6 +142,17 @@ def sets_of(docs: DataFrame, ids: DataFrame, words: int, folder: str, chunk: int
     return stored(near.join(ids, "doc_id", "left_semi"), folder, "sets")
 
 
+def among(keyed: DataFrame, common: DataFrame) -> DataFrame:
+    """The rows of keyed whose key may be one of common's.  Most keys are one document's alone: a bitmap of bounded size keeps them out of the shuffle."""
+    sent = keyed.sparkSession.sparkContext.broadcast(bloom.build(common, "key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(bloom.contains(sent.value, ints(b, "key").astype(np.int64).view(np.uint64))))
+
+    return keyed.mapInArrow(run, keyed.schema)
+
+
 def hashes_of(cells: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(x.as_buffer(), U64) for x in cells]
 
@@ -221,14 +232,15 @@ def members(sets: DataFrame, folder: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    ship(spark)
+    ship(spark, SMALL_BATCH_BYTES)
     folder = shared_dir(spark)
     all_rows = stored(signatures(docs, words, chunk), folder, "signatures")
     sets = all_rows.where("n > 0 and doc_id is not null")
     member = stored(members(sets.select("doc_id", "h1", "h2", "n"), folder).distinct(), folder, "members")
     reps = member.where("doc_id = rep").select("doc_id")
-    keyed = stored(sets.select("doc_id", "n", F.explode("bands").alias("key")).join(reps, "doc_id", "left_semi").select("doc_id", "n", "key"), folder, "keys")
-    shared = stored(keyed.join(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key"), folder, "shared")
+    keyed = stored(sets.select("doc_id", "n", "bands").join(reps, "doc_id", "left_semi").select("doc_id", "n", F.explode("bands").alias("key")), folder, "keys")
+    common = stored(keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), folder, "common-keys", small=True)
+    shared = stored(among(keyed, common).join(common, "key"), folder, "shared")
     central = shared.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     hubs = shared.join(central, "doc_id").groupBy("key").agg(F.max(F.struct(F.col("degree"), (-F.col("doc_id")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("hub"))
     placed = stored(shared.join(hubs, "key"), folder, "placed")
@@ -237,7 +249,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunk: i
     star = star.join(size.select(F.col("doc_id").alias("u"), F.col("n").alias("nu")), "u")
     star = stored(star, folder, "star")
     own = sets_of(docs, stored(star.select(F.col("u").alias("doc_id")).unionByName(star.select(F.col("v").alias("doc_id"))).distinct(), folder, "candidates"), words, folder, chunk)
-    links = stored(confirm(star.where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v"), own, percent, folder), folder, "links")
+    links = stored(confirm(star.where(f"100 * least(n, nu) >= {percent} * greatest(n, nu)").select("u", "v"), own, percent, folder), folder, "links", small=True)
     found = components(links, folder, "star-cc")
     # Members of a hub's group outside the hub's component: what the star has not settled.
     of = found.withColumnRenamed("id", "doc_id")
@@ -272,7 +284,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85)
+    return near_duplicates(read(spark, sf_dir, "documents"), words=3, percent=85, chunk=STAGE_BYTES)
 
 
 ORACLE = r"""

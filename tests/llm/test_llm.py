@@ -541,6 +541,18 @@ def test_minhash(docs, texts, empty, k, percent):
     assert minhash.near_duplicates(empty, k, percent).count() == 0
 
 
+def test_minhash_shuffles_documents_and_keys_of_several(spark, docs, monkeypatch):
+    """Representatives are told before their keys are listed, keys of one document alone stay out of the join, few rows make few files, and batches are small."""
+    plans, keep, folders = {}, minhash.stored, []
+    monkeypatch.setattr(minhash, "stored", lambda df, folder, name, **k: folders.append(folder) or plans.update({name: df._jdf.queryExecution().optimizedPlan().toString()}) or keep(df, folder, name, **k))
+    spark.conf.unset(common.BATCH_CONF)
+    minhash.near_duplicates(docs)
+    assert plans["keys"].index("Generate") < plans["keys"].index("Join")
+    assert "MapInArrow" in plans["shared"]
+    assert all(len(spark.read.parquet(f"{folders[0]}/{x}").inputFiles()) == 1 for x in ("common-keys", "links"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == common.SMALL_BATCH_BYTES
+
+
 def test_minhash_loses_no_link_to_the_star(spark, monkeypatch):
     """Copies near the threshold: many miss the centre and link with each other only."""
     monkeypatch.setattr(minhash, "BLOCK", 16)
