@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_of, column, covered, ints, read, ship, signed, window_hash, word_hashes, words_of
+from .common import SMALL_BATCH_BYTES, chunks_of, column, covered, ints, read, ship, signed, window_hash, word_hashes, words_of
 from .labelled import local
 
 RUN = 6
@@ -257,7 +257,7 @@ def judge(pages: list[list[tuple[int, str]]], run: int = RUN, shared: np.ndarray
 def extract(pages: DataFrame, run: int = RUN, shard: int = SHARD) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages (page_id, url, html)."""
     spark = pages.sparkSession
-    ship(spark)
+    ship(spark, SMALL_BATCH_BYTES)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
     own = pages.select("page_id", "url", "html", host.alias("host"))
     heavy = own.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > shard)
