@@ -211,3 +211,9 @@ def test_evidence_route(spark):
     q, said = "What was the market size in 2024?", [None, "text", "table"]
     got = [r.k for r in spark.createDataFrame([(s,) for s in said], "s string").select(T.evidence_route(F.col("s"), F.lit(q)).alias("k")).collect()]
     assert got == ["chart", "mixed", "table"]
+
+
+def test_printed_halves_go_to_the_even_digit(spark):
+    cases = {2.0**-6: "0.01562", 3 * 2.0**-6: "0.04688", 5 * 2.0**-6: "0.07812", 2.0**-7: "0.007812", -(2.0**-6): "-0.01562", 1234.5: "1234", 1235.5: "1236", 0.10005: "0.1001", 1.0005: "1", 1e-5: "1e-05", 1e300: None, None: None}
+    rows = spark.createDataFrame([(x,) for x in cases], "x double").select("x", T.printed(F.col("x")).alias("s")).collect()
+    assert {r.x: r.s for r in rows} == cases | {1e300: f"{1e300:.4g}"}
