@@ -29,7 +29,7 @@ def multi_search(index: S.Index, payload: DataFrame, plans: DataFrame) -> DataFr
     asked = plans.groupBy("item_id", "query").agg(F.min("seq").alias("wording"), F.collect_list(plan).alias("plans"))
     terms = asked.select("item_id", "wording", F.explode(F.array_distinct(S.bm25_terms(F.col("query")))).alias("term"))
     terms = S.stemmed(terms).distinct().join(index.idf, "term")
-    scores = index.posts.join(terms, "term").groupBy("item_id", "wording", "doc_id").agg(F.round(F.sum(F.col("weight") * F.col("idf")), 6).alias("score"))
+    scores = S.scored(index.posts, terms, ["item_id", "wording"])
     met = scores.join(payload.select("doc_id", "modality", "region_type", "page"), "doc_id").join(asked.drop("query"), ["item_id", "wording"])
     fit = met.select("item_id", "doc_id", "score", F.explode(F.filter("plans", lambda p: passes(p, F.col("modality"), F.col("region_type"), F.col("page")))).alias("p"))
     fit = fit.select("item_id", "p.seq", "p.kind", "p.width", "doc_id", "score")

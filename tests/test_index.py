@@ -32,3 +32,23 @@ def test_postings_are_shuffled_once_as_lists(spark):
     plan = posts._jdf.queryExecution().executedPlan().toString()
     plan = plan[: plan.index("== Initial Plan ==")] if "== Initial Plan ==" in plan else plan
     assert plan.count("Exchange rangepartitioning") == 1 and "Exchange hashpartitioning" not in plan and "Join" not in plan
+
+
+def test_scores_shuffle_each_post_once(spark, monkeypatch):
+    """Questions with the same words do not multiply what is shuffled; too many terms to send give the same scores."""
+    docs = spark.createDataFrame([(i, f"alpha beta w{i % 5}") for i in range(300)], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, f"alpha beta w{k % 5}") for k in range(50)], "item_id long, text string")
+    own = S.index(docs)
+    out = S.sparse_scores(own, asked)
+    got = {(r.item_id, r.doc_id): r.score for r in out.collect()}
+    assert len(got) == 300 * 50
+    todo, written = [out._jdf.queryExecution().executedPlan()], []
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "ShuffleExchangeExec":
+            written.append(p.metrics().apply("shuffleRecordsWritten").value())
+        todo += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else [p.children().apply(i) for i in range(p.children().size())]
+    assert sum(written) <= 4 * 300
+    monkeypatch.setattr(S, "SENT_TERMS", 0)
+    assert {(r.item_id, r.doc_id): r.score for r in S.sparse_scores(own, asked).collect()} == got
